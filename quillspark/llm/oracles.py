@@ -17,4 +17,20 @@ SELECT d.doc_id,
 FROM docs d JOIN totals t USING (r)
 """
 
-ORACLES = {"op7_line_dedup": OP7}
+OP6 = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+shingled AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words),
+sets AS (SELECT r, doc_id, len(s) AS n, list_sort(s) AS s FROM shingled),
+classes AS (SELECT s, any_value(n) AS n, min(doc_id) AS node FROM sets WHERE n > 0 GROUP BY s),
+members AS (SELECT node, n, unnest(s) AS x FROM classes),
+common AS (SELECT a.node AS a, b.node AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM members a JOIN members b ON a.x = b.x AND a.node < b.node AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2),
+links AS (SELECT a, b FROM common WHERE 100 * k >= 80 * (na + nb - k)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT node AS a, node AS b FROM classes UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+labels AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY a)
+SELECT d.doc_id, d.n::BIGINT AS n_shingles, coalesce(l.component, d.doc_id) AS component_id, d.doc_id = coalesce(l.component, d.doc_id) AS kept
+FROM sets d LEFT JOIN classes c ON d.s = c.s AND d.n > 0 LEFT JOIN labels l ON c.node = l.node
+"""
+
+ORACLES = {"op6_near_dedup": OP6, "op7_line_dedup": OP7}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import share_package
 from .line_dedup import dedup_lines
+from .near_dedup import near_duplicates
 from .packing import pack
 from .sharding import shard_by_bytes
 
@@ -31,6 +32,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), longest=1024)
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, similarity=0.8)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
@@ -38,5 +44,6 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op5_packing": op5_packing,
+    "op6_near_dedup": op6_near_dedup,
     "op7_line_dedup": op7_line_dedup,
 }
