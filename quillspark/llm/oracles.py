@@ -33,4 +33,13 @@ SELECT d.doc_id, d.n::BIGINT AS n_shingles, coalesce(l.component, d.doc_id) AS c
 FROM sets d LEFT JOIN classes c ON d.s = c.s AND d.n > 0 LEFT JOIN labels l ON c.node = l.node
 """
 
-ORACLES = {"op6_near_dedup": OP6, "op7_line_dedup": OP7}
+OP2 = r"""
+WITH words AS (SELECT 'd' AS kind, doc_id AS id, row_number() OVER () AS r, text FROM documents UNION ALL SELECT 'i', item_id, row_number() OVER (), text FROM benchmark),
+split AS (SELECT kind, id, r, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM words),
+shingled AS (SELECT kind, id, r, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM split),
+sets AS (SELECT kind, id, r, len(s) AS n, unnest(s) AS x FROM shingled)
+SELECT d.id AS doc_id, i.id AS item_id, any_value(i.n)::BIGINT AS n_shingles, count(*)::BIGINT AS n_shared
+FROM sets d JOIN sets i ON d.kind = 'd' AND i.kind = 'i' AND d.x = i.x GROUP BY d.r, i.r, d.id, i.id HAVING 100 * count(*) >= 80 * any_value(i.n)
+"""
+
+ORACLES = {"op2_decontamination": OP2, "op6_near_dedup": OP6, "op7_line_dedup": OP7}
