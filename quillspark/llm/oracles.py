@@ -42,4 +42,21 @@ SELECT d.id AS doc_id, i.id AS item_id, any_value(i.n)::BIGINT AS n_shingles, co
 FROM sets d JOIN sets i ON d.kind = 'd' AND i.kind = 'i' AND d.x = i.x GROUP BY d.r, i.r, d.id, i.id HAVING 100 * count(*) >= 80 * any_value(i.n)
 """
 
-ORACLES = {"op2_decontamination": OP2, "op6_near_dedup": OP6, "op7_line_dedup": OP7}
+OP10 = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+split AS (SELECT r, doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM docs),
+lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs),
+dups AS (SELECT r, sum(k - 1) AS n FROM (SELECT r, line, count(*) AS k FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1, 2) GROUP BY r),
+windows AS (SELECT r, i, array_to_string(w[i : i + 4], ' ') AS x FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM split)),
+twice AS (SELECT r, i FROM windows SEMI JOIN (SELECT r, x FROM windows GROUP BY 1, 2 HAVING count(*) > 1) USING (r, x)),
+repeats AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, i + k AS p FROM twice, range(5) t(k)) GROUP BY r),
+counts AS (SELECT r, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(d.n, 0)::BIGINT AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words,
+  len(list_filter(w, lambda x: x LIKE '%!!')) AS shouts
+  FROM split LEFT JOIN dups d USING (r) LEFT JOIN repeats p USING (r)),
+based AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND 10 * n_symbols <= 3 * n_words AND word_chars <= 20 * n_words AND 10 * shouts <= 3 * n_words AS kept FROM based
+"""
+
+ORACLES = {"op10_quality": OP10, "op2_decontamination": OP2, "op6_near_dedup": OP6, "op7_line_dedup": OP7}

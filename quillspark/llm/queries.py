@@ -11,6 +11,7 @@ from .decontaminate import contained_items
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .packing import pack
+from .quality import rate_quality
 from .sharding import shard_by_bytes
 
 
@@ -46,8 +47,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rate_quality(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op10_quality": op10_quality,
     "op2_decontamination": op2_decontamination,
     "op5_packing": op5_packing,
     "op6_near_dedup": op6_near_dedup,
