@@ -34,7 +34,8 @@ def spread_lines(lines: DataFrame, min_sites: int = 5, band: float = 0.25, lg_k:
 
 
 def _salted(lines: DataFrame) -> DataFrame:
-    return lines.select("line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = lines.select("line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return salted.hint("merge")  # its size grows with the corpus: never broadcast
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = 5, min_chars: int = 20, largest_share: float = 0.5, text: str = "text", doc_id: str = "doc_id", site: str = "source") -> DataFrame:
