@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import share_package
 from .decontaminate import contained_items
@@ -12,6 +13,7 @@ from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import rate_quality
+from .secrets import scan_secrets
 from .sharding import shard_by_bytes
 
 
@@ -47,15 +49,21 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_quality(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
-    "op10_quality": op10_quality,
     "op2_decontamination": op2_decontamination,
     "op5_packing": op5_packing,
     "op6_near_dedup": op6_near_dedup,
     "op7_line_dedup": op7_line_dedup,
+    "op9_secrets": op9_secrets,
+    "op10_quality": op10_quality,
 }

@@ -89,9 +89,10 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((total[end] - total[start]) * _power(pow(_BASE, -1, 1 << 64), n + 1)[start] + (end - start).astype(U64))
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def find_words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of each run of bytes that aren't gaps, and where each row's runs begin and end in that list."""
     inside = np.zeros(len(data) + 2, dtype=bool)
-    inside[1:-1] = ~SPACE[data]
+    inside[1:-1] = ~gaps[data]
     begins, stops = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
     cuts = offsets[(offsets > 0) & (offsets < len(data))]
     begins[cuts] = inside[1:-1][cuts]
