@@ -3,12 +3,13 @@
 A document's set is its distinct word shingles. Documents with equal sets are one class, and each class gets a signature
 of ``CHUNKS * CHUNK`` symbols of ``BITS`` bits. By the pigeonhole principle two signatures that differ in fewer than
 ``CHUNKS * (ERRORS + 1)`` symbols have a chunk with at most ``ERRORS`` differences; listing, for each chunk, all ways to
-leave out ``ERRORS`` symbols gives keys of which such a pair shares one for certain. At a similarity of 0.8 a pair
-differs in a tenth of that bound on average in each chunk pair and misses all keys with a probability of 2e-6.
+leave out ``ERRORS`` symbols gives keys of which such a pair shares one for certain. Pairs with a similarity of 0.8 mostly
+lie under that bound, and those above it still share a key in most cases: all in all they miss each other with a
+probability of 6e-6.
 
 Sharing a key makes a candidate; links are confirmed on the full sets. Only components are asked for, so a bucket never
-gives all its pairs: in some rounds its members that aren't yet in the component of the bucket's representative are held
-against it (each against the nearest representative it meets), then whatever pairs are left across components.
+gives all its pairs: in some rounds a node that isn't yet in the component of its buckets' leads is held against the lead
+that it meets most often, and whatever pairs are left across components come last, all of them.
 """
 
 from __future__ import annotations
@@ -18,17 +19,19 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import saved
 from .words import U64, distinct_by_row, hashed_words, mix, shingles, text_chunks
 
-CHUNKS, CHUNK, ERRORS, BITS = 10, 5, 1, 16
+CHUNKS, CHUNK, ERRORS, BITS = 14, 7, 1, 16
 SYMBOLS = CHUNKS * CHUNK
 #: Pairs at the similarity limit differ in more symbols than this with a probability of 1e-6.
-MOST_DIFFERENT = 24
+MOST_DIFFERENT = 39
 STAR_ROUNDS = 3
+#: Buckets that a sample of the nodes shows to be larger than this, or than a share of all nodes, are dealt over salts.
+HOT_BUCKET, HOT_SHARE, SAMPLE, SALTS = 100_000, 1e-4, 64, 64
 _FACTORS = np.random.Generator(np.random.PCG64(77)).integers(0, 2**64, SYMBOLS, dtype=U64) | U64(1)
 _SUBSETS = [(c * CHUNK + np.array(left), k) for k, (c, left) in enumerate((c, left) for c in range(CHUNKS) for left in combinations(range(CHUNK), CHUNK - ERRORS))]
 _KEY_FACTORS = np.random.Generator(np.random.PCG64(78)).integers(0, 2**64, (len(_SUBSETS), CHUNK - ERRORS), dtype=U64) | U64(1)
@@ -102,12 +105,11 @@ def _sets(size: int):
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``(a, b, signature, signature)`` to ``(a, b, distance)``, without pairs that differ in too many symbols."""
+    """Rows ``(a, b, signature, signature)`` to the pairs that don't differ in too many symbols."""
     for batch in batches:
         one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS) for k in (2, 3))
-        distance = (one != two).sum(axis=1)
-        keep = pa.array(distance <= MOST_DIFFERENT)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(distance, pa.int32()).filter(keep)], ["a", "b", "distance"])
+        keep = pa.array((one != two).sum(axis=1) <= MOST_DIFFERENT)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
 
 def _similar(percent: int):
@@ -146,43 +148,65 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def link_classes(docs: DataFrame, size: int, percent: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
-    """The sketch of every row, and ``(node, label)`` for each class of equal sets that has links to others."""
+def leads(rows: DataFrame, turn: int) -> DataFrame:
+    """``(a, b)``: for each node b the node a that leads most of its buckets, where that has another label.
+
+    ``rows`` has ``key, salt, node, label``. A salted bucket has a lead for each salt, and those have a lead of their own.
+    """
+    order = F.xxhash64("node", F.lit(turn))
+    led = rows.withColumn("lead", F.min(F.struct(order.alias("order"), "node", "label")).over(Window.partitionBy("key", "salt")))
+    heads = led.where("salt >= 0 AND node = lead.node").withColumn("lead", F.min("lead").over(Window.partitionBy("key")))
+    pairs = led.unionByName(heads).where("label <> lead.label").groupBy("node", F.col("lead.node").alias("a")).count()
+    return pairs.groupBy(F.col("node").alias("b")).agg(F.max_by("a", F.struct("count", "a")).alias("a"))
+
+
+def _shared_keys(classes: DataFrame, hot_bucket: int) -> DataFrame:
+    """``(node, keys)``: the keys that a node shares with others, each with a salt (-1: the bucket isn't hot)."""
+
+    def keyed(nodes: DataFrame) -> DataFrame:
+        return nodes.select("node", "signature").mapInArrow(_keyed, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
+
+    # at most KEYS / HOT_SHARE keys are hot, as a node is in KEYS buckets: the broadcast is bounded
+    limit = max(hot_bucket, HOT_SHARE * classes.count())
+    sampled = keyed(classes.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0))
+    hot = sampled.groupBy("key").count().where(F.col("count") * SAMPLE > limit).select("key", F.lit(True).alias("hot"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(-1).cast("int")
+    rows = keyed(classes).join(F.broadcast(hot), "key", "left").select("key", "node", salt.alias("salt"))
+    shared = rows.withColumn("n", F.count("*").over(Window.partitionBy("key", "salt"))).where("n > 1 OR salt >= 0")
+    return saved(shared.groupBy("node").agg(F.collect_list(F.struct("key", "salt")).alias("keys")), "shared-keys")
+
+
+def link_classes(docs: DataFrame, size: int, percent: int, text: str, doc_id: str, hot_bucket: int = HOT_BUCKET) -> tuple[DataFrame, DataFrame]:
+    """The sketch of every row, and ``(node, label)`` for each class of equal sets that shares a key with others."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     sketches = saved(rows.mapInArrow(_sketch(size), "doc_id long, text_hash long, n_shingles long, node long, signature binary"), "sketches")
     classes = saved(sketches.where("n_shingles > 0").groupBy("node").agg(F.min_by("signature", "doc_id").alias("signature"), F.min(F.struct("doc_id", "text_hash")).alias("first")), "classes")
-    keys = classes.select("node", "signature").mapInArrow(_keyed, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = saved(keys.join(shared, "key"), "buckets")
-    nodes = saved(buckets.select("node").distinct().join(classes, "node"), "bucket-nodes")
+    keys = _shared_keys(classes, hot_bucket)
+    nodes = saved(keys.select("node").join(classes, "node"), "shared-nodes")
     wanted = nodes.select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
     texts = rows.join(wanted, (rows.doc_id.eqNullSafe(wanted.doc_id)) & (rows.text_hash == wanted.text_hash)).select("node", "text")
     sets = saved(texts.mapInArrow(_sets(size), "node long, members binary").dropDuplicates(["node"]), "sets")
     signature = nodes.select("node", "signature")
 
-    def confirmed(pairs: DataFrame, best: bool) -> DataFrame:
-        near = pairs.join(signature.toDF("a", "sa"), "a").join(signature.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_near, "a long, b long, distance int")
-        if best:  # one link joins a node to a component
-            near = near.groupBy("b").agg(F.min_by("a", F.struct("distance", "a")).alias("a"))
-        full = near.select("a", "b").join(sets.toDF("a", "ma"), "a").join(sets.toDF("b", "mb"), "b")
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        near = pairs.join(signature.toDF("a", "sa"), "a").join(signature.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_near, "a long, b long")
+        full = near.join(sets.toDF("a", "ma"), "a").join(sets.toDF("b", "mb"), "b")
         return saved(full.select("a", "b", "ma", "mb").mapInArrow(_similar(percent), "a long, b long"), "links")
 
     labels, edges = nodes.select("node", F.col("node").alias("label")), None
     for turn in range(STAR_ROUNDS + 1):
-        labelled = buckets.join(labels, "node")
-        order = F.xxhash64("node", F.lit(turn))
-        leads = labelled.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "label")).alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+        labelled = keys.join(labels, "node").select("node", "label", F.explode("keys").alias("k")).select("node", "label", "k.key", "k.salt")
         if turn < STAR_ROUNDS:
-            pairs = labelled.join(leads.select("key", "lead"), "key").where("label <> lead.label").select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
+            pairs = leads(labelled, turn)
         else:
-            mixed = saved(labelled.join(leads.select("key"), "key"), "mixed")
+            mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+            mixed = saved(labelled.join(mixed, "key").select("key", "node", "label"), "mixed")
             other = mixed.select("key", F.col("node").alias("b"), F.col("label").alias("other"))
             pairs = mixed.withColumnRenamed("node", "a").join(other, "key").where("label < other").select("a", "b").distinct()
-        links = confirmed(pairs, best=turn < STAR_ROUNDS)
-        if links.isEmpty() and turn < STAR_ROUNDS:
-            continue
-        edges = links if edges is None else edges.unionByName(links)
-        labels = nodes.select("node").join(components(edges), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+        links = confirmed(pairs)
+        if not links.isEmpty():
+            edges = links if edges is None else edges.unionByName(links)
+            labels = nodes.select("node").join(components(edges), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     return sketches, labels
 
 
