@@ -64,9 +64,17 @@ class Items:
             kept = _signed(values, items, _bins(int(k)))
             kept = kept[np.argsort(values[kept], kind="stable")]
             self.classes[int(k)] = (values[kept], items[kept])
-        self.known = np.zeros(1 << FILTER_BITS, dtype=bool)  # a document without any of an item's values needs no windows
-        for values, _ in self.classes.values():
-            self.known[(values & U64(len(self.known) - 1)).astype(np.int64)] = True
+        self.values = np.unique(np.concatenate([np.zeros(0, dtype=U64), *(values for values, _ in self.classes.values())]))
+        self.filter = np.zeros(1 << FILTER_BITS, dtype=bool)
+        self.filter[self._place(self.values)] = True
+
+    def _place(self, values: np.ndarray) -> np.ndarray:
+        return (values & U64(len(self.filter) - 1)).astype(np.int64)
+
+    def known(self, values: np.ndarray) -> np.ndarray:
+        """Places of the values that some item's signature has; a document without any needs no windows."""
+        maybe = np.flatnonzero(self.filter[self._place(values)])
+        return maybe[np.isin(values[maybe], self.values)]
 
 
 def _candidates(values: np.ndarray, rows: np.ndarray, position: np.ndarray, size_class: int, signature: tuple[np.ndarray, np.ndarray]) -> set[tuple[int, int]]:
@@ -92,7 +100,7 @@ def _search(items: Items, size: int, percent: int):
                 rows = np.repeat(np.arange(len(n)), n)
                 position = np.arange(len(values)) - np.repeat(ends[:-1], n)
                 some = np.zeros(len(n), dtype=bool)
-                some[rows[items.known[(values & U64(len(items.known) - 1)).astype(np.int64)]]] = True
+                some[rows[items.known(values)]] = True
                 at = some[rows]
                 pairs: set[tuple[int, int]] = set()
                 for k, signature in items.classes.items():

@@ -118,15 +118,19 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     counts = np.where(n >= size, n - size + 1, (n > 0).astype(n.dtype))
     ends = np.concatenate(([0], np.cumsum(counts)))
     at = np.repeat(of_doc[:-1] - ends[:-1], counts) + np.arange(ends[-1])
-    have = np.repeat(np.minimum(n, size), counts)
-    out = have.astype(U64)
-    for k in range(size):
-        more = k < have if size > 1 else np.ones(len(at), dtype=bool)
-        if more.all():
-            out = mix(out * U64(0x9DDFEA08EB382D69) + h[at + k])
-        else:
-            out[more] = mix(out[more] * U64(0x9DDFEA08EB382D69) + h[at[more] + k])
-    return out, ends
+    padded = np.concatenate((h, np.zeros(size, dtype=U64)))
+    total = np.zeros(len(h), dtype=U64)
+    for k, factor in enumerate(_factors(size)):
+        total += padded[k : len(h) + k] * factor
+    out = total[at]
+    for row in np.flatnonzero((n > 0) & (n < size)):  # the words that follow belong to other rows
+        own = h[of_doc[row] : of_doc[row + 1]]
+        out[ends[row]] = (own * _factors(size)[: len(own)]).sum(dtype=U64) + U64(len(own))
+    return mix(out), ends
+
+
+def _factors(n: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64(31)).integers(0, 2**64, n, dtype=U64) | U64(1)
 
 
 def distinct_by_row(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
