@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import share_package
 from .decontaminate import contained_items
 from .line_dedup import dedup_lines
+from .lm_scoring import score_texts
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import rate_quality
@@ -37,6 +38,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shingle_words=5, containment=0.8)
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_texts(table(spark, sf_dir, "documents"), learnable=lambda x: remainder(x, 5) != 1)
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), longest=1024)
 
@@ -67,6 +73,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
+    "op3_lm_scoring": op3_lm_scoring,
     "op5_packing": op5_packing,
     "op6_near_dedup": op6_near_dedup,
     "op7_line_dedup": op7_line_dedup,
