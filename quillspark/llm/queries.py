@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import share_package
 from .decontaminate import contained_items
+from .html_text import main_texts
 from .line_dedup import dedup_lines
 from .lm_scoring import score_texts
 from .near_dedup import near_duplicates
@@ -43,6 +44,10 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), longest=1024)
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
     "op3_lm_scoring": op3_lm_scoring,
+    "op4_html_text": op4_html_text,
     "op5_packing": op5_packing,
     "op6_near_dedup": op6_near_dedup,
     "op7_line_dedup": op7_line_dedup,
