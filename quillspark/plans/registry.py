@@ -5,14 +5,461 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import context, graph, health, memory, ranking, rules, stats
+from ..sources import adapters as A
+from . import sql as S
 
-FLAGSHIP = "context_pipeline_ledger"
 Query = Callable[[SparkSession, str], DataFrame]
+FLAGSHIP = "context_pipeline_ledger"
+BUDGET = 400
+TASK = "the of and that inner nation"
+_found: dict[str, tuple[Query, str | None]] = {}
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def register(function: Query) -> Query:
+        _found[function.__name__] = (function, oracle)
+        return function
+
+    return register
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: function for name, (function, _) in _found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: oracle for name, (_, oracle) in _found.items() if oracle}
+
+
+def rows(spark: SparkSession, values: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(values, schema)
+
+
+# texts
+
+
+@query(f"SELECT doc_id, {S.tokens('text')} AS tokens, 'heuristic:chars/4' AS token_method FROM documents")
+def token_estimate_documents(spark, sf_dir):
+    return A.table(spark, sf_dir, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"), F.lit(T.TOKEN_METHOD).alias("token_method"))
+
+
+@query(f"WITH {S.DOCUMENTS}, {S.measured('docs_ctx')}, {S.DEDUPED} SELECT context_id, pos, content_hash FROM deduped")
+def content_hash_dedup(spark, sf_dir):
+    return context.dedup(context.measure(A.documents_context(spark, sf_dir))).select("context_id", "pos", "content_hash")
+
+
+@query(f"WITH {S.CONVERSATIONS} SELECT kind, count(*) AS n FROM conv_ctx GROUP BY 1")
+def role_to_kind_counts(spark, sf_dir):
+    return A.conversations_context(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, CASE " + " ".join(f"WHEN contains(lower(text), '{m}') THEN '{m}'" for m in ("the ", "and ", "la ", "der ")) + " END AS marker FROM documents")
+def critical_marker_scan(spark, sf_dir):
+    """The first of some frequent words, as the driver's texts have none of the real markers."""
+    return A.table(spark, sf_dir, "documents").select("doc_id", T.first_marker(F.col("text"), ("the ", "and ", "la ", "der ")).alias("marker"))
+
+
+@query(f"WITH {S.EVENTS} SELECT context_id, pos, list_sort(list_distinct(regexp_extract_all(content, '{S.FIGURE}'))) AS figures FROM events_ctx WHERE regexp_matches(content, '{S.FIGURE}')")
+def financial_figures(spark, sf_dir):
+    found = A.events_context(spark, sf_dir).withColumn("figures", F.array_sort(T.financial_figures(F.col("content"))))
+    return found.where(F.size("figures") > 0).select("context_id", "pos", "figures")
+
+
+@query(f"WITH {S.EVENTS} SELECT context_id, pos, content FROM events_ctx WHERE kind = 'tool_output' AND {S.NOISY}")
+def tool_noise_filter(spark, sf_dir):
+    return A.events_context(spark, sf_dir).where((F.col("kind") == "tool_output") & T.is_noise(F.col("content"))).select("context_id", "pos", "content")
+
+
+@query("SELECT model, coalesce(max(w), 128000) AS window FROM (SELECT DISTINCT CASE event_type WHEN 'click' THEN 'GPT-4o-2024' WHEN 'view' THEN 'gpt-4-turbo-x' WHEN 'error' THEN 'o200k' ELSE 'other-' || event_type END AS model FROM events) m LEFT JOIN (VALUES ('gpt-4o', 128000), ('gpt-4-turbo', 128000), ('o200k', 128000)) t(p, w) ON starts_with(lower(model), p) GROUP BY 1")
+def model_window_prefix_join(spark, sf_dir):
+    kind = F.col("event_type")
+    model = F.when(kind == "click", "GPT-4o-2024").when(kind == "view", "gpt-4-turbo-x").when(kind == "error", "o200k").otherwise(F.concat(F.lit("other-"), kind))
+    windows = rows(spark, list(T.MODEL_WINDOWS), "prefix string, window int")  # a fixed table of a few rows
+    models = A.table(spark, sf_dir, "events").select(model.alias("model")).distinct()
+    found = models.join(F.broadcast(windows), F.lower("model").startswith(F.col("prefix")), "left")
+    return found.groupBy("model").agg(F.coalesce(F.max("window"), F.lit(T.DEFAULT_WINDOW)).alias("window"))
+
+
+# the context pipeline
+
+
+def _classified(spark, sf_dir):
+    return context.classify(context.measure(A.events_context(spark, sf_dir)))
+
+
+@query(f"WITH {S.EVENTS}, {S.measured('events_ctx')}, {S.DEDUPED}, {S.classified('deduped')} SELECT context_id, " + ", ".join(f"coalesce(sum(token_count) FILTER (WHERE relevance = '{b}'), 0)::BIGINT AS {b}" for b in context.BUCKETS) + " FROM classified GROUP BY 1")
+def relevance_breakdown_events(spark, sf_dir):
+    return context.breakdown(context.classify(context.dedup(context.measure(A.events_context(spark, sf_dir)))))
+
+
+@query(f"WITH {S.EVENTS}, {S.measured('events_ctx')}, {S.classified('measured')} SELECT context_id, pos, relevance FROM classified")
+def classify_events(spark, sf_dir):
+    return _classified(spark, sf_dir).select("context_id", "pos", "relevance")
+
+
+@query(f"WITH {S.EVENTS}, {S.measured('events_ctx')}, {S.DEDUPED} SELECT context_id, pos FROM (SELECT *, count(*) OVER (PARTITION BY context_id) AS total FROM deduped) WHERE total > 10 AND original_index >= total - greatest(3, total // 10)")
+def recency_window(spark, sf_dir):
+    items = context.dedup(context.measure(A.events_context(spark, sf_dir)))
+    return context.classify(items.withColumn("kind", F.lit("agent_message")).withColumn("content", F.lit("plain"))).where("relevance_reason = 'most recent exchange'").select("context_id", "pos")
+
+
+@query(f"WITH {S.DOCUMENTS}, {S.measured('docs_ctx')}, {S.DEDUPED}, {S.classified('deduped')} SELECT context_id, pos, {S.SHORTENED} AS content, {S.tokens(S.SHORTENED)} AS token_count FROM classified")
+def compress_long_items(spark, sf_dir):
+    return context.compress(context.classify(context.dedup(context.measure(A.documents_context(spark, sf_dir))))).select("context_id", "pos", "content", "token_count")
+
+
+@query(f"WITH {S.EVENTS}, {S.pipeline('events_ctx', BUDGET)} SELECT context_id, pos, after AS token_count FROM kept")
+def budget_enforce(spark, sf_dir):
+    return context.run(A.events_context(spark, sf_dir), budget=BUDGET).select("context_id", "pos", "token_count")
+
+
+@query(f"WITH {S.EVENTS}, {S.pipeline('events_ctx', BUDGET)} SELECT context_id, pos, placed, relevance FROM placed")
+def place_lost_in_middle(spark, sf_dir):
+    return context.run(A.events_context(spark, sf_dir), budget=BUDGET).select("context_id", "pos", "placed", "relevance")
+
+
+_LEDGER = """SELECT context_id, stage_no, stage, ib AS items_before, ia AS items_after, tb AS tokens_before, ta AS tokens_after FROM sums, LATERAL (VALUES
+ (0, 'dedup', i0, i1, t0, t1), (1, 'classify', i1, i1, t1, t1), (2, 'filter_tool_output', i1, i2, t1, t2), (3, 'compress', i2, i2, t2, t3), (4, 'budget', i2, i4, t3, t4), (5, 'place', i4, i4, t4, t4)) s(stage_no, stage, ib, ia, tb, ta)"""
+
+
+@query(f"""WITH {S.EVENTS}, {S.pipeline('events_ctx', BUDGET)},
+sums AS (SELECT context_id, (SELECT count(*) FROM measured m WHERE m.context_id = c.context_id) AS i0, (SELECT sum(token_count)::BIGINT FROM measured m WHERE m.context_id = c.context_id) AS t0, count(*) AS i1, sum(token_count)::BIGINT AS t1,
+ (SELECT count(*) FROM shortened s WHERE s.context_id = c.context_id) AS i2, (SELECT coalesce(sum(token_count), 0)::BIGINT FROM shortened s WHERE s.context_id = c.context_id) AS t2, (SELECT coalesce(sum(after), 0)::BIGINT FROM shortened s WHERE s.context_id = c.context_id) AS t3,
+ (SELECT count(*) FROM kept k WHERE k.context_id = c.context_id) AS i4, (SELECT coalesce(sum(after), 0)::BIGINT FROM kept k WHERE k.context_id = c.context_id) AS t4 FROM classified c GROUP BY context_id) {_LEDGER}""")
+def context_pipeline_ledger(spark, sf_dir):
+    return context.ledger(A.events_context(spark, sf_dir), budget=BUDGET)
+
+
+@query(f"WITH {S.EVENTS}, {S.measured('events_ctx')}, used AS (SELECT *, sum(token_count) OVER (PARTITION BY context_id ORDER BY pos DESC) AS u, row_number() OVER (PARTITION BY context_id ORDER BY pos DESC) AS n FROM measured) SELECT context_id, pos FROM used WHERE u <= 100 OR n = 1")
+def tail_truncate(spark, sf_dir):
+    return context.tail_truncate(context.measure(A.events_context(spark, sf_dir)), 100).select("context_id", "pos")
+
+
+# ranking
+
+
+def _documents(spark, sf_dir):
+    return A.table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+_BM25 = S.bm25(f"SELECT 0 AS query_id, '{TASK}' AS query", "SELECT doc_id, text FROM documents")
+
+
+@query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score, rank FROM ranked")
+def bm25_scores(spark, sf_dir):
+    found = ranking.bm25(rows(spark, [(0, TASK)], "query_id int, query string"), _documents(spark, sf_dir))
+    return found.select("doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM ranked ORDER BY score DESC, doc_id LIMIT 10")
+def bm25_topk_documents(spark, sf_dir):
+    return bm25_scores(spark, sf_dir).select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(10)
+
+
+_COSINE = """vectors AS (SELECT vec_id AS doc_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), q AS (SELECT v AS q FROM vectors WHERE doc_id = 0),
+cosines AS (SELECT doc_id, list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] * q[i])) / (sqrt(list_sum(list_transform(v, lambda x: x * x))) * sqrt(list_sum(list_transform(q, lambda x: x * x)))) AS score FROM vectors, q)"""
+
+
+def _vectors(spark, sf_dir):
+    return A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+
+
+@query(f"WITH {_COSINE} SELECT doc_id, round(score, 6) AS score FROM cosines")
+def cosine_rank_embeddings(spark, sf_dir):
+    vectors = _vectors(spark, sf_dir)
+    found = ranking.vector_rank(vectors.where("doc_id = 0").select("vector"), vectors)
+    return found.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_BM25}, {_COSINE}, sem AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS sr FROM cosines), lex AS (SELECT doc_id, rank AS lr FROM ranked)
+SELECT doc_id, round(coalesce(1.0 / (60 + lr), 0) + coalesce(1.0 / (60 + sr), 0), 6) AS fused, CASE WHEN lr IS NULL THEN 'semantic' WHEN sr IS NULL THEN 'lexical' ELSE 'hybrid' END AS method FROM lex FULL JOIN sem USING (doc_id)""")
+def rrf_hybrid(spark, sf_dir):
+    vectors = _vectors(spark, sf_dir)
+    semantic = ranking.vector_rank(vectors.where("doc_id = 0").select("vector"), vectors)
+    lexical = ranking.bm25(rows(spark, [(0, TASK)], "query_id int, query string"), _documents(spark, sf_dir))
+    return ranking.fuse(lexical, semantic).select("doc_id", F.round("fused", 6).alias("fused"), "method")
+
+
+@query(f"""WITH {S.bm25("SELECT doc_id AS query_id, text AS query FROM documents WHERE doc_id % 20 = 0", "SELECT item_id AS doc_id, text FROM benchmark")},
+own AS (SELECT query_id, sum(times * ln(4.0 / 3) * times * 2.5 / (times + 1.5)) AS self_score FROM asked GROUP BY 1)
+SELECT query_id, doc_id AS item_id, round(score / self_score, 6) AS similarity, round(least(score / self_score, 0.85), 2) AS confidence FROM ranked JOIN own USING (query_id) WHERE score / self_score >= 0.15""")
+def statement_resurfacing(spark, sf_dir):
+    """Texts (every id divisible by 20, a stated query set) that resemble recorded statements."""
+    asked = A.table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    items = A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    found = ranking.bm25(asked, items).join(ranking.self_scores(asked), "query_id").withColumn("s", F.col("score") / F.col("self_score"))
+    return found.where("s >= 0.15").select("query_id", F.col("doc_id").alias("item_id"), F.round("s", 6).alias("similarity"), F.round(F.least("s", F.lit(0.85)), 2).alias("confidence"))
+
+
+# health and statistics
+
+_RATIO = "CASE WHEN {w} <= 0 THEN 0 ELSE round(greatest(0, least(1, {p}::DOUBLE / {w})), 4) END"
+
+
+@query(f"""WITH {S.EVENTS}, {S.measured('events_ctx')}, {S.classified('measured')},
+sums AS (SELECT context_id, sum(token_count)::BIGINT AS total_tokens, coalesce(sum(token_count) FILTER (WHERE relevance IN ('critical', 'relevant')), 0) AS useful, coalesce(sum(token_count) FILTER (WHERE relevance IN ('redundant', 'obsolete')), 0) AS wasted,
+ coalesce(sum(token_count) FILTER (WHERE kind = 'tool_output' AND relevance <> 'critical'), 0) AS tool FROM classified GROUP BY 1),
+r AS (SELECT context_id, total_tokens, {_RATIO.format(p='total_tokens', w=1000)} AS window_usage, {_RATIO.format(p='useful', w='total_tokens')} AS relevant_ratio, 1.0::DOUBLE AS critical_retained, {_RATIO.format(p='wasted', w='total_tokens')} AS redundancy, {_RATIO.format(p='tool', w='total_tokens')} AS tool_noise FROM sums)
+SELECT *, round(0.35 + 0.25 * relevant_ratio + 0.15 * (1 - redundancy) + 0.15 * (1 - tool_noise) + 0.10 * (1 - window_usage), 3) AS score FROM r""")
+def context_health(spark, sf_dir):
+    return health.health(_classified(spark, sf_dir), window=1000)
+
+
+@query(f"""WITH {S.EVENTS}, {S.pipeline('events_ctx', BUDGET)} SELECT c.context_id, coalesce(count(k.pos) FILTER (WHERE c.relevance = 'critical') / nullif(count(*) FILTER (WHERE c.relevance = 'critical'), 0), 1.0)::DOUBLE AS critical_retention
+FROM classified c LEFT JOIN kept k ON c.context_id = k.context_id AND c.pos = k.pos GROUP BY 1""")
+def critical_retention(spark, sf_dir):
+    items = A.events_context(spark, sf_dir)
+    return health.critical_retention(context.classify(context.dedup(context.measure(items))), context.run(items, budget=BUDGET))
+
+
+@query(f"""WITH {S.EVENTS}, {S.pipeline('events_ctx', BUDGET)}, b AS (SELECT DISTINCT context_id, unnest(regexp_extract_all(content, '{S.FIGURE}')) AS f FROM classified), a AS (SELECT DISTINCT context_id, unnest(regexp_extract_all(short, '{S.FIGURE}')) AS f, 1 AS k FROM kept),
+s AS (SELECT context_id, count(k) / count(*) AS share FROM b LEFT JOIN a USING (context_id, f) GROUP BY 1) SELECT context_id, coalesce(share, 1.0)::DOUBLE AS digit_retention FROM (SELECT DISTINCT context_id FROM classified) LEFT JOIN s USING (context_id)""")
+def digit_retention(spark, sf_dir):
+    items = A.events_context(spark, sf_dir)
+    return health.digit_retention(context.classify(context.dedup(context.measure(items))), context.run(items, budget=BUDGET))
+
+
+_SHARE = f"shares AS (SELECT context_id, {_RATIO.format(p='''coalesce(sum(token_count) FILTER (WHERE relevance = 'redundant'), 0)''', w='sum(token_count)')} AS duplicate_share, count(*) AS items FROM raw GROUP BY 1)"
+_RAW = S.classified("measured").replace("classified AS", "raw AS").replace("ruled", "ruled_raw")
+
+
+@query(f"WITH {S.EVENTS}, {S.measured('events_ctx')}, {_RAW}, {_SHARE} SELECT * FROM shares")
+def duplicate_share(spark, sf_dir):
+    return health.duplicate_share(_classified(spark, sf_dir))
+
+
+@query(f"""WITH {S.EVENTS}, {S.pipeline('events_ctx', BUDGET)}, {_RAW}, {_SHARE}, b AS (SELECT context_id, sum(token_count) AS tb FROM measured GROUP BY 1), a AS (SELECT context_id, sum(after) AS ta FROM kept GROUP BY 1),
+w AS (SELECT *, (duplicate_share > 0.5 OR items < 20)::INT AS warned FROM shares JOIN b USING (context_id) LEFT JOIN a USING (context_id))
+SELECT count(*) AS cases, sum(tb)::BIGINT AS tokens_before, sum(coalesce(ta, 0))::BIGINT AS tokens_after, round((sum(tb) - sum(coalesce(ta, 0))) / sum(tb)::DOUBLE, 4) AS reduction_ratio, sum(warned)::BIGINT AS warned_cases, count(*) >= 3 AND sum(warned) = 0 AS publishable FROM w""")
+def corpus_report(spark, sf_dir):
+    items = A.events_context(spark, sf_dir)
+    before = context.measure(items).groupBy("context_id").agg(F.sum("token_count").alias("tokens_before"))
+    after = context.run(items, budget=BUDGET).groupBy("context_id").agg(F.sum("token_count").alias("tokens_after"))
+    cases = before.join(after, "context_id", "left").join(health.duplicate_share(_classified(spark, sf_dir)), "context_id").withColumn("tokens_after", F.coalesce("tokens_after", F.lit(0)))
+    return health.corpus_report(cases)
+
+
+@query(f"WITH {S.EVENTS}, {S.measured('events_ctx')}, {S.classified('measured')}, s AS (SELECT context_id, sum(token_count) AS t, coalesce(sum(token_count) FILTER (WHERE relevance IN ('critical', 'relevant')), 0) AS u FROM classified GROUP BY 1) SELECT context_id, CASE WHEN round(least(1, t / 1000.0), 4) >= 0.75 THEN 'window_usage' WHEN round(u / t::DOUBLE, 4) <= 0.5 THEN 'relevant_ratio' ELSE 'none' END AS reason FROM s")
+def surfacing_trigger(spark, sf_dir):
+    return health.surfacing_trigger(context_health(spark, sf_dir))
+
+
+_VARIANCE = "count(*) AS n, round(avg(value), 4) AS mean, round(coalesce(stddev_samp(value), 0), 4) AS stdev, round(min(value), 4) AS min, round(max(value), 4) AS max"
+
+
+@query(f"WITH {S.METRICS} SELECT condition, metric, {_VARIANCE} FROM metrics GROUP BY 1, 2")
+def metric_variance(spark, sf_dir):
+    return stats.metric_variance(A.label_metrics(spark, sf_dir), by=("condition",))
+
+
+@query(f"""WITH {S.METRICS}, w AS (SELECT metric, count(*) AS n_within, round(min(value), 4) AS floor_min, round(max(value), 4) AS floor_max FROM metrics WHERE condition = 'en' GROUP BY 1), b AS (SELECT metric, count(*) AS n_between, round(avg(value), 4) AS between_mean FROM metrics WHERE condition = 'fr' GROUP BY 1)
+SELECT metric, n_within, floor_min, floor_max, n_between, between_mean, CASE WHEN coalesce(n_within, 0) < 2 OR n_between IS NULL THEN 'insufficient_data' WHEN between_mean < floor_min OR between_mean > floor_max THEN 'likely_real_difference' ELSE 'indistinguishable_from_noise' END AS verdict FROM w FULL JOIN b USING (metric)""")
+def noise_floor_compare(spark, sf_dir):
+    metrics = A.label_metrics(spark, sf_dir)
+    return stats.against_noise_floor(metrics.where("condition = 'en'"), metrics.where("condition = 'fr'"))
+
+
+# memory
+
+
+@query(f"WITH {S.LOG} SELECT record_type, count(*) AS total, count(*) FILTER (WHERE status = 'active') AS active FROM log GROUP BY 1")
+def log_summary(spark, sf_dir):
+    return memory.summary(A.event_log(spark, sf_dir))
+
+
+@query(f"WITH {S.LOG} SELECT id, record_type FROM log WHERE status = 'active'")
+def active_decisions(spark, sf_dir):
+    return memory.active(A.event_log(spark, sf_dir)).select("id", "record_type")
+
+
+@query(f"WITH {S.LOG} SELECT id, status, CASE WHEN id IN (SELECT supersedes FROM log WHERE supersedes IS NOT NULL) THEN 'superseded' ELSE status END AS effective_status FROM log")
+def effective_status_chain(spark, sf_dir):
+    return memory.effective_status(A.event_log(spark, sf_dir))
+
+
+@query(f"WITH {S.LOG} SELECT id, record_type FROM log WHERE (record_type <> 'decision' OR status = 'active') AND id NOT IN (SELECT id FROM log WHERE id % 3 <> 0)")
+def snapshot_restore_antijoin(spark, sf_dir):
+    log = A.event_log(spark, sf_dir)
+    return memory.restore(log.where("id % 3 <> 0"), memory.snapshot(log, 1)).select("id", "record_type")
+
+
+@query(f"WITH {S.LOG} SELECT user_id, id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, id DESC) AS n FROM log) WHERE n = 1")
+def latest_wins_upsert(spark, sf_dir):
+    return memory.latest(A.event_log(spark, sf_dir), ("user_id",), ("ts", "id")).select("user_id", "id")
+
+
+_CUTS = ("click", "error", "purchase", "signup", "view")
+
+
+@query(f"""WITH {S.LOG}, s AS (SELECT user_id AS store_id, {", ".join(f"coalesce(sum({S.tokens('payload')}) FILTER (WHERE record_type = '{t}'), 0) AS c{i}" for i, t in enumerate(_CUTS))} FROM log GROUP BY 1),
+l AS (SELECT store_id, level, tokens FROM s, LATERAL (VALUES {", ".join(f"({k}, {' + '.join([f'c{i}' for i in range(k, 5)] + ['0'])})" for k in range(6))}) v(level, tokens))
+SELECT store_id, coalesce(min(level) FILTER (WHERE tokens <= 60), 5)::INT AS cut_level, coalesce(min_by(tokens, level) FILTER (WHERE tokens <= 60), 0)::BIGINT AS tokens FROM l GROUP BY 1""")
+def handoff_cascade(spark, sf_dir):
+    records = A.event_log(spark, sf_dir).select(F.col("user_id").alias("store_id"), "record_type", T.estimate_tokens(F.col("payload")).alias("tokens"))
+    return memory.handoff_level(records, 60, _CUTS)
+
+
+@query(f"""WITH RECURSIVE {S.LOG}, c AS (SELECT user_id AS store_id, id, row_number() OVER (PARTITION BY user_id ORDER BY ts, id) AS rank, (1 + id % 9)::BIGINT AS tokens FROM log),
+f AS (SELECT store_id, 0::BIGINT AS rank, 0::BIGINT AS used, NULL::BIGINT AS id FROM (SELECT DISTINCT store_id FROM c)
+ UNION ALL SELECT c.store_id, c.rank, CASE WHEN f.used + c.tokens <= 50 THEN f.used + c.tokens ELSE f.used END, CASE WHEN f.used + c.tokens <= 50 THEN c.id END FROM f JOIN c ON c.store_id = f.store_id AND c.rank = f.rank + 1)
+SELECT store_id, id FROM f WHERE id IS NOT NULL""")
+def first_fit_select(spark, sf_dir):
+    from pyspark.sql import Window
+
+    log = A.event_log(spark, sf_dir)
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "id"))
+    return memory.first_fit(log.select(F.col("user_id").alias("store_id"), rank.alias("rank"), "id", (1 + F.col("id") % 9).cast("long").alias("tokens")), 50)
+
+
+# graphs
+
+
+@query(f"WITH {S.STAR} SELECT 'node' AS what, kind, count(*) AS n FROM nodes GROUP BY 2 UNION ALL SELECT 'edge', kind, count(*) FROM edges GROUP BY 2")
+def graph_stats(spark, sf_dir):
+    return graph.stats(*A.star_graph(spark, sf_dir))
+
+
+@query(f"WITH {S.STAR} SELECT DISTINCT w.source AS start, w.target AS id FROM ways w JOIN nodes n ON n.id = w.target WHERE starts_with(w.source, 'nation:')")
+def graph_neighbours(spark, sf_dir):
+    nodes, edges = A.star_graph(spark, sf_dir)
+    return graph.neighbours(nodes, edges, nodes.where("kind = 'nation'").select("id")).select("start", "id")
+
+
+@query(f"WITH {S.STAR} SELECT target AS id, count(DISTINCT source) AS callers FROM edges WHERE kind = 'calls' GROUP BY 1")
+def graph_callers_degree(spark, sf_dir):
+    return graph.degrees(A.star_graph(spark, sf_dir)[1], "calls")
+
+
+@query(f"""WITH {S.STAR}, one AS (SELECT DISTINCT source AS start, target AS id, 1 AS depth FROM edges WHERE starts_with(source, 'nation:') OR starts_with(source, 'region:')),
+two AS (SELECT DISTINCT o.start, e.target AS id, 2 AS depth FROM one o JOIN edges e ON o.id = e.source) SELECT start, id, min(depth)::INT AS depth FROM (FROM one UNION ALL FROM two) WHERE start <> id GROUP BY 1, 2""")
+def graph_bfs_depth2(spark, sf_dir):
+    nodes, edges = A.star_graph(spark, sf_dir)
+    return graph.reachable(edges, nodes.where("kind IN ('nation', 'region')").select("id"), 2, direction="out")
+
+
+_RING = "hops AS (SELECT DISTINCT 'n' || (event_id % 40) AS source, 'n' || ((event_id * 7 + user_id) % 40) AS target FROM events WHERE event_id % 11 = 0)"
+
+
+@query(f"""WITH {_RING}, two AS (SELECT [a.source, a.target] AS path FROM hops a JOIN hops b ON a.target = b.source AND b.target = a.source WHERE a.source < a.target),
+three AS (SELECT [a.source, a.target, b.target] AS path FROM hops a JOIN hops b ON a.target = b.source JOIN hops c ON b.target = c.source AND c.target = a.source WHERE a.source < a.target AND a.source < b.target AND a.target <> b.target)
+SELECT [source] AS path FROM hops WHERE source = target UNION ALL FROM two UNION ALL FROM three""")
+def graph_cycles(spark, sf_dir):
+    ring = A.table(spark, sf_dir, "events").where("event_id % 11 = 0").select(F.concat(F.lit("n"), F.col("event_id") % 40).alias("source"), F.concat(F.lit("n"), (F.col("event_id") * 7 + F.col("user_id")) % 40).alias("target"))
+    return graph.cycles(ring, 3)
+
+
+@query(f"WITH {S.STAR} SELECT id, name FROM nodes WHERE kind IN ('part', 'supplier') AND name NOT LIKE '\\_%' ESCAPE '\\' AND id NOT IN (SELECT target FROM edges WHERE kind = 'tests')")
+def graph_untested(spark, sf_dir):
+    return graph.untested(*A.star_graph(spark, sf_dir), ("part", "supplier")).select("id", "name")
+
+
+@query(f"WITH {S.PAGES} SELECT DISTINCT page_id, href FROM links WHERE href NOT IN (SELECT path FROM paths)")
+def graph_unresolved(spark, sf_dir):
+    nodes, links = A.page_graph(spark, sf_dir)
+    return links.distinct().join(nodes.select(F.col("path").alias("href")).distinct(), "href", "left_anti").select("page_id", "href")
+
+
+@query(f"WITH {S.STAR} SELECT id, name FROM nodes WHERE name ILIKE '%an%' ORDER BY length(name), name, id LIMIT 20")
+def graph_search_like(spark, sf_dir):
+    return graph.search(A.star_graph(spark, sf_dir)[0], "an", 20).select("id", "name")
+
+
+@query(f"""WITH {S.STAR}, wanted AS (SELECT * FROM (VALUES ('FRANCE'), ('ASIA'), ('Customer#00000001'), ('nothing like this')) v(wanted)), exact AS (SELECT wanted, id, 0 AS tier FROM wanted JOIN nodes ON wanted = name)
+SELECT * FROM exact UNION ALL SELECT wanted, id, 1 FROM wanted JOIN nodes ON contains(lower(name), lower(wanted)) WHERE wanted NOT IN (SELECT wanted FROM exact)""")
+def graph_define(spark, sf_dir):
+    names = rows(spark, [("FRANCE",), ("ASIA",), ("Customer#00000001",), ("nothing like this",)], "wanted string")
+    return graph.define(A.star_graph(spark, sf_dir)[0], names)
+
+
+@query()
+def graph_context_for(spark, sf_dir):
+    """Places and sellers for a task, found by name and then along the graph."""
+    nodes, edges = A.star_graph(spark, sf_dir)
+    return graph.context_for(nodes.withColumn("text", F.concat_ws(" ", "kind", "name")), edges.where("kind = 'contains'"), "nation region asia africa", 20, 2).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {S.STAR}, p AS (SELECT DISTINCT source, target FROM edges WHERE kind = 'contains'), u AS (SELECT source AS id, list_sort(list(target)) AS uses FROM p GROUP BY 1), b AS (SELECT target AS id, list_sort(list(source)) AS used_by FROM p GROUP BY 1) SELECT id, coalesce(uses, []) AS uses, coalesce(used_by, []) AS used_by FROM u FULL JOIN b USING (id)")
+def file_dependencies(spark, sf_dir):
+    return graph.dependencies(A.star_graph(spark, sf_dir)[1].where("kind = 'contains'"))
+
+
+@query("""WITH n AS (SELECT 'u' || user_id AS id, CASE WHEN user_id % 3 = 0 THEN 'test' ELSE 'function' END AS kind FROM events GROUP BY user_id), e AS (SELECT DISTINCT 'u' || user_id AS source, 'u' || (user_id * 5 + event_id) % 200 AS target FROM events)
+SELECT DISTINCT source, target, 'tests' AS kind FROM e JOIN n s ON s.id = e.source JOIN n t ON t.id = e.target WHERE s.kind = 'test' AND t.kind <> 'test'""")
+def link_tests_join(spark, sf_dir):
+    events = A.table(spark, sf_dir, "events")
+    nodes = events.select("user_id").distinct().select(F.concat(F.lit("u"), "user_id").alias("id"), F.when(F.col("user_id") % 3 == 0, "test").otherwise("function").alias("kind"))
+    edges = events.select(F.concat(F.lit("u"), "user_id").alias("source"), F.concat(F.lit("u"), (F.col("user_id") * 5 + F.col("event_id")) % 200).alias("target"), F.lit("calls").alias("kind")).distinct()
+    return graph.link_tests(nodes, edges)
+
+
+@query(f"WITH {S.STAR} SELECT id FROM nodes WHERE kind = 'part' AND id NOT IN (SELECT target FROM edges)")
+def orphan_antijoin(spark, sf_dir):
+    return graph.orphans(*A.star_graph(spark, sf_dir), "part").select("id")
+
+
+@query("""WITH d AS (SELECT p_name AS name, 'part:' || p_partkey AS id FROM part), u AS (SELECT name, min(id) AS target FROM d GROUP BY 1 HAVING count(*) = 1)
+SELECT 'line:' || l_orderkey || ':' || l_linenumber AS source, p_name AS name, target, target IS NOT NULL AS resolved FROM lineitem JOIN part ON l_partkey = p_partkey LEFT JOIN u ON u.name = p_name""")
+def resolve_unique_name(spark, sf_dir):
+    part, lines = A.table(spark, sf_dir, "part"), A.table(spark, sf_dir, "lineitem")
+    references = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.concat_ws(":", F.lit("line"), "l_orderkey", "l_linenumber").alias("source"), F.col("p_name").alias("name"))
+    return graph.resolve_unique(references, part.select(F.col("p_name").alias("name"), F.concat(F.lit("part:"), "p_partkey").alias("id")))
+
+
+# rules and risk
+
+
+@query(f"""WITH {S.STAR}, pk AS (SELECT 'customer:' || c_custkey AS id, c_mktsegment AS package FROM customer UNION ALL SELECT 'part:' || p_partkey, p_brand FROM part), pol AS (SELECT * FROM (VALUES ('BUILDING', 'Brand#11'), ('BUILDING', 'Brand#12'), ('MACHINERY', '*')) v(package, allowed))
+SELECT source, target, a.package AS from_package, b.package AS to_package FROM edges JOIN pk a ON a.id = source JOIN pk b ON b.id = target WHERE kind = 'tests' AND a.package <> b.package AND b.package <> 'Brand#13' AND a.package NOT IN (SELECT package FROM pol WHERE allowed = '*') AND NOT EXISTS (SELECT 1 FROM pol p WHERE p.package = a.package AND p.allowed = b.package)""")
+def architecture_policy_antijoin(spark, sf_dir):
+    customers = A.table(spark, sf_dir, "customer").select(F.concat(F.lit("customer:"), "c_custkey").alias("id"), F.col("c_mktsegment").alias("package"))
+    packages = customers.unionByName(A.table(spark, sf_dir, "part").select(F.concat(F.lit("part:"), "p_partkey").alias("id"), F.col("p_brand").alias("package")))
+    policy = rows(spark, [("BUILDING", "Brand#11"), ("BUILDING", "Brand#12"), ("MACHINERY", "*")], "package string, allowed string")
+    return rules.policy_breaches(A.star_graph(spark, sf_dir)[1].where("kind = 'tests'").select("source", "target"), packages, policy, "Brand#13")
+
+
+@query(f"""WITH {S.STAR}, u AS (SELECT id AS unit, CASE WHEN name LIKE '%1' THEN 'api' END AS path_marker FROM nodes WHERE kind IN ('part', 'supplier')),
+c AS (SELECT target AS unit, count(DISTINCT source) AS callers FROM edges WHERE kind = 'calls' GROUP BY 1), f AS (SELECT target AS unit, count(DISTINCT source) AS fan_in FROM edges WHERE kind = 'contains' GROUP BY 1),
+x AS (SELECT u.*, coalesce(callers, 0) AS callers, coalesce(fan_in, 0) AS fan_in, CASE WHEN unit IN (SELECT target FROM edges WHERE kind = 'tests') THEN 0 ELSE 1 END AS untested FROM u LEFT JOIN c USING (unit) LEFT JOIN f USING (unit)),
+r AS (SELECT unit, path_marker, list_filter([CASE WHEN path_marker IS NOT NULL THEN 'path:' || path_marker END, CASE WHEN callers >= 3 THEN 'callers' END, CASE WHEN fan_in >= 2 THEN 'fan_in' END, CASE WHEN untested > 0 THEN 'untested' END], lambda v: v IS NOT NULL) AS reasons FROM x)
+SELECT unit, CASE WHEN path_marker IS NOT NULL THEN 'high' WHEN len(reasons) > 0 THEN 'medium' ELSE 'low' END AS tier, reasons FROM r""")
+def risk_tier(spark, sf_dir):
+    nodes, edges = A.star_graph(spark, sf_dir)
+    units = nodes.where("kind IN ('part', 'supplier')").select(F.col("id").alias("unit"), F.when(F.col("name").endswith("1"), "api").alias("path_marker"))
+    tested = edges.where("kind = 'tests'").select(F.col("target").alias("unit")).distinct().withColumn("t", F.lit(1))
+    degree = lambda kind, name: graph.degrees(edges, kind).select(F.col("id").alias("unit"), F.col("callers").alias(name))
+    joined = units.join(degree("calls", "callers"), "unit", "left").join(degree("contains", "fan_in"), "unit", "left").join(tested, "unit", "left")
+    return rules.risk_tier(joined.select("unit", "path_marker", F.coalesce("callers", F.lit(0)).alias("callers"), F.coalesce("fan_in", F.lit(0)).alias("fan_in"), F.when(F.col("t").isNull(), 1).otherwise(0).alias("untested")))
+
+
+_RULES = [("r1", "PRE: click, view; POST: purchase", "low"), ("r2", "PRE: error; POST: signup", "high"), ("r3", "POST: view", "medium"), ("r4", "PRE: purchase; POST: loyal", "odd")]
+
+
+def _rules(spark):
+    return rules.parse_rules(rows(spark, _RULES, "id string, formal_spec string, risk_tier string"))
+
+
+def _facts(spark, sf_dir):
+    return A.table(spark, sf_dir, "events").where("value > 50").groupBy(F.col("user_id").alias("unit")).agg(F.array_sort(F.collect_set("event_type")).alias("facts"))
+
+
+@query("SELECT id FROM (VALUES ('r1', 0), ('r2', 2), ('r3', 1), ('r4', 0)) v(id, level) WHERE level <= 1")
+def rules_for_tier(spark, sf_dir):
+    return rules.rules_for_tier(_rules(spark), "medium").select("id")
+
+
+_FACTS = "facts AS (SELECT user_id AS unit, list_sort(list(DISTINCT event_type)) AS facts FROM events WHERE value > 50 GROUP BY 1), rules AS (SELECT * FROM (VALUES ('r1', ['click', 'view'], 'purchase'), ('r2', ['error'], 'signup'), ('r3', [], 'view'), ('r4', ['purchase'], 'loyal')) v(id, pre, post))"
+
+
+@query(f"WITH {_FACTS} SELECT id AS rule_id, unit, CASE WHEN NOT list_has_all(facts, pre) THEN 'unknown' WHEN list_contains(facts, post) THEN 'pass' ELSE 'fail' END AS status FROM facts, rules")
+def rule_violations(spark, sf_dir):
+    return rules.violations(_rules(spark), _facts(spark, sf_dir))
+
+
+@query("""WITH facts AS (SELECT user_id AS unit, list(DISTINCT event_type) AS f FROM events WHERE value > 50 GROUP BY 1), a AS (SELECT unit, list_distinct(list_concat(f, ['view'], CASE WHEN list_contains(f, 'error') THEN ['signup'] ELSE [] END)) AS f FROM facts),
+b AS (SELECT unit, list_distinct(list_concat(f, CASE WHEN list_contains(f, 'click') THEN ['purchase'] ELSE [] END)) AS f FROM a) SELECT unit, list_sort(list_distinct(list_concat(f, CASE WHEN list_contains(f, 'purchase') THEN ['loyal'] ELSE [] END))) AS facts FROM b""")
+def rule_fixpoint(spark, sf_dir):
+    return rules.infer(_rules(spark), _facts(spark, sf_dir))
