@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import context, graph, health, memory, ranking, rules, stats
+from ..operators import claims, codegraph, context, graph, health, memory, ranking, rules, stats
 from ..sources import adapters as A
+from ..sources import transcripts
 from . import sql as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -463,3 +464,95 @@ def rule_violations(spark, sf_dir):
 b AS (SELECT unit, list_distinct(list_concat(f, CASE WHEN list_contains(f, 'click') THEN ['purchase'] ELSE [] END)) AS f FROM a) SELECT unit, list_sort(list_distinct(list_concat(f, CASE WHEN list_contains(f, 'purchase') THEN ['loyal'] ELSE [] END))) AS facts FROM b""")
 def rule_fixpoint(spark, sf_dir):
     return rules.infer(_rules(spark), _facts(spark, sf_dir))
+
+
+# transcripts, claims and code, from texts that are made of the tables' rows
+
+_LINES = """lines AS (SELECT conv_id AS context_id, turn AS line_no, role, text, CASE WHEN turn % 5 = 4 THEN 'unparseable' WHEN role = 'system' THEN 'system' WHEN turn % 3 = 2 THEN role || '_without_message' ELSE 'item' END AS outcome FROM conversations)"""
+
+
+def _session(spark, sf_dir):
+    """Conversations as event lines: some aren't JSON, some have no message, some have their content in blocks."""
+    talk = A.table(spark, sf_dir, "conversations")
+    whole = F.to_json(F.struct(F.col("role").alias("type"), F.struct("role", F.col("text").alias("content")).alias("message")))
+    blocks = F.to_json(F.struct(F.col("role").alias("type"), F.struct("role", F.array(F.struct(F.lit("text").alias("type"), "text")).alias("content")).alias("message")))
+    bare = F.to_json(F.struct(F.col("role").alias("type")))
+    value = F.when(F.col("turn") % 5 == 4, F.concat(F.lit("{broken "), "text")).when((F.col("turn") % 3 == 2) & (F.col("role") != "system"), bare).when(F.col("turn") % 2 == 1, blocks).otherwise(whole)
+    return talk.select(F.col("conv_id").alias("context_id"), F.col("turn").alias("line_no"), value.alias("value"))
+
+
+@query(f"WITH {_LINES} SELECT context_id, row_number() OVER (PARTITION BY context_id ORDER BY line_no) - 1 AS pos, CASE role WHEN 'user' THEN 'user_message' ELSE 'agent_message' END AS kind, text AS content FROM lines WHERE outcome = 'item' AND trim(text) <> ''")
+def jsonl_event_parse(spark, sf_dir):
+    return transcripts.from_session(_session(spark, sf_dir))
+
+
+@query(f"WITH {_LINES} SELECT context_id, outcome AS reason, count(*) AS n FROM lines WHERE outcome <> 'item' GROUP BY 1, 2")
+def skipped_line_counts(spark, sf_dir):
+    return transcripts.skipped(_session(spark, sf_dir))
+
+
+@query(f"WITH {S.CONVERSATIONS} SELECT context_id, row_number() OVER (PARTITION BY context_id ORDER BY pos) - 1 AS pos, kind, content FROM conv_ctx")
+def message_list_parse(spark, sf_dir):
+    """Each conversation as one JSON list of messages, read back."""
+    talk = A.table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role", F.col("text").alias("content")).alias("m"))
+    raw = talk.groupBy(F.col("conv_id").alias("context_id")).agg(F.to_json(F.transform(F.array_sort(F.collect_list("m")), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))).alias("raw"))
+    return transcripts.from_messages(raw)
+
+
+_STATED = """t AS (SELECT s_suppkey AS k, (s_suppkey * 7) % 50 + 1 AS a, (s_suppkey * 3) % 50 + 1 AS b, (s_suppkey * 11) % 50 + 1 AS c FROM supplier),
+claims AS (SELECT k AS text_id, 'symbol_relation' AS kind, 's' || k AS subject, 'calls' AS relation, 'p' || c AS target, true AS negated FROM t UNION ALL SELECT k, 'symbol_relation', 's' || k, 'calls', 'p' || a, false FROM t UNION ALL SELECT k, 'symbol_relation', 's' || k, 'calls', 'p' || b, false FROM t
+ UNION ALL SELECT k, 'symbol_exists', 's' || (k + 5), NULL, NULL, false FROM t UNION ALL SELECT k, 'file_exists', 'parts/p' || k || '.py', NULL, NULL, false FROM t)"""
+
+
+def _claim_texts(spark, sf_dir):
+    k = F.col("s_suppkey")
+    part = lambda n: F.concat(F.lit("`p"), ((k * n) % 50 + 1).cast("string"), F.lit("`"))
+    own = F.concat(F.lit("`s"), k.cast("string"), F.lit("`"))
+    text = F.concat(own, F.lit(" calls "), part(7), F.lit(" and "), part(3), F.lit(". "), own, F.lit(" never calls "), part(11), F.lit("; see `s"), (k + 5).cast("string"), F.lit("()` in `parts/p"), k.cast("string"), F.lit(".py`."))
+    return A.table(spark, sf_dir, "supplier").select(k.alias("text_id"), text.alias("text"))
+
+
+@query(f"WITH {_STATED} SELECT * FROM claims")
+def claims_extract(spark, sf_dir):
+    return claims.extract(_claim_texts(spark, sf_dir))
+
+
+@query(f"""WITH {_STATED}, e AS (SELECT DISTINCT 's' || l_suppkey AS subject, 'p' || l_partkey AS target FROM lineitem), v AS (SELECT c.*, CASE
+  WHEN kind = 'symbol_exists' THEN CASE WHEN subject IN (SELECT 's' || s_suppkey FROM supplier) THEN 'supported' ELSE 'contradicted' END WHEN kind = 'file_exists' THEN CASE WHEN subject IN (SELECT 'parts/p' || p_partkey || '.py' FROM part WHERE p_partkey % 2 = 0) THEN 'supported' ELSE 'contradicted' END
+  WHEN e.target IS NOT NULL THEN 'supported' ELSE 'contradicted' END AS s FROM claims c LEFT JOIN e USING (subject, target))
+SELECT text_id, kind, subject, relation, target, negated, CASE WHEN NOT negated THEN s WHEN s = 'supported' THEN 'contradicted' ELSE 'supported' END AS status, CASE WHEN kind = 'symbol_relation' AND s = 'contradicted' THEN 0.9 ELSE 1.0 END::DOUBLE AS confidence FROM v""")
+def claim_verdicts(spark, sf_dir):
+    nodes = A.table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("name"))
+    edges = A.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"), F.lit("calls").alias("kind"), F.lit(True).alias("resolved")).distinct()
+    files = A.table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.concat(F.lit("parts/p"), "p_partkey", F.lit(".py")).alias("path"))
+    return claims.verdicts(claims.extract(_claim_texts(spark, sf_dir)), nodes, edges, files)
+
+
+def _sources(spark, sf_dir):
+    """A Python file for each part: a class, a method that calls a helper, and some unsafe SQL."""
+    k = F.col("p_partkey").cast("string")
+    safe = F.when(F.col("p_partkey") % 2 == 0, F.lit("db.execute('select ?', (x,))")).otherwise(F.lit("db.execute(f'select {x}')"))
+    code = F.concat(F.lit("import os\n\nclass Part"), k, F.lit("(Base):\n    def run(self, db, x):\n        helper"), (F.col("p_partkey") % 3).cast("string"), F.lit("(x)\n        return "), safe, F.lit("\n\ndef helper"), k, F.lit("(x):\n    return x\n"))
+    text = F.when(F.col("p_partkey") % 17 == 0, F.lit("def broken(:\n")).otherwise(code)
+    return A.table(spark, sf_dir, "part").select(F.concat(F.lit("src/p"), k, F.lit(".py")).alias("path"), text.alias("text"))
+
+
+_FILES = "f AS (SELECT p_partkey AS k, 'src/p' || p_partkey || '.py' AS path FROM part WHERE p_partkey % 17 <> 0)"
+
+
+@query(f"WITH {_FILES} SELECT 'class:' || path || ':Part' || k AS id, 'class' AS kind, 'Part' || k AS name FROM f UNION ALL SELECT 'method:' || path || ':Part' || k || '.run', 'method', 'run' FROM f UNION ALL SELECT 'function:' || path || ':helper' || k, 'function', 'helper' || k FROM f")
+def code_nodes(spark, sf_dir):
+    return codegraph.nodes_of(codegraph.parse(_sources(spark, sf_dir))).select("id", "kind", "name")
+
+
+@query(f"""WITH {_FILES}, c AS (SELECT path, 'Part' || k || '.run' AS qualname, 'calls' AS kind, 'helper' || (k % 3) AS target FROM f UNION ALL SELECT path, 'Part' || k || '.run', 'calls', 'db.execute' FROM f UNION ALL SELECT path, 'Part' || k, 'inherits', 'Base' FROM f)
+SELECT c.path, qualname, kind, target, 'function:' || f.path || ':' || target AS target_id, f.path IS NOT NULL AS resolved FROM c LEFT JOIN f ON target = 'helper' || f.k""")
+def code_resolution(spark, sf_dir):
+    return codegraph.resolve(codegraph.parse(_sources(spark, sf_dir))).drop("line")
+
+
+@query(f"WITH {_FILES} SELECT path AS unit, CASE WHEN k % 2 = 0 THEN 'pass' ELSE 'fail' END AS status FROM f WHERE k % 2 = 1 UNION ALL SELECT path, 'unknown' FROM f WHERE k % 2 = 0")
+def security_findings(spark, sf_dir):
+    """Files with SQL texts built at run time and no parameters."""
+    rule = rules.parse_rules(rows(spark, [("sql", "PRE: dynamic_sql; POST: parameterised_sql")], "id string, formal_spec string"))
+    return rules.violations(rule, codegraph.facts(codegraph.parse(_sources(spark, sf_dir)))).select("unit", "status")
