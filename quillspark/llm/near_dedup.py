@@ -131,25 +131,33 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``(key, node, label, long)`` in the order of keys to the near pairs of nodes with one key and two labels."""
+    """Rows ``(cell, key, node, label, long, signature)`` in the order of cells to the near pairs of nodes with two labels.
+
+    A pair that shares several keys comes out once, where its first common key is.
+    """
     rest: tuple[np.ndarray, ...] | None = None
 
-    def compared(key: np.ndarray, node: np.ndarray, label: np.ndarray, long: np.ndarray) -> pa.RecordBatch:
+    def compared(cell: np.ndarray, key: np.ndarray, node: np.ndarray, label: np.ndarray, long: np.ndarray, signature: np.ndarray) -> pa.RecordBatch:
         found = [np.zeros((0, 2), dtype=np.int64)]
-        step, at = 1, np.arange(len(key))
-        while len(at := at[at + step < len(key)]) and len(at := at[key[at] == key[at + step]]):
+        step, at = 1, np.arange(len(cell))
+        while len(at := at[at + step < len(cell)]) and len(at := at[cell[at] == cell[at + step]]):
             other = at[label[at] != label[at + step]]
             for block in np.array_split(other, len(other) // 16384 + 1):
                 near = block[differences(long[block], long[block + step]) <= MOST_DIFFERENT]
+                one = keys_of(signature[near])
+                common = one == keys_of(signature[near + step])
+                first = one[np.arange(len(near)), common.argmax(axis=1)].view(np.int64)
+                near = near[first == key[near]]
                 found.append(np.column_stack((np.minimum(node[near], node[near + step]), np.maximum(node[near], node[near + step]))))
             step += 1
         pairs = np.unique(np.concatenate(found), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     for batch in batches:
-        rows = (*(batch.column(k).to_numpy() for k in range(3)), _matrix(batch.column(3)))
+        signature = np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS)
+        rows = (*(batch.column(k).to_numpy() for k in range(4)), _matrix(batch.column(4)), signature)
         rows = rows if rest is None else tuple(np.concatenate(x) for x in zip(rest, rows))
-        done = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0  # the last key may go on
+        done = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0  # the last cell may go on
         yield compared(*(x[:done] for x in rows))
         rest = tuple(x[done:] for x in rows)
     if rest is not None:
@@ -204,16 +212,17 @@ def leads(rows: DataFrame, turn: int) -> DataFrame:
     return pairs.groupBy(F.col("node").alias("b")).agg(F.max_by("a", F.struct("count", "a")).alias("a"))
 
 
-def _pairs_across(labelled: DataFrame, long: DataFrame) -> DataFrame:
+def _pairs_across(labelled: DataFrame, signatures: DataFrame) -> DataFrame:
     """All pairs ``(a, b)`` with a common key, two labels and near signatures, compared inside tasks, key by key.
 
     A salted bucket is compared in cells of two salts each.
     """
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    rows = labelled.join(mixed, "key", "left_semi").join(long, "node")
+    rows = labelled.join(mixed, "key", "left_semi").join(signatures, "node")
     cells = F.when(F.col("salt") >= 0, F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda t: F.least("salt", t) * SALTS + F.greatest("salt", t))).otherwise(F.array(F.lit(-1)))
-    rows = rows.withColumn("cell", F.explode(cells)).select(F.when(F.col("cell") < 0, F.col("key")).otherwise(F.xxhash64("key", "cell")).alias("key"), "node", "label", "long")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_across, "a long, b long").distinct()
+    cell = F.when(F.col("of") < 0, F.col("key")).otherwise(F.xxhash64("key", "of"))
+    rows = rows.withColumn("of", F.explode(cells)).select(cell.alias("cell"), "key", "node", "label", "long", "signature")
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_across, "a long, b long").distinct()
 
 
 def _shared_keys(classes: DataFrame, hot_bucket: int) -> DataFrame:
@@ -255,7 +264,7 @@ def link_classes(docs: DataFrame, size: int, percent: int, text: str, doc_id: st
             pairs = leads(labelled, turn)
             near = pairs.join(long.toDF("a", "la"), "a").join(long.toDF("b", "lb"), "b").select("a", "b", "la", "lb").mapInArrow(_near, "a long, b long")
         else:
-            near = saved(_pairs_across(labelled, long), "across")
+            near = saved(_pairs_across(labelled, long.join(nodes.select("node", "signature"), "node")), "across")
         links = confirmed(near)
         if not links.isEmpty():
             label_of = labels.toDF("node", "from")
