@@ -145,4 +145,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """
     doc_id = options.get("doc_id", "doc_id")
     leaks = contained_items(docs, items, **options).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs[doc_id] == F.col("_leak"), "left_anti")
+    return docs.join(leaks, docs[doc_id] == leaks["_leak"], "left_anti")

@@ -7,7 +7,7 @@ the driver; patterns placed there are joined back to the pieces by their rank am
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,47 +41,50 @@ def cut_pieces(docs: DataFrame, tokenizer: str, longest: int = 1024, text: str =
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, PIECES)
 
 
-def shortest_pack_first(histogram: dict[int, int], longest: int = 1024) -> list[tuple[list[int], int]]:
-    """Patterns ``([length, ...], packs)``: lengths go longest first, each into the shortest pack there is.
+def shortest_pack_first(histogram: dict[int, int], longest: int = 1024) -> list[tuple[list[tuple[int, int]], int]]:
+    """Patterns ``([(length, times), ...], packs)``: lengths go longest first, each into the shortest pack there is.
 
-    Works on counts: all packs of one pattern take a length together, so the cost depends on the number of lengths only.
+    Works on counts: all packs of one pattern take a length together, and a new pack takes as many of a length as it
+    holds, since it stays the shortest until it is full. So the cost depends on the number of lengths only.
     """
     open_packs: list[tuple[int, int]] = []  # (used, pattern), the shortest first
-    patterns: list[list] = []
+    patterns: list[tuple[list[tuple[int, int]], int]] = []
+
+    def add(held: list[tuple[int, int]], packs: int, used: int) -> None:
+        patterns.append((held, packs))
+        if used < longest:
+            insort(open_packs, (used, len(patterns) - 1))
+
     for length in sorted(histogram, reverse=True):
         count = histogram[length]
-        while count:
-            if open_packs and open_packs[0][0] + length <= longest:
-                used, k = open_packs.pop(0)
-                held, packs = patterns[k]
-                if packs > count:  # only some of these packs get a piece
-                    patterns[k][1] = packs - count
-                    insort(open_packs, (used, k))
-                    patterns.append([list(held), packs := count])
-                    k = len(patterns) - 1
-                    held = patterns[k][0]
-                held.append(length)
-                count -= packs
-                used += length
-            else:
-                patterns.append([[length], count])
-                k, used, count = len(patterns) - 1, length, 0
-            if used < longest:
-                open_packs.insert(bisect_left(open_packs, (used, k)), (used, k))
+        while count and open_packs and open_packs[0][0] + length <= longest:
+            used, k = open_packs.pop(0)
+            held, packs = patterns[k]
+            taken = min(packs, count)
+            patterns[k] = (held, packs - taken)
+            if packs > taken:  # only some of these packs get a piece
+                insort(open_packs, (used, k))
+            *rest, (last, times) = held
+            add([*rest, (last, times + 1)] if last == length else [*held, (length, 1)], taken, used + length)
+            count -= taken
+        most = longest // length
+        for times, packs in ((most, count // most), (count % most, 1)):
+            if times and packs:
+                add([(length, times)], packs, times * length)
     return [(held, packs) for held, packs in patterns if packs]
 
 
-def _intervals(patterns: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, end rank, first sequence, offset): where the pieces of each length go, in rank order."""
+def _intervals(patterns: list[tuple[list[tuple[int, int]], int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, first rank, end rank, first sequence, offset, times): where the pieces of each length go, in rank order."""
     taken: dict[int, int] = {}
     out, sequence = [], 0
     for held, packs in patterns:
         offset = 0
-        for length in held:
+        for length, times in held:
             rank = taken.get(length, 0)
-            out.append((length, rank, rank + packs, sequence, offset))
-            taken[length] = rank + packs
-            offset += length
+            out.append((length, rank, rank + packs * times, sequence, offset, times))
+            taken[length] = rank + packs * times
+            offset += length * times
         sequence += packs
     return out
 
@@ -101,11 +104,14 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 1024, text: str = "text
         cells[length] = -(-count * CELLS // n)
     # at most CELLS + longest cells; at most one interval for each place in a pattern
     lengths = spark.createDataFrame([(k, v) for k, v in enumerate(cells) if v], "length long, cells int")
-    places = spark.createDataFrame(_intervals(shortest_pack_first(histogram, longest)), "length long, rank_from long, rank_to long, sequence_from long, offset long")
+    places = spark.createDataFrame(_intervals(shortest_pack_first(histogram, longest)), "length long, rank_from long, rank_to long, sequence_from long, offset_from long, times long")
     celled = pieces.join(F.broadcast(lengths), "length").withColumn("cell", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("cells")).cast("int"))
     before = Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     totals = celled.groupBy("length", "cell").count().select("length", "cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ranks_before"))
     inside = Window.partitionBy("length", "cell").orderBy("doc_id", "start", "ids_crc32")
     ranked = celled.join(F.broadcast(totals), ["length", "cell"]).withColumn("rank", F.col("ranks_before") + F.row_number().over(inside) - 1)
     placed = ranked.join(F.broadcast(places), "length").where((F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
-    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("sequence_from") + F.col("rank") - F.col("rank_from")).alias("sequence_id"), "offset")
+    nth = F.col("rank") - F.col("rank_from")
+    sequence = (F.col("sequence_from") + F.expr("(rank - rank_from) div times")).alias("sequence_id")
+    offset = (F.col("offset_from") + (nth % F.col("times")) * F.col("length")).alias("offset")
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", sequence, offset)

@@ -2,7 +2,7 @@
 
 All steps are DataFrame operations. Rows are ordered by a hash of their text, so equal texts stand together, and dealt
 into at most ``2 * CELLS + CELLS`` cells of that order, whatever the number of rows. Only the cells' totals are summed
-up in one place; inside a cell a window adds the rest. A text that more than ``1 / (CELLS / 2)`` of all rows share is cut
+up in one place; inside a cell a window adds the rest. A text that more than ``2 / CELLS`` of all rows share is cut
 into several cells by document id, so copies never gather in one task.
 """
 
@@ -15,6 +15,8 @@ from .storage import saved
 
 #: Cells of the global order: a fixed number, so the table of their totals is small however many rows there are.
 CELLS = 4096
+#: Texts with so many copies or fewer stay in one cell, however small the table.
+SMALL_GROUP = 64
 #: Bytes that each row takes besides its text.
 ROW_BYTES = 16
 
@@ -46,7 +48,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, text: str = "text", doc_id
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
 
     # at most CELLS / 2 groups are so large: the broadcast is bounded
-    large = rows.groupBy("group").agg(F.count("*").alias("copies")).where(F.col("copies") > 2 * max(n, 1) / CELLS)
+    large = rows.groupBy("group").agg(F.count("*").alias("copies")).where(F.col("copies") > max(2 * n / CELLS, SMALL_GROUP))
     large = large.select("group", F.ceil(F.col("copies") * CELLS / max(n, 1)).cast("int").alias("parts"))
     celled = rows.join(F.broadcast(large), "group", "left").withColumn(
         "cell",
