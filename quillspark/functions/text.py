@@ -42,6 +42,11 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, WHITE + "+", " "))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")
+
+
 def estimate_tokens(text: Column) -> Column:
     """A quarter of the normalised length, rounded half to even and at least 1; 0 for null and blank texts."""
     n = F.length(normalised(text))
@@ -70,15 +75,14 @@ def financial_figures(text: Column) -> Column:
 
 def is_noise(text: Column) -> Column:
     """Output without information: no failure signal, and trivially short or of a known shape."""
-    stripped = F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")
-    shaped = F.lit(False)
+    plain, shaped = stripped(text), F.lit(False)
     for pattern in NOISE:
-        shaped = shaped | stripped.rlike(pattern)
-    return first_marker(stripped, FAILURE_SIGNALS).isNull() & ((F.length(stripped) < TRIVIAL_CHARS) | shaped)
+        shaped = shaped | plain.rlike(pattern)
+    return first_marker(plain, FAILURE_SIGNALS).isNull() & ((F.length(plain) < TRIVIAL_CHARS) | shaped)
 
 
 def kind_for_role(role: Column) -> Column:
-    name, out = F.lower(F.trim(role)), F.lit("agent_message")
+    name, out = F.lower(stripped(role)), F.lit("agent_message")
     for key, kind in ROLE_KINDS.items():
         out = F.when(name == key, F.lit(kind)).otherwise(out)
     return out

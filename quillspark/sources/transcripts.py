@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import kind_for_role
+from ..functions.text import kind_for_role, stripped
 
 # Results must agree with them.
 ROLE_LINE = r"(?im)^[ \t]*(user|human|assistant|agent|system|tool|function|output)[ \t]*:[ \t]*"
@@ -41,13 +41,13 @@ def from_messages(raw: DataFrame) -> DataFrame:
     items = parsed.select("context_id", F.posexplode(listed).alias("pos", "m"))
     content = flat_content(F.try_variant_get("m", "$.content", "variant"))
     out = items.select("context_id", F.col("pos").cast("long").alias("pos"), kind_for_role(F.coalesce(_string(F.col("m"), "$.role"), F.lit(""))).alias("kind"), content.alias("content"))
-    return out.where(F.trim("content") != "")
+    return out.where(stripped(F.col("content")) != "")
 
 
 def session_lines(lines: DataFrame) -> DataFrame:
     """``lines(context_id, line_no, value)`` with what each is: ``item`` or the reason why it is skipped."""
     v = F.try_parse_json("value")
-    out = lines.where(F.trim("value") != "").withColumn("v", v).withColumn("type", _string(F.col("v"), "$.type"))
+    out = lines.where(stripped(F.col("value")) != "").withColumn("v", v).withColumn("type", _string(F.col("v"), "$.type"))
     message = F.try_variant_get("v", "$.message", "variant")
     known = F.col("type").isin("user", "assistant")
     reason = (
@@ -61,7 +61,7 @@ def session_lines(lines: DataFrame) -> DataFrame:
 
 def from_session(lines: DataFrame) -> DataFrame:
     """Items of a session's event lines; ``pos`` counts those kept."""
-    kept = session_lines(lines).where((F.col("outcome") == "item") & (F.trim("content") != ""))
+    kept = session_lines(lines).where((F.col("outcome") == "item") & (stripped(F.col("content")) != ""))
     pos = F.row_number().over(Window.partitionBy("context_id").orderBy("line_no")) - 1
     return kept.select("context_id", pos.cast("long").alias("pos"), kind_for_role(F.col("type")).alias("kind"), "content")
 
@@ -74,8 +74,8 @@ def from_text(raw: DataFrame) -> DataFrame:
     """Items of plain texts: split at role markers, or at blank lines where there are none; a preamble is the system's."""
     cut, mark = "\u0001", "\u0002"
     marked = F.regexp_replace("raw", ROLE_LINE, f"{cut}$1{mark}")
-    role_parts = F.transform(F.split(marked, cut), lambda x: F.struct(F.when(x.contains(mark), F.substring_index(x, mark, 1)).alias("role"), F.trim(F.when(x.contains(mark), F.substring_index(x, mark, -1)).otherwise(x)).alias("content")))
-    blank_parts = F.transform(F.split("raw", r"\n\s*\n"), lambda x: F.struct(F.lit("agent").alias("role"), F.trim(x).alias("content")))
+    role_parts = F.transform(F.split(marked, cut), lambda x: F.struct(F.when(x.contains(mark), F.substring_index(x, mark, 1)).alias("role"), stripped(F.when(x.contains(mark), F.substring_index(x, mark, -1)).otherwise(x)).alias("content")))
+    blank_parts = F.transform(F.split("raw", r"\n\s*\n"), lambda x: F.struct(F.lit("agent").alias("role"), stripped(x).alias("content")))
     parts = F.filter(F.when(F.col("raw").rlike(ROLE_LINE), role_parts).otherwise(blank_parts), lambda x: x["content"] != "")
     items = raw.select("context_id", F.posexplode(parts).alias("pos", "p"))
     return items.select("context_id", F.col("pos").cast("long").alias("pos"), kind_for_role(F.coalesce("p.role", F.lit("system"))).alias("kind"), "p.content")
