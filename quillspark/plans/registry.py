@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import claims, codegraph, context, graph, health, memory, ranking, rules, stats
+from ..operators import claims, codegraph, context, graph, health, memory, ranking, rules, stats, surfacing, trials
 from ..sources import adapters as A
-from ..sources import transcripts
+from ..sources import repository, transcripts
 from . import sql as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -556,3 +556,148 @@ def security_findings(spark, sf_dir):
     """Files with SQL texts built at run time and no parameters."""
     rule = rules.parse_rules(rows(spark, [("sql", "PRE: dynamic_sql; POST: parameterised_sql")], "id string, formal_spec string"))
     return rules.violations(rule, codegraph.facts(codegraph.parse(_sources(spark, sf_dir)))).select("unit", "status")
+
+
+# surfacing, trials and repositories
+
+_RECORDS = """records AS (SELECT user_id AS store_id, event_id AS id, CASE event_type WHEN 'click' THEN 'decision' WHEN 'error' THEN 'failure' WHEN 'view' THEN 'discovery' ELSE 'constraint' END AS record_type,
+ CASE WHEN value < 20 THEN 'resolved' ELSE 'active' END AS status, 'statement ' || event_id AS statement, event_id % 2 = 0 AS hard FROM events)"""
+
+
+def _records(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "click", "decision").when(F.col("event_type") == "error", "failure").when(F.col("event_type") == "view", "discovery").otherwise("constraint")
+    status = F.when(F.col("value") < 20, "resolved").otherwise("active")
+    return A.table(spark, sf_dir, "events").select(F.col("user_id").alias("store_id"), F.col("event_id").alias("id"), kind.alias("record_type"), status.alias("status"), F.concat(F.lit("statement "), "event_id").alias("statement"), (F.col("event_id") % 2 == 0).alias("hard"))
+
+
+_OFFERED = f"""offered AS (SELECT store_id AS context_id, row_number() OVER (PARTITION BY store_id ORDER BY o, id) - 1 AS pos, content, id AS record_id, {S.tokens('content')} AS token_count FROM (SELECT *,
+ CASE record_type WHEN 'decision' THEN 0 WHEN 'constraint' THEN 1 WHEN 'discovery' THEN 2 ELSE 3 END AS o, CASE record_type WHEN 'decision' THEN 'decision: ' WHEN 'constraint' THEN CASE WHEN hard THEN 'hard constraint: ' ELSE 'soft constraint: ' END WHEN 'discovery' THEN 'discovery: ' ELSE 'already tried, did not work: ' END || statement AS content
+ FROM records WHERE record_type IN ('constraint', 'discovery') OR (record_type = 'decision' AND status = 'active') OR (record_type = 'failure' AND status <> 'resolved')))"""
+
+
+@query(f"WITH {_RECORDS}, {_OFFERED} SELECT context_id, pos, content, record_id, token_count FROM offered")
+def surfacing_candidates(spark, sf_dir):
+    return surfacing.candidates(_records(spark, sf_dir)).select("context_id", "pos", "content", "record_id", "token_count")
+
+
+@query(f"""WITH RECURSIVE {_RECORDS}, {_OFFERED}, c AS (SELECT *, row_number() OVER (PARTITION BY context_id ORDER BY CASE WHEN record_id % 4 = 0 THEN record_id END DESC NULLS LAST, pos) AS rank FROM offered),
+f AS (SELECT context_id, 0::BIGINT AS rank, 0::BIGINT AS used, NULL::BIGINT AS pos FROM (SELECT DISTINCT context_id FROM c)
+ UNION ALL SELECT c.context_id, c.rank, CASE WHEN f.used + c.token_count <= 60 THEN f.used + c.token_count ELSE f.used END, CASE WHEN f.used + c.token_count <= 60 THEN c.pos END FROM f JOIN c ON c.context_id = f.context_id AND c.rank = f.rank + 1)
+SELECT context_id, pos FROM f WHERE pos IS NOT NULL""")
+def surfacing_select(spark, sf_dir):
+    """Candidates with a rank first (here every fourth record, by its id), then the others, as far as they fit."""
+    offered = surfacing.candidates(_records(spark, sf_dir))
+    scores = offered.where("record_id % 4 = 0").select("context_id", "pos", F.col("record_id").cast("double").alias("score"))
+    return surfacing.select(offered, scores, 60).select("context_id", "pos")
+
+
+@query(f"WITH {S.EVENTS}, {_RECORDS}, {_OFFERED}, b AS (SELECT context_id, pos, content, 0 AS own FROM offered UNION ALL SELECT context_id, pos, content, 1 FROM events_ctx) SELECT context_id, row_number() OVER (PARTITION BY context_id ORDER BY own, pos) - 1 AS pos, content FROM b")
+def adaptive_prepass_merge(spark, sf_dir):
+    return surfacing.prepend(surfacing.candidates(_records(spark, sf_dir)), A.events_context(spark, sf_dir)).select("context_id", "pos", "content")
+
+
+_SECTION = "coalesce(string_agg('- ' || statement, chr(10) ORDER BY id) FILTER (WHERE record_type = '{}'), 'None recorded.') || chr(10)"
+
+
+@query(f"WITH {_RECORDS} SELECT store_id, '# HANDOFF' || chr(10) || chr(10) || " + " || chr(10) || ".join(f"'## {title}' || chr(10) || {_SECTION.format(kind)}" for kind, title in surfacing.SECTIONS) + " AS text FROM records GROUP BY 1")
+def handoff_render(spark, sf_dir):
+    return surfacing.render_handoff(_records(spark, sf_dir))
+
+
+_TRIALS = "trials AS (SELECT event_id AS trial_id, 'c' || (user_id % 3) AS condition, event_id % 5 <> 0 AS reported, value, CASE WHEN event_id % 50 <> 1 THEN 'h' || event_id END AS artifact_hash, CASE WHEN value < 30 THEN event_type END AS failure_mode FROM events)"
+
+
+def _trials(spark, sf_dir):
+    events, id = A.table(spark, sf_dir, "events"), F.col("event_id")
+    metrics = F.when(id % 5 != 0, F.create_map(F.lit("success"), F.lit(1.0), F.lit("value"), F.col("value"))).otherwise(F.create_map(F.lit("success"), F.lit(1.0)))
+    hash = F.when(id % 50 != 1, F.concat(F.lit("h"), id))
+    return events.select(id.alias("trial_id"), F.concat(F.lit("c"), F.col("user_id") % 3).alias("condition"), metrics.alias("metrics"), hash.alias("artifact_hash"), F.when(F.col("value") < 30, F.col("event_type")).alias("failure_mode"))
+
+
+@query(f"WITH {_TRIALS} SELECT failure_mode, count(*) AS n FROM trials WHERE failure_mode IS NOT NULL GROUP BY 1")
+def failure_mode_counts(spark, sf_dir):
+    return trials.failure_modes(_trials(spark, sf_dir))
+
+
+@query(f"""WITH {_TRIALS} SELECT 'few_trials' AS warning, condition AS subject FROM trials GROUP BY 2 HAVING count(*) < 5 UNION ALL SELECT 'no_artifact', trial_id::VARCHAR FROM trials WHERE artifact_hash IS NULL UNION ALL SELECT DISTINCT 'missing_metric', 'value' FROM trials WHERE NOT reported
+ UNION ALL SELECT 'missing_metric', 'absent' FROM (SELECT 1) WHERE EXISTS (SELECT 1 FROM trials) UNION ALL SELECT 'degenerate_floor', 'success' FROM trials WHERE condition = 'c0' HAVING count(*) >= 2""")
+def eval_gates(spark, sf_dir):
+    return trials.gates(_trials(spark, sf_dir), ("success", "value", "absent"), "c0")
+
+
+@query(f"WITH {_TRIALS} SELECT trial_id, 'success' AS metric, CASE WHEN trial_id % 2 = 0 THEN 'match' ELSE 'missing' END AS status FROM trials UNION ALL SELECT trial_id, 'value', CASE WHEN trial_id % 2 = 1 THEN 'missing' WHEN trial_id % 6 = 0 THEN 'differs' ELSE 'match' END FROM trials WHERE reported")
+def evidence_verify(spark, sf_dir):
+    published = _trials(spark, sf_dir).select("trial_id", "metrics")
+    derived = published.where("trial_id % 2 = 0").withColumn("metrics", F.transform_values("metrics", lambda k, v: F.when((k == "value") & (F.col("trial_id") % 6 == 0), v + 1).otherwise(v)))
+    return trials.verify(published, derived)
+
+
+@query("""SELECT event_id AS trial_id, CASE WHEN event_id % 4 = 1 THEN 0.0 ELSE 1.0 END AS success, CASE WHEN event_id % 4 = 0 THEN user_id::DOUBLE END AS user, CASE WHEN event_id % 4 = 0 THEN 'scorer_json' ELSE 'exit_code' END AS source, CASE event_id % 4 WHEN 2 THEN 'not parseable' WHEN 3 THEN 'not numbers' END AS reason FROM events""")
+def scorer_metrics(spark, sf_dir):
+    id, user = F.col("event_id"), F.col("user_id").cast("string")
+    last = F.when(id % 4 == 0, F.concat(F.lit('{"user": '), user, F.lit("}"))).when(id % 4 == 2, F.lit("{broken")).when(id % 4 == 3, F.lit('{"user": "text"}')).otherwise(F.lit("plain words"))
+    parsed = A.table(spark, sf_dir, "events").withColumn("p", trials.parse_metrics(F.concat(F.lit("some output\n"), last, F.lit("\n\n")), F.when(id % 4 == 1, 1).otherwise(0)))
+    return parsed.select(id.alias("trial_id"), F.col("p.metrics")["success"].alias("success"), F.col("p.metrics")["user"].alias("user"), "p.source", "p.reason")
+
+
+_REPO = """files AS (SELECT 'src/p' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '.txt' ELSE '.py' END AS path, p_name AS text, p_partkey AS k FROM part UNION ALL SELECT 'lib/x' || s_suppkey || '/setup.py', 'setup', s_suppkey FROM supplier UNION ALL SELECT 'lib/x' || s_suppkey || '/deep/a.py', s_name, s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)"""
+
+
+def _repository(spark, sf_dir):
+    part, supplier = A.table(spark, sf_dir, "part"), A.table(spark, sf_dir, "supplier")
+    k = F.col("p_partkey")
+    own = part.select(F.concat(F.lit("src/p"), k, F.when(k % 3 == 0, ".txt").otherwise(".py")).alias("path"), F.col("p_name").alias("text"))
+    lib = lambda name: F.concat(F.lit("lib/x"), "s_suppkey", F.lit(name)).alias("path")
+    return own.unionByName(supplier.select(lib("/setup.py"), F.lit("setup").alias("text"))).unionByName(supplier.where("s_suppkey % 2 = 0").select(lib("/deep/a.py"), F.col("s_name").alias("text")))
+
+
+def _known_files(spark, sf_dir):
+    part, k = A.table(spark, sf_dir, "part"), F.col("p_partkey")
+    text = F.when(k % 2 == 0, F.col("p_name")).otherwise(F.lit("an older text"))
+    return part.where("p_partkey % 5 <> 0").select(F.concat(F.lit("src/p"), k, F.lit(".py")).alias("path"), T.raw_hash(text).alias("hash"))
+
+
+@query(f"""WITH {_REPO} SELECT path, CASE WHEN NOT path LIKE '%.py' THEN 'suffix' WHEN path LIKE 'lib/%' THEN 'vendored' WHEN k % 5 = 0 THEN 'new' WHEN k % 2 = 0 THEN 'unchanged' ELSE 'changed' END AS outcome FROM files""")
+def repository_outcomes(spark, sf_dir):
+    return repository.outcomes(_repository(spark, sf_dir), _known_files(spark, sf_dir))
+
+
+@query("SELECT 'src/p' || p_partkey || '.py' AS path FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 3 = 0")
+def repository_vanished(spark, sf_dir):
+    return repository.vanished(_repository(spark, sf_dir), _known_files(spark, sf_dir))
+
+
+@query("SELECT 'lib/x' || s_suppkey AS folder FROM supplier")
+def nested_projects(spark, sf_dir):
+    return repository.nested_projects(_repository(spark, sf_dir))
+
+
+@query(f"WITH {_REPO} SELECT count(*) FILTER (WHERE path LIKE 'src/%.py') AS in_graph, count(*) FILTER (WHERE NOT path LIKE 'src/%.py') AS out_of_scope, 0::BIGINT AS failed, 1.0::DOUBLE AS coverage FROM files")
+def repository_coverage(spark, sf_dir):
+    return repository.coverage(repository_outcomes(spark, sf_dir))
+
+
+@query(f"WITH {_FILES} SELECT path, qualname, kind, target FROM (SELECT path, k, 'Part' || k || '.run' AS qualname, 'calls' AS kind, 'helper' || (k % 3) AS target FROM f) WHERE path NOT IN (SELECT 'src/p' || p_partkey || '.py' FROM part WHERE p_partkey % 4 = 0) AND NOT EXISTS (SELECT 1 FROM f g WHERE target = 'helper' || g.k AND g.k % 4 = 0)")
+def forget_files(spark, sf_dir):
+    """Calls that are left when every fourth file is forgotten: neither from it nor to what it defined."""
+    parsed = codegraph.parse(_sources(spark, sf_dir))
+    edges = codegraph.resolve(parsed).where("kind = 'calls' AND target LIKE 'helper%'")
+    source = F.concat_ws(":", F.lit("method"), "path", "qualname")
+    gone = A.table(spark, sf_dir, "part").where("p_partkey % 4 = 0").select(F.concat(F.lit("src/p"), "p_partkey", F.lit(".py")).alias("path"))
+    linked = edges.select(source.alias("source"), F.coalesce("target_id", F.lit("")).alias("target"), "path", "qualname", "kind", F.col("target").alias("name"))
+    _, left = repository.forget(codegraph.nodes_of(parsed), linked, gone)
+    return left.select("path", "qualname", "kind", F.col("name").alias("target"))
+
+
+@query(f"WITH {S.CONVERSATIONS} SELECT context_id, row_number() OVER (PARTITION BY context_id ORDER BY pos) - 1 AS pos, content FROM conv_ctx WHERE context_id % 3 <> 2 UNION ALL SELECT context_id, pos, content FROM conv_ctx WHERE context_id % 3 = 2")
+def load_any_format(spark, sf_dir):
+    """Each conversation in one of three formats, told apart by its text: JSON messages, event lines, plain text."""
+    talk = A.table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", F.when(F.col("conv_id") % 3 == 1, F.when(F.col("role") == "user", "user").otherwise("assistant")).otherwise(F.col("role")).alias("role"), F.col("text").alias("content")).alias("m"))
+    whole = talk.groupBy(F.col("conv_id").alias("context_id")).agg(F.array_sort(F.collect_list("m")).alias("m"))
+    messages = F.to_json(F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))))
+    lines = F.array_join(F.transform("m", lambda x: F.to_json(F.struct(x["role"].alias("type"), F.struct(x["content"].alias("content")).alias("message")))), "\n")
+    # a session has two lines at least; the blank-like last one is skipped
+    lines = F.concat(lines, F.lit('\n{"type": "end"}'))
+    plain = F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit(": "), x["content"])), "\n")
+    raw = F.when(F.col("context_id") % 3 == 0, messages).when(F.col("context_id") % 3 == 1, lines).otherwise(plain)
+    return transcripts.load(whole.select("context_id", raw.alias("raw"))).select("context_id", "pos", "content")

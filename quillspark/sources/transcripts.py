@@ -79,3 +79,25 @@ def from_text(raw: DataFrame) -> DataFrame:
     parts = F.filter(F.when(F.col("raw").rlike(ROLE_LINE), role_parts).otherwise(blank_parts), lambda x: x["content"] != "")
     items = raw.select("context_id", F.posexplode(parts).alias("pos", "p"))
     return items.select("context_id", F.col("pos").cast("long").alias("pos"), kind_for_role(F.coalesce("p.role", F.lit("system"))).alias("kind"), "p.content")
+
+
+def is_session(raw: Column) -> Column:
+    """Whether there are two lines or more, and the first five that aren't blank are all JSON objects with a type."""
+    lines = F.slice(F.filter(F.split(raw, "\n"), lambda x: stripped(x) != ""), 1, 5)
+    typed = F.forall(lines, lambda x: F.coalesce(F.try_variant_get(F.try_parse_json(x), "$.type", "string").isNotNull(), F.lit(False)))
+    return (F.size(lines) > 1) & typed
+
+
+def load(raw: DataFrame) -> DataFrame:
+    """Items of texts ``(context_id, raw)`` of any format: JSON messages, session lines or plain text.
+
+    A JSON object without messages is plain text, also if it is a session of one line.
+    """
+    v, first = F.try_parse_json("raw"), F.substring(stripped(F.col("raw")), 1, 1)
+    listed = _is(v, "ARRAY") | (_is(v, "OBJECT") & _is(F.try_variant_get(v, "$.messages", "variant"), "ARRAY"))
+    # the parser reads the first value of a text only, so lines are told apart before lists
+    format_ = F.when((first == "{") & is_session(F.col("raw")), "session").when(first.isin("[", "{") & F.coalesce(listed, F.lit(False)), "messages").otherwise("text")
+    routed = raw.withColumn("format", format_)
+    of = lambda name: routed.where(F.col("format") == name).select("context_id", "raw")
+    lines = of("session").select("context_id", F.posexplode(F.split("raw", "\n")).alias("line_no", "value"))
+    return from_messages(of("messages")).unionByName(from_session(lines)).unionByName(from_text(of("text")))

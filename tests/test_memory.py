@@ -76,3 +76,34 @@ def test_plain_texts(spark):
     df = spark.createDataFrame([(1, "intro\nUser: hi\nthere\nAssistant:  yes\nTool:\n"), (2, "one\n\n \n\ntwo")], "context_id int, raw string")
     assert items(transcripts.from_text(df).where("context_id = 1")) == [(0, "system", "intro"), (1, "user_message", "hi\nthere"), (2, "agent_message", "yes")]
     assert items(transcripts.from_text(df).where("context_id = 2")) == [(0, "agent_message", "one"), (1, "agent_message", "two")]
+
+
+def test_streamed_lines_are_parsed_as_in_batch(spark, tmp_path):
+    from quillspark.streaming import event_log
+
+    source = tmp_path / "in"
+    source.mkdir()
+    spark.createDataFrame([("a", 0, '{"type": "user", "message": {"content": "hi"}}'), ("a", 1, "broken")], event_log.SCHEMA).coalesce(1).write.mode("append").json(str(source))
+    paths = [str(tmp_path / x) for x in ("items", "skipped", "checkpoint")]
+    for _ in range(2):  # the second run finds nothing new
+        event_log.ingest(event_log.read_lines(spark, str(source)), *paths).awaitTermination()
+    assert [(r.context_id, r.content) for r in spark.read.parquet(paths[0]).collect()] == [("a", "hi")]
+    assert [(r.line_no, r.outcome) for r in spark.read.parquet(paths[1]).collect()] == [(1, "unparseable")]
+
+
+def test_repository_walk(spark, tmp_path):
+    from quillspark.sources import repository
+
+    for path, text in {"a.py": "x = 1", "lib/setup.py": "", "lib/in/b.py": "y", "venv/c.py": "z", "notes.md": "n"}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    files = repository.own_files(repository.read_files(spark, str(tmp_path)))
+    known = spark.createDataFrame([("a.py", "0"), ("old.py", "1")], "path string, hash string")
+    assert {r.path: r.outcome for r in repository.outcomes(files, known).collect()} == {"a.py": "changed", "lib/setup.py": "vendored", "lib/in/b.py": "vendored", "notes.md": "suffix"}
+    assert [r.path for r in repository.vanished(files, known).collect()] == ["old.py"]
+
+
+def test_loading_tells_formats_apart(spark):
+    rows = [(1, '[{"role": "user", "content": "a"}]'), (2, '{"type": "user", "message": {"content": "b"}}\n{"type": "assistant", "message": {"content": "c"}}'), (3, '{"type": "user"}'), (4, "User: d\nAssistant: e"), (5, "")]
+    found = transcripts.load(spark.createDataFrame(rows, "context_id int, raw string")).orderBy("context_id", "pos").collect()
+    assert [(r.context_id, r.content) for r in found] == [(1, "a"), (2, "b"), (2, "c"), (3, '{"type": "user"}'), (4, "d"), (4, "e")]
