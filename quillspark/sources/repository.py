@@ -17,7 +17,7 @@ LARGEST_FILE = 1_000_000
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """``path, text`` of all files below a folder; paths are relative to it."""
+    """``path, text`` of all files below a folder that have bytes; paths are relative to it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     prefix = root.rstrip("/") + "/"
     return files.select(F.substring_index("path", prefix, -1).alias("path"), F.col("content").cast("string").alias("text"))

@@ -94,7 +94,7 @@ def test_streamed_lines_are_parsed_as_in_batch(spark, tmp_path):
 def test_repository_walk(spark, tmp_path):
     from quillspark.sources import repository
 
-    for path, text in {"a.py": "x = 1", "lib/setup.py": "", "lib/in/b.py": "y", "venv/c.py": "z", "notes.md": "n"}.items():
+    for path, text in {"a.py": "x = 1", "lib/setup.py": "s", "lib/in/b.py": "y", "venv/c.py": "z", "notes.md": "n"}.items():
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_text(text)
     files = repository.own_files(repository.read_files(spark, str(tmp_path)))
