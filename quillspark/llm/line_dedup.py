@@ -49,19 +49,20 @@ def dedup_lines(docs: DataFrame, min_sites: int = 5, min_chars: int = 20, larges
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     # the row's own columns stay inside a struct, so none can clash with those made here
-    rows = docs.select(F.struct(*columns).alias("row"), F.col(text).alias("text"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.xxhash64(F.col(doc_id), F.col(text)).alias("key"))
+    rows = docs.select(F.struct(*columns).alias("row"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.xxhash64(F.col(doc_id), F.col(text)).alias("key"))
+    content = F.col("row")[text]
     hashed = lambda line: F.xxhash64(F.trim(line))
-    eligible = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.length(F.trim(x)) >= min_chars), hashed))
+    eligible = F.array_distinct(F.transform(F.filter(_lines(content), lambda x: F.length(F.trim(x)) >= min_chars), hashed))
     lines = saved(rows.select("key", "site", F.explode(eligible).alias("line")).withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")), "lines")
     removed = spread_lines(lines, min_sites)
     of_doc = lines.join(_salted(removed), ["line", "salt"], "left_semi").groupBy("key").agg(F.collect_set("line").alias("removed"))
-    found = F.filter(_lines(F.col("text")), lambda x: F.array_contains("removed", hashed(x)))
-    kept = F.filter(_lines(F.col("text")), lambda x: ~F.array_contains("removed", hashed(x)))
+    found = F.filter(_lines(content), lambda x: F.array_contains("removed", hashed(x)))
+    kept = F.filter(_lines(content), lambda x: ~F.array_contains("removed", hashed(x)))
     chars = F.aggregate(F.col("found"), F.lit(0), lambda a, x: a + F.length(x))
-    out = rows.join(of_doc, "key", "left").withColumn("found", F.when(F.col("removed").isNotNull(), found))
-    out = out.withColumn("cut", F.coalesce(chars <= largest_share * F.length("text"), F.lit(False)))
+    out = rows.select("key", "row").join(of_doc, "key", "left").withColumn("found", F.when(F.col("removed").isNotNull(), found))
+    out = out.withColumn("cut", F.coalesce(chars <= largest_share * F.length(content), F.lit(False)))
     return out.select(
-        *[F.when(F.col("cut"), F.array_join(kept, "\n")).otherwise(F.col("text")).alias(c) if c == text else F.col("row")[c].alias(c) for c in columns],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text")))).cast("long").alias("n_lines"),
+        *[F.when(F.col("cut"), F.array_join(kept, "\n")).otherwise(content).alias(c) if c == text else F.col("row")[c].alias(c) for c in columns],
+        F.when(content.isNull(), 0).otherwise(F.size(_lines(content))).cast("long").alias("n_lines"),
         F.when(F.col("cut"), F.size("found")).otherwise(0).cast("long").alias("n_removed"),
     )
