@@ -28,10 +28,10 @@ from .words import U64, distinct_by_row, hashed_words, mix, shingles, text_chunk
 CHUNKS, CHUNK, ERRORS, BITS = 14, 7, 1, 16
 SYMBOLS = CHUNKS * CHUNK
 #: Nodes that share a key are compared by longer signatures of small symbols before their full sets are. Two at the limit
-#: of 0.8 differ in 307 of these symbols on average, with a standard deviation of 16.2; in more than 375 once in 70000.
-LONG_SYMBOLS, LONG_BITS, MOST_DIFFERENT = 2048, 2, 375
+#: of 0.8 differ in 307 of these symbols on average, with a standard deviation of 16.2; in more than 371 once in 26000.
+LONG_SYMBOLS, LONG_BITS, MOST_DIFFERENT = 2048, 2, 371
 LONG_BYTES = LONG_SYMBOLS * LONG_BITS // 8
-STAR_ROUNDS = 3
+STAR_ROUNDS = 4
 #: Buckets that a sample of the nodes shows to be larger than this, or than a share of all nodes, are dealt over salts.
 HOT_BUCKET, HOT_SHARE, SAMPLE, SALTS = 100_000, 1e-4, 64, 64
 _FACTORS = np.random.Generator(np.random.PCG64(77)).integers(0, 2**64, SYMBOLS, dtype=U64) | U64(1)
@@ -123,13 +123,6 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, LONG_BYTES)
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``(a, b, long, long)`` to the pairs that don't differ in too many symbols."""
-    for batch in batches:
-        keep = pa.array(differences(_matrix(batch.column(2)), _matrix(batch.column(3))) <= MOST_DIFFERENT)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
-
-
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ``(cell, key, node, label, long, signature)`` in the order of cells to the near pairs of nodes with two labels.
 
@@ -251,10 +244,9 @@ def link_classes(docs: DataFrame, size: int, percent: int, text: str, doc_id: st
     wanted = nodes.select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
     texts = rows.join(wanted, (rows.doc_id.eqNullSafe(wanted.doc_id)) & (rows.text_hash == wanted.text_hash)).select("node", "text")
     sets = saved(texts.mapInArrow(_sets(size), "node long, members binary, long binary").dropDuplicates(["node"]), "sets")
-    long = sets.select("node", "long")
 
-    def confirmed(near: DataFrame) -> DataFrame:
-        full = near.join(sets.select("node", "members").toDF("a", "ma"), "a").join(sets.select("node", "members").toDF("b", "mb"), "b")
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        full = pairs.join(sets.select("node", "members").toDF("a", "ma"), "a").join(sets.select("node", "members").toDF("b", "mb"), "b")
         return saved(full.select("a", "b", "ma", "mb").mapInArrow(_similar(percent), "a long, b long"), "links")
 
     labels = nodes.select("node", F.col("node").alias("label"))
@@ -262,10 +254,9 @@ def link_classes(docs: DataFrame, size: int, percent: int, text: str, doc_id: st
         labelled = keys.join(labels, "node").select("node", "label", F.explode("keys").alias("k")).select("node", "label", "k.key", "k.salt")
         if turn < STAR_ROUNDS:
             pairs = leads(labelled, turn)
-            near = pairs.join(long.toDF("a", "la"), "a").join(long.toDF("b", "lb"), "b").select("a", "b", "la", "lb").mapInArrow(_near, "a long, b long")
         else:
-            near = saved(_pairs_across(labelled, long.join(nodes.select("node", "signature"), "node")), "across")
-        links = confirmed(near)
+            pairs = saved(_pairs_across(labelled, sets.select("node", "long").join(nodes.select("node", "signature"), "node")), "across")
+        links = confirmed(pairs)
         if not links.isEmpty():
             label_of = labels.toDF("node", "from")
             between = links.join(label_of.toDF("a", "la"), "a").join(label_of.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
