@@ -23,8 +23,6 @@ RULES: dict[str, tuple[str, int]] = {
     "hex": (r"[0-9a-f]{24,}", 24),
     "github": (r"gh[pousr]_[A-Za-z0-9]+", 40),
     "slack": (r"xox[abprs]-[A-Za-z0-9-]+", 15),
-    "google": (r"AIza[A-Za-z0-9_-]+", 39),
-    "jwt": (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40),
     "private_key": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0),
 }
 BASE = ("assign", "access", "hex")
