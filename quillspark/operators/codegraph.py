@@ -54,10 +54,29 @@ def _dynamic(node: ast.AST) -> bool:
     return isinstance(node, ast.BinOp) and isinstance(node.op, ast.Mod | ast.Add) or isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and node.func.attr == "format"
 
 
+def _containers(test: ast.AST) -> set[str]:
+    """Names of the containers that a condition looks into, by ``in`` or ``.get``."""
+    found = {_dotted(c) for x in ast.walk(test) if isinstance(x, ast.Compare) for op, c in zip(x.ops, x.comparators) if isinstance(op, ast.In | ast.NotIn)}
+    found |= {_dotted(x.func.value) for x in ast.walk(test) if isinstance(x, ast.Call) and isinstance(x.func, ast.Attribute) and x.func.attr == "get"}
+    return found - {""}
+
+
+def _check_then_set(node: ast.AST, locked: bool, found: set[str]) -> None:
+    """Adds what happens where a container is looked into and then set below: with or without a lock around it."""
+    for child in ast.iter_child_nodes(node):
+        held = locked or isinstance(child, ast.With | ast.AsyncWith) and any("lock" in ast.dump(x.context_expr).lower() for x in child.items)
+        if isinstance(child, ast.If) and (looked := _containers(child.test)):
+            targets = {_dotted(t.value) for x in ast.walk(child) if isinstance(x, ast.Assign) for t in x.targets if isinstance(t, ast.Subscript)}
+            if looked & targets:
+                found.add("guarded_check_then_set" if held else "check_then_set")
+        _check_then_set(child, held, found)
+
+
 def _facts(path: str, tree: ast.AST, out: list[dict]) -> None:
-    """Rows (``fact``) about SQL texts and shell commands inside functions."""
+    """Rows (``fact``) about SQL texts, shell commands and unguarded updates inside functions."""
     found = set()
     for function in (x for x in ast.walk(tree) if isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef)):
+        _check_then_set(function, False, found)
         built = {t.id for x in ast.walk(function) if isinstance(x, ast.Assign) and _dynamic(x.value) for t in x.targets if isinstance(t, ast.Name)}
         for call in (x for x in ast.walk(function) if isinstance(x, ast.Call)):
             name, first = _dotted(call.func).rpartition(".")[2], call.args[0] if call.args else None

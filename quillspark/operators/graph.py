@@ -89,6 +89,27 @@ def define(nodes: DataFrame, names: DataFrame, strict: bool = False) -> DataFram
     return exact.unionByName(loose)
 
 
+def exists(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """``wanted, found``: whether a node has exactly that name or one that ends with it."""
+    hits = define(nodes, names).join(nodes.select("id", "name"), "id").where(F.lower("name").endswith(F.lower("wanted"))).select("wanted").distinct()
+    return names.join(hits.withColumn("found", F.lit(True)), "wanted", "left").select("wanted", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+def impact(nodes: DataFrame, edges: DataFrame, names: DataFrame) -> DataFrame:
+    """``wanted, id, how``: callers and tests of the first definition of each wanted name."""
+    first = define(nodes, names).groupBy("wanted").agg(F.min_by("id", F.struct("tier", "id")).alias("target"))
+    touching = edges.where("kind IN ('calls', 'tests')").select("target", F.col("source").alias("id"), F.col("kind").alias("how")).distinct()
+    return first.join(touching, "target").select("wanted", "id", "how")
+
+
+def describe_links(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """``seed, id, reason`` for pairs of nodes: the verb of an edge between them, or that the one leads to the other."""
+    out = edges.select(F.col("source").alias("seed"), F.col("target").alias("id"), F.concat("kind", F.lit(" ->")).alias("verb"))
+    back = edges.select(F.col("target").alias("seed"), F.col("source").alias("id"), F.concat("kind", F.lit(" <-")).alias("verb"))
+    direct = out.unionByName(back).groupBy("seed", "id").agg(F.min("verb").alias("verb"))
+    return pairs.join(direct, ["seed", "id"], "left").select("seed", "id", F.coalesce("verb", F.lit("reachable from")).alias("reason"))
+
+
 def link_tests(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """TESTS edges: from a test to what it calls, unless that is a test, too."""
     kind = lambda key, name: nodes.select(F.col("id").alias(key), F.col("kind").alias(name))

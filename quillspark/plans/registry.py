@@ -701,3 +701,27 @@ def load_any_format(spark, sf_dir):
     plain = F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit(": "), x["content"])), "\n")
     raw = F.when(F.col("context_id") % 3 == 0, messages).when(F.col("context_id") % 3 == 1, lines).otherwise(plain)
     return transcripts.load(whole.select("context_id", raw.alias("raw"))).select("context_id", "pos", "content")
+
+
+@query(f"""WITH {S.STAR}, wanted AS (SELECT min(name) AS wanted FROM nodes WHERE kind = 'part' UNION ALL SELECT max(name) FROM nodes WHERE kind = 'part'), first AS (SELECT wanted, min(id) AS target FROM wanted JOIN nodes ON name = wanted GROUP BY 1)
+SELECT DISTINCT wanted, source AS id, e.kind AS how FROM first JOIN edges e USING (target) WHERE e.kind IN ('calls', 'tests')""")
+def graph_impact(spark, sf_dir):
+    """Who calls and who tests the first and the last part by name."""
+    nodes, edges = A.star_graph(spark, sf_dir)
+    parts = nodes.where("kind = 'part'").agg(F.min("name").alias("a"), F.max("name").alias("b"))
+    return graph.impact(nodes, edges, parts.select(F.explode(F.array("a", "b")).alias("wanted")))
+
+
+@query(f"""WITH {S.STAR}, wanted AS (SELECT * FROM (VALUES ('FRANCE'), ('000001'), ('nowhere')) v(wanted)) SELECT wanted, EXISTS (SELECT 1 FROM nodes WHERE lower(name) = lower(wanted) OR ends_with(lower(name), lower(wanted))) AS found FROM wanted""")
+def graph_exists(spark, sf_dir):
+    names = rows(spark, [("FRANCE",), ("000001",), ("nowhere",)], "wanted string")
+    return graph.exists(A.star_graph(spark, sf_dir)[0], names)
+
+
+@query(f"""WITH {S.STAR}, p AS (SELECT 'nation:' || n_nationkey AS seed, 'region:' || r_regionkey AS id FROM nation, region)
+SELECT seed, id, CASE WHEN EXISTS (SELECT 1 FROM edges WHERE source = id AND target = seed AND kind = 'contains') THEN 'contains <-' ELSE 'reachable from' END AS reason FROM p""")
+def graph_describe_links(spark, sf_dir):
+    nodes, edges = A.star_graph(spark, sf_dir)
+    of = lambda kind, name: nodes.where(F.col("kind") == kind).select(F.col("id").alias(name))
+    # 25 nations and 5 regions
+    return graph.describe_links(of("nation", "seed").join(F.broadcast(of("region", "id"))), edges.where("kind = 'contains'"))

@@ -109,3 +109,11 @@ def test_rules(spark):
 def test_risk(spark):
     units = spark.createDataFrame([("a", "auth", 0, 0, 0), ("b", None, 3, 1, 0), ("c", None, 2, 1, 0), ("d", None, 0, 0, 2)], "unit string, path_marker string, callers int, fan_in int, untested int")
     assert {r.unit: r.tier for r in rules.risk_tier(units).collect()} == {"a": "high", "b": "medium", "c": "low", "d": "medium"}
+
+
+def test_updates_with_and_without_a_lock(spark):
+    bare = "def f(c, k):\n    if k not in c:\n        c[k] = 1\n"
+    locked = "def f(self, c, k):\n    with self._lock:\n        if c.get(k) is None:\n            c[k] = 1\n"
+    other = "def f(c, d, k):\n    if k in c:\n        d[k] = 1\n"
+    parsed = codegraph.parse(spark.createDataFrame([("a.py", bare), ("b.py", locked), ("c.py", other)], "path string, text string"))
+    assert {r.unit: r.facts for r in codegraph.facts(parsed).collect()} == {"a.py": ["check_then_set"], "b.py": ["guarded_check_then_set"]}
