@@ -67,3 +67,21 @@ def fuse(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
     method = F.when(F.col("lr").isNull(), "semantic").when(F.col("sr").isNull(), "lexical").otherwise("hybrid")
     fused = both.select("doc_id", (part("lr") + part("sr")).alias("fused"), method.alias("method"))
     return numbered(fused, score="fused")
+
+
+def score_items(items: DataFrame, task: str) -> DataFrame:
+    """``context_id, pos, score`` of the items of each context by BM25 for a task; each context is a corpus of its own.
+
+    Items without a term of the task have no row. An empty task scores nothing.
+    """
+    asked = items.sparkSession.createDataFrame([(task,)], "task string").select(F.explode(terms(F.col("task"))).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
+    counted = items.select("context_id", "pos", terms(F.col("content")).alias("t"))
+    totals = counted.groupBy("context_id").agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean_length"))
+    words = counted.select("context_id", "pos", F.size("t").alias("length"), F.explode("t").alias("term"))
+    # the terms of one task: a stated, short list
+    tf = words.join(F.broadcast(asked), "term").groupBy("context_id", "pos", "length", "term", "times").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("context_id", "term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
+    scored = tf.join(df, ["context_id", "term"]).join(totals, "context_id").groupBy("context_id", "pos").agg(F.sum(F.col("times") * idf * saturated).alias("score"))
+    return scored.where("score > 0")

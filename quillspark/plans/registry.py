@@ -15,7 +15,7 @@ from . import sql as S
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "context_pipeline_ledger"
-BUDGET = 400
+BUDGET = 110
 TASK = "the of and that inner nation"
 _found: dict[str, tuple[Query, str | None]] = {}
 
@@ -725,3 +725,25 @@ def graph_describe_links(spark, sf_dir):
     of = lambda kind, name: nodes.where(F.col("kind") == kind).select(F.col("id").alias(name))
     # 25 nations and 5 regions
     return graph.describe_links(of("nation", "seed").join(F.broadcast(of("region", "id"))), edges.where("kind = 'contains'"))
+
+
+_ITEM_SCORES = f"""it AS (SELECT context_id, pos, {S.terms('content')} AS t FROM deduped), ask AS (SELECT unnest(['view', 'k', 'exit', 'view']) AS term), asks AS (SELECT term, count(*) AS times FROM ask GROUP BY 1),
+tot AS (SELECT context_id, count(*) AS n_items, avg(len(t)) AS mean_length FROM it GROUP BY 1), itf AS (SELECT context_id, pos, len, term, times, count(*) AS tf FROM (SELECT context_id, pos, len(t) AS len, unnest(t) AS term FROM it) JOIN asks USING (term) GROUP BY ALL),
+idf AS (SELECT context_id, term, count(*) AS df FROM itf GROUP BY 1, 2), item_scores AS (SELECT context_id, pos, sum(times * ln(1 + (n_items - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean_length))) AS score FROM itf JOIN idf USING (context_id, term) JOIN tot USING (context_id) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {S.EVENTS}, {S.measured('events_ctx')}, {S.DEDUPED}, {_ITEM_SCORES} SELECT context_id, pos, round(score, 6) AS score FROM item_scores WHERE score > 0")
+def rank_items_in_context(spark, sf_dir):
+    items = context.dedup(context.measure(A.events_context(spark, sf_dir)))
+    return ranking.score_items(items, "view k exit view").select("context_id", "pos", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {S.EVENTS}, {S.measured('events_ctx')}, {S.DEDUPED}, {S.classified('deduped')}, {_ITEM_SCORES},
+short AS (SELECT c.*, coalesce(round(s.score, 6), 0) AS rank_score FROM classified c LEFT JOIN item_scores s USING (context_id, pos) WHERE NOT (kind = 'tool_output' AND relevance = 'irrelevant')),
+sm AS (SELECT *, sum(token_count) OVER (PARTITION BY context_id) AS whole, coalesce(sum(token_count) OVER (PARTITION BY context_id ORDER BY CASE relevance WHEN 'irrelevant' THEN 0 WHEN 'obsolete' THEN 1 WHEN 'redundant' THEN 2 WHEN 'relevant' THEN 3 ELSE 4 END, rank_score, original_index DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM short)
+SELECT context_id, pos FROM sm WHERE relevance = 'critical' OR whole - gone <= {BUDGET // 2}""")
+def context_pipeline_ranked(spark, sf_dir):
+    """What is left under a tight budget when items are ranked for a task."""
+    items = A.events_context(spark, sf_dir)
+    scores = ranking.score_items(context.dedup(context.measure(items)), "view k exit view").withColumn("score", F.round("score", 6))
+    return context.run(items, scores, BUDGET // 2).select("context_id", "pos")

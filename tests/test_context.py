@@ -110,3 +110,16 @@ def test_tail_truncation_keeps_the_newest(spark):
 def test_breakdown_has_all_buckets(spark):
     items = context.classify(context.measure(spark.createDataFrame([(1, 0, "user_message", "plain words")], SCHEMA)))
     assert context.breakdown(items).collect()[0].asDict() == {"context_id": 1, "critical": 0, "relevant": 3, "redundant": 0, "obsolete": 0, "irrelevant": 0}
+
+
+def test_ranked_items_survive_and_the_ledger_has_a_rank_stage(spark):
+    from quillspark.operators import ranking
+
+    rows = [(1, i, "agent_message", f"plain item number{i}" + (" about parsers" if i == 2 else "")) for i in range(8)]
+    items = spark.createDataFrame(rows, SCHEMA)
+    scores = ranking.score_items(items, "parsers")
+    assert [(r.context_id, r.pos) for r in scores.collect()] == [(1, 2)]
+    assert 2 in {r.pos for r in context.run(items, scores, 8).collect()} and 2 not in {r.pos for r in context.run(items, None, 8).collect()}
+    stages = [r.stage for r in context.ledger(items, scores, 8).orderBy("stage_no").collect()]
+    assert stages == ["dedup", "classify", "rank", "filter_tool_output", "compress", "budget", "place"]
+    assert ranking.score_items(items, "").collect() == []
