@@ -59,4 +59,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND 10 * n_symbols <= 3 * n_words AND word_chars <= 20 * n_words AND 10 * shouts <= 3 * n_words AS kept FROM based
 """
 
-ORACLES = {"op10_quality": OP10, "op2_decontamination": OP2, "op6_near_dedup": OP6, "op7_line_dedup": OP7}
+_SECRETS = (  # kind, expression, what keeps a match
+    ("assign", r"""(?i:password|passwd|secret|token|api_?key)["\']?\x20*[:=]\x20*["\']?[A-Za-z0-9+/_.=-]+""", r"""length(regexp_extract(m, '^[A-Za-z_]+["'']?\x20*[:=]\x20*["'']?(.*)$', 1)) >= 6"""),
+    ("access", "AKIA[A-Z0-9]+", "length(m) >= 20"),
+    ("hex", "[0-9a-f]{24,}", "true"),
+    ("github", "gh[pousr]_[A-Za-z0-9]+", "length(m) >= 40"),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]+", "length(m) >= 15"),
+    ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "true"),
+)
+
+
+def _secret_spans(k: int, kind: str, expression: str, kept: str) -> str:
+    """Spans of one kind: pieces between matches and the matches themselves tell where each match begins."""
+    e = expression.replace("'", "''").replace("\\''", "''")
+    return f"""SELECT r, {k} AS k, '{kind}' AS kind, b, b + length(m) AS e FROM (SELECT r, ms[j] AS m, list_sum(list_transform(ps[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:j - 1], lambda x: length(x))), 0) AS b
+ FROM (SELECT r, string_split_regex(t, '{e}') AS ps, regexp_extract_all(t, '{e}') AS ms, unnest(range(1, len(regexp_extract_all(t, '{e}')) + 1)) AS j FROM docs)) WHERE {kept}"""
+
+
+OP9 = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+spans AS ({" UNION ALL ".join(_secret_spans(k, *rule) for k, rule in enumerate(_SECRETS))}),
+joined AS (SELECT r, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+  string_agg(kind || ':' || b::BIGINT || ':' || e::BIGINT, ',' ORDER BY b, k) FILTER (WHERE k < 3) AS base, string_agg(kind || ':' || b::BIGINT || ':' || e::BIGINT, ',' ORDER BY b, k) AS spans FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN joined USING (r)
+"""
+
+ORACLES = {"op9_secrets": OP9, "op10_quality": OP10, "op2_decontamination": OP2, "op6_near_dedup": OP6, "op7_line_dedup": OP7}
