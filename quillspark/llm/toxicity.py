@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .words import LOWER, U64, Chunk, find_words, mix, span_hashes, text_chunks
 
 BUCKETS = 1 << 22
+#: Features take many times the bytes of their text, so chunks are small.
+CHUNK = 1 << 19
 GRAMS = (4, 5)
 
 
@@ -63,7 +65,7 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many positive and unlabelled rows of the sample each bucket occurs; rows are ``(positive, text)``."""
     for batch in batches:
         positive = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
-        for chunk in text_chunks(batch.column(1)):
+        for chunk in text_chunks(batch.column(1), CHUNK):
             rows, buckets = features(chunk)
             key = np.unique(buckets * (chunk.last - chunk.first) + rows)
             bucket, mine = key // (chunk.last - chunk.first), positive[chunk.first : chunk.last][key % (chunk.last - chunk.first)]
@@ -79,7 +81,7 @@ def _matrix(slot: np.ndarray, width: int):
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in text_chunks(batch.column(1)):
+            for chunk in text_chunks(batch.column(1), CHUNK):
                 row, place, n = counted(chunk, slot, width)
                 cuts = pa.array(np.searchsorted(row, np.arange(chunk.last - chunk.first + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(cuts, pa.array(x.astype(np.int32))) for x in (place, n)]
@@ -168,12 +170,12 @@ def train(docs: DataFrame, labels: DataFrame, learnable, positives: int = 4000,
     return Model(slot, np.array([w for w, _ in fitted]), np.array([b for _, b in fitted]))
 
 
-def _score(model: Model | None):
+def _score(model: Model | None, text: str):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros(batch.num_rows)
             if model is not None:
-                for chunk in text_chunks(batch.column("_text")):
+                for chunk in text_chunks(batch.column(text), CHUNK):
                     row, place, n = counted(chunk, model.slot, model.weights.shape[1])
                     z = np.array([b + np.bincount(row, w[place] * np.log1p(n), minlength=chunk.last - chunk.first) for w, b in zip(model.weights, model.bias)]).mean(axis=0)
                     out[chunk.first : chunk.last] = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
@@ -191,9 +193,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learnable, text: str = "t
     rows get equal scores; see :func:`train` for the bounds.
     """
     model = train(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), labels, learnable, **bounds)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.col(text).alias("_text"))
+    source = text if text in keep else "_text"  # a kept text is sent to the tasks once
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *keep, *([] if text in keep else [F.col(text).alias("_text")]))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text")
-    return rows.mapInArrow(_score(model), f"{kinds}, score double")
+    return rows.mapInArrow(_score(model, source), f"{kinds}, score double")
 
 
 def remainder(doc_id, divisor: int):
