@@ -84,4 +84,22 @@ joined AS (SELECT r, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN joined USING (r)
 """
 
-ORACLES = {"op9_secrets": OP9, "op10_quality": OP10, "op2_decontamination": OP2, "op6_near_dedup": OP6, "op7_line_dedup": OP7}
+#: CRC-32 takes half a byte at a time, the lower half first, with the 16 remainders of its polynomial.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(len(h)), lambda i: ('0x' || h[i + 2 - 2 * (i % 2)])::BIGINT)),
+ lambda c, x: xor(c >> 4, rest[(xor(c, x) & 15) + 1])), 4294967295::BIGINT)"""
+OP1 = f"""
+WITH poly AS (SELECT list(list_reduce(list_prepend(n::BIGINT, [0, 0, 0, 0]::BIGINT[]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS rest FROM range(16) r(n)),
+docs AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS g, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS tie,
+  list_filter(string_split(hex(encode(coalesce(text, ''))), ''), lambda x: x <> '') AS h FROM documents),
+coded AS (SELECT doc_id, size, g, tie, {_CRC} AS text_crc32 FROM docs, poly),
+whole AS (SELECT count(*) AS n, sum(size)::BIGINT AS total FROM coded),
+grouped AS (SELECT *, count(*) OVER (PARTITION BY g) AS copies FROM coded, whole),
+celled AS (SELECT *, g >> 48 AS bucket, CASE WHEN copies > greatest(2 * n / 4096.0, 64) THEN g END AS large, CASE WHEN copies > greatest(2 * n / 4096.0, 64) THEN tie % ceil(copies * 4096 / n)::BIGINT END AS part FROM grouped),
+placed AS (SELECT *, sum(size) OVER w - size AS begins, row_number() OVER w - 1 AS pos FROM celled WINDOW w AS (ORDER BY bucket, large NULLS FIRST, part NULLS FIRST, g, tie, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+runs AS (SELECT *, sum(size) OVER (PARTITION BY bucket, large, part, g) AS run, min(begins) OVER (PARTITION BY bucket, large, part, g) AS run_begins FROM placed),
+middles AS (SELECT *, CASE WHEN run <= 0.01 * total / 40 THEN 2 * run_begins + run ELSE 2 * begins + size END AS middle FROM runs),
+sharded AS (SELECT *, least(39, (middle * 40) // (2 * total))::INT AS shard FROM middles)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard, (pos - min(pos) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INT AS grown_shard FROM sharded
+"""
+
+ORACLES = {"op1_sharding": OP1, "op9_secrets": OP9, "op10_quality": OP10, "op2_decontamination": OP2, "op6_near_dedup": OP6, "op7_line_dedup": OP7}

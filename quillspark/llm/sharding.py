@@ -26,6 +26,11 @@ def text_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + ROW_BYTES
 
 
+def _hash60(text: Column) -> Column:
+    """The first 60 bits of a text's MD5, which SQL engines agree on."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def shard_by_bytes(docs: DataFrame, shards: int = 40, text: str = "text", doc_id: str = "doc_id", group_share: float = 0.01) -> DataFrame:
     """Each row of ``docs`` with its shard: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``.
 
@@ -40,8 +45,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, text: str = "text", doc_id
             F.col(doc_id).alias("doc_id"),
             text_bytes(F.col(text)).alias("size"),
             F.crc32(content.cast("binary")).alias("text_crc32"),
-            F.xxhash64(content).alias("group"),
-            F.xxhash64(F.col(doc_id)).alias("tie"),
+            _hash60(content).alias("group"),
+            _hash60(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).alias("tie"),
         ),
         "shard-rows",
     )
@@ -53,7 +58,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, text: str = "text", doc_id
     celled = rows.join(F.broadcast(large), "group", "left").withColumn(
         "cell",
         F.struct(
-            F.shiftrightunsigned("group", 64 - CELLS.bit_length() + 1).alias("bucket"),
+            F.shiftright("group", 60 - CELLS.bit_length() + 1).alias("bucket"),
             F.when(F.col("parts").isNotNull(), F.col("group")).alias("large"),
             F.when(F.col("parts").isNotNull(), F.pmod("tie", "parts")).alias("part"),
         ),
