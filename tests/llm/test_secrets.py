@@ -31,6 +31,14 @@ def test_base_spans_are_those_of_the_expressions():
     assert {x[2] for row in found for x in row} >= {"assign", "access", "hex", "github", "private_key"}
 
 
+def test_keys_and_web_tokens_without_a_keyword():
+    key, jwt = "AIza" + "Sy0_-" * 7, "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dBjftJeZ4CVP-mB92K27uhbUJU1p1r_wW1g"
+    texts = [f"Authorization: Bearer {jwt}\n", f"é https://maps.example/js?key={key}&v=3", f"GET /?t={jwt}&k={key}", key[:-1], jwt.replace(".eyJ", ".xyJ"), jwt.rsplit(".", 1)[0], "eyJa.eyJb.c"]
+    found = [row for c in text_chunks(pa.array(texts)) for row in find_secrets(scanner(), c.data, c.offsets)]
+    spans = lambda text: sorted((text.index(x), text.index(x) + len(x), kind) for x, kind in ((key, "google"), (jwt, "jwt")) if x in text)
+    assert found == [spans(t) for t in texts] and [len(x) for x in found] == [1, 1, 2, 0, 0, 0, 0]
+
+
 def test_automaton_agrees_with_the_library():
     rng = random.Random(5)
     for expression in (r"a(b|c)*d", r"x{2,4}y?", r"(?i:ab|ac)z+", r"[a-c]{3}", r"(ab?)+c{2}"):
