@@ -5,7 +5,8 @@ document is cut into overlapping windows of twice the class's size, so that an i
 of about its own size. Window and item are compared by one-permutation MinHash: a shingle's hash names a bin, and each
 bin keeps its smallest hash; one equal bin makes a candidate. There are four bins for each shingle of a full-sized item,
 so each shingle that both have is found with a probability over a half by itself, and an item with 0.8 of its shingles in
-a document is missed with a probability far below ``0.5 ** (0.8 * shingles)``. Single-shingle items are found always.
+a document is missed with a probability far below ``0.5 ** (0.8 * shingles)``. That isn't low enough for items of a few
+shingles: those of the smallest classes are compared by all their shingles, without bins, and are found always.
 Candidates are then counted on the full sets.
 
 Items are read in blocks of bounded size; each block is held against all documents in one pass without a shuffle.
@@ -25,6 +26,8 @@ from .words import U64, distinct_by_row, hashed_words, shingles, text_chunks
 #: A block's items have at most about so many shingles (8 bytes each), or one item's.
 BLOCK_SHINGLES = 1 << 20
 BINS_PER_SHINGLE = 4
+#: Items of up to ``2 ** EXACT_CLASS`` shingles keep them all.
+EXACT_CLASS = 3
 FILTER_BITS = 22
 FOUND = "doc_id long, item_id long, n_shingles long, n_shared long"
 
@@ -61,7 +64,7 @@ class Items:
             own = [i for i in np.flatnonzero(counts) if _size_class(counts[i : i + 1])[0] == k]
             values = np.concatenate([self.sets[i] for i in own])
             items = np.repeat(own, counts[own])
-            kept = _signed(values, items, _bins(int(k)))
+            kept = _signed(values, items, _bins(int(k))) if k > EXACT_CLASS else np.arange(len(values))
             kept = kept[np.argsort(values[kept], kind="stable")]
             self.classes[int(k)] = (values[kept], items[kept])
         self.values = np.unique(np.concatenate([np.zeros(0, dtype=U64), *(values for values, _ in self.classes.values())]))
@@ -78,8 +81,14 @@ class Items:
 
 
 def _candidates(values: np.ndarray, rows: np.ndarray, position: np.ndarray, size_class: int, signature: tuple[np.ndarray, np.ndarray]) -> set[tuple[int, int]]:
-    """(row, item) with an equal bin in one of the row's windows; window w has the places from w to w + 2 strides."""
+    """(row, item) with an equal bin in one of the row's windows; window w has the places from w to w + 2 strides.
+
+    For the smallest classes (row, item) with an equal shingle.
+    """
     item_values, items = signature
+    if size_class <= EXACT_CLASS:
+        low, high = (np.searchsorted(item_values, values, side) for side in ("left", "right"))
+        return {(int(rows[i]), int(item)) for i in np.flatnonzero(high > low) for item in items[low[i] : high[i]]}
     stride = 1 << size_class
     window = position // stride
     twice, row_twice = np.concatenate((values, values)), np.concatenate((rows, rows))

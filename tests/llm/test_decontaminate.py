@@ -54,6 +54,14 @@ def test_finds_what_brute_force_finds(spark, rng):
     assert left == {i for i, _ in docs} - {x[0] for x in expected}
 
 
+def test_short_items_inside_long_documents(spark, rng):
+    items = [(k, sentence(rng, 5 + k % 8)) for k in range(800)]
+    docs = [(i, " ".join(sentence(rng, rng.randint(5, 30)) + " " + text for _, text in items[8 * i : 8 * i + 8]) + " last words of it") for i in range(100)]
+    expected = brute_force(docs, items)
+    assert len(expected) >= 800
+    assert found(contained_items(documents(spark, docs), frame(spark, items))) == expected
+
+
 def test_blocks_of_items(spark, rng, monkeypatch):
     docs, items = corpus(rng)
     monkeypatch.setattr(module, "BLOCK_SHINGLES", 2000)
