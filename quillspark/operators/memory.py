@@ -64,8 +64,15 @@ def handoff_level(records: DataFrame, budget: int, types: tuple[str, ...] = HAND
 
 
 def first_fit(candidates: DataFrame, budget: int) -> DataFrame:
-    """The candidates ``(store_id, rank, id, tokens)`` that are taken in rank order, skipping those that don't fit."""
-    ordered = candidates.groupBy("store_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "tokens"))).alias("c"))
+    """The candidates ``(store_id, rank, id, tokens)`` that are taken in rank order, skipping those that don't fit.
+
+    Tokens are 0 or more. Once a size doesn't fit, no later candidate of it does: of each size only as many as the budget
+    holds are folded, so the budget bounds a store's array. Candidates without tokens are taken beside the fold.
+    """
+    nth = F.row_number().over(Window.partitionBy("store_id", "tokens").orderBy("rank", "id"))
+    # the first bound on _n follows from the second; as it is a literal, Spark applies it before the shuffle too
+    first = candidates.where(F.col("tokens").between(1, budget)).withColumn("_n", nth).where((F.col("_n") <= budget) & (F.col("_n") * F.col("tokens") <= budget))
+    ordered = first.groupBy("store_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "tokens"))).alias("c"))
 
     def take(state: Column, x: Column) -> Column:
         fits = state["used"] + x["tokens"] <= budget
@@ -76,7 +83,8 @@ def first_fit(candidates: DataFrame, budget: int) -> DataFrame:
 
     zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("ids"))
     folded = ordered.select("store_id", F.aggregate("c", zero, take).alias("s"))
-    return folded.select("store_id", F.explode("s.ids").alias("id"))
+    free = candidates.where((F.col("tokens") == 0) & F.lit(budget >= 0)).select("store_id", F.col("id").cast("long").alias("id"))
+    return folded.select("store_id", F.explode("s.ids").alias("id")).unionByName(free)
 
 
 def latest(log: DataFrame, key: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:

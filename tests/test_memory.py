@@ -1,4 +1,5 @@
 import random
+import re
 
 from quillspark.operators import memory, stats
 from quillspark.sources import transcripts
@@ -40,6 +41,21 @@ def test_first_fit_skips_and_goes_on(spark):
     assert {(r.store_id, r.id) for r in found.collect()} == expected
 
 
+def test_first_fit_folds_no_more_than_the_budget_holds(spark):
+    rows = spark.range(20000).selectExpr("0L AS store_id", "int(id) AS rank", "id", "(id * 7) % 12 AS tokens")
+    used, expected = 0, set()
+    for i in range(20000):
+        if used + i * 7 % 12 <= 40:
+            used += i * 7 % 12
+            expected.add(i)
+    taken = memory.first_fit(rows, 40)
+    assert {r.id for r in taken.collect()} == expected and taken.count() == len(expected)
+    folded = re.findall(r"collect_list", taken._jdf.queryExecution().optimizedPlan().toString())
+    limits = re.findall(r"WindowGroupLimit.* 40", taken._jdf.queryExecution().optimizedPlan().toString())
+    assert folded and limits
+    assert memory.first_fit(rows, -1).count() == 0
+
+
 def test_handoff_cuts_kinds_until_it_fits(spark):
     rows = [(1, "discovery", 50), (1, "decision", 10), (2, "decision", 500), (3, "failure", 5)]
     found = memory.handoff_level(spark.createDataFrame(rows, "store_id int, record_type string, tokens long"), 30)
