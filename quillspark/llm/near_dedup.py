@@ -28,8 +28,10 @@ from .words import U64, distinct_by_row, hashed_words, mix, shingles, text_chunk
 CHUNKS, CHUNK, ERRORS, BITS = 14, 7, 1, 16
 SYMBOLS = CHUNKS * CHUNK
 #: Nodes that share a key are compared by longer signatures of small symbols before their full sets are. Two at the limit
-#: of 0.8 differ in 307 of these symbols on average, with a standard deviation of 16.2; in more than 371 once in 26000.
-LONG_SYMBOLS, LONG_BITS, MOST_DIFFERENT = 2048, 2, 371
+#: of 0.8 differ in 307 of these symbols on average, with a standard deviation of 16.2; in more than 371 once in 19000, in
+#: more than 388 once in 1.8 million. The pairs up to each limit come in a round of their own, so that those between the
+#: limits are only looked for across the components that the nearer ones have left.
+LONG_SYMBOLS, LONG_BITS, MOST_DIFFERENT = 2048, 2, (371, 388)
 LONG_BYTES = LONG_SYMBOLS * LONG_BITS // 8
 STAR_ROUNDS = 4
 #: Buckets that a sample of the nodes shows to be larger than this, or than a share of all nodes, are dealt over salts.
@@ -123,38 +125,44 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, LONG_BYTES)
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _across(least: int, most: int):
     """Rows ``(cell, key, node, label, long, signature)`` in the order of cells to the near pairs of nodes with two labels.
 
-    A pair that shares several keys comes out once, where its first common key is.
+    Near pairs differ in over ``least`` and up to ``most`` symbols. A pair that shares several keys comes out once, where
+    its first common key is.
     """
-    rest: tuple[np.ndarray, ...] | None = None
-
-    def compared(cell: np.ndarray, key: np.ndarray, node: np.ndarray, label: np.ndarray, long: np.ndarray, signature: np.ndarray) -> pa.RecordBatch:
-        found = [np.zeros((0, 2), dtype=np.int64)]
-        step, at = 1, np.arange(len(cell))
-        while len(at := at[at + step < len(cell)]) and len(at := at[cell[at] == cell[at + step]]):
-            other = at[label[at] != label[at + step]]
-            for block in np.array_split(other, len(other) // 16384 + 1):
-                near = block[differences(long[block], long[block + step]) <= MOST_DIFFERENT]
-                one = keys_of(signature[near])
-                common = one == keys_of(signature[near + step])
-                first = one[np.arange(len(near)), common.argmax(axis=1)].view(np.int64)
-                near = near[first == key[near]]
-                found.append(np.column_stack((np.minimum(node[near], node[near + step]), np.maximum(node[near], node[near + step]))))
-            step += 1
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    for batch in batches:
-        signature = np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS)
-        rows = (*(batch.column(k).to_numpy() for k in range(4)), _matrix(batch.column(4)), signature)
-        rows = rows if rest is None else tuple(np.concatenate(x) for x in zip(rest, rows))
-        done = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0  # the last cell may go on
-        yield compared(*(x[:done] for x in rows))
-        rest = tuple(x[done:] for x in rows)
-    if rest is not None:
-        yield compared(*rest)
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: tuple[np.ndarray, ...] | None = None
+
+        def compared(cell: np.ndarray, key: np.ndarray, node: np.ndarray, label: np.ndarray, long: np.ndarray, signature: np.ndarray) -> pa.RecordBatch:
+            found = [np.zeros((0, 2), dtype=np.int64)]
+            step, at = 1, np.arange(len(cell))
+            while len(at := at[at + step < len(cell)]) and len(at := at[cell[at] == cell[at + step]]):
+                other = at[label[at] != label[at + step]]
+                for block in np.array_split(other, len(other) // 16384 + 1):
+                    n = differences(long[block], long[block + step])
+                    near = block[(n > least) & (n <= most)]
+                    one = keys_of(signature[near])
+                    common = one == keys_of(signature[near + step])
+                    first = one[np.arange(len(near)), common.argmax(axis=1)].view(np.int64)
+                    near = near[first == key[near]]
+                    found.append(np.column_stack((np.minimum(node[near], node[near + step]), np.maximum(node[near], node[near + step]))))
+                step += 1
+            pairs = np.unique(np.concatenate(found), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            signature = np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS)
+            rows = (*(batch.column(k).to_numpy() for k in range(4)), _matrix(batch.column(4)), signature)
+            rows = rows if rest is None else tuple(np.concatenate(x) for x in zip(rest, rows))
+            done = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0  # the last cell may go on
+            yield compared(*(x[:done] for x in rows))
+            rest = tuple(x[done:] for x in rows)
+        if rest is not None:
+            yield compared(*rest)
+
+    return across
 
 
 def _similar(percent: int):
@@ -205,7 +213,7 @@ def leads(rows: DataFrame, turn: int) -> DataFrame:
     return pairs.groupBy(F.col("node").alias("b")).agg(F.max_by("a", F.struct("count", "a")).alias("a"))
 
 
-def _pairs_across(labelled: DataFrame, signatures: DataFrame) -> DataFrame:
+def _pairs_across(labelled: DataFrame, signatures: DataFrame, least: int, most: int) -> DataFrame:
     """All pairs ``(a, b)`` with a common key, two labels and near signatures, compared inside tasks, key by key.
 
     A salted bucket is compared in cells of two salts each.
@@ -215,7 +223,7 @@ def _pairs_across(labelled: DataFrame, signatures: DataFrame) -> DataFrame:
     cells = F.when(F.col("salt") >= 0, F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda t: F.least("salt", t) * SALTS + F.greatest("salt", t))).otherwise(F.array(F.lit(-1)))
     cell = F.when(F.col("of") < 0, F.col("key")).otherwise(F.xxhash64("key", "of"))
     rows = rows.withColumn("of", F.explode(cells)).select(cell.alias("cell"), "key", "node", "label", "long", "signature")
-    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_across, "a long, b long").distinct()
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_across(least, most), "a long, b long").distinct()
 
 
 def _shared_keys(classes: DataFrame, hot_bucket: int) -> DataFrame:
@@ -250,12 +258,13 @@ def link_classes(docs: DataFrame, size: int, percent: int, text: str, doc_id: st
         return saved(full.select("a", "b", "ma", "mb").mapInArrow(_similar(percent), "a long, b long"), "links")
 
     labels = nodes.select("node", F.col("node").alias("label"))
-    for turn in range(STAR_ROUNDS + 1):
+    for turn in range(STAR_ROUNDS + len(MOST_DIFFERENT)):
         labelled = keys.join(labels, "node").select("node", "label", F.explode("keys").alias("k")).select("node", "label", "k.key", "k.salt")
         if turn < STAR_ROUNDS:
             pairs = leads(labelled, turn)
         else:
-            pairs = saved(_pairs_across(labelled, sets.select("node", "long").join(nodes.select("node", "signature"), "node")), "across")
+            least, most = (-1, *MOST_DIFFERENT)[turn - STAR_ROUNDS :][:2]
+            pairs = saved(_pairs_across(labelled, sets.select("node", "long").join(nodes.select("node", "signature"), "node"), least, most), "across")
         links = confirmed(pairs)
         if not links.isEmpty():
             label_of = labels.toDF("node", "from")

@@ -59,6 +59,16 @@ def test_hot_buckets_are_dealt_over_salts(spark, rng, monkeypatch):
     assert found(near_duplicates(documents(spark, rows), 2, 0.8)) == brute_force(rows, 2)
 
 
+def test_unlike_signatures_of_similar_sets(spark, monkeypatch):
+    from quillspark.llm import near_dedup
+
+    # similarity 0.8 exactly, but 378 to 382 symbols of the long signatures differ; no star round joins them
+    monkeypatch.setattr(near_dedup, "STAR_ROUNDS", 0)
+    rows = [(2 * k + at, " ".join(f"w{i}x{j}" for j in range(at, at + 9))) for k, i in enumerate((33821, 128477, 162679)) for at in (0, 1)]
+    result = found(near_duplicates(documents(spark, rows), 1, 0.8))
+    assert result == brute_force(rows, 1) and [x[2] for x in result] == [0, 0, 2, 2, 4, 4]
+
+
 def test_odd_rows_and_empty_table(spark):
     rows = [*ODD, *ODD[:4], (None, "no id here at all"), (77, "no id here at all")]
     assert found(near_duplicates(documents(spark, rows), 2, 0.8)) == brute_force(rows, 2)
