@@ -10,6 +10,9 @@ probability of 6e-6.
 Sharing a key makes a candidate; links are confirmed on the full sets. Only components are asked for, so a bucket never
 gives all its pairs: in some rounds a node that isn't yet in the component of its buckets' leads is held against the lead
 that it meets most often, and whatever pairs are left across components come last, all of them.
+
+Very long texts: a text is one row of hashes, so a task needs some 60 bytes for each of its words. Ties: leads and
+components are chosen by hashes and smallest ids, so results don't depend on the order of rows.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import saved
+from .storage import dropped, saved
 from .words import U64, distinct_by_row, hashed_words, mix, shingles, text_chunks
 
 CHUNKS, CHUNK, ERRORS, BITS = 14, 7, 1, 16
@@ -33,12 +36,17 @@ SYMBOLS = CHUNKS * CHUNK
 #: limits are only looked for across the components that the nearer ones have left.
 LONG_SYMBOLS, LONG_BITS, MOST_DIFFERENT = 2048, 2, (371, 388)
 LONG_BYTES = LONG_SYMBOLS * LONG_BITS // 8
-STAR_ROUNDS = 4
+STAR_ROUNDS = 3
 #: Buckets that a sample of the nodes shows to be larger than this, or than a share of all nodes, are dealt over salts.
-HOT_BUCKET, HOT_SHARE, SAMPLE, SALTS = 100_000, 1e-4, 64, 64
+HOT_BUCKET, HOT_SHARE, SAMPLE, SALTS = 10_000, 1e-4, 64, 32
+#: Rows of a class or component are dealt over so many salts where they meet its label, as one may hold a third of all rows.
+LABEL_SALTS = 16
 _FACTORS = np.random.Generator(np.random.PCG64(77)).integers(0, 2**64, SYMBOLS, dtype=U64) | U64(1)
 _LONG_FACTORS = np.random.Generator(np.random.PCG64(79)).integers(0, 2**64, LONG_SYMBOLS, dtype=U64) | U64(1)
 _SUBSETS = [(c * CHUNK + np.array(left), k) for k, (c, left) in enumerate((c, left) for c in range(CHUNKS) for left in combinations(range(CHUNK), CHUNK - ERRORS))]
+#: The symbol that each key leaves out, and the lower bits of a key, which tell its number.
+_LEFT_OUT = np.array([(set(range(k // CHUNK * CHUNK, k // CHUNK * CHUNK + CHUNK)) - set(columns)).pop() for columns, k in _SUBSETS])
+_NUMBER = U64(127)
 _KEY_FACTORS = np.random.Generator(np.random.PCG64(78)).integers(0, 2**64, (len(_SUBSETS), CHUNK - ERRORS), dtype=U64) | U64(1)
 
 
@@ -63,11 +71,11 @@ def differences(one: np.ndarray, two: np.ndarray) -> np.ndarray:
 
 
 def keys_of(signature: np.ndarray) -> np.ndarray:
-    """The keys of each signature: for each chunk and each choice of symbols left out, a hash of the others."""
+    """The keys of each signature: for each chunk and each symbol left out, a hash of the others and the key's number."""
     wide = signature.astype(U64)
     out = np.empty((len(wide), len(_SUBSETS)), dtype=U64)
     for (columns, k), factors in zip(_SUBSETS, _KEY_FACTORS):
-        out[:, k] = mix((wide[:, columns] * factors).sum(axis=1, dtype=U64) + U64(k))
+        out[:, k] = mix((wide[:, columns] * factors).sum(axis=1, dtype=U64) + U64(k)) & ~_NUMBER | U64(k)
     return out
 
 
@@ -125,36 +133,52 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, LONG_BYTES)
 
 
-def _across(least: int, most: int):
-    """Rows ``(cell, key, node, label, long, signature)`` in the order of cells to the near pairs of nodes with two labels.
+def first_shared(signature: np.ndarray, x: np.ndarray, y: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Whether the key with this number, which rows x and y share, is the first that they share.
 
-    Near pairs differ in over ``least`` and up to ``most`` symbols. A pair that shares several keys comes out once, where
-    its first common key is.
+    Two chunks that differ in no symbol share all their keys, two that differ in one share the key that leaves it out.
     """
+    first = (number % CHUNK == 0) | (signature[x, _LEFT_OUT[number]] != signature[y, _LEFT_OUT[number]])
+    chunks = signature.reshape(-1, CHUNKS, CHUNK)
+    for c in range(CHUNKS - 1):
+        asked = np.flatnonzero(first & (number >= (c + 1) * CHUNK))
+        if not len(asked):
+            break
+        first[asked] = (chunks[x[asked], c] != chunks[y[asked], c]).sum(axis=1, dtype=np.uint8) > ERRORS
+    return first
 
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: tuple[np.ndarray, ...] | None = None
 
-        def compared(cell: np.ndarray, key: np.ndarray, node: np.ndarray, label: np.ndarray, long: np.ndarray, signature: np.ndarray) -> pa.RecordBatch:
-            found = [np.zeros((0, 2), dtype=np.int64)]
-            step, at = 1, np.arange(len(cell))
-            while len(at := at[at + step < len(cell)]) and len(at := at[cell[at] == cell[at + step]]):
-                other = at[label[at] != label[at + step]]
-                for block in np.array_split(other, len(other) // 16384 + 1):
-                    n = differences(long[block], long[block + step])
-                    near = block[(n > least) & (n <= most)]
-                    one = keys_of(signature[near])
-                    common = one == keys_of(signature[near + step])
-                    first = one[np.arange(len(near)), common.argmax(axis=1)].view(np.int64)
-                    near = near[first == key[near]]
-                    found.append(np.column_stack((np.minimum(node[near], node[near + step]), np.maximum(node[near], node[near + step]))))
-                step += 1
-            pairs = np.unique(np.concatenate(found), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+def _across(least: int, most: int, percent: int):
+    """Rows ``(cell, key, side, node, label, n, long, signature)`` in the order of cells to the near pairs of two labels.
+
+    Near pairs differ in over ``least`` and up to ``most`` symbols, and their sets' sizes ``n`` allow the similarity. A pair
+    that shares several keys is compared once, where its first common key is. Rows of one side (but -1) meet elsewhere.
+    """
+
+    def compared(cell: np.ndarray, key: np.ndarray, side: np.ndarray, node: np.ndarray, label: np.ndarray, n: np.ndarray, long: np.ndarray, signature: np.ndarray) -> pa.RecordBatch:
+        number = (key.view(U64) & _NUMBER).astype(np.int64)
+        found = [np.zeros((0, 4), dtype=np.int64)]
+        step, at = 1, np.arange(len(cell))
+        while len(at := at[at + step < len(cell)]) and len(at := at[cell[at] == cell[at + step]]):
+            other = at + step
+            fit = (label[at] != label[other]) & ((side[at] < 0) | (side[at] != side[other])) & (100 * np.minimum(n[at], n[other]) >= percent * np.maximum(n[at], n[other]))
+            x = at[fit]
+            x = x[first_shared(signature, x, x + step, number[x])]
+            for block in np.array_split(x, len(x) // 16384 + 1):
+                apart = differences(long[block], long[block + step])
+                near = block[(apart > least) & (apart <= most)]
+                swap = node[near] > node[near + step]
+                one, two = np.where(swap, near + step, near), np.where(swap, near, near + step)
+                found.append(np.column_stack((node[one], node[two], label[one], label[two])))
+            step += 1
+        pairs = np.concatenate(found)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(4)], ["a", "b", "la", "lb"])
 
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: tuple[np.ndarray, ...] | None = None
         for batch in batches:
-            signature = np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS)
-            rows = (*(batch.column(k).to_numpy() for k in range(4)), _matrix(batch.column(4)), signature)
+            signature = np.frombuffer(b"".join(batch.column(7).to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS)
+            rows = (*(batch.column(k).to_numpy() for k in range(6)), _matrix(batch.column(6)), signature)
             rows = rows if rest is None else tuple(np.concatenate(x) for x in zip(rest, rows))
             done = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0  # the last cell may go on
             yield compared(*(x[:done] for x in rows))
@@ -166,7 +190,7 @@ def _across(least: int, most: int):
 
 
 def _similar(percent: int):
-    """Rows ``(a, b, members, members)`` to the pairs whose sets are as similar as asked for."""
+    """Rows ``(la, lb, members, members)`` to the labels of the pairs whose sets are as similar as asked for."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,38 +207,46 @@ def _similar(percent: int):
     return similar
 
 
+def _with_label(rows: DataFrame, of_label: DataFrame, by: str) -> DataFrame:
+    """``rows`` with the columns of ``of_label`` where their label has a row there; both are dealt over salts of ``by``."""
+    salted = of_label.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(LABEL_SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(LABEL_SALTS)).cast("int")).join(salted, ["label", "_salt"], "left").drop("_salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, label)`` for each node of the edges ``(a, b)``; label: the smallest node that it is connected with.
 
     Labels pass over edges and then to the label's own label, until none changes. Each round is written to shared storage.
     """
     both = saved(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = both.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("node"), F.least("a", "label").alias("label"))
-    labels = saved(labels, "labels")
+    tables = [labels := saved(both.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("node"), F.least("a", "label").alias("label")), "labels")]
     while True:
-        heard = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("heard"))
+        heard = _with_label(both.withColumnRenamed("b", "label"), labels.select(F.col("node").alias("label"), F.col("label").alias("heard")), "a").groupBy("a").agg(F.min("heard").alias("heard"))
         told = labels.join(heard, labels.node == heard.a, "left").select("node", F.col("label").alias("before"), F.least("label", "heard").alias("label"))
-        of_label = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        after = saved(told.join(of_label, "label", "left").select("node", "before", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
+        of_label = labels.where("label <> node").select(F.col("node").alias("label"), F.col("label").alias("next"))
+        after = saved(_with_label(told, of_label, "node").select("node", "before", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
         labels = after.select("node", "label")
+        tables.append(after)
         if after.where("label <> before").isEmpty():
+            dropped(both, *tables[:-1])
             return labels
 
 
 def leads(rows: DataFrame, turn: int) -> DataFrame:
-    """``(a, b)``: for each node b the node a that leads most of its buckets, where that has another label.
+    """``(a, b, la, lb)``: for each node b the node a that leads most of its buckets, where that has another label.
 
     ``rows`` has ``key, salt, node, label``. A salted bucket has a lead for each salt, and those have a lead of their own.
     """
     order = F.xxhash64("node", F.lit(turn))
     led = rows.withColumn("lead", F.min(F.struct(order.alias("order"), "node", "label")).over(Window.partitionBy("key", "salt")))
     heads = led.where("salt >= 0 AND node = lead.node").withColumn("lead", F.min("lead").over(Window.partitionBy("key")))
-    pairs = led.unionByName(heads).where("label <> lead.label").groupBy("node", F.col("lead.node").alias("a")).count()
-    return pairs.groupBy(F.col("node").alias("b")).agg(F.max_by("a", F.struct("count", "a")).alias("a"))
+    pairs = led.unionByName(heads).where("label <> lead.label").groupBy("node", "label", F.col("lead.node").alias("a"), F.col("lead.label").alias("la")).count()
+    best = pairs.groupBy(F.col("node").alias("b"), F.col("label").alias("lb")).agg(F.max_by(F.struct("a", "la"), F.struct("count", "a")).alias("best"))
+    return best.select("best.a", "b", "best.la", "lb")
 
 
-def _pairs_across(labelled: DataFrame, signatures: DataFrame, least: int, most: int) -> DataFrame:
-    """All pairs ``(a, b)`` with a common key, two labels and near signatures, compared inside tasks, key by key.
+def _pairs_across(labelled: DataFrame, signatures: DataFrame, least: int, most: int, percent: int) -> DataFrame:
+    """All pairs ``(a, b, la, lb)`` with a common key, two labels and near signatures, compared inside tasks, key by key.
 
     A salted bucket is compared in cells of two salts each.
     """
@@ -222,8 +254,9 @@ def _pairs_across(labelled: DataFrame, signatures: DataFrame, least: int, most:
     rows = labelled.join(mixed, "key", "left_semi").join(signatures, "node")
     cells = F.when(F.col("salt") >= 0, F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda t: F.least("salt", t) * SALTS + F.greatest("salt", t))).otherwise(F.array(F.lit(-1)))
     cell = F.when(F.col("of") < 0, F.col("key")).otherwise(F.xxhash64("key", "of"))
-    rows = rows.withColumn("of", F.explode(cells)).select(cell.alias("cell"), "key", "node", "label", "long", "signature")
-    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_across(least, most), "a long, b long").distinct()
+    side = F.when(F.floor(F.col("of") / SALTS) != F.col("of") % SALTS, F.col("salt")).otherwise(-1)
+    rows = rows.withColumn("of", F.explode(cells)).select(cell.alias("cell"), "key", side.alias("side"), "node", "label", "n", "long", "signature")
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_across(least, most, percent), "a long, b long, la long, lb long").distinct()
 
 
 def _shared_keys(classes: DataFrame, hot_bucket: int) -> DataFrame:
@@ -252,25 +285,30 @@ def link_classes(docs: DataFrame, size: int, percent: int, text: str, doc_id: st
     wanted = nodes.select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
     texts = rows.join(wanted, (rows.doc_id.eqNullSafe(wanted.doc_id)) & (rows.text_hash == wanted.text_hash)).select("node", "text")
     sets = saved(texts.mapInArrow(_sets(size), "node long, members binary, long binary").dropDuplicates(["node"]), "sets")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(sets.select("node", "members").toDF("a", "ma"), "a").join(sets.select("node", "members").toDF("b", "mb"), "b")
-        return saved(full.select("a", "b", "ma", "mb").mapInArrow(_similar(percent), "a long, b long"), "links")
+    compact = sets.select("node", F.octet_length("members").alias("n"), "long").join(nodes.select("node", "signature"), "node")
+    members = sets.select("node", "members")
 
     labels = nodes.select("node", F.col("node").alias("label"))
+    rounds = []  # what a round has written; only the last labels are read again
     for turn in range(STAR_ROUNDS + len(MOST_DIFFERENT)):
         labelled = keys.join(labels, "node").select("node", "label", F.explode("keys").alias("k")).select("node", "label", "k.key", "k.salt")
         if turn < STAR_ROUNDS:
             pairs = leads(labelled, turn)
         else:
             least, most = (-1, *MOST_DIFFERENT)[turn - STAR_ROUNDS :][:2]
-            pairs = saved(_pairs_across(labelled, sets.select("node", "long").join(nodes.select("node", "signature"), "node"), least, most), "across")
-        links = confirmed(pairs)
+            pairs = saved(_pairs_across(labelled, compact, least, most, percent), "across")
+        full = pairs.join(members.toDF("b", "mb"), "b").join(members.toDF("a", "ma"), "a")
+        links = saved(full.select("la", "lb", "ma", "mb").mapInArrow(_similar(percent), "a long, b long").distinct(), "links")
+        if turn >= STAR_ROUNDS:
+            dropped(pairs)
         if not links.isEmpty():
-            label_of = labels.toDF("node", "from")
-            between = links.join(label_of.toDF("a", "la"), "a").join(label_of.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-            merged = components(between.where("a <> b").distinct()).toDF("from", "to")
-            labels = saved(label_of.join(merged, "from", "left").select("node", F.coalesce("to", "from").alias("label")), "labels")
+            merged = components(links)
+            of_label = merged.where("node <> label").select(F.col("node").alias("label"), F.col("label").alias("to"))
+            labels = saved(_with_label(labels, of_label, "node").select("node", F.coalesce("to", "label").alias("label")), "node-labels")
+            dropped(merged, *rounds)
+            rounds = [labels]
+        dropped(links)
+    dropped(classes, keys, sets)
     return sketches, labels
 
 
@@ -283,13 +321,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
     """
     sketches, labels = link_classes(docs, shingle_words, round(100 * similarity), text, doc_id)
     # equal sets are one class; its smallest id stands for it, and the smallest of a component's classes for all
-    of_class = sketches.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    of_class = of_class.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
+    of_class = sketches.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    of_class = of_class.join(labels, "node", "left").where("rows > 1 OR label IS NOT NULL")
+    of_class = saved(of_class.select("node", "least", F.coalesce("label", "node").alias("label")), "linked-classes")
     of_label = of_class.groupBy("label").agg(F.min("least").alias("component"))
-    of_class = saved(of_class.join(of_label, "label").select("node", "component"), "components")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return (
-        sketches.join(of_class, "node", "left")
-        .select("doc_id", "text_hash", "n_shingles", component.alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
+    of_class = saved(_with_label(of_class, of_label, "node").select("node", F.coalesce("component", "least").alias("component")), "components")
+    # a row that is alone in a class without links is its own component
+    found = _with_label(sketches.withColumnRenamed("node", "label"), of_class.withColumnRenamed("node", "label").withColumn("linked", F.lit(True)), "doc_id")
+    component = F.when((F.col("n_shingles") > 0) & F.col("linked"), F.col("component")).otherwise(F.col("doc_id"))
+    return found.select("doc_id", "text_hash", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
