@@ -30,19 +30,17 @@ from .words import U64, distinct_by_row, hashed_words, mix, shingles, text_chunk
 
 CHUNKS, CHUNK, ERRORS, BITS = 14, 7, 1, 16
 SYMBOLS = CHUNKS * CHUNK
-#: Nodes that share a key are compared by longer signatures of small symbols before their full sets are. Two at the limit
-#: of 0.8 differ in 307 of these symbols on average, with a standard deviation of 16.2; in more than 371 once in 19000, in
-#: more than 388 once in 1.8 million. The pairs up to each limit come in a round of their own, so that those between the
-#: limits are only looked for across the components that the nearer ones have left.
-LONG_SYMBOLS, LONG_BITS, MOST_DIFFERENT = 2048, 2, (371, 388)
-LONG_BYTES = LONG_SYMBOLS * LONG_BITS // 8
+#: Nodes that share a key are compared by odd sketches before their full sets are: bit i says whether an odd number of the
+#: set's values fall on i. Two sketches differ in no more bits than the sets have values that only one of them has, so no
+#: pair that is similar enough can be lost there.
+ODD_BITS = 4096
+ODD_BYTES = ODD_BITS // 8
 STAR_ROUNDS = 3
 #: Buckets that a sample of the nodes shows to be larger than this, or than a share of all nodes, are dealt over salts.
 HOT_BUCKET, HOT_SHARE, SAMPLE, SALTS = 10_000, 1e-4, 64, 32
 #: Rows of a class or component are dealt over so many salts where they meet its label, as one may hold a third of all rows.
 LABEL_SALTS = 16
 _FACTORS = np.random.Generator(np.random.PCG64(77)).integers(0, 2**64, SYMBOLS, dtype=U64) | U64(1)
-_LONG_FACTORS = np.random.Generator(np.random.PCG64(79)).integers(0, 2**64, LONG_SYMBOLS, dtype=U64) | U64(1)
 _SUBSETS = [(c * CHUNK + np.array(left), k) for k, (c, left) in enumerate((c, left) for c in range(CHUNKS) for left in combinations(range(CHUNK), CHUNK - ERRORS))]
 #: The symbol that each key leaves out, and the lower bits of a key, which tell its number.
 _LEFT_OUT = np.array([(set(range(k // CHUNK * CHUNK, k // CHUNK * CHUNK + CHUNK)) - set(columns)).pop() for columns, k in _SUBSETS])
@@ -50,24 +48,27 @@ _NUMBER = U64(127)
 _KEY_FACTORS = np.random.Generator(np.random.PCG64(78)).integers(0, 2**64, (len(_SUBSETS), CHUNK - ERRORS), dtype=U64) | U64(1)
 
 
-def signatures(hashes: np.ndarray, ends: np.ndarray, factors: np.ndarray = _FACTORS, bits: int = BITS) -> np.ndarray:
+def signatures(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """One row of symbols for each run of hashes; runs must not be empty."""
-    out = np.empty((len(ends) - 1, len(factors)), dtype=np.uint16)
-    for k, factor in enumerate(factors):
-        out[:, k] = mix(np.minimum.reduceat(hashes * factor, ends[:-1])) & U64((1 << bits) - 1)
+    out = np.empty((len(ends) - 1, SYMBOLS), dtype=np.uint16)
+    for k, factor in enumerate(_FACTORS):
+        out[:, k] = mix(np.minimum.reduceat(hashes * factor, ends[:-1])) & U64((1 << BITS) - 1)
     return out
 
 
-def long_signatures(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Signatures of small symbols, four to a byte."""
-    symbols = signatures(mix(values + U64(1)), ends, _LONG_FACTORS, LONG_BITS).astype(np.uint8)
-    return symbols[:, 0::4] | symbols[:, 1::4] << 2 | symbols[:, 2::4] << 4 | symbols[:, 3::4] << 6
+def odd_sketches(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One row of ``ODD_BITS`` bits for each run of distinct values."""
+    rows = np.repeat(np.arange(len(ends) - 1, dtype=U64), np.diff(ends))
+    at, hits = np.unique(rows * U64(ODD_BITS) + values % U64(ODD_BITS), return_counts=True)
+    odd = at[hits % 2 == 1].astype(np.int64)
+    out = np.zeros((len(ends) - 1) * ODD_BYTES, dtype=np.uint8)
+    np.bitwise_or.at(out, odd >> 3, (1 << (odd & 7)).astype(np.uint8))
+    return out.reshape(-1, ODD_BYTES)
 
 
 def differences(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """In how many symbols rows of long signatures differ."""
-    x = np.ascontiguousarray(one ^ two).view(U64)
-    return np.bitwise_count((x | x >> U64(1)) & U64(0x5555555555555555)).sum(axis=1, dtype=np.int64)
+    """In how many bits rows of sketches differ."""
+    return np.bitwise_count(np.ascontiguousarray(one ^ two).view(U64)).sum(axis=1, dtype=np.int64)
 
 
 def keys_of(signature: np.ndarray) -> np.ndarray:
@@ -117,20 +118,20 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(size: int):
-    """Rows ``(node, text)`` to ``(node, members, long)``: the set's values in ascending order and its long signature."""
+    """Rows ``(node, text)`` to ``(node, members, odd)``: the set's values in ascending order and its odd sketch."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in text_chunks(batch.column(1)):
                 values, bounds = distinct_by_row(*shingles(hashed_words(chunk), size))
                 members = [values[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[chunk.first : chunk.last], pa.array(members, pa.binary()), _binary(long_signatures(values, bounds))], ["node", "members", "long"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[chunk.first : chunk.last], pa.array(members, pa.binary()), _binary(odd_sketches(values, bounds))], ["node", "members", "odd"])
 
     return sets
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, LONG_BYTES)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, ODD_BYTES)
 
 
 def first_shared(signature: np.ndarray, x: np.ndarray, y: np.ndarray, number: np.ndarray) -> np.ndarray:
@@ -148,14 +149,15 @@ def first_shared(signature: np.ndarray, x: np.ndarray, y: np.ndarray, number: np
     return first
 
 
-def _across(least: int, most: int, percent: int):
-    """Rows ``(cell, key, side, node, label, n, long, signature)`` in the order of cells to the near pairs of two labels.
+def _across(percent: int):
+    """Rows ``(cell, key, side, node, label, n, odd, signature)`` in the order of cells to the near pairs of two labels.
 
-    Near pairs differ in over ``least`` and up to ``most`` symbols, and their sets' sizes ``n`` allow the similarity. A pair
-    that shares several keys is compared once, where its first common key is. Rows of one side (but -1) meet elsewhere.
+    Near pairs are those whose sets can be as similar as asked for by their sizes ``n`` and by the bits in which their
+    sketches differ. A pair that shares several keys is compared once, where its first common key is. Rows of one side (but
+    -1) meet elsewhere.
     """
 
-    def compared(cell: np.ndarray, key: np.ndarray, side: np.ndarray, node: np.ndarray, label: np.ndarray, n: np.ndarray, long: np.ndarray, signature: np.ndarray) -> pa.RecordBatch:
+    def compared(cell: np.ndarray, key: np.ndarray, side: np.ndarray, node: np.ndarray, label: np.ndarray, n: np.ndarray, odd: np.ndarray, signature: np.ndarray) -> pa.RecordBatch:
         number = (key.view(U64) & _NUMBER).astype(np.int64)
         found = [np.zeros((0, 4), dtype=np.int64)]
         step, at = 1, np.arange(len(cell))
@@ -165,8 +167,8 @@ def _across(least: int, most: int, percent: int):
             x = at[fit]
             x = x[first_shared(signature, x, x + step, number[x])]
             for block in np.array_split(x, len(x) // 16384 + 1):
-                apart = differences(long[block], long[block + step])
-                near = block[(apart > least) & (apart <= most)]
+                apart = differences(odd[block], odd[block + step])
+                near = block[(100 + percent) * apart <= (100 - percent) * (n[block] + n[block + step])]
                 swap = node[near] > node[near + step]
                 one, two = np.where(swap, near + step, near), np.where(swap, near, near + step)
                 found.append(np.column_stack((node[one], node[two], label[one], label[two])))
@@ -245,7 +247,7 @@ def leads(rows: DataFrame, turn: int) -> DataFrame:
     return best.select("best.a", "b", "best.la", "lb")
 
 
-def _pairs_across(labelled: DataFrame, signatures: DataFrame, least: int, most: int, percent: int) -> DataFrame:
+def _pairs_across(labelled: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     """All pairs ``(a, b, la, lb)`` with a common key, two labels and near signatures, compared inside tasks, key by key.
 
     A salted bucket is compared in cells of two salts each.
@@ -255,8 +257,8 @@ def _pairs_across(labelled: DataFrame, signatures: DataFrame, least: int, most:
     cells = F.when(F.col("salt") >= 0, F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda t: F.least("salt", t) * SALTS + F.greatest("salt", t))).otherwise(F.array(F.lit(-1)))
     cell = F.when(F.col("of") < 0, F.col("key")).otherwise(F.xxhash64("key", "of"))
     side = F.when(F.floor(F.col("of") / SALTS) != F.col("of") % SALTS, F.col("salt")).otherwise(-1)
-    rows = rows.withColumn("of", F.explode(cells)).select(cell.alias("cell"), "key", side.alias("side"), "node", "label", "n", "long", "signature")
-    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_across(least, most, percent), "a long, b long, la long, lb long").distinct()
+    rows = rows.withColumn("of", F.explode(cells)).select(cell.alias("cell"), "key", side.alias("side"), "node", "label", "n", "odd", "signature")
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_across(percent), "a long, b long, la long, lb long").distinct()
 
 
 def _shared_keys(classes: DataFrame, hot_bucket: int) -> DataFrame:
@@ -284,22 +286,21 @@ def link_classes(docs: DataFrame, size: int, percent: int, text: str, doc_id: st
     nodes = saved(keys.select("node").join(classes, "node"), "shared-nodes")
     wanted = nodes.select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
     texts = rows.join(wanted, (rows.doc_id.eqNullSafe(wanted.doc_id)) & (rows.text_hash == wanted.text_hash)).select("node", "text")
-    sets = saved(texts.mapInArrow(_sets(size), "node long, members binary, long binary").dropDuplicates(["node"]), "sets")
-    compact = sets.select("node", F.octet_length("members").alias("n"), "long").join(nodes.select("node", "signature"), "node")
+    sets = saved(texts.mapInArrow(_sets(size), "node long, members binary, odd binary").dropDuplicates(["node"]), "sets")
+    compact = sets.select("node", F.expr("octet_length(members) div 8").alias("n"), "odd").join(nodes.select("node", "signature"), "node")
     members = sets.select("node", "members")
 
     labels = nodes.select("node", F.col("node").alias("label"))
     rounds = []  # what a round has written; only the last labels are read again
-    for turn in range(STAR_ROUNDS + len(MOST_DIFFERENT)):
+    for turn in range(STAR_ROUNDS + 1):
         labelled = keys.join(labels, "node").select("node", "label", F.explode("keys").alias("k")).select("node", "label", "k.key", "k.salt")
         if turn < STAR_ROUNDS:
             pairs = leads(labelled, turn)
         else:
-            least, most = (-1, *MOST_DIFFERENT)[turn - STAR_ROUNDS :][:2]
-            pairs = saved(_pairs_across(labelled, compact, least, most, percent), "across")
+            pairs = saved(_pairs_across(labelled, compact, percent), "across")
         full = pairs.join(members.toDF("b", "mb"), "b").join(members.toDF("a", "ma"), "a")
         links = saved(full.select("la", "lb", "ma", "mb").mapInArrow(_similar(percent), "a long, b long").distinct(), "links")
-        if turn >= STAR_ROUNDS:
+        if turn == STAR_ROUNDS:
             dropped(pairs)
         if not links.isEmpty():
             merged = components(links)

@@ -1,8 +1,9 @@
 import re
 
+import numpy as np
 from conftest import ODD, documents, sentence
 
-from quillspark.llm.near_dedup import components, near_duplicates
+from quillspark.llm.near_dedup import components, differences, near_duplicates, odd_sketches
 
 
 def brute_force(rows, size):
@@ -59,16 +60,24 @@ def test_hot_buckets_are_dealt_over_salts(spark, rng, monkeypatch):
     assert found(near_duplicates(documents(spark, rows), 2, 0.8)) == brute_force(rows, 2)
 
 
-def test_unlike_signatures_of_similar_sets(spark, monkeypatch):
+def test_pairs_at_exactly_the_limit_without_star_rounds(spark, monkeypatch):
     from quillspark.llm import near_dedup
 
-    # similarity 0.8 exactly, but 378 to 382 symbols of the long signatures differ; no star round joins them
     monkeypatch.setattr(near_dedup, "STAR_ROUNDS", 0)
     rows = [(2 * k + at, " ".join(f"w{i}x{j}" for j in range(at, at + 9))) for k, i in enumerate((33821, 128477, 162679)) for at in (0, 1)]
     result = found(near_duplicates(documents(spark, rows), 1, 0.8))
     assert result == brute_force(rows, 1) and [x[2] for x in result] == [0, 0, 2, 2, 4, 4]
 
 
+def test_odd_sketches_show_no_more_differences_than_there_are():
+    rng = np.random.default_rng(3)
+    for n, own in ((5, 1), (300, 40), (5000, 900)):
+        common, one, two = (rng.integers(0, 1 << 48, k, dtype=np.uint64) for k in (n, own, own))
+        values, ends = np.concatenate((common, one, common, two)), np.array([0, n + own, 2 * (n + own)])
+        sketches = odd_sketches(values, ends)
+        assert 0 < differences(sketches[:1], sketches[1:])[0] <= 2 * own
+
+
 def test_odd_rows_and_empty_table(spark):
     rows = [*ODD, *ODD[:4], (None, "no id here at all"), (77, "no id here at all")]
     assert found(near_duplicates(documents(spark, rows), 2, 0.8)) == brute_force(rows, 2)
