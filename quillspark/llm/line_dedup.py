@@ -1,7 +1,8 @@
 """Removal of lines that spread over many sites: HyperLogLog sketches first, exact counts near the threshold.
 
 All steps are DataFrame operations. Sketches of the sites of each line merge by aggregation; only lines whose estimate
-lies near the threshold get exact distinct counts.
+lies near the threshold get exact distinct counts. A text that stands on many sites as a whole is one text, and counts
+for its first site only: copies are no boilerplate, near-duplicate removal decides on them.
 """
 
 from __future__ import annotations
@@ -38,31 +39,31 @@ def _salted(lines: DataFrame) -> DataFrame:
     return salted.hint("merge")  # its size grows with the corpus: never broadcast
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = 5, min_chars: int = 20, largest_share: float = 0.5, text: str = "text", doc_id: str = "doc_id", site: str = "source") -> DataFrame:
-    """``docs`` with ``text`` cleaned of lines that stand on ``min_sites`` sites or more, ``n_lines`` and ``n_removed``.
+def dedup_lines(docs: DataFrame, min_sites: int = 5, text: str = "text", doc_id: str = "doc_id", site: str = "source") -> DataFrame:
+    """``docs`` with ``text`` cleaned of the lines that stand on ``min_sites`` sites or more, ``n_lines`` and ``n_removed``.
 
-    Lines are compared without leading and trailing spaces; those under ``min_chars`` characters always stay, as short
-    sentences recur by chance. Where the lines to remove hold more than ``largest_share`` of a text, the text is a copy of
-    another document rather than a page with boilerplate, and stays as it is (near-duplicate removal decides on it).
-    A null text stays null with no lines; a null site is one site; repeated rows are all kept; other columns pass through,
-    except that columns named like the results are replaced.
+    Lines are compared without leading and trailing spaces; lines of nothing else stay. Equal texts count once, for the
+    smallest of their sites. A null text stays null with no lines; a null site is one site; repeated rows are all kept;
+    other columns pass through, except that columns named like the results are replaced. Very long texts: a row's lines
+    are one array, a few times the text's size. There are no ties, and an empty table gives an empty result.
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     # the row's own columns stay inside a struct, so none can clash with those made here
-    rows = docs.select(F.struct(*columns).alias("row"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.xxhash64(F.col(doc_id), F.col(text)).alias("key"))
+    rows = docs.select(F.struct(*columns).alias("row"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.xxhash64(text).alias("whole"))
+    rows = rows.withColumn("key", F.xxhash64(F.col("row")[doc_id], "whole", "site"))
     content = F.col("row")[text]
     hashed = lambda line: F.xxhash64(F.trim(line))
-    eligible = F.array_distinct(F.transform(F.filter(_lines(content), lambda x: F.length(F.trim(x)) >= min_chars), hashed))
+    eligible = F.array_distinct(F.transform(F.filter(_lines(content), lambda x: F.trim(x) != ""), hashed))
     lines = saved(rows.select("key", "site", F.explode(eligible).alias("line")).withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")), "lines")
-    removed = spread_lines(lines, min_sites)
+    first = rows.groupBy("whole").agg(F.min(F.struct("site", "key")).alias("first")).select("first.key").hint("merge")  # grows with the corpus
+    removed = spread_lines(lines.join(first, "key", "left_semi"), min_sites)
     of_doc = lines.join(_salted(removed), ["line", "salt"], "left_semi").groupBy("key").agg(F.collect_set("line").alias("removed"))
-    found = F.filter(_lines(content), lambda x: F.array_contains("removed", hashed(x)))
-    kept = F.filter(_lines(content), lambda x: ~F.array_contains("removed", hashed(x)))
-    chars = F.aggregate(F.col("found"), F.lit(0), lambda a, x: a + F.length(x))
-    out = rows.select("key", "row").join(of_doc, "key", "left").withColumn("found", F.when(F.col("removed").isNotNull(), found))
-    out = out.withColumn("cut", F.coalesce(chars <= largest_share * F.length(content), F.lit(False)))
-    return out.select(
-        *[F.when(F.col("cut"), F.array_join(kept, "\n")).otherwise(content).alias(c) if c == text else F.col("row")[c].alias(c) for c in columns],
+    spread = lambda line: F.array_contains("removed", hashed(line))
+    found = rows.select("key", "row").join(of_doc, "key", "left")
+    found = found.select(
+        "row",
+        F.when(F.col("removed").isNotNull(), F.array_join(F.filter(_lines(content), lambda x: ~spread(x)), "\n")).otherwise(content).alias("cleaned"),
         F.when(content.isNull(), 0).otherwise(F.size(_lines(content))).cast("long").alias("n_lines"),
-        F.when(F.col("cut"), F.size("found")).otherwise(0).cast("long").alias("n_removed"),
+        F.when(F.col("removed").isNotNull(), F.size(F.filter(_lines(content), spread))).otherwise(0).cast("long").alias("n_removed"),
     )
+    return found.select(*[F.col("cleaned" if c == text else f"row.`{c}`").alias(c) for c in columns], "n_lines", "n_removed")

@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 OP7 = r"""
-WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text, coalesce(source, '') AS site FROM documents),
-lines AS (SELECT r, site, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM docs),
-spread AS (SELECT trim(line) AS line FROM lines WHERE length(trim(line)) >= 20 GROUP BY 1 HAVING count(DISTINCT site) >= 5),
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text, coalesce(source, '') AS site, md5(text) AS whole FROM documents),
+firsts AS (SELECT whole, min(site) AS site FROM docs GROUP BY whole),
+lines AS (SELECT DISTINCT whole, trim(unnest(string_split(text, chr(10)))) AS line FROM docs),
+spread AS (SELECT line FROM lines JOIN firsts USING (whole) WHERE line <> '' GROUP BY 1 HAVING count(DISTINCT site) >= 5),
 numbered AS (SELECT r, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM docs),
 marked AS (SELECT n.r, n.i, n.line, s.line IS NOT NULL AS found FROM numbered n LEFT JOIN spread s ON trim(n.line) = s.line),
-totals AS (SELECT r, count(*) AS n_lines, coalesce(sum(CASE WHEN found THEN length(line) END), 0) AS chars, sum(CASE WHEN found THEN 1 ELSE 0 END) AS n_found,
-  coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT found), '') AS kept FROM marked GROUP BY r)
-SELECT d.doc_id,
-  CASE WHEN n_found > 0 AND chars <= 0.5 * length(d.text) THEN kept ELSE d.text END AS text,
-  CASE WHEN d.text IS NULL THEN 0 ELSE n_lines END::BIGINT AS n_lines,
-  CASE WHEN n_found > 0 AND chars <= 0.5 * length(d.text) THEN n_found ELSE 0 END::BIGINT AS n_removed
+totals AS (SELECT r, count(*) AS n_lines, sum(CASE WHEN found THEN 1 ELSE 0 END) AS n_found, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT found), '') AS kept FROM marked GROUP BY r)
+SELECT d.doc_id, CASE WHEN n_found > 0 THEN kept ELSE d.text END AS text, CASE WHEN d.text IS NULL THEN 0 ELSE n_lines END::BIGINT AS n_lines, n_found::BIGINT AS n_removed
 FROM docs d JOIN totals t USING (r)
 """
 
@@ -37,9 +34,11 @@ OP2 = r"""
 WITH words AS (SELECT 'd' AS kind, doc_id AS id, row_number() OVER () AS r, text FROM documents UNION ALL SELECT 'i', item_id, row_number() OVER (), text FROM benchmark),
 split AS (SELECT kind, id, r, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM words),
 shingled AS (SELECT kind, id, r, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM split),
-sets AS (SELECT kind, id, r, len(s) AS n, unnest(s) AS x FROM shingled)
-SELECT d.id AS doc_id, i.id AS item_id, any_value(i.n)::BIGINT AS n_shingles, count(*)::BIGINT AS n_shared
-FROM sets d JOIN sets i ON d.kind = 'd' AND i.kind = 'i' AND d.x = i.x GROUP BY d.r, i.r, d.id, i.id HAVING 100 * count(*) >= 80 * any_value(i.n)
+sets AS (SELECT kind, id, r, len(s) AS n, unnest(s) AS x FROM shingled),
+short AS (SELECT id, r, ' ' || array_to_string(w, ' ') || ' ' AS x FROM split WHERE kind = 'i' AND len(w) BETWEEN 1 AND 4)
+SELECT d.id AS doc_id, i.id AS item_id, 1::BIGINT AS n_shingles, 1::BIGINT AS n_shared FROM short i JOIN split d ON d.kind = 'd' AND contains(' ' || array_to_string(d.w, ' ') || ' ', i.x)
+UNION ALL SELECT d.id AS doc_id, i.id AS item_id, any_value(i.n)::BIGINT AS n_shingles, count(*)::BIGINT AS n_shared
+FROM sets d JOIN sets i ON d.kind = 'd' AND i.kind = 'i' AND d.x = i.x AND i.r NOT IN (SELECT r FROM short) GROUP BY d.r, i.r, d.id, i.id HAVING 100 * count(*) >= 80 * any_value(i.n)
 """
 
 OP10 = r"""
@@ -65,6 +64,8 @@ _SECRETS = (  # kind, expression, what keeps a match
     ("hex", "[0-9a-f]{24,}", "true"),
     ("github", "gh[pousr]_[A-Za-z0-9]+", "length(m) >= 40"),
     ("slack", "xox[abprs]-[A-Za-z0-9-]+", "length(m) >= 15"),
+    ("google", "AIza[A-Za-z0-9_-]+", "length(m) >= 39"),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "length(m) >= 40"),
     ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "true"),
 )
 
@@ -96,7 +97,7 @@ whole AS (SELECT count(*) AS n, sum(size)::BIGINT AS total FROM coded),
 grouped AS (SELECT *, count(*) OVER (PARTITION BY g) AS copies FROM coded, whole),
 celled AS (SELECT *, g >> 48 AS bucket, CASE WHEN copies > greatest(2 * n / 4096.0, 64) THEN g END AS large, CASE WHEN copies > greatest(2 * n / 4096.0, 64) THEN tie % ceil(copies * 4096 / n)::BIGINT END AS part FROM grouped),
 placed AS (SELECT *, sum(size) OVER w - size AS begins, row_number() OVER w - 1 AS pos FROM celled WINDOW w AS (ORDER BY bucket, large NULLS FIRST, part NULLS FIRST, g, tie, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-runs AS (SELECT *, sum(size) OVER (PARTITION BY bucket, large, part, g) AS run, min(begins) OVER (PARTITION BY bucket, large, part, g) AS run_begins FROM placed),
+runs AS (SELECT *, sum(size) OVER (PARTITION BY g) AS run, min(begins) OVER (PARTITION BY g) AS run_begins FROM placed),
 middles AS (SELECT *, CASE WHEN run <= 0.01 * total / 40 THEN 2 * run_begins + run ELSE 2 * begins + size END AS middle FROM runs),
 sharded AS (SELECT *, least(39, (middle * 40) // (2 * total))::INT AS shard FROM middles)
 SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard, (pos - min(pos) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INT AS grown_shard FROM sharded

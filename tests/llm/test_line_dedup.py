@@ -5,21 +5,21 @@ from conftest import ODD, documents, sentence
 from quillspark.llm.line_dedup import dedup_lines
 
 
-def brute_force(rows, min_sites=5, min_chars=20, share=0.5):
-    sites = defaultdict(set)
+def brute_force(rows, min_sites=5):
+    first = {}
     for _, text, site in rows:
+        first[text] = min(site, first.get(text, site))
+    sites = defaultdict(set)
+    for text, site in first.items():
         for line in (text or "").split("\n"):
-            if len(line.strip(" ")) >= min_chars:
+            if line.strip(" "):
                 sites[line.strip(" ")].add(site)
     gone = {k for k, v in sites.items() if len(v) >= min_sites}
     out = []
     for i, text, _ in rows:
-        lines = (text or "").split("\n") if text is not None else []
-        found = [x for x in lines if x.strip(" ") in gone]
-        if found and sum(map(len, found)) <= share * len(text):
-            out.append((i, "\n".join(x for x in lines if x.strip(" ") not in gone), len(lines), len(found)))
-        else:
-            out.append((i, text, len(lines), 0))
+        lines = text.split("\n") if text is not None else []
+        kept = [x for x in lines if x.strip(" ") not in gone]
+        out.append((i, text if text is None else "\n".join(kept), len(lines), len(lines) - len(kept)))
     return sorted(out, key=str)
 
 
@@ -36,6 +36,8 @@ def test_spread_lines_go_and_copies_stay(spark, rng):
             lines.append("  This line stands on four sites and no more  ")
         lines.append("short one")
         rows.append((i, "\n".join(lines), f"site{i % 40}"))
+    # short lines and lines that fill most of a text are no exceptions
+    rows += [(500 + i, f"own {i}\nhm.\n" + "A very long passage that stands on all of these sites and nowhere else " * 3, f"site{i}") for i in range(6)]
     copy = "\n".join(sentence(rng, 12) for _ in range(5))
     rows += [(1000 + i, copy, f"site{i % 40}") for i in range(60)]
     df = documents(spark, rows, "key line removed found cut row _key n_lines")
@@ -45,6 +47,7 @@ def test_spread_lines_go_and_copies_stay(spark, rng):
     kept = {r.doc_id: r["_key"] for r in result.collect()}
     assert all(k == v for k, v in kept.items())
     assert {r.text for r in result.collect() if r.doc_id >= 1000} == {copy}
+    assert {r.text for r in result.collect() if 500 <= r.doc_id < 1000} == {f"own {i}" for i in range(6)}
 
 
 def test_thresholds_are_exact(spark):
