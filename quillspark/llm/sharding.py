@@ -34,10 +34,12 @@ def _hash60(text: Column) -> Column:
 def shard_by_bytes(docs: DataFrame, shards: int = 40, text: str = "text", doc_id: str = "doc_id", group_share: float = 0.01) -> DataFrame:
     """Each row of ``docs`` with its shard: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``.
 
-    Cuts are at equal targets of the summed size; a row goes to the shard that holds its middle. A run of equal texts
-    smaller than ``group_share`` of a shard goes whole to the shard that holds the run's middle; a larger one is cut. ``slot`` numbers a shard's rows without gaps. Null texts count as
-    empty, repeated rows are rows of their own, null ids come first among equal texts, other columns are ignored, and an
-    empty table gives an empty result.
+    Cuts are at equal targets of the summed size. The law for equal texts, which stand side by side: a run of at most
+    ``group_share`` of a shard goes whole to the shard that holds the run's middle; of a larger one each row goes to the
+    shard that holds the row's middle. ``slot`` numbers a shard's rows without gaps. Null texts count as empty, repeated
+    rows are rows of their own, null ids come first among equal texts, other columns are ignored, and an empty table gives
+    an empty result. Ties of id and text are rows that can't be told apart. Very long texts: only their size and hashes
+    are carried; one larger than a shard fills a shard alone.
     """
     content = F.coalesce(F.col(text), F.lit(""))
     rows = saved(
@@ -65,7 +67,10 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, text: str = "text", doc_id
     )
     before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     totals = celled.groupBy("cell").agg(F.sum("size").alias("b"), F.count("*").alias("k"))
-    totals = totals.select("cell", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("bytes_before"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("rows_before"))
+    totals = totals.select("cell", "b", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("bytes_before"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("rows_before"))
+    # a large group's run goes through all of its cells
+    of_large = Window.partitionBy("cell.large")
+    totals = totals.withColumn("large_run", F.when(F.col("cell.large").isNotNull(), F.sum("b").over(of_large))).withColumn("large_begins", F.when(F.col("cell.large").isNotNull(), F.min("bytes_before").over(of_large)))
 
     inside = Window.partitionBy("cell").orderBy("group", "tie", "doc_id")
     group = Window.partitionBy("cell", "group")
@@ -73,9 +78,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, text: str = "text", doc_id
         celled.join(F.broadcast(totals), "cell")
         .withColumn("begins", F.col("bytes_before") + F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("at", F.col("rows_before") + F.row_number().over(inside) - 1)
-        .withColumn("run", F.sum("size").over(group))
+        .withColumn("run", F.coalesce("large_run", F.sum("size").over(group)))
         .withColumn("whole", F.col("run") <= F.lit(group_share * total / shards))
-        .withColumn("middle", F.when(F.col("whole"), 2 * F.min("begins").over(group) + F.col("run")).otherwise(2 * F.col("begins") + F.col("size")))
+        .withColumn("middle", F.when(F.col("whole"), 2 * F.coalesce("large_begins", F.min("begins").over(group)) + F.col("run")).otherwise(2 * F.col("begins") + F.col("size")))
         .withColumn("shard", F.least(F.lit(shards - 1), F.expr(f"middle * {shards} div {2 * max(total, 1)}")).cast("int"))
     )
     placed = saved(placed.select("doc_id", "size", "text_crc32", "shard", "at"), "shard-placed")

@@ -36,6 +36,14 @@ def test_small_groups_stay_together(spark, rng):
     assert all(len(x) == 1 for x in of_text.values())
 
 
+def test_a_group_of_many_small_rows_is_whole(spark, rng):
+    # more copies than a cell takes, but fewer bytes than the law cuts
+    rows = [(i, sentence(rng, 40)) for i in range(900)] + [(5000 + i, "") for i in range(100)]
+    result = shard_by_bytes(documents(spark, rows), 4, group_share=0.05).collect()
+    check(rows, result, 4)
+    assert len({r.shard for r in result if r.doc_id >= 5000}) == 1
+
+
 def random_seeded(i):
     import random
 
