@@ -93,7 +93,8 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 1024, text: str = "text
     """Pieces of all documents with their place: ``sequence_id`` (no gaps) and ``offset`` in the sequence.
 
     Null and empty texts have the closing id only. Repeated rows are documents of their own. Equal pieces of one length may
-    trade places, as their rows are equal. Other columns are ignored; an empty table gives an empty result.
+    trade places, as their rows are equal; other ties of length go by cell, id and start. Very long texts are encoded whole
+    and give as many full sequences as they fill. Other columns are ignored; an empty table gives an empty result.
     """
     spark: SparkSession = docs.sparkSession
     pieces = saved(cut_pieces(docs, tokenizer, longest, text, doc_id), "pieces")
@@ -102,16 +103,31 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 1024, text: str = "text
     cells = [0] * (longest + 1)
     for length, count in histogram.items():
         cells[length] = -(-count * CELLS // n)
-    # at most CELLS + longest cells; at most one interval for each place in a pattern
+    # at most CELLS + longest cells
     lengths = spark.createDataFrame([(k, v) for k, v in enumerate(cells) if v], "length long, cells int")
-    places = spark.createDataFrame(_intervals(shortest_pack_first(histogram, longest)), "length long, rank_from long, rank_to long, sequence_from long, offset_from long, times long")
+    intervals = np.array(_intervals(shortest_pack_first(histogram, longest)), dtype=np.int64).reshape(-1, 6)
+    intervals = intervals[np.lexsort((intervals[:, 1], intervals[:, 0]))]  # at most one for each place in a pattern
     celled = pieces.join(F.broadcast(lengths), "length").withColumn("cell", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("cells")).cast("int"))
     before = Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     totals = celled.groupBy("length", "cell").count().select("length", "cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ranks_before"))
     inside = Window.partitionBy("length", "cell").orderBy("doc_id", "start", "ids_crc32")
     ranked = celled.join(F.broadcast(totals), ["length", "cell"]).withColumn("rank", F.col("ranks_before") + F.row_number().over(inside) - 1)
-    placed = ranked.join(F.broadcast(places), "length").where((F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
-    nth = F.col("rank") - F.col("rank_from")
-    sequence = (F.col("sequence_from") + F.expr("(rank - rank_from) div times")).alias("sequence_id")
-    offset = (F.col("offset_from") + (nth % F.col("times")) * F.col("length")).alias("offset")
-    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", sequence, offset)
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    return ranked.select(*names, "rank").mapInArrow(_placed(intervals), f"{PIECES}, sequence_id long, offset long")
+
+
+def _placed(intervals: np.ndarray):
+    """Pieces with their rank among the pieces of their length to pieces with their place, by a search among the intervals."""
+    length_from, rank_from, _, sequence_from, offset_from, times = intervals.T
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        widest = int(intervals[:, 2].max(initial=0)) + 1
+        begins = length_from * widest + rank_from
+        for batch in batches:
+            length, rank = batch.column(2).to_numpy(), batch.column(5).to_numpy()
+            at = np.searchsorted(begins, length * widest + rank, side="right") - 1
+            nth = rank - rank_from[at]
+            columns = [*batch.columns[:5], pa.array(sequence_from[at] + nth // times[at]), pa.array(offset_from[at] + nth % times[at] * length)]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:5], "sequence_id", "offset"])
+
+    return placed

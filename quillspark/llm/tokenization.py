@@ -12,9 +12,10 @@ _PLAIN = re.compile("[\x09-\x0d\x20-\x7e\xa0-ɏ‐-‧‰-⁞₠-₿]*")
 
 
 class Encoder:
-    """Ids as `tokenizers` gives them for the file at ``path`` (special tokens in a text are ordinary text).
+    """Ids as ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)`` of `tokenizers` gives them.
 
-    `tiktoken` encodes the same vocabulary several times faster; it is used for texts of plain Latin characters.
+    `tiktoken` encodes the same vocabulary several times faster; it is used for texts of plain Latin characters in which
+    no special token is written out.
     """
 
     _kept: dict[str, Encoder] = {}
@@ -25,7 +26,6 @@ class Encoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
         special = {t.content for t in self.exact.get_added_tokens_decoder().values()}
@@ -35,6 +35,7 @@ class Encoder:
         byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
         if set(byte_of) != set(ByteLevel.alphabet()):
             raise ValueError(f"{path} isn't a byte-level vocabulary")
+        self.special = re.compile("|".join(map(re.escape, sorted(special))) or "(?!)")
         ranks = {bytes(byte_of[c] for c in word): i for word, i in model["vocab"].items() if word not in special}
         pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         self.fast = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -46,6 +47,6 @@ class Encoder:
         return cls._kept[path]
 
     def ids(self, text: str) -> np.ndarray:
-        if _PLAIN.fullmatch(text):
+        if _PLAIN.fullmatch(text) and not self.special.search(text):
             return self.fast.encode_to_numpy(text, disallowed_special=())
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
