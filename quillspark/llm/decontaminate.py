@@ -7,7 +7,8 @@ bin keeps its smallest hash; one equal bin makes a candidate. There are four bin
 so each shingle that both have is found with a probability over a half by itself, and an item with 0.8 of its shingles in
 a document is missed with a probability far below ``0.5 ** (0.8 * shingles)``. That isn't low enough for items of a few
 shingles: those of the smallest classes are compared by all their shingles, without bins, and are found always.
-Candidates are then counted on the full sets.
+Candidates are then counted on the full sets. An item of fewer words than a shingle has is one shingle of all its words,
+and is looked up among the documents' runs of as many words.
 
 Items are read in blocks of bounded size; each block is held against all documents in one pass without a shuffle.
 """
@@ -21,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import U64, distinct_by_row, hashed_words, shingles, text_chunks
+from .storage import saved
+from .words import U64, Words, distinct_by_row, hashed_words, shingles, text_chunks
 
 #: A block's items have at most about so many shingles (8 bytes each), or one item's.
 BLOCK_SHINGLES = 1 << 20
@@ -55,10 +57,18 @@ class Items:
 
     def __init__(self, ids: list, texts: pa.Array, size: int) -> None:
         self.ids, self.sets = ids, []
+        short: dict[int, list[tuple[int, int]]] = {n: [] for n in range(1, size)}
         for chunk in text_chunks(texts):
-            values, bounds = distinct_by_row(*shingles(hashed_words(chunk), size))
-            self.sets += [values[a:b] for a, b in zip(bounds, bounds[1:])]
-        counts = np.array([len(x) for x in self.sets])
+            words = hashed_words(chunk)
+            values, bounds = distinct_by_row(*shingles(words, size))
+            lengths = np.diff(words.of_doc)
+            for n, found in short.items():
+                hashes, ends = shingles(words, n)
+                found += [(int(hashes[ends[row]] >> U64(16)), len(self.sets) + row) for row in np.flatnonzero(lengths == n)]
+            self.sets += [values[a:b] if n >= size else values[:0] for n, a, b in zip(lengths, bounds, bounds[1:])]
+        counts = np.array([len(x) for x in self.sets], dtype=np.int64)
+        # items of fewer words than a shingle, by their number of words: their only values in ascending order, and the items
+        self.short = {n: (np.array([v for v, _ in sorted(found)], dtype=U64), np.array([i for _, i in sorted(found)])) for n, found in short.items() if found}
         self.classes = {}
         for k in np.unique(_size_class(counts[counts > 0])):
             own = [i for i in np.flatnonzero(counts) if _size_class(counts[i : i + 1])[0] == k]
@@ -99,11 +109,23 @@ def _candidates(values: np.ndarray, rows: np.ndarray, position: np.ndarray, size
     return {(int(row_twice[kept[i]]), int(item)) for i in equal for item in items[low[i] : high[i]]}
 
 
+def _short_items(words: Words, n: int, short: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
+    """(row, item) for the items of n words, fewer than a shingle has, that rows hold."""
+    item_values, items = short
+    hashes, ends = shingles(words, n)
+    values = hashes >> U64(16)
+    rows = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    long_enough = np.diff(words.of_doc) >= n  # a shorter text is one run of fewer words
+    low, high = (np.searchsorted(item_values, values, side) for side in ("left", "right"))
+    return sorted({(int(rows[i]), int(item)) for i in np.flatnonzero((high > low) & long_enough[rows]) for item in items[low[i] : high[i]]})
+
+
 def _search(items: Items, size: int, percent: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in text_chunks(batch.column(1)):
-                hashes, ends = shingles(hashed_words(chunk), size)
+                words = hashed_words(chunk)
+                hashes, ends = shingles(words, size)
                 values = hashes >> U64(16)
                 n = np.diff(ends)
                 rows = np.repeat(np.arange(len(n)), n)
@@ -114,7 +136,7 @@ def _search(items: Items, size: int, percent: int):
                 pairs: set[tuple[int, int]] = set()
                 for k, signature in items.classes.items():
                     pairs |= _candidates(values[at], rows[at], position[at], k, signature)
-                out: list[tuple[int, int, int, int]] = []
+                out = [(row, items.ids[item], 1, 1) for n, short in items.short.items() for row, item in _short_items(words, n, short)]
                 for row, item in sorted(pairs):
                     wanted = items.sets[item]
                     shared = int(np.isin(wanted, values[ends[row] : ends[row + 1]]).sum())
@@ -131,9 +153,10 @@ def _search(items: Items, size: int, percent: int):
 def contained_items(docs: DataFrame, items: DataFrame, shingle_words: int = 5, containment: float = 0.8, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``doc_id, item_id, n_shingles, n_shared``: documents that hold ``containment`` of an item's word shingles or more.
 
-    Shingles are distinct runs of ``shingle_words`` words; an item with fewer words is one shingle of all of them, found in
-    documents of the same words; null, empty and blank items are in no document. Repeated rows of either table give
-    repeated pairs. Other columns are ignored; empty tables give an empty result.
+    Shingles are distinct runs of ``shingle_words`` words; an item with fewer words is one shingle of all of them, which any
+    document may hold; null, empty and blank items are in no document. Repeated rows of either table give repeated pairs,
+    so there are no ties. Very long texts are searched whole; a task needs some 60 bytes for each word of its longest.
+    Other columns are ignored; empty tables give an empty result.
     """
     items = items.select(F.col(item_id).cast("long").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -143,6 +166,8 @@ def contained_items(docs: DataFrame, items: DataFrame, shingle_words: int = 5, c
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(int(blocks))) == k).toArrow().combine_chunks()
         held = Items(block["item_id"].to_pylist(), block["text"], shingle_words)
         part = rows.mapInArrow(_search(held, shingle_words, round(100 * containment)), FOUND)
+        if blocks > 1:
+            part = saved(part, "found-items")  # one block after another: the plan never holds more than one
         found = part if found is None else found.unionByName(part)
     return found
 

@@ -17,6 +17,10 @@ def brute_force(docs, items):
         have = shingle_set(text)
         for k, item in items:
             want = shingle_set(item)
+            if len(n := re.findall(r"[^\x20\x09-\x0D]+", item or "")) < 5:
+                have_short = shingle_set(text, len(n)) if len(re.findall(r"[^\x20\x09-\x0D]+", text or "")) >= len(n) else set()
+                out += [(i if i is not None else -1, k, 1, 1)] if n and want <= have_short else []
+                continue
             if want and 100 * len(want & have) >= 80 * len(want):
                 out.append((i if i is not None else -1, k, len(want), len(want & have)))
     return sorted(out)
