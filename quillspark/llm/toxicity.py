@@ -156,9 +156,12 @@ def train(docs: DataFrame, labels: DataFrame, learnable, positives: int = 4000,
     slot[chosen] = np.arange(len(chosen))
     rows = sample.mapInArrow(_matrix(slot, len(chosen)), "positive boolean, places array<int>, numbers array<int>").toArrow()
     x = np.zeros((rows.num_rows, len(chosen)), dtype=np.float32)
-    for i, (places, numbers) in enumerate(zip(rows["places"].to_pylist(), rows["numbers"].to_pylist())):
-        x[i, places] = np.log1p(numbers)
+    places, numbers = rows["places"].combine_chunks(), rows["numbers"].combine_chunks()
+    if isinstance(places, pa.ChunkedArray):  # a table without rows
+        return None
+    x[np.repeat(np.arange(rows.num_rows), places.value_lengths().to_numpy()), places.flatten().to_numpy()] = np.log1p(numbers.flatten().to_numpy())
     positive = rows["positive"].to_numpy()
+    del rows, places, numbers
     if positive.all() or not positive.any():
         return None
     fitted = []
@@ -190,8 +193,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learnable, text: str = "t
 
     ``labels`` has columns doc_id and toxic (1, 0 or null); ``learnable`` tells from an id column which rows may be learnt
     from. Null and empty texts get the score of a text without features. Without toxic labels every score is 0. Repeated
-    rows get equal scores; see :func:`train` for the bounds.
+    rows get equal scores, null ids aren't learnt from, and ties among features and samples go by hashes. Very long texts
+    are scored whole; a task needs some 200 bytes for each byte of its longest text. A kept column named ``score`` would
+    clash with the result and is refused; other columns are ignored. See :func:`train` for the bounds.
     """
+    if "score" in keep:
+        raise ValueError("a kept column can't be named score")
     model = train(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), labels, learnable, **bounds)
     source = text if text in keep else "_text"  # a kept text is sent to the tasks once
     rows = docs.select(F.col(doc_id).alias("doc_id"), *keep, *([] if text in keep else [F.col(text).alias("_text")]))
