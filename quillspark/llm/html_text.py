@@ -1,9 +1,9 @@
-"""The main text of web pages: structure first, and suffix arrays over each site's pages where structure is silent.
+"""The main text of web pages: structure where it speaks, and suffix arrays over each site's pages where it is silent.
 
-A page is cut into blocks. Tags and attributes settle most of them: what stands in an article or main element is text,
-what stands in menus, headers, footers, sidebars, notices, adverts, forms or comments isn't. For pages of a site whose
-blocks aren't all settled, the pages' token streams are concatenated, a suffix array finds long runs of tokens that
-recur on distinct pages, and open blocks that such runs cover are dropped; unique runs stay.
+A page is cut into blocks. Tags and attributes settle many of them: what stands in an article or main element is text,
+what stands in menus, headers, footers, sidebars, notices, adverts, forms or comments isn't. On sites that have other
+blocks, too, the pages' token streams are concatenated, a suffix array finds long runs of tokens that recur on distinct
+pages, and the open blocks that such runs cover are dropped; unique runs stay, beside an article as well.
 
 Sites are dealt into cells of a bounded number of pages, and tasks build their arrays over some cells at a time. A site with
 more pages than a cell holds has them in several cells; its cells first tell the runs they have, and runs that are on
@@ -31,10 +31,16 @@ LONG, PAGES = 8, 2
 #: Share of an open block's tokens that long runs must cover for it to go.
 COVERED = 0.8
 CELL_PAGES = 64
+#: Pages are dealt over so many salts where they meet what is known of their site, as one site may have a third of them.
+SITE_SALTS = 16
 #: Cells are taken together up to so many tokens.
 BATCH_TOKENS = 1 << 18
 
-_SKIP = frozenset("script style noscript template head title svg iframe object canvas select textarea button audio video".split())
+#: Elements whose content is no markup and ends at their own end tag only; elements left out with all that is in them; and
+#: those of them that can't stand inside themselves.
+_RAW = frozenset("script style title textarea iframe".split())
+_SKIP = frozenset("noscript template svg object canvas select button audio video".split())
+_NOT_NESTED = frozenset("select button".split())
 _CHROME_TAGS = frozenset("nav aside footer form dialog menu".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -46,7 +52,7 @@ _CHROME_ROLES = frozenset("navigation banner contentinfo complementary search fo
 _CHROME_WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adbox adslot adsbygoogle banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie "
     "cookies disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promos "
-    "promoted promotion related recommended replies reply respond share sharing sidebar sidebars signup social sponsor sponsored sponsors subscribe subscription tags toolbar topbar "
+    "promoted promotion related recommended replies reply respond responses share sharing sidebar sidebars signup social sponsor sponsored sponsors subscribe subscription tags toolbar topbar "
     "widget widgets alert alerts toc skip donate rail".split()
 )
 #: Of those, words that also name parts of a text; and words that only say what is near or how a part is laid out.
@@ -91,7 +97,7 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
     out: list[tuple[int, str]] = []
     parts: list[str] = []
     stack: list[tuple[str, int]] = []  # open elements and what holds in them
-    standing, skipping, at = OPEN, "", 0
+    standing, at = OPEN, 0
 
     def flush() -> None:
         if parts:
@@ -100,21 +106,17 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
             if text:
                 out.append((standing, text))
 
-    for m in _TOKEN.finditer(html):
-        if not skipping and m.start() > at:
+    while m := _TOKEN.search(html, at):
+        if m.start() > at:
             parts.append(html[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         closing, tag, attributes = m[1], m[2].lower(), m[3]
-        if skipping:
-            if closing and tag == skipping:
-                skipping = ""
-            continue
-        if tag in _SKIP and not closing:
-            if not attributes.endswith("/"):
-                skipping = tag
-            if tag in ("head", "title"):
+        if (tag in _RAW or tag in _SKIP) and not closing:
+            if tag in _RAW or not attributes.endswith("/"):
+                at = _after_element(html, at, tag)
+            if tag == "title":
                 flush()
             continue
         if tag in _BLOCK:
@@ -135,12 +137,22 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
         if now != standing:
             flush()
             standing = now
-    if not skipping:
-        parts.append(html[at:])
+    parts.append(html[at:])
     flush()
     return out
 
 
+def _after_element(html: str, at: int, tag: str) -> int:
+    """Where the content of an element that begins at ``at`` and is left out ends.
+
+    Without an end tag, content that is no markup goes on to the page's end; any other such element is taken as empty.
+    """
+    end = re.compile(rf"</?{tag}(?=[\s/>])[^>]*>?" if tag in _NOT_NESTED else rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
+    if end is None:
+        return len(html) if tag in _RAW else at
+    return end.end() if end[0].startswith("</") else end.start()
+
+
 def suffix_ranks(stream: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffix array of a token stream, sorted by the first ``length`` tokens, and each suffix's rank.
 
@@ -189,24 +201,16 @@ def window_hashes(stream: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return mix(sum((stream[begins + k] * f for k, f in enumerate(_FACTORS)), np.zeros(len(begins), dtype=U64)))
 
 
-def settled(html: str) -> tuple[list[tuple[int, str]], bool]:
-    """A page's blocks, and whether all are settled: beside an article or main element, open blocks are no main text."""
-    blocks = blocks_of(html)
-    if any(standing == TEXT for standing, _ in blocks):
-        return [(TEXT if standing == TEXT else CHROME, text) for standing, text in blocks], True
-    return blocks, not any(standing == OPEN for standing, _ in blocks)
-
-
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ``(key, site, html)`` to the token streams of all blocks but those settled as text.
 
     ``tokens`` are hashes of lower-cased words with the site in them, so sites never share a run; ``blocks`` has each
-    token's block, as its negative less one if the block isn't open.
+    token's block, as its negative less one if the block isn't open. ``open`` says whether the page has open blocks.
     """
     for batch in batches:
-        keys, sites, tokens, blocks = [], [], [], []
+        keys, sites, tokens, blocks, is_open = [], [], [], [], []
         for key, site, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            found = [(k, standing, text) for k, (standing, text) in enumerate(settled(html.as_py() or "")[0]) if standing != TEXT]
+            found = [(k, standing, text) for k, (standing, text) in enumerate(blocks_of(html.as_py() or "")) if standing != TEXT]
             if not found:
                 continue
             data = LOWER[np.frombuffer("\n".join(text for _, _, text in found).encode(), dtype=np.uint8)]
@@ -218,7 +222,9 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sites.append(site)
             tokens.append(mix(span_hashes(data, start, end) ^ U64(site & 0xFFFFFFFFFFFFFFFF)).view(np.int64))
             blocks.append(number[of])
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sites, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(blocks, pa.list_(pa.int32()))], ["key", "site", "tokens", "blocks"])
+            is_open.append(bool((number >= 0).any()))
+        columns = [pa.array(keys, pa.int64()), pa.array(sites, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(blocks, pa.list_(pa.int32())), pa.array(is_open, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "site", "tokens", "blocks", "open"])
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -288,7 +294,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
         for html, dropped in zip(batch.column(2), batch.column(3).to_pylist()):
             gone = set(dropped or ())
-            texts.append(" ".join(text for k, (standing, text) in enumerate(settled(html.as_py() or "")[0]) if standing == TEXT or standing == OPEN and k not in gone))
+            texts.append(" ".join(text for k, (standing, text) in enumerate(blocks_of(html.as_py() or "")) if standing == TEXT or standing == OPEN and k not in gone))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
@@ -301,13 +307,19 @@ def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     """``page_id, url, text`` for each row of ``pages``; the text is empty where a page has none.
 
     White space inside a block becomes one space, blocks are joined by one. Null html is empty. Repeated rows count as one
-    page when runs are looked for, and each gets its text. Other columns are ignored.
+    page when runs are looked for, and each gets its text; there are no other ties. Runs are looked for on sites that have
+    open blocks; where structure settles all blocks of all pages nothing is left to find. Very long pages are parsed whole.
+    Other columns are ignored, and an empty table gives an empty result.
     """
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     keyed = rows.withColumn("key", F.xxhash64("page_id", "url", "html"))
-    streams = saved(keyed.select("key", F.xxhash64(site_of(F.col("url"))).alias("site"), "html").mapInArrow(_streams, "key long, site long, tokens array<long>, blocks array<int>").dropDuplicates(["key"]), "streams")
-    large = streams.groupBy("site").count().where(F.col("count") > cell_pages).select("site", F.ceil(F.col("count") / cell_pages).cast("int").alias("cells"))
-    dealt = streams.join(large.hint("merge"), "site", "left")
+    kinds = "key long, site long, tokens array<long>, blocks array<int>, open boolean"
+    streams = saved(keyed.select("key", F.xxhash64(site_of(F.col("url"))).alias("site"), "html").mapInArrow(_streams, kinds).dropDuplicates(["key"]), "streams")
+    asked = streams.groupBy("site").agg(F.count("*").alias("count"), F.max("open").alias("open")).where("open")
+    if asked.isEmpty():
+        return keyed.withColumn("dropped", F.lit(None).cast("array<int>")).select("page_id", "url", "html", "dropped").mapInArrow(_texts, "page_id long, url string, text string")
+    asked = asked.select("site", F.when(F.col("count") > cell_pages, F.ceil(F.col("count") / cell_pages).cast("int")).alias("cells"), F.explode(F.sequence(F.lit(0), F.lit(SITE_SALTS - 1))).alias("salt"))
+    dealt = streams.withColumn("salt", F.pmod("key", F.lit(SITE_SALTS)).cast("int")).join(asked.hint("merge"), ["site", "salt"])
     dealt = dealt.withColumn("cell", F.when(F.col("cells").isNotNull(), F.xxhash64("site", F.pmod("key", "cells"))).otherwise(F.col("site")))
     by_cell = lambda df: df.repartition("cell").sortWithinPartitions("cell")
     spread = dealt.where("cells IS NOT NULL").select("cell", "key", "tokens", "blocks")
@@ -315,8 +327,5 @@ def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     wide = told.groupBy("window").agg(F.sum("n").alias("pages"), F.count("*").alias("cells")).where((F.col("pages") >= PAGES) & (F.col("cells") > 1)).select("window")
     known = told.join(wide.hint("merge"), "window", "left_semi").select("cell", F.lit(None).cast("long").alias("key"), F.array("window").alias("tokens"), F.array().cast("array<int>").alias("blocks"))
     verdicts = saved(by_cell(dealt.select("cell", "key", "tokens", "blocks").unionByName(known)).mapInArrow(_judge, "key long, block int"), "verdicts")
-    if verdicts.isEmpty():
-        whole = keyed.withColumn("dropped", F.lit(None).cast("array<int>"))
-    else:
-        whole = keyed.join(verdicts.groupBy("key").agg(F.collect_set("block").alias("dropped")), "key", "left")
+    whole = keyed.join(verdicts.groupBy("key").agg(F.collect_set("block").alias("dropped")), "key", "left")
     return whole.select("page_id", "url", "html", "dropped").mapInArrow(_texts, "page_id long, url string, text string")

@@ -1,6 +1,6 @@
 import numpy as np
 
-from quillspark.llm.html_text import blocks_of, covered_by, main_texts, windows_on_pages
+from quillspark.llm.html_text import LONG, blocks_of, covered_by, main_texts, windows_on_pages
 
 MENU = "<div>Home About Contact us Our very long menu line goes here</div>"
 FOOT = "<div>Copyright all rights reserved by this very nice site of ours</div>"
@@ -58,6 +58,12 @@ def test_suffix_array_against_brute_force(rng):
 def test_odd_markup():
     assert blocks_of("a < b <p>c</p> <unclosed") == [(0, "a < b"), (0, "c"), (0, "<unclosed")]
     assert blocks_of("<script>never closed <p>x</p>") == []
+    assert [t for _, t in blocks_of("<head><title>T</title><body><article><p>Body</article>")] == ["Body"]
+    assert [t for _, t in blocks_of('<script>if(a<b){x()}</script><article>One</article><SCRIPT>var t = "</p>"</SCRIPT >two')] == ["One", "two"]
+    for left_open in ("<button>", "<svg>", "<select>", "<video src=x>"):
+        assert [t for _, t in blocks_of(f"{left_open}<article>All of it</article>")] == ["All of it"]
+    assert [t for _, t in blocks_of("<button>a<p>kept</p><button>b</button><svg><text>c</text></svg>")][-1:] != ["c"]
+    assert [s for s, _ in blocks_of('<article><p>x</p><ol class="responses"><li>Nice!</li></ol></article>')] == [1, -1]
     assert blocks_of("<p>" + "x" * 200_000)[0][1] == "x" * 200_000
     assert blocks_of("</div></p>text")[0] == (0, "text")
 
@@ -70,6 +76,39 @@ def test_names_of_parts():
     assert [x for x in chrome.split() if not _names_chrome(x)] == [] and [x for x in text.split() if _names_chrome(x)] == []
 
 
+def test_blocks_beside_an_article(spark):
+    site = lambda i: f"<body>{MENU}<div>Its own lead {i} a{i} b{i} c{i} d{i} e{i} f{i}</div><article><p>Text {i}</p></article>{FOOT}</body>"
+    rows = [(i, f"http://a.com/{i}", site(i)) for i in range(4)] + [(9, "http://b.com/", "<article>Alone</article><footer>foot</footer>")]
+    assert texts(main_texts(pages(spark, rows))) == {i: f"Its own lead {i} a{i} b{i} c{i} d{i} e{i} f{i} Text {i}" for i in range(4)} | {9: "Alone"}
+
+
+def brute_force(rows):
+    """Main texts by looking at every run of LONG tokens of every page of the site."""
+    where = {}
+    for i, url, html in rows:
+        tokens = [w for standing, text in blocks_of(html) if standing != 1 for w in text.lower().split()]
+        for k in range(len(tokens) - LONG + 1):
+            where.setdefault((url.split("/")[2], *tokens[k : k + LONG]), set()).add(i)
+    out = {}
+    for i, url, html in rows:
+        blocks = blocks_of(html)
+        stream = [(b, w) for b, (standing, text) in enumerate(blocks) if standing != 1 for w in text.lower().split()]
+        covered = {k + j for k in range(len(stream) - LONG + 1) if len(where[(url.split("/")[2], *(w for _, w in stream[k : k + LONG]))]) > 1 for j in range(LONG)}
+        share = lambda b: sum(k in covered for k, (x, _) in enumerate(stream) if x == b) / sum(x == b for x, _ in stream)
+        out[i] = " ".join(text for b, (standing, text) in enumerate(blocks) if standing == 1 or standing == 0 and share(b) < 0.8)
+    return out
+
+
+def test_main_texts_against_brute_force(spark, rng):
+    parts = [" ".join(f"w{rng.randrange(60)}" for _ in range(rng.choice([3, 9, 14, 25]))) for _ in range(25)]
+    rows = []
+    for i in range(60):
+        chosen = [rng.choice(["<div>{}</div>", "<p>{}</p>", "<nav>{}</nav>", "<article>{}</article>"]).format(rng.choice([rng.choice(parts), f"{rng.choice(parts)} own{i} {i}x {i}y", f"only {i} a{i} b{i}"])) for _ in range(6)]
+        rows.append((i, f"http://site{i % 3}.org/{i}", "<body>" + "".join(chosen)))
+    for cell_pages in (64, 3):
+        assert texts(main_texts(pages(spark, rows), cell_pages=cell_pages)) == brute_force(rows)
+
+
 def test_a_page_without_an_article(spark):
     html = """<body class="home with-ads"><div id="hd">Paper</div><ul class="main-menu"><li>A</li></ul><div class="content has-sidebar"><h1>Head</h1><p>Text of it.</p>
     <div class="comment-list">Nice!</div></div><div role="alert">Notice</div></body>"""
