@@ -51,11 +51,16 @@ twice AS (SELECT r, i FROM windows SEMI JOIN (SELECT r, x FROM windows GROUP BY
 repeats AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, i + k AS p FROM twice, range(5) t(k)) GROUP BY r),
 counts AS (SELECT r, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(d.n, 0)::BIGINT AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words,
-  len(list_filter(w, lambda x: x LIKE '%!!')) AS shouts
-  FROM split LEFT JOIN dups d USING (r) LEFT JOIN repeats p USING (r)),
+  len(list_filter(w, lambda x: x LIKE '%!!')) AS shouts, len(list_filter(w, lambda x: NOT regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS unlettered,
+  length(regexp_replace(text, '[^0-9]', '', 'g')) AS digits, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS capitals, length(regexp_replace(text, '[^{}]', '', 'g')) AS braces,
+  coalesce(list_sum(list_transform(list_filter(w, lambda x: length(x) > 100), lambda x: length(x))), 0) AS long_word_chars, len(list_distinct(w)) AS n_distinct,
+  coalesce(l.n, 0) AS n_lines, coalesce(l.ellipses, 0) AS ellipses, coalesce(l.bullets, 0) AS bullets
+  FROM split LEFT JOIN dups d USING (r) LEFT JOIN repeats p USING (r)
+  LEFT JOIN (SELECT r, count(*) AS n, count(*) FILTER (WHERE line LIKE '%...') AS ellipses, count(*) FILTER (WHERE line LIKE '- %' OR line LIKE '* %') AS bullets FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r) l USING (r)),
 based AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND 10 * n_symbols <= 3 * n_words AND word_chars <= 20 * n_words AND 10 * shouts <= 3 * n_words AS kept FROM based
+  NOT (base_failed OR 10 * n_symbols > 3 * n_words OR word_chars > 20 * n_words OR 2 * word_chars < 3 * n_words OR 2 * n_dup_lines > n_lines OR 2 * digits > word_chars OR 2 * capitals > word_chars
+  OR 5 * braces > n_words OR 10 * shouts > 3 * n_words OR 2 * unlettered > n_words OR 10 * ellipses > 3 * n_lines OR 10 * bullets > 9 * n_lines OR 2 * long_word_chars > word_chars OR n_distinct < 6) AS kept FROM based
 """
 
 _SECRETS = (  # kind, expression, what keeps a match
