@@ -1,10 +1,11 @@
 """Brown's class-based n-grams: exchange clustering of words, then smoothed perplexity of every text.
 
-The classed units are the most frequent words, one by one, and all other words by their last bytes; one more unit ends a
-text. Exchange clustering gives each unit a class. The probability of a token is that of its class after the classes of
-the tokens before, times that of its unit in the class, times that of the word in the unit. Word counts come from all
-learnable texts and stay in Spark: only the head of the vocabulary, of a fixed size, goes to the tasks; tokens outside it
-meet their counts in a join.
+Exchange clustering gives classes to the most frequent words, one by one, and to the last bytes of all others; one more
+unit ends a text. Then every further word of the vocabulary's head that is frequent enough gets the class that explains
+best which classes stand before and after it: those neighbours are counted on Spark, a row for each word and class. Only
+rarer words go by their last bytes. The probability of a token is that of its class after the class of the token before,
+times that of its word in the class. Word counts come from all learnable texts and stay in Spark: only the head of the
+vocabulary goes to the tasks; tokens outside it meet their counts in a join.
 """
 
 from __future__ import annotations
@@ -29,9 +30,10 @@ SUFFIX_BYTES = 3
 class Bounds(NamedTuple):
     """What limits the model's parts on the driver and in the tasks, whatever the corpus."""
 
-    head_words: int = 200_000  # words whose counts go to every task
-    unit_words: int = 1_000  # words that are units of their own
-    suffixes: int = 500  # further units, by last bytes
+    head_words: int = 400_000  # words whose counts and classes go to every task
+    unit_words: int = 1_000  # words whose classes are found by exchange
+    least: int = 4  # further words of the head with so many tokens get a class by their neighbours
+    suffixes: int = 500  # units of all other words, by last bytes
     classes: int = 48
     sweeps: int = 4
 
@@ -167,48 +169,120 @@ class Model(NamedTuple):
     """Log probabilities (base 10) and the head of the vocabulary, as the tasks need them."""
 
     units: Units
-    class_of: np.ndarray  # of each unit
+    class_of_unit: np.ndarray
     after: np.ndarray  # [class before, class]
-    unit_in_class: np.ndarray
-    unit_total: np.ndarray  # log10 of the smoothed size of each unit's vocabulary count
+    unit_log: np.ndarray  # of a rare word's unit: its share of its class, over its smoothed count of words
     head: np.ndarray  # sorted hashes of frequent words
     head_count: np.ndarray
+    head_class: np.ndarray  # -1: the word goes by its last bytes
+    head_log: np.ndarray  # of a word with a class: its share of its class
     n_tokens: int
     n_distinct: int
 
 
-def _class_model(units: Units, pairs: np.ndarray, bounds: Bounds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes, transitions and the units' shares of their classes; unseen pairs fall back on the class's own share."""
-    member = exchange(pairs, bounds.classes, bounds.sweeps)
-    k = member.max() + 1
-    onehot = np.zeros((len(member), k))
-    onehot[np.arange(len(member)), member] = 1
-    table = onehot.T @ pairs @ onehot
-    share = (table.sum(axis=0) + 0.5) / (table.sum() + 0.5 * k)
+class Classes(NamedTuple):
+    """The classes of tokens: those of words in the head, where they have one, and of their units."""
+
+    units: Units
+    of_unit: np.ndarray
+    head: np.ndarray
+    of_head: np.ndarray
+
+    def tokens(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the chunk's tokens with ends: word, unit, place in the head (-1: none), class, the class before, row bounds."""
+        _, token, unit, _, bounds = _unit_rows(chunk, self.units)
+        at, known = Units._find(self.head, token)
+        at = np.where(known, at, -1)
+        own = np.where(known, self.of_head[at], -1) if len(self.head) else at
+        own = np.where(own >= 0, own, self.of_unit[unit])
+        before = np.full_like(own, self.of_unit[0])
+        before[1:] = own[:-1]
+        before[bounds[:-1]] = self.of_unit[0]
+        return token, unit, at, own, before, bounds
+
+
+def _count_neighbours(classes: Classes, asked: np.ndarray):
+    """``(place, neighbour, n)``: how often a class stands before (or, ``k`` on, after) the words at places in the head."""
+    k = int(classes.of_unit.max()) + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in text_chunks(batch.column(0), 4 * CHUNK_BYTES):
+                _, _, at, own, before, bounds = classes.tokens(chunk)
+                after = np.append(own[1:], classes.of_unit[0])
+                after[bounds[1:] - 1] = classes.of_unit[0]
+                hit = np.flatnonzero(asked[at] & (at >= 0))
+                key, n = np.unique(np.concatenate((at[hit] * (2 * k) + before[hit], at[hit] * (2 * k) + k + after[hit])), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key // (2 * k)), pa.array((key % (2 * k)).astype(np.int32)), pa.array(n)], ["place", "neighbour", "n"])
+
+    return count
+
+
+def _best_class(k: int, left: np.ndarray, right: np.ndarray, size: np.ndarray):
+    """Rows ``(place, neighbours)`` to the class under which a word's neighbours are likeliest, the smaller on ties.
+
+    ``left[c, d]`` is the log probability of class d after c, ``right`` the same with the word's class as the first, and
+    ``size`` that of one token among those of a class.
+    """
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            pairs = lists.flatten()
+            counts = np.zeros((batch.num_rows, 2 * k))
+            counts[row, pairs.field("neighbour").to_numpy()] = pairs.field("n").to_numpy()
+            gain = counts[:, :k] @ left + counts[:, k:] @ right.T + counts[:, :k].sum(axis=1)[:, None] * size
+            gain[:, 0] = -np.inf  # the end's own class
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gain.argmax(axis=1).astype(np.int16))], ["place", "class"])
+
+    return best
+
+
+def _count_classes(classes: Classes):
+    """How often each class follows each: a row for each pair."""
+    k = int(classes.of_unit.max()) + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = np.zeros(k * k, dtype=np.int64)
+        for batch in batches:
+            for chunk in text_chunks(batch.column(0)):
+                _, _, _, own, before, _ = classes.tokens(chunk)
+                dense += np.bincount(before * k + own, minlength=k * k)
+        at = np.flatnonzero(dense)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(dense[at])], ["pair", "n"])
+
+    return count
+
+
+def transitions(table: np.ndarray) -> np.ndarray:
+    """Log10 probabilities of classes after classes; unseen pairs fall back on the class's own share."""
+    share = (table.sum(axis=0) + 0.5) / (table.sum() + 0.5 * len(table))
     back = 5.0  # the weight of the class's own share, in tokens
-    after = (table + back * share) / (table.sum(axis=1, keepdims=True) + back)
-    count = pairs.sum(axis=0)
-    size = onehot.T @ (count + 0.5)
-    return member, np.log10(after), np.log10((count + 0.5) / size[member])
+    return np.log10((table + back * share) / (table.sum(axis=1, keepdims=True) + back))
+
+
+def _by_class(member: np.ndarray, values: np.ndarray, k: int) -> np.ndarray:
+    return np.bincount(member, values, k)
 
 
 def _score(model: Model):
     base_of = lambda c: np.log10((c + 0.5) / (model.n_tokens + 0.5 * (model.n_distinct + 1)))
+    classes = Classes(model.units, model.class_of_unit, model.head, model.head_class)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         uid = (context.partitionId() if context else 0) << 40
         for batch in batches:
             for chunk in text_chunks(batch.column(1)):
-                _, token, unit, before, bounds = _unit_rows(chunk, model.units)
-                at, known = Units._find(model.head, token)
+                token, unit, at, own, before, bounds = classes.tokens(chunk)
+                known = at >= 0
                 c = np.where(known, model.head_count[at] if len(model.head) else 0, 0)
-                inside = model.after[model.class_of[before], model.class_of[unit]] + model.unit_in_class[unit]
-                # words of units with one word need no more; others have their share of the unit
-                wide = unit > model.units.n_words
-                emitted = np.where(wide, np.where(known, np.log10(c + 0.5), 0) - model.unit_total[unit], 0)
+                named = known & (model.head_class[at] >= 0 if len(model.head) else False) | (token == END)
+                emitted = np.where(named, model.head_log[at] if len(model.head) else 0, model.unit_log[unit] + np.where(known, np.log10(c + 0.5), 0))
+                emitted = np.where(token == END, model.unit_log[0], emitted)
                 base = np.where(known, base_of(c), 0)
-                sums = [np.add.reduceat(x, bounds[:-1]) for x in (inside + emitted, base, (c > 0).astype(np.int64))]
+                sums = [np.add.reduceat(x, bounds[:-1]) for x in (model.after[before, own] + emitted, base, (c > 0).astype(np.int64))]
                 # tokens outside the head, if there are more words than it holds
                 rest = np.flatnonzero(~known)
                 row = np.searchsorted(bounds, rest, side="right") - 1
@@ -247,42 +321,78 @@ def _head(vocabulary: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
     return words[order], n[order]
 
 
-def score_texts(docs: DataFrame, learnable: Callable[[Column], Column], text: str = "text", doc_id: str = "doc_id", bounds: Bounds = Bounds()) -> DataFrame:
-    """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` for each row of ``docs``.
-
-    Tokens are lower-cased words and one end. ``base_score`` is the log10 probability of the text by word counts alone,
-    ``score`` that by the class model; both learn from the rows that ``learnable`` (a condition on the id) names, all of
-    them. Null and empty texts have the end only. Repeated rows are scored alike; other columns are ignored. If nothing can
-    be learnt from, all probabilities are those of unseen words.
-    """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    learnt = rows.where(learnable(F.col("doc_id"))).select("text")
-    counts = learnt.mapInArrow(_count_words, "word long, suffix long, n long").groupBy("word").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("n"))
-    vocabulary = saved(counts, "vocabulary")
+def train(learnt: DataFrame, vocabulary: DataFrame, bounds: Bounds) -> Model:
+    """The model of the texts ``learnt`` (one column), whose words ``vocabulary`` (word, suffix, n) has counted."""
+    spark = vocabulary.sparkSession
     n_tokens, n_distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-
     words, counted = _head(vocabulary, bounds.head_words)
     own = words[words != END][: bounds.unit_words]
-    outside = vocabulary.join(F.broadcast(vocabulary.sparkSession.createDataFrame([(int(x),) for x in own.view(np.int64)], "word long")), "word", "left_anti").where(F.col("suffix") >= 0)
-    by_suffix = outside.groupBy("suffix").agg(F.sum("n").alias("n"), F.count("*").alias("k"))
-    suffixes = np.array([r.suffix for r in by_suffix.orderBy(F.desc("n"), "suffix").limit(bounds.suffixes).collect()], dtype=np.int64)
+    among = lambda x: F.broadcast(spark.createDataFrame(pa.table({"word": x.view(np.int64)})))  # noqa: E731  never more than the head
+    by_suffix = lambda x: vocabulary.join(among(x), "word", "left_anti").where("suffix >= 0").groupBy("suffix").agg(F.sum("n").alias("n"), F.count("*").alias("k"))
+    suffixes = np.array([r.suffix for r in by_suffix(own).orderBy(F.desc("n"), "suffix").limit(bounds.suffixes).collect()], dtype=np.int64)
     units = Units(own, suffixes)
 
     pairs = np.zeros(units.n * units.n)  # at most that many rows come
     found = learnt.mapInArrow(_count_pairs(units), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     pairs[found["pair"].to_numpy()] = found["n"].to_numpy()
     pairs = pairs.reshape(units.n, units.n)
-    class_of, after, unit_in_class = _class_model(units, pairs, bounds)
-
-    # the smoothed count of each unit of many words: its tokens, and half for each of its words and for one unseen
-    sums = by_suffix.withColumn("kept", F.col("suffix").isin([int(x) for x in suffixes])).groupBy(F.when(F.col("kept"), F.col("suffix")).alias("suffix")).agg(F.sum("n"), F.sum("k"))
-    total = {r[0]: r[1] + 0.5 * (r[2] + 1) for r in sums.collect()}  # a row for each suffix unit and one for the rest
-    unit_total = np.zeros(units.n)
-    unit_total[1 + units.n_words : -1] = np.log10([total.get(int(x), 0.5) for x in suffixes]) if len(suffixes) else []
-    unit_total[-1] = np.log10(total.get(None, 0.5))
+    of_unit = exchange(pairs, bounds.classes, bounds.sweeps)
+    k = int(of_unit.max()) + 1
 
+    # classes of words in the head: by exchange, or by neighbours, or none
     order = np.argsort(words)
-    model = Model(units, class_of, after, unit_in_class, unit_total, words[order], counted[order], int(n_tokens), int(n_distinct))
+    head, count = words[order], counted[order]
+    of_head = np.full(len(head), -1, dtype=np.int16)
+    at, by_exchange = Units._find(units.words, head)
+    of_head[by_exchange] = of_unit[1 + units.word_order[at[by_exchange]]] if len(own) else 0
+    asked = ~by_exchange & (count >= bounds.least) & (head != END)
+    if asked.any():
+        onehot = np.eye(k)[of_unit]
+        table = onehot.T @ pairs @ onehot
+        after = transitions(table)
+        size = -np.log10(_by_class(of_unit, pairs.sum(axis=0), k) + 1)
+        counts = learnt.mapInArrow(_count_neighbours(Classes(units, of_unit, head, of_head), asked), "place long, neighbour int, n long").groupBy("place", "neighbour").agg(F.sum("n").alias("n"))
+        lists = counts.groupBy("place").agg(F.collect_list(F.struct("neighbour", "n")).alias("neighbours"))  # two for each class at most
+        best = lists.mapInArrow(_best_class(k, after, after, size), "place long, class short").toArrow()
+        of_head[best["place"].to_numpy()] = best["class"].to_numpy()
+
+    classes = Classes(units, of_unit, head, of_head)
+    table = np.zeros(k * k)
+    found = learnt.mapInArrow(_count_classes(classes), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most k * k rows
+    table[found["pair"].to_numpy()] = found["n"].to_numpy()
+
+    # what is left to the units: tokens and words without a class of their own, by the units' last bytes
+    left = by_suffix(head[of_head >= 0]).withColumn("kept", F.col("suffix").isin([int(x) for x in suffixes]))
+    sums = {r[0]: (r[1], r[2]) for r in left.groupBy(F.when(F.col("kept"), F.col("suffix")).alias("suffix")).agg(F.sum("n"), F.sum("k")).collect()}  # a row for each unit
+    tokens, kinds = np.zeros(units.n), np.zeros(units.n)
+    tokens[0] = int(count[head == END].sum())
+    for unit, key in enumerate([*suffixes.tolist(), None], 1 + units.n_words):
+        tokens[unit], kinds[unit] = sums.get(key, (0, 0))
+    named, held = of_head >= 0, np.r_[True, np.zeros(units.n_words, dtype=bool), np.ones(len(suffixes) + 1, dtype=bool)]
+    size = _by_class(of_unit[held], tokens[held] + 0.5, k) + _by_class(of_head[named], count[named] + 0.5, k)
+    size = np.maximum(size, 0.5)  # a class that words have left
+    unit_log = np.log10((tokens + 0.5) / size[of_unit])
+    unit_log[1:] -= np.log10(tokens[1:] + 0.5 * (kinds[1:] + 1))  # half for each of its words and for one unseen
+    head_log = np.log10((count + 0.5) / size[np.maximum(of_head, 0)])
+    return Model(units, of_unit, transitions(table.reshape(k, k)), unit_log, head, count, of_head, head_log, int(n_tokens), int(n_distinct))
+
+
+def score_texts(docs: DataFrame, learnable: Callable[[Column], Column], text: str = "text", doc_id: str = "doc_id", bounds: Bounds = Bounds()) -> DataFrame:
+    """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` for each row of ``docs``.
+
+    Tokens are lower-cased words and one end. ``base_score`` is the log10 probability of the text by word counts alone,
+    ``score`` that by the class model; both learn from the rows that ``learnable`` (a condition on the id) names, all of
+    them; rows without an id are none of those. Null and empty texts have the end only. Repeated rows are scored alike; ties
+    of frequency go by word hashes. Very long texts are scored whole; a task needs some 100 bytes for each word of its
+    longest. Other columns are ignored. If nothing can be learnt from, as in an empty table, all probabilities are those of
+    unseen words.
+    """
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    learnt = rows.where(learnable(F.col("doc_id"))).select("text")
+    counts = learnt.mapInArrow(_count_words, "word long, suffix long, n long").groupBy("word").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("n"))
+    vocabulary = saved(counts, "vocabulary")
+    model = train(learnt, vocabulary, bounds)
+    n_tokens, n_distinct = model.n_tokens, model.n_distinct
     kinds = "uid long, doc_id long, n_tokens long, score double, base_score double, n_known long, words array<long>, times array<long>"
     scored = saved(rows.mapInArrow(_score(model), kinds), "scored")
 

@@ -5,7 +5,11 @@ import numpy as np
 import pytest
 from conftest import ODD, documents, sentence
 
+from pyspark.sql import functions as F
+
+from quillspark.llm import lm_scoring
 from quillspark.llm.lm_scoring import Bounds, exchange, score_texts
+from quillspark.llm.words import span_hashes
 
 SMALL = Bounds(head_words=30, unit_words=10, suffixes=8, classes=6, sweeps=2)
 
@@ -53,6 +57,64 @@ def test_probabilities_of_a_small_vocabulary_sum_to_one(spark):
     assert sum(10 ** result[i].score for i, _ in probe) <= 1.0
 
 
+def test_scores_against_brute_force(spark, rng):
+    """Only the classes are taken from the model; counts, transitions and emissions are made here, word by word."""
+    bounds = Bounds(head_words=40, unit_words=6, least=5, suffixes=4, classes=5, sweeps=2)
+    rows = [(i, " ".join(rng.choice(["the", "a", "of", *(x + y for x in "kmnp" for y in ("ing", "ed", "s", "er", "un"))])[: rng.choice([9, 9, 9, 3])] for _ in range(rng.randint(0, 30))) + f" z{i % 40}q") for i in range(150)]
+    df = documents(spark, rows)
+    learnt = df.where("doc_id % 5 <> 1").select("text")
+    vocabulary = learnt.mapInArrow(lm_scoring._count_words, "word long, suffix long, n long").groupBy("word").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("n"))
+    model = lm_scoring.train(learnt, vocabulary, bounds)
+
+    def number(word):
+        if word is None:
+            return 1
+        data = np.frombuffer(word.encode(), dtype=np.uint8)
+        return int(span_hashes(data, np.array([0]), np.array([len(data)]))[0])
+
+    head = {int(w): int(c) for w, c in zip(model.head, model.head_class)}
+    suffix = lambda w: int.from_bytes(w.encode()[::-1][:3].ljust(3, b"\0"), "big")
+
+    def unit(word):
+        return int(model.units.of(np.array([number(word)], dtype=np.uint64), np.array([-1 if word is None else suffix(word)]))[0])
+
+    def class_of(word):
+        own = head.get(number(word), -1)
+        return own if own >= 0 else int(model.class_of_unit[unit(word)])
+
+    named = lambda word: word is not None and head.get(number(word), -1) >= 0
+    texts = [tokens(t) for i, t in rows if i % 5 != 1]
+    counts = Counter(w for t in texts for w in t)
+    follow = Counter((class_of(a), class_of(b)) for t in texts for a, b in zip([None, *t], t))
+    k = len(model.after)
+    into = [sum(follow[a, b] for a in range(k)) for b in range(k)]
+    share = [(x + 0.5) / (sum(into) + 0.5 * k) for x in into]
+    in_unit = {u: [w for w in counts if w is not None and not named(w) and unit(w) == u] for u in range(model.units.n)}
+    rare = [u for u in range(1 + model.units.n_words, model.units.n)]
+    size = [0.0] * k
+    for w in counts:
+        if named(w):
+            size[class_of(w)] += counts[w] + 0.5
+    size[int(model.class_of_unit[0])] += counts[None] + 0.5
+    for u in rare:
+        size[int(model.class_of_unit[u])] += sum(counts[w] for w in in_unit[u]) + 0.5
+
+    def log10(before, word):
+        a, b = class_of(before), class_of(word)
+        after = (follow[a, b] + 5 * share[b]) / (sum(follow[a, x] for x in range(k)) + 5)
+        if word is None or named(word):
+            return np.log10(after * (counts[word] + 0.5) / size[b])
+        mine = in_unit[unit(word)]
+        total = sum(counts[w] for w in mine)
+        return np.log10(after * (total + 0.5) / size[b] * (counts[word] + 0.5) / (total + 0.5 * (len(mine) + 1)))
+
+    assert sum(named(w) for w in counts) > 6 and any(not named(w) for w in counts if w)
+    found = {r.doc_id: r.score for r in score_texts(df, lambda x: x % 5 != 1, bounds=bounds).collect()}
+    for i, text in rows:
+        t = tokens(text)
+        assert found[i] == pytest.approx(sum(log10(a, b) for a, b in zip([None, *t], t)), rel=1e-9)
+
+
 def test_nothing_to_learn_from(spark):
     result = score_texts(documents(spark, [(1, "a b"), (6, None)]), lambda x: x % 5 != 1, bounds=SMALL).collect()
     assert [r.n_known for r in result] == [0, 0] and all(np.isfinite(r.score) and r.train_tokens == 0 for r in result)
