@@ -34,6 +34,7 @@ DEFAULT_WINDOW = 128_000
 PATH_MARKERS = ("auth", "migrations", "api", "security", "payment", "billing")
 
 WHITE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+WHITE_CHARS = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 TOKEN_METHOD = "heuristic:chars/4"
 
 
@@ -44,12 +45,16 @@ def normalised(text: Column) -> Column:
 
 def stripped(text: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")
+    return F.btrim(text, F.lit(WHITE_CHARS))
 
 
 def estimate_tokens(text: Column) -> Column:
     """A quarter of the normalised length, rounded half to even and at least 1; 0 for null and blank texts."""
-    n = F.length(normalised(text))
+    return tokens_of(F.length(normalised(text)))
+
+
+def tokens_of(n: Column) -> Column:
+    """The estimate for a text of this normalised length."""
     return F.when(n > 0, F.greatest(F.lit(1), F.bround(n / F.lit(4.0)).cast("long"))).otherwise(F.lit(0)).cast("long")
 
 
@@ -63,7 +68,10 @@ def raw_hash(text: Column) -> Column:
 
 def first_marker(text: Column, markers: Iterable[str]) -> Column:
     """The first marker, in their order, that the lower-cased text contains; null if there is none."""
-    lowered = F.lower(text)
+    return marker_in(F.lower(text), markers)
+
+
+def marker_in(lowered: Column, markers: Iterable[str]) -> Column:
     return F.coalesce(*[F.when(F.contains(lowered, F.lit(m)), F.lit(m)) for m in markers])
 
 
@@ -73,6 +81,10 @@ def financial_figures(text: Column) -> Column:
     return F.array_distinct(F.concat(*found))
 
 
+def has_financial_figure(text: Column) -> Column:
+    return text.rlike(CURRENCY_AMOUNT) | text.rlike(IBAN_SHAPED)
+
+
 def is_noise(text: Column) -> Column:
     """Output without information: no failure signal, and trivially short or of a known shape."""
     plain, shaped = stripped(text), F.lit(False)
@@ -93,6 +105,11 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
+def term_count(text: Column) -> Column:
+    """How many terms a text has; null for null."""
+    return F.regexp_count(F.lower(text), F.lit("[a-z0-9]+"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; 0 for empty vectors, different lengths and zero norms."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

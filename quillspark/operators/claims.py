@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Results must agree with them.
@@ -17,44 +17,63 @@ NEGATED = {
     "does not extend": "inherits", "doesn't extend": "inherits", "never extends": "inherits",
     "does not import": "imports", "doesn't import": "imports", "never imports": "imports",
 }
-EXTENSIONS = ("py", "js", "ts", "tsx", "jsx", "md", "json", "yaml", "yml", "toml", "txt", "sh", "sql", "go", "rs", "java", "cfg")
+NOUNS = ("class", "function", "method", "object")
+EXTENSIONS = (".py", ".ts", ".tsx", ".js", ".jsx", ".go", ".rs", ".java", ".rb", ".md", ".json", ".toml", ".yml", ".yaml", ".txt", ".cfg", ".ini")
 
 CLAIMS = "text_id long, kind string, subject string, relation string, target string, negated boolean"
-_NAME = re.compile(r"[A-Za-z_][\w.]*(\(\))?")
-_PATH = re.compile(r"[\w./-]+\.(" + "|".join(EXTENSIONS) + ")|[\\w.-]+/[\\w./-]+")
-_SPAN = re.compile(r"`([^`\n]+)`")
-_MORE = re.compile(r"\s*and\s+`([\w./-]+)`")
+_WORD, _TARGET, _IDENTIFIER = re.compile(r"[\w.]+"), re.compile(r"[\w./-]+"), re.compile(r"[A-Za-z_]\w*", re.ASCII)
 
 
-def _phrases(known: dict[str, str]) -> re.Pattern[str]:
-    verbs = "|".join(re.escape(x) for x in sorted(known, key=len, reverse=True))
-    return re.compile(rf"`([\w.]+)`\s*(?:class|function|method|object)?\s+({verbs})\s+`([\w./-]+)`", re.IGNORECASE)
+def is_path(token: str) -> bool:
+    return "/" in token or token.lower().endswith(EXTENSIONS)
 
 
-_PATTERNS = ((_phrases(NEGATED), NEGATED, True), (_phrases(RELATIONS), RELATIONS, False))
+def is_symbol(token: str) -> bool:
+    """Dotted identifiers, perhaps called; a plain lower-case word is more often a value or a command than a symbol."""
+    name = token.removesuffix("()")
+    marked = name != token or "." in name or "_" in name or any(c.isupper() for c in name[1:])
+    return marked and all(_IDENTIFIER.fullmatch(x) for x in name.split("."))
+
+
+def _relation(between: str, known: dict[str, str]) -> str | None:
+    """The relation that the words between two quoted names state, if they state one of these."""
+    words = between.lower()
+    noun = next((x for x in NOUNS if words.lstrip().startswith(x) and words.lstrip()[len(x) :][:1].isspace()), "")
+    if not words[-1:].isspace() or not (noun or words[:1].isspace()):
+        return None
+    return known.get(words.strip().removeprefix(noun).strip())
 
 
 def claims_in(text: str) -> list[tuple[str, str, str | None, str | None, bool]]:
-    """(kind, subject, relation, target, negated): denied relations, then stated ones, then names and paths on their own."""
-    out, taken = [], []
-    free = lambda a, b: not any(x <= a and b <= y for x, y in taken)
-    for pattern, known, negated in _PATTERNS:
-        for m in pattern.finditer(text):
-            if not free(*m.span()):
-                continue
-            targets, end = [m[3]], m.end()
-            while more := _MORE.match(text, end):
-                targets.append(more[1])
-                end = more.end()
-            out += [("symbol_relation", m[1], known[m[2].lower()], x, negated) for x in targets]
-            taken.append((m.start(), end))
-    for m in _SPAN.finditer(text):
-        word = m[1].strip()
-        if free(*m.span()):
-            if _PATH.fullmatch(word):
-                out.append(("file_exists", word, None, None, False))
-            elif _NAME.fullmatch(word):
-                out.append(("symbol_exists", word.removesuffix("()"), None, None, False))
+    """(kind, subject, relation, target, negated): denied relations, then stated ones, then names and paths on their own.
+
+    The text is cut at its backticks: a piece between two of them may be a quoted name, and the piece after it may state a
+    relation to the next. What belongs to a relation is no claim on its own.
+    """
+    pieces = text.split("`")
+    last = len(pieces) - 2  # the last piece with a backtick on both sides
+    out: list[tuple[str, str, str | None, str | None, bool]] = []
+    taken: list[range] = []
+    for known, negated in ((NEGATED, True), (RELATIONS, False)):
+        at = 1
+        while at + 2 <= last:
+            relation = _relation(pieces[at + 1], known) if _WORD.fullmatch(pieces[at]) and _TARGET.fullmatch(pieces[at + 2]) else None
+            if relation and not any(at in x and at + 2 in x for x in taken):
+                end = at + 2
+                while end + 2 <= last and pieces[end + 1].split() == ["and"] and pieces[end + 1][-1].isspace() and _TARGET.fullmatch(pieces[end + 2]):
+                    end += 2
+                out += [("symbol_relation", pieces[at], relation, pieces[k], negated) for k in range(at + 2, end + 1, 2)]
+                taken.append(range(at, end + 1))
+            at += 4 if relation else 1
+    at = 1
+    while at <= last:
+        token = pieces[at].strip()
+        if not any(at in x for x in taken):
+            if token and is_path(token):
+                out.append(("file_exists", token, None, None, False))
+            elif is_symbol(token):
+                out.append(("symbol_exists", token.removesuffix("()"), None, None, False))
+        at += 2 if pieces[at] else 1  # an empty piece is no quotation
     return out
 
 
@@ -70,19 +89,60 @@ def extract(texts: DataFrame) -> DataFrame:
     return texts.select(F.col("text_id").cast("long"), "text").mapInArrow(_extract, CLAIMS)
 
 
-def verdicts(claims: DataFrame, nodes: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
-    """Each claim with ``status`` and ``confidence``, given ``nodes(name)``, ``edges(source, target, kind, resolved)`` by name and ``files(path)``.
+def _path(name: Column) -> Column:
+    return F.contains(name, F.lit("/")) | F.lower(name).rlike("(" + "|".join(x.replace(".", "\\.") for x in EXTENSIONS) + ")$")
+
+
+def inside(path: Column) -> Column:
+    """A path below the root without ``.``, ``..`` and doubled slashes; null if it leads out of the root."""
+    steps = F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
+    up = lambda held, x: F.when((x == "..") & ~F.element_at(held, -1).isin("", ".."), F.slice(held, 1, F.size(held) - 1)).otherwise(F.array_append(held, x))
+    walked = F.aggregate(steps, F.array(F.lit("")), up)  # the root stands first, so nothing is taken from an empty list
+    joined = F.array_join(F.filter(walked, lambda x: x != ""), "/")
+    return F.when(~F.array_contains(walked, ".."), joined)
+
+
+def verdicts(claims: DataFrame, nodes: DataFrame, edges: DataFrame, files: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+    """Each claim with ``status`` and ``confidence``.
 
-    A relation to a name that isn't resolved can't be verified. A denial turns supported into contradicted and back.
+    Given are ``nodes(name, path)``, ``edges(source, target, kind, resolved)`` by name, ``files(path)`` and, between
+    files, ``imports(source, target)``. A relation to a name that isn't resolved can't be verified; nor can a call of a
+    file that is imported, since an import is no call. Only files import. A denial turns supported into contradicted and
+    back. Without ``imports`` no file imports another.
     """
-    named = nodes.select(F.col("name").alias("subject"), F.lit(True).alias("_symbol")).distinct()
-    listed = files.select(F.col("path").alias("subject"), F.lit(True).alias("_file")).distinct()
-    related = edges.groupBy(F.col("source").alias("subject"), F.col("kind").alias("relation"), "target").agg(F.max(F.col("resolved").cast("int")).alias("_edge"))
-    joined = claims.join(named, "subject", "left").join(listed, "subject", "left").join(related, ["subject", "relation", "target"], "left")
-    exists = F.when(F.col("kind") == "file_exists", F.col("_file")).otherwise(F.col("_symbol")).isNotNull()
-    plain = F.when(exists, "supported").otherwise("contradicted")
-    relation = F.when(F.col("_symbol").isNull(), "contradicted").when(F.col("_edge") == 1, "supported").when(F.col("_edge") == 0, "unverifiable").otherwise("contradicted")
-    status = F.when(F.col("kind") == "symbol_relation", relation).otherwise(plain)
-    turned = F.when(~F.col("negated"), status).when(status == "supported", "contradicted").when(status == "contradicted", "supported").otherwise(status)
-    sure = F.when(status == "unverifiable", 0.0).when((F.col("kind") == "symbol_relation") & F.col("_symbol").isNotNull() & F.col("_edge").isNull(), 0.9).otherwise(1.0)
-    return joined.select(*claims.columns, turned.alias("status"), sure.alias("confidence"))
+    path = F.col("path") if "path" in nodes.columns else F.lit(None).cast("string")
+    named = nodes.groupBy("name").agg(F.collect_set(path).alias("paths"))
+    listed = files.select("path").distinct()
+    pairs = (edges.sparkSession.createDataFrame([], "source string, target string") if imports is None else imports).select("source", "target").distinct()
+    tail = lambda x: F.regexp_extract(x, r"([^.]*)$", 1)
+    sure = edges.where("resolved").groupBy("source", "kind", "target").agg(F.lit(True).alias("edge"))
+    open_ends = edges.where("NOT resolved").select("source", "kind", tail(F.col("target")).alias("tail")).distinct()
+
+    c = claims.withColumn("claim", F.struct(*claims.columns)).select("claim", F.col("claim.subject").alias("subject"), F.col("claim.relation").alias("relation"), F.col("claim.target").alias("target"))
+    c = c.withColumn("place", F.when(F.col("claim.kind") == "file_exists", inside(F.col("subject"))).otherwise(F.col("subject")))
+    c = c.join(named.select(F.col("name").alias("subject"), "paths"), "subject", "left")
+    c = c.join(nodes.select(F.col("name").alias("target"), F.lit(True).alias("to_symbol")).distinct(), "target", "left")
+    c = c.join(listed.select(F.col("path").alias("place"), F.lit(True).alias("from_file")), "place", "left")
+    c = c.join(listed.select(F.col("path").alias("target"), F.lit(True).alias("to_file")), "target", "left")
+    c = c.join(sure.toDF("subject", "relation", "target", "edge"), ["subject", "relation", "target"], "left")
+    c = c.withColumn("tail", tail(F.col("target"))).join(open_ends.toDF("subject", "relation", "tail").withColumn("open_end", F.lit(True)), ["subject", "relation", "tail"], "left")
+    imported = pairs.groupBy("target").agg(F.collect_set("source").alias("importers"))
+    c = c.join(imported, "target", "left")
+
+    yes = lambda name: F.col(name).isNotNull()
+    verdict = lambda status, confidence: F.struct(F.lit(status).alias("status"), F.lit(confidence).alias("confidence"))
+    no, supported, unsure = verdict("contradicted", 1.0), verdict("supported", 1.0), verdict("unverifiable", 0.0)
+    importers = F.coalesce("importers", F.array().cast("array<string>"))
+    by_import = F.when(~_path(F.col("subject")), unsure).when(~yes("from_file") | ~yes("to_file"), no).when(F.array_contains(importers, F.col("subject")), supported).otherwise(no)
+    to_file = F.when(~yes("paths") | ~yes("to_file"), no).when(F.arrays_overlap("paths", importers), unsure).otherwise(verdict("contradicted", 0.9))
+    to_symbol = F.when(~yes("paths") | ~yes("to_symbol"), no).when(yes("edge"), supported).when(yes("open_end"), unsure).otherwise(verdict("contradicted", 0.9))
+    found = (
+        F.when(F.col("claim.kind") == "file_exists", F.when(yes("from_file"), supported).otherwise(no))
+        .when(F.col("claim.kind") == "symbol_exists", F.when(yes("paths"), supported).otherwise(no))
+        .when(F.col("relation") == "imports", by_import)
+        .when(_path(F.col("target")), to_file)
+        .otherwise(to_symbol)
+    )
+    status = F.col("found.status")
+    turned = F.when(~F.col("claim.negated"), status).when(status == "supported", "contradicted").when(status == "contradicted", "supported").otherwise(status)
+    return c.withColumn("found", found).select("claim.*", turned.alias("status"), F.col("found.confidence").alias("confidence"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import CRITICAL_MARKERS, OBSOLETE_MARKERS, TOKEN_METHOD, content_hash, estimate_tokens, financial_figures, first_marker, is_noise
+from ..functions.text import CRITICAL_MARKERS, OBSOLETE_MARKERS, TOKEN_METHOD, estimate_tokens, has_financial_figure, is_noise, marker_in, normalised, tokens_of
 
 # Results must agree with them.
 LONGEST_OUTPUT, HEAD_CHARS, TAIL_CHARS = 2000, 1200, 600
@@ -20,10 +20,12 @@ BUCKETS = ("critical", "relevant", "redundant", "obsolete", "irrelevant")
 def measure(items: DataFrame) -> DataFrame:
     """Adds token_count, token_method, original_index and content_hash."""
     return (
-        items.withColumn("token_count", estimate_tokens(F.col("content")))
+        items.withColumn("_plain", normalised(F.col("content")))
+        .withColumn("token_count", tokens_of(F.length("_plain")))
         .withColumn("token_method", F.lit(TOKEN_METHOD))
         .withColumn("original_index", F.col("pos"))
-        .withColumn("content_hash", content_hash(F.col("content")))
+        .withColumn("content_hash", F.substring(F.sha2("_plain", 256), 1, 16))
+        .drop("_plain")
     )
 
 
@@ -40,14 +42,14 @@ def classify(items: DataFrame, pins: tuple[str, ...] = (), retired: tuple[str, .
     deduplication with the number of items here, and applies to contexts of more than ten items.
     """
     text = F.col("content")
-    critical, obsolete = first_marker(text, pins + CRITICAL_MARKERS), first_marker(text, retired + OBSOLETE_MARKERS)
+    critical, obsolete = marker_in(F.col("_low"), pins + CRITICAL_MARKERS), marker_in(F.col("_low"), retired + OBSOLETE_MARKERS)
     first = F.min("pos").over(Window.partitionBy("context_id", "content_hash"))
     total = F.count("*").over(Window.partitionBy("context_id"))
     recent = (F.col("_total") > 10) & (F.col("original_index") >= F.col("_total") - F.greatest(F.lit(3), F.floor(F.col("_total") / 10)))
     rule = lambda relevance, reason: F.struct(F.lit(relevance).alias("relevance"), (reason if isinstance(reason, Column) else F.lit(reason)).alias("reason"))
     decided = (
         F.when(critical.isNotNull(), rule("critical", F.concat(F.lit("explicit marker "), critical)))
-        .when(F.size(financial_figures(text)) > 0, rule("critical", "financial figure"))
+        .when(has_financial_figure(text), rule("critical", "financial figure"))
         .when(F.col("kind") == "memory", rule("critical", "persisted memory record"))
         .when(F.col("kind") == "system", rule("critical", "system prompt"))
         .when(obsolete.isNotNull(), rule("obsolete", F.concat(F.lit("obsolescence marker "), obsolete)))
@@ -56,8 +58,8 @@ def classify(items: DataFrame, pins: tuple[str, ...] = (), retired: tuple[str, .
         .when(recent, rule("critical", "most recent exchange"))
         .otherwise(rule("relevant", "no demotion rule matched"))
     )
-    out = items.withColumn("_first", first).withColumn("_total", total).withColumn("_rule", decided)
-    return out.withColumn("relevance", F.col("_rule.relevance")).withColumn("relevance_reason", F.col("_rule.reason")).drop("_first", "_total", "_rule")
+    out = items.withColumn("_first", first).withColumn("_total", total).withColumn("_low", F.lower(text)).withColumn("_rule", decided)
+    return out.withColumn("relevance", F.col("_rule.relevance")).withColumn("relevance_reason", F.col("_rule.reason")).drop("_first", "_total", "_low", "_rule")
 
 
 def annotate_rank(items: DataFrame, scores: DataFrame) -> DataFrame:
@@ -70,16 +72,26 @@ def keeps_information() -> Column:
     return ~((F.col("kind") == "tool_output") & (F.col("relevance") == "irrelevant"))
 
 
+def is_cut() -> Column:
+    return (F.col("kind") == "tool_output") & (F.col("relevance") != "critical") & (F.length("content") > LONGEST_OUTPUT)
+
+
 def compressed(label: str = "quillspark") -> Column:
     """Long tool output that isn't critical, cut to its head and tail around a note of what was left out."""
-    text, long = F.col("content"), (F.col("kind") == "tool_output") & (F.col("relevance") != "critical") & (F.length("content") > LONGEST_OUTPUT)
+    text = F.col("content")
     left_out = F.format_number(F.length(text) - HEAD_CHARS - TAIL_CHARS, 0)
     note = F.concat(F.lit("\n\n[... "), left_out, F.lit(f" characters elided by {label} ...]\n\n"))
-    return F.when(long, F.concat(F.substring(text, 1, HEAD_CHARS), note, F.substring(text, -TAIL_CHARS, TAIL_CHARS))).otherwise(text)
+    return F.when(is_cut(), F.concat(F.substring(text, 1, HEAD_CHARS), note, F.substring(text, -TAIL_CHARS, TAIL_CHARS))).otherwise(text)
 
 
 def compress(items: DataFrame) -> DataFrame:
-    return items.withColumn("content", compressed()).withColumn("token_count", estimate_tokens(F.col("content")))
+    """Items with long output cut; only what was cut is counted again."""
+    return items.withColumn("token_count", tokens_after()).withColumn("content", compressed())
+
+
+def tokens_after() -> Column:
+    short = compressed()
+    return F.when(is_cut(), estimate_tokens(short)).otherwise(F.col("token_count"))
 
 
 def over_budget(budget: int, tokens: str = "token_count") -> Column:
@@ -117,17 +129,17 @@ def run(items: DataFrame, scores: DataFrame | None = None, budget: int | None =
 
 def ledger(items: DataFrame, scores: DataFrame | None = None, budget: int | None = None) -> DataFrame:
     """Items and tokens before and after each stage of each context, from one pass over one wide table."""
-    out = classify(dedup(measure(items)))
+    whole = Window.partitionBy("context_id")
+    raw = measure(items).withColumn("i0", F.count("*").over(whole)).withColumn("t0", F.sum("token_count").over(whole))
+    out = classify(dedup(raw))
     out = annotate_rank(out, scores) if scores is not None else out.withColumn("rank_score", F.lit(0.0))
-    out = out.withColumn("informative", keeps_information()).withColumn("after", estimate_tokens(compressed()))
-    # the budget sees informative items only: others have no tokens there and stay out
-    kept = out.where("informative").withColumn("dropped", over_budget(budget, "after") if budget is not None else F.lit(False))
-    kept = kept.unionByName(out.where("NOT informative").withColumn("dropped", F.lit(True)))
-    raw = measure(items).groupBy("context_id").agg(F.count("*").alias("i0"), F.sum("token_count").alias("t0"))
+    # the budget sees informative items only: others have no tokens there
+    out = out.withColumn("informative", keeps_information()).withColumn("after", F.when(F.col("informative"), tokens_after()))
+    kept = out.withColumn("dropped", F.when(F.col("informative"), over_budget(budget, "after") if budget is not None else F.lit(False)).otherwise(True))
     if_ = lambda condition, value: F.coalesce(F.sum(F.when(condition, value)), F.lit(0))
     informative, alive = F.col("informative"), F.col("informative") & ~F.col("dropped")
     sums = kept.groupBy("context_id").agg(
-        F.count("*").alias("i1"), F.sum("token_count").alias("t1"),
+        F.max("i0").alias("i0"), F.max("t0").alias("t0"), F.count("*").alias("i1"), F.sum("token_count").alias("t1"),
         if_(informative, F.lit(1)).alias("i2"), if_(informative, F.col("token_count")).alias("t2"),
         if_(informative, F.col("after")).alias("t3"),
         if_(alive, F.lit(1)).alias("i4"), if_(alive, F.col("after")).alias("t4"),
@@ -143,7 +155,7 @@ def ledger(items: DataFrame, scores: DataFrame | None = None, budget: int | None
         F.struct(F.lit(n).alias("stage_no"), F.lit(name).alias("stage"), *(F.col(c).cast("long").alias(a) for c, a in zip((ib, ia, tb, ta), ("items_before", "items_after", "tokens_before", "tokens_after"))))
         for n, (name, ib, tb, ia, ta) in enumerate(stages)
     ]
-    return raw.join(sums, "context_id").select("context_id", F.explode(F.array(*rows)).alias("r")).select("context_id", "r.*")
+    return sums.select("context_id", F.explode(F.array(*rows)).alias("r")).select("context_id", "r.*")
 
 
 def breakdown(classified: DataFrame) -> DataFrame:

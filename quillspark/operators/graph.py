@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import saved
 from .ranking import bm25
 
 # Results must agree with them.
@@ -38,11 +39,12 @@ def reachable(edges: DataFrame, starts: DataFrame, max_depth: int, kinds: tuple[
         edges = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
     elif direction == "both":
         edges = both_ways(edges)
-    edges = edges.select(F.col("source").alias("id"), F.col("target").alias("next")).distinct()
+    edges = saved(edges.select(F.col("source").alias("id"), F.col("target").alias("next")).distinct(), "hops")
     seen = starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth"))
     front = seen
     for depth in range(1, max_depth + 1):
         front = front.join(edges, "id").select("start", F.col("next").alias("id")).distinct().join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("depth", F.lit(depth))
+        front = saved(front, "front") if depth < max_depth else front  # the next hop reads it twice
         seen = seen.unionByName(front)
     return seen.where("depth > 0")
 

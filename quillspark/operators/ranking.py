@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine, terms
+from ..functions.text import cosine, term_count, terms
+from ..storage import saved
 
 # Results must agree with them.
 K1, B, RRF_K = 1.5, 0.75, 60
@@ -28,20 +34,20 @@ def numbered(scored: DataFrame, by: tuple[str, ...] = (), score: str = "score",
 def bm25(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """``query_id, doc_id, score, rank`` for ``queries(query_id, query)`` over ``docs(doc_id, text)``; scores over 0 only.
 
-    A query's repeated terms count as often as they stand. Only terms of some query leave the scan; the terms of the
+    A query's repeated terms count as often as they stand; scores that agree to nine places are ties. Only terms of some query leave the scan; the terms of the
     queries are a stated set and join by their hash.
     """
     asked = queries.select("query_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     counted = docs.select("doc_id", terms(F.col("text")).alias("t"))
-    totals = counted.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("mean_length"))
+    totals = docs.agg(F.count("*").alias("n_docs"), F.avg(term_count(F.col("text"))).alias("mean_length"))
     words = counted.select("doc_id", F.size("t").alias("length"), F.explode("t").alias("term"))
-    tf = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
+    tf = saved(words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf")), "term-counts")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n, d = F.col("n_docs"), F.col("df")
     idf = F.log(1 + (n - d + 0.5) / (d + 0.5))
     saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     scored = tf.join(df, "term").join(asked, "term").join(F.broadcast(totals)).groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * idf * saturated).alias("score"))
-    return numbered(scored.where("score > 0"), by=("query_id",))
+    return numbered(scored.where("score > 0").withColumn("_order", F.round("score", 9)), by=("query_id",), score="_order").drop("_order")
 
 
 def self_scores(queries: DataFrame) -> DataFrame:
@@ -60,6 +66,52 @@ def vector_rank(query: DataFrame, vectors: DataFrame) -> DataFrame:
     return numbered(scored.withColumn("_order", F.round("score", 9)), score="_order").drop("_order")
 
 
+def vector_search(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """``query_id, doc_id, score, rank``: the ``k`` rows of ``vectors(doc_id, vector)`` nearest to each of ``queries(query_id, vector)``.
+
+    Queries go to the tasks in blocks of about ``block``; a task holds ``k`` rows for each query of a block, and those of all
+    tasks meet for the last choice. Scores are cosines, 0 for zero vectors; to nine places they are ties, which go by id.
+    Vectors of another length than the queries' are left out, as are nulls.
+    """
+    asked = queries.where("vector IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
+    rows = vectors.where("vector IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("vector").cast("array<double>").alias("vector"))
+    blocks = max(1, -(-asked.count() // block))
+    found = None
+    for b in range(blocks):
+        held = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
+        part = rows.mapInArrow(_nearest(held["query_id"].to_numpy(), held["vector"].to_pylist(), k), "query_id long, doc_id long, score double")
+        found = part if found is None else found.unionByName(part)
+    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _nearest(ids: np.ndarray, vectors: list, k: int):
+    width = len(vectors[0]) if vectors else 0
+    unit = lambda m: m / np.where((n := np.sqrt((m * m).sum(axis=1, keepdims=True))) == 0, 1, n)
+    asked = unit(np.array([v for v in vectors if len(v) == width]).reshape(-1, width))
+    ids = ids[[len(v) == width for v in vectors]]
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.zeros(0), np.zeros(0, dtype=np.int64))] * len(ids)
+        for batch in batches:
+            batch = batch.filter(pa.compute.equal(pa.compute.list_value_length(batch.column(1)), width))
+            if not batch.num_rows or not len(ids):
+                continue
+            docs = batch.column(0).to_numpy()
+            scores = asked @ unit(batch.column(1).flatten().to_numpy().reshape(-1, width)).T
+            for q in range(len(ids)):
+                score, doc = np.concatenate((best[q][0], scores[q])), np.concatenate((best[q][1], docs))
+                rounded = np.round(score, 9)
+                maybe = np.flatnonzero(rounded >= np.partition(rounded, -k)[-k]) if len(rounded) > k else np.arange(len(rounded))
+                first = maybe[np.lexsort((doc[maybe], -rounded[maybe]))[:k]]
+                best[q] = score[first], doc[first]
+        held = [len(s) for s, _ in best]
+        columns = [np.repeat(ids, held), np.concatenate([d for _, d in best] or [np.zeros(0, dtype=np.int64)]), np.concatenate([s for s, _ in best] or [np.zeros(0)])]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["query_id", "doc_id", "score"])
+
+    return nearest
+
+
 def fuse(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
     """Reciprocal-rank fusion of two rankings ``(doc_id, score, rank)``: ``doc_id, fused, method, rank``."""
     both = lexical.select("doc_id", F.col("rank").alias("lr")).join(semantic.select("doc_id", F.col("rank").alias("sr")), "doc_id", "full_outer")

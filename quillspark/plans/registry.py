@@ -176,6 +176,16 @@ def cosine_rank_embeddings(spark, sf_dir):
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+scored AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_dot_product(q.v, d.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(d.v, d.v))) AS score FROM v q JOIN v d ON q.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10""")
+def vector_search_embeddings(spark, sf_dir):
+    """The ten nearest rows of every row whose id is divisible by 20."""
+    vectors = _vectors(spark, sf_dir)
+    found = ranking.vector_search(vectors.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), vectors, k=10)
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query(f"""WITH {_BM25}, {_COSINE}, sem AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS sr FROM cosines), lex AS (SELECT doc_id, rank AS lr FROM ranked)
 SELECT doc_id, round(coalesce(1.0 / (60 + lr), 0) + coalesce(1.0 / (60 + sr), 0), 6) AS fused, CASE WHEN lr IS NULL THEN 'semantic' WHEN sr IS NULL THEN 'lexical' ELSE 'hybrid' END AS method FROM lex FULL JOIN sem USING (doc_id)""")
 def rrf_hybrid(spark, sf_dir):
@@ -342,14 +352,14 @@ def graph_bfs_depth2(spark, sf_dir):
     return graph.reachable(edges, nodes.where("kind IN ('nation', 'region')").select("id"), 2, direction="out")
 
 
-_RING = "hops AS (SELECT DISTINCT 'n' || (event_id % 40) AS source, 'n' || ((event_id * 7 + user_id) % 40) AS target FROM events WHERE event_id % 11 = 0)"
+_RING = "hops AS (SELECT DISTINCT 'n' || (event_id % 40) AS source, 'n' || ((event_id * 7 + user_id) % 40) AS target FROM events)"
 
 
 @query(f"""WITH {_RING}, two AS (SELECT [a.source, a.target] AS path FROM hops a JOIN hops b ON a.target = b.source AND b.target = a.source WHERE a.source < a.target),
 three AS (SELECT [a.source, a.target, b.target] AS path FROM hops a JOIN hops b ON a.target = b.source JOIN hops c ON b.target = c.source AND c.target = a.source WHERE a.source < a.target AND a.source < b.target AND a.target <> b.target)
 SELECT [source] AS path FROM hops WHERE source = target UNION ALL FROM two UNION ALL FROM three""")
 def graph_cycles(spark, sf_dir):
-    ring = A.table(spark, sf_dir, "events").where("event_id % 11 = 0").select(F.concat(F.lit("n"), F.col("event_id") % 40).alias("source"), F.concat(F.lit("n"), (F.col("event_id") * 7 + F.col("user_id")) % 40).alias("target"))
+    ring = A.table(spark, sf_dir, "events").select(F.concat(F.lit("n"), F.col("event_id") % 40).alias("source"), F.concat(F.lit("n"), (F.col("event_id") * 7 + F.col("user_id")) % 40).alias("target"))
     return graph.cycles(ring, 3)
 
 
@@ -444,7 +454,7 @@ def _rules(spark):
 
 
 def _facts(spark, sf_dir):
-    return A.table(spark, sf_dir, "events").where("value > 50").groupBy(F.col("user_id").alias("unit")).agg(F.array_sort(F.collect_set("event_type")).alias("facts"))
+    return A.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("unit")).agg(F.array_sort(F.collect_set(F.when(F.col("value") > 50, F.col("event_type")).otherwise(F.concat("event_type", F.lit("_low"))))).alias("facts"))
 
 
 @query("SELECT id FROM (VALUES ('r1', 0), ('r2', 2), ('r3', 1), ('r4', 0)) v(id, level) WHERE level <= 1")
@@ -452,7 +462,7 @@ def rules_for_tier(spark, sf_dir):
     return rules.rules_for_tier(_rules(spark), "medium").select("id")
 
 
-_FACTS = "facts AS (SELECT user_id AS unit, list_sort(list(DISTINCT event_type)) AS facts FROM events WHERE value > 50 GROUP BY 1), rules AS (SELECT * FROM (VALUES ('r1', ['click', 'view'], 'purchase'), ('r2', ['error'], 'signup'), ('r3', [], 'view'), ('r4', ['purchase'], 'loyal')) v(id, pre, post))"
+_FACTS = "facts AS (SELECT user_id AS unit, list_sort(list(DISTINCT CASE WHEN value > 50 THEN event_type ELSE event_type || '_low' END)) AS facts FROM events GROUP BY 1), rules AS (SELECT * FROM (VALUES ('r1', ['click', 'view'], 'purchase'), ('r2', ['error'], 'signup'), ('r3', [], 'view'), ('r4', ['purchase'], 'loyal')) v(id, pre, post))"
 
 
 @query(f"WITH {_FACTS} SELECT id AS rule_id, unit, CASE WHEN NOT list_has_all(facts, pre) THEN 'unknown' WHEN list_contains(facts, post) THEN 'pass' ELSE 'fail' END AS status FROM facts, rules")
@@ -460,7 +470,7 @@ def rule_violations(spark, sf_dir):
     return rules.violations(_rules(spark), _facts(spark, sf_dir))
 
 
-@query("""WITH facts AS (SELECT user_id AS unit, list(DISTINCT event_type) AS f FROM events WHERE value > 50 GROUP BY 1), a AS (SELECT unit, list_distinct(list_concat(f, ['view'], CASE WHEN list_contains(f, 'error') THEN ['signup'] ELSE [] END)) AS f FROM facts),
+@query("""WITH facts AS (SELECT user_id AS unit, list(DISTINCT CASE WHEN value > 50 THEN event_type ELSE event_type || '_low' END) AS f FROM events GROUP BY 1), a AS (SELECT unit, list_distinct(list_concat(f, ['view'], CASE WHEN list_contains(f, 'error') THEN ['signup'] ELSE [] END)) AS f FROM facts),
 b AS (SELECT unit, list_distinct(list_concat(f, CASE WHEN list_contains(f, 'click') THEN ['purchase'] ELSE [] END)) AS f FROM a) SELECT unit, list_sort(list_distinct(list_concat(f, CASE WHEN list_contains(f, 'purchase') THEN ['loyal'] ELSE [] END))) AS facts FROM b""")
 def rule_fixpoint(spark, sf_dir):
     return rules.infer(_rules(spark), _facts(spark, sf_dir))
@@ -519,15 +529,41 @@ def claims_extract(spark, sf_dir):
 
 @query(f"""WITH {_STATED}, e AS (SELECT DISTINCT 's' || l_suppkey AS subject, 'p' || l_partkey AS target FROM lineitem), v AS (SELECT c.*, CASE
   WHEN kind = 'symbol_exists' THEN CASE WHEN subject IN (SELECT 's' || s_suppkey FROM supplier) THEN 'supported' ELSE 'contradicted' END WHEN kind = 'file_exists' THEN CASE WHEN subject IN (SELECT 'parts/p' || p_partkey || '.py' FROM part WHERE p_partkey % 2 = 0) THEN 'supported' ELSE 'contradicted' END
-  WHEN e.target IS NOT NULL THEN 'supported' ELSE 'contradicted' END AS s FROM claims c LEFT JOIN e USING (subject, target))
-SELECT text_id, kind, subject, relation, target, negated, CASE WHEN NOT negated THEN s WHEN s = 'supported' THEN 'contradicted' ELSE 'supported' END AS status, CASE WHEN kind = 'symbol_relation' AND s = 'contradicted' THEN 0.9 ELSE 1.0 END::DOUBLE AS confidence FROM v""")
+  WHEN subject NOT IN (SELECT 's' || s_suppkey FROM supplier) OR target NOT IN (SELECT 'p' || p_partkey FROM part) THEN 'absent' WHEN e.target IS NOT NULL THEN 'supported' ELSE 'contradicted' END AS s FROM claims c LEFT JOIN e USING (subject, target))
+SELECT text_id, kind, subject, relation, target, negated, CASE WHEN NOT negated THEN replace(s, 'absent', 'contradicted') WHEN s = 'supported' THEN 'contradicted' ELSE 'supported' END AS status, CASE WHEN kind = 'symbol_relation' AND s = 'contradicted' THEN 0.9 ELSE 1.0 END::DOUBLE AS confidence FROM v""")
 def claim_verdicts(spark, sf_dir):
-    nodes = A.table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("name"))
+    name = lambda table, prefix, key: A.table(spark, sf_dir, table).select(F.concat(F.lit(prefix), key).alias("name"))
+    nodes = name("supplier", "s", "s_suppkey").unionByName(name("part", "p", "p_partkey"))
     edges = A.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"), F.lit("calls").alias("kind"), F.lit(True).alias("resolved")).distinct()
     files = A.table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.concat(F.lit("parts/p"), "p_partkey", F.lit(".py")).alias("path"))
     return claims.verdicts(claims.extract(_claim_texts(spark, sf_dir)), nodes, edges, files)
 
 
+@query("""WITH t AS (SELECT s_suppkey AS k, 's' || s_suppkey AS s, 's' || s_suppkey || '.py' AS f, 'parts/p' || (s_suppkey * 7) % 50 + 1 || '.py' AS a, 'parts/p' || (s_suppkey * 3) % 50 + 1 || '.py' AS b, 'parts/p' || (s_suppkey * 11) % 50 + 1 || '.py' AS c FROM supplier),
+files AS (SELECT 'parts/p' || p_partkey || '.py' AS path FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT f FROM t WHERE k % 3 <> 0), imports AS (SELECT DISTINCT 's' || l_suppkey || '.py' AS source, 'parts/p' || l_partkey || '.py' AS target FROM lineitem),
+said AS (SELECT k AS text_id, 'symbol_relation' AS kind, s AS subject, 'calls' AS relation, a AS target, false AS negated FROM t UNION ALL SELECT k, 'symbol_relation', f, 'imports', b, false FROM t UNION ALL SELECT k, 'symbol_relation', f, 'imports', c, true FROM t
+ UNION ALL SELECT k, 'symbol_relation', s, 'imports', 'p1', false FROM t UNION ALL SELECT k, 'symbol_relation', s, 'calls', 's_' || k, false FROM t UNION ALL SELECT k, 'file_exists', 'x.ini', NULL, NULL, false FROM t UNION ALL SELECT k, 'file_exists', '../parts/p2.py', NULL, NULL, false FROM t UNION ALL SELECT k, 'file_exists', 'parts/./x/../p' || k || '.py', NULL, NULL, false FROM t),
+v AS (SELECT said.*, CASE WHEN kind = 'file_exists' THEN CASE WHEN replace(subject, './x/../', '') IN (SELECT path FROM files) THEN 'supported 1.0' ELSE 'contradicted 1.0' END
+ WHEN relation = 'imports' AND subject NOT LIKE '%.py' THEN 'unverifiable 0.0' WHEN target LIKE 's_%' AND target NOT LIKE '%.py' THEN CASE WHEN text_id % 2 = 0 THEN 'unverifiable 0.0' ELSE 'contradicted 0.9' END
+ WHEN relation = 'imports' AND subject NOT IN (SELECT path FROM files) OR target NOT IN (SELECT path FROM files) THEN 'contradicted 1.0' WHEN relation = 'imports' THEN CASE WHEN i.source IS NOT NULL THEN 'supported 1.0' ELSE 'contradicted 1.0' END
+ WHEN (replace(subject, '.py', '') || '.py', target) IN (SELECT (source, target) FROM imports) THEN 'unverifiable 0.0' ELSE 'contradicted 0.9' END AS found FROM said LEFT JOIN (SELECT source, target AS to_file FROM imports) i ON subject = i.source AND target = i.to_file)
+SELECT text_id, kind, subject, relation, target, negated, CASE WHEN negated AND found LIKE 'supp%' THEN 'contradicted' WHEN negated AND found LIKE 'contra%' THEN 'supported' ELSE split_part(found, ' ', 1) END AS status, split_part(found, ' ', 2)::DOUBLE AS confidence FROM v""")
+def claim_file_verdicts(spark, sf_dir):
+    """Claims about files: calls into files, imports, paths; and calls that the graph has by an open end only."""
+    k = F.col("s_suppkey").cast("string")
+    part = lambda n: F.concat(F.lit("parts/p"), ((F.col("s_suppkey") * n) % 50 + 1).cast("string"), F.lit(".py"))
+    quoted = lambda *x: F.concat(F.lit("`"), *x, F.lit("`"))
+    own, file = quoted(F.lit("s"), k), quoted(F.lit("s"), k, F.lit(".py"))
+    text = F.concat(own, F.lit(" calls "), quoted(part(7)), F.lit(". "), file, F.lit(" imports "), quoted(part(3)), F.lit(", but "), file, F.lit(" never imports "), quoted(part(11)), F.lit("; "), own, F.lit(" imports `p1` and calls it. "),
+                    own, F.lit(" method calls "), quoted(F.lit("s_"), k), F.lit(". Set `true`, `run` `x.ini` and `../parts/p2.py` or "), quoted(F.lit("parts/./x/../p"), k, F.lit(".py")))
+    suppliers = A.table(spark, sf_dir, "supplier")
+    nodes = suppliers.select(F.concat(F.lit("s"), k).alias("name"), F.concat(F.lit("s"), k, F.lit(".py")).alias("path")).unionByName(suppliers.select(F.concat(F.lit("s_"), k).alias("name"), F.lit("other.py").alias("path")))
+    edges = suppliers.where("s_suppkey % 2 = 0").select(F.concat(F.lit("s"), k).alias("source"), F.concat(F.lit("some.module.s_"), k).alias("target"), F.lit("calls").alias("kind"), F.lit(False).alias("resolved"))
+    files = A.table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.concat(F.lit("parts/p"), "p_partkey", F.lit(".py")).alias("path")).unionByName(suppliers.where("s_suppkey % 3 <> 0").select(F.concat(F.lit("s"), k, F.lit(".py")).alias("path")))
+    imports = A.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey", F.lit(".py")).alias("source"), F.concat(F.lit("parts/p"), "l_partkey", F.lit(".py")).alias("target"))
+    return claims.verdicts(claims.extract(suppliers.select(F.col("s_suppkey").alias("text_id"), text.alias("text"))), nodes, edges, files, imports)
+
+
 def _sources(spark, sf_dir):
     """A Python file for each part: a class, a method that calls a helper, and some unsafe SQL."""
     k = F.col("p_partkey").cast("string")

@@ -78,7 +78,7 @@ tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS l
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 scored AS (SELECT query_id, doc_id, sum(times * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean_length))) AS score
   FROM tf JOIN df USING (term) JOIN asked USING (term), totals GROUP BY 1, 2),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)"""
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored WHERE score > 0)"""
 
 
 STAR = """

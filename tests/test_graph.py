@@ -75,15 +75,33 @@ def test_claims_of_a_text():
     assert claims.claims_in("") == []
 
 
+def test_shapes_and_odd_quotes():
+    kinds = lambda text: [(x[0], x[1]) for x in claims.claims_in(text)]
+    assert kinds("Set `true` and run `make`, then `run_all`, `f()`, `a.b`, `aB`, `Word`, `1x_y`") == [("symbol_exists", x) for x in ("run_all", "f", "a.b", "aB")]
+    assert kinds("`a.rb` `x.ini` `db.sql` `dir/` `B.MD`") == [("file_exists", "a.rb"), ("file_exists", "x.ini"), ("symbol_exists", "db.sql"), ("file_exists", "dir/"), ("file_exists", "B.MD")]
+    relations = lambda text: [x[1:] for x in claims.claims_in(text) if x[0] == "symbol_relation"]
+    assert relations("it`s `a` calls `b`") == [("a", "calls", "b", False)]
+    assert relations("`a` calls `b` calls `c` calls `d`") == [("a", "calls", "b", False), ("c", "calls", "d", False)]
+    assert relations("`a` calls `b` and `c` calls `d`") == [("a", "calls", "b", False), ("a", "calls", "c", False), ("c", "calls", "d", False)]
+    assert relations("`a` never calls `b` calls `c`") == [("a", "calls", "b", True), ("b", "calls", "c", False)]
+    assert relations("`A`class Extends `B`; `a` calls`b`; `a b` calls `c`; `a` calls `b c`") == [("A", "inherits", "B", False)]
+    assert kinds("``x_y`` and `` and `z_z") == [("symbol_exists", "x_y")]
+
+
 def test_verdicts(spark):
+    said = "`f` calls `g`. `f` never calls `h`. `f` calls `k`. `q_q` calls `g`. `f` calls `z`. `./b/../a.py`. `../a.py`. `f` calls `b.py`. `f` calls `c.py`. `f` calls `no.py`. `a.py` imports `b.py`. `a.py` never imports `c.py`. `no.py` imports `b.py`. `f` imports `b.py`. `f` calls `nowhere`."
     found = claims.verdicts(
-        claims.extract(spark.createDataFrame([(1, "`f` calls `g`. `f` never calls `h`. `f` calls `k`. `q` calls `g`. `f` calls `z`. `a.py`")], "text_id long, text string")),
-        spark.createDataFrame([("f",), ("g",)], "name string"),
-        spark.createDataFrame([("f", "g", "calls", True), ("f", "h", "calls", True), ("f", "k", "calls", False)], EDGE + ", resolved boolean"),
-        spark.createDataFrame([("a.py",)], "path string"),
+        claims.extract(spark.createDataFrame([(1, said)], "text_id long, text string")),
+        spark.createDataFrame([(x, "a.py") for x in "fghkz"], "name string, path string"),
+        spark.createDataFrame([("f", "g", "calls", True), ("f", "h", "calls", True), ("f", "mod.k", "calls", False)], EDGE + ", resolved boolean"),
+        spark.createDataFrame([("a.py",), ("b.py",), ("c.py",)], "path string"),
+        spark.createDataFrame([("a.py", "b.py")], "source string, target string"),
     )
-    assert {(r.subject, r.target): (r.status, r.confidence) for r in found.collect()} == {
-        ("f", "g"): ("supported", 1.0), ("f", "h"): ("contradicted", 1.0), ("f", "k"): ("unverifiable", 0.0), ("q", "g"): ("contradicted", 1.0), ("f", "z"): ("contradicted", 0.9), ("a.py", None): ("supported", 1.0),
+    assert {(r.subject, r.relation, r.target): (r.status, r.confidence) for r in found.collect()} == {
+        ("f", "calls", "g"): ("supported", 1.0), ("f", "calls", "h"): ("contradicted", 1.0), ("f", "calls", "k"): ("unverifiable", 0.0), ("q_q", "calls", "g"): ("contradicted", 1.0),
+        ("f", "calls", "z"): ("contradicted", 0.9), ("./b/../a.py", None, None): ("supported", 1.0), ("../a.py", None, None): ("contradicted", 1.0), ("f", "calls", "b.py"): ("unverifiable", 0.0),
+        ("f", "calls", "c.py"): ("contradicted", 0.9), ("f", "calls", "no.py"): ("contradicted", 1.0), ("a.py", "imports", "b.py"): ("supported", 1.0), ("a.py", "imports", "c.py"): ("supported", 1.0),
+        ("no.py", "imports", "b.py"): ("contradicted", 1.0), ("f", "imports", "b.py"): ("unverifiable", 0.0), ("f", "calls", "nowhere"): ("contradicted", 1.0),
     }
 
 
