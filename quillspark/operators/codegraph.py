@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import module_qualname
+
 # Results must agree with them.
 LARGEST_FILE = 1_000_000
 
@@ -131,6 +133,29 @@ def resolve(parsed: DataFrame) -> DataFrame:
     return joined.select("path", "qualname", "kind", "target", "line", "target_id", F.col("target_id").isNotNull().alias("resolved"))
 
 
+def resolve_imports(parsed: DataFrame, files: DataFrame) -> DataFrame:
+    """``path, target, target_path, resolved``: which of ``files(path)`` each import names.
+
+    A target is a module, or a name in one; leading dots go up from the importing file's package. What no file answers to
+    is external. Of two files with one module name the smaller path counts.
+    """
+    modules = files.where(F.col("path").endswith(".py")).groupBy(module_qualname(F.col("path")).alias("module")).agg(F.min("path").alias("file"))
+    dots = F.length(F.regexp_extract("target", r"^(\.*)", 1))
+    own = F.split(module_qualname(F.col("path")), r"\.")
+    up = dots - F.when(F.col("path").rlike(r"(^|/)__init__\.py$"), 1).otherwise(0)
+    package = F.slice(own, F.lit(1), F.greatest(F.size(own) - up, F.lit(0)))
+    absolute = F.when(dots > 0, F.concat_ws(".", package, F.expr("substring(target, length(regexp_extract(target, '^([.]*)', 1)) + 1)"))).otherwise(F.col("target"))
+    named = parsed.where("row = 'edge' AND kind = 'imports'").select("path", "target", absolute.alias("whole")).distinct()
+    named = named.withColumn("holder", F.regexp_replace("whole", r"\.?[^.]*$", ""))
+    found = named.join(modules.toDF("whole", "_exact"), "whole", "left").join(modules.toDF("holder", "_holder"), "holder", "left")
+    return found.select("path", "target", F.coalesce("_exact", "_holder").alias("target_path")).withColumn("resolved", F.col("target_path").isNotNull())
+
+
+def file_edges(resolved: DataFrame) -> DataFrame:
+    """``source, target, kind`` between files, from resolved imports."""
+    return resolved.where("resolved AND path <> target_path").select(F.col("path").alias("source"), F.col("target_path").alias("target"), F.lit("imports").alias("kind")).distinct()
+
+
 def facts(parsed: DataFrame) -> DataFrame:
     """``unit, facts`` of each file that has some."""
     return parsed.where("row = 'fact'").groupBy(F.col("path").alias("unit")).agg(F.array_sort(F.collect_set("kind")).alias("facts"))

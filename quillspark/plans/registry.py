@@ -564,6 +564,34 @@ def claim_file_verdicts(spark, sf_dir):
     return claims.verdicts(claims.extract(suppliers.select(F.col("s_suppkey").alias("text_id"), text.alias("text"))), nodes, edges, files, imports)
 
 
+_IMPORTS = """k AS (SELECT p_partkey AS k, 'pkg/p' || p_partkey || '.py' AS path FROM part),
+named AS (SELECT path, '.p' || (k * 7) % 50 + 1 AS target, 'pkg/p' || (k * 7) % 50 + 1 || '.py' AS file FROM k UNION SELECT path, 'pkg.p' || (k * 3) % 50 + 1 || '.thing', 'pkg/p' || (k * 3) % 50 + 1 || '.py' FROM k UNION SELECT path, 'pkg.p' || k + 1, 'pkg/p' || k + 1 || '.py' FROM k UNION SELECT path, 'os.path', NULL FROM k),
+found AS (SELECT n.path, target, k.path AS target_path, k.path IS NOT NULL AS resolved FROM named n LEFT JOIN k ON n.file = k.path)"""
+
+
+def _imports(spark, sf_dir):
+    """Modules that import by a leading dot, by a name in a module, by a module, and from outside; with who imports whom."""
+    k = F.col("p_partkey")
+    part = lambda n: (n).cast("string")
+    code = F.concat(F.lit("from . import p"), part((k * 7) % 50 + 1), F.lit("\nfrom pkg.p"), part((k * 3) % 50 + 1), F.lit(" import thing\nimport os.path\nimport pkg.p"), part(k + 1), F.lit("\n"))
+    files = A.table(spark, sf_dir, "part").select(F.concat(F.lit("pkg/p"), k.cast("string"), F.lit(".py")).alias("path"), code.alias("text"))
+    return codegraph.resolve_imports(codegraph.parse(files), files)
+
+
+@query(f"WITH {_IMPORTS} SELECT * FROM found")
+def import_resolution(spark, sf_dir):
+    return _imports(spark, sf_dir)
+
+
+@query(f"""WITH {_IMPORTS}, hops AS (SELECT DISTINCT path AS source, target_path AS target FROM found WHERE resolved AND path <> target_path),
+two AS (SELECT [a.source, a.target] AS path FROM hops a JOIN hops b ON a.target = b.source AND b.target = a.source WHERE a.source < a.target),
+three AS (SELECT [a.source, a.target, b.target] AS path FROM hops a JOIN hops b ON a.target = b.source JOIN hops c ON b.target = c.source AND c.target = a.source WHERE a.source < a.target AND a.source < b.target AND a.target <> b.target)
+FROM two UNION ALL FROM three""")
+def import_cycles(spark, sf_dir):
+    """Files that import each other in a circle of up to three."""
+    return graph.cycles(codegraph.file_edges(_imports(spark, sf_dir)), 3)
+
+
 def _sources(spark, sf_dir):
     """A Python file for each part: a class, a method that calls a helper, and some unsafe SQL."""
     k = F.col("p_partkey").cast("string")

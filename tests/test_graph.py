@@ -135,3 +135,14 @@ def test_updates_with_and_without_a_lock(spark):
     other = "def f(c, d, k):\n    if k in c:\n        d[k] = 1\n"
     parsed = codegraph.parse(spark.createDataFrame([("a.py", bare), ("b.py", locked), ("c.py", other)], "path string, text string"))
     assert {r.unit: r.facts for r in codegraph.facts(parsed).collect()} == {"a.py": ["check_then_set"], "b.py": ["guarded_check_then_set"]}
+
+
+def test_imports_name_files(spark):
+    files = [("src/a/__init__.py", "from .b import x\nfrom . import c\n"), ("src/a/b.py", "from ..d import y\nimport os, a.c\nfrom .c import z\n"), ("src/a/c.py", "from a import b\n"), ("d.py", "import a\nfrom ... import q\n"), ("notes.txt", "import")]
+    df = spark.createDataFrame(files, "path string, text string")
+    resolved = codegraph.resolve_imports(codegraph.parse(df), df)
+    assert {(r.path, r.target): r.target_path for r in resolved.collect()} == {
+        ("src/a/__init__.py", ".b.x"): "src/a/b.py", ("src/a/__init__.py", ".c"): "src/a/c.py", ("src/a/b.py", "..d.y"): "d.py", ("src/a/b.py", "os"): None, ("src/a/b.py", "a.c"): "src/a/c.py",
+        ("src/a/b.py", ".c.z"): "src/a/c.py", ("src/a/c.py", "a.b"): "src/a/b.py", ("d.py", "a"): "src/a/__init__.py", ("d.py", "...q"): None,
+    }
+    assert ("src/a/b.py", "src/a/c.py") in {tuple(r.path) for r in graph.cycles(codegraph.file_edges(resolved), 2).collect()}
