@@ -31,6 +31,26 @@ def flat_content(content: Column) -> Column:
     return F.when(_is(content, "ARRAY"), F.array_join(parts, "\n")).otherwise(F.coalesce(_string(content), content.cast("string"), F.lit("")))
 
 
+#: How deep results of tools may hold blocks in blocks; deeper ones stay as JSON.
+BLOCK_DEPTH = 3
+
+
+def session_block(block: Column, depth: int = BLOCK_DEPTH) -> Column:
+    """A block of a session's message as text: its text, a call with its input as compact JSON, a result, or its JSON; one without a type is
+    read like a block of a message list."""
+    kind, inner = _string(block, "$.type"), F.try_variant_get(block, "$.content", "variant")
+    call = F.concat(F.lit("[tool_call "), F.coalesce(_string(block, "$.name"), F.lit("unknown_tool")), F.lit("] "), F.coalesce(F.to_json(F.try_variant_get(block, "$.input", "variant")), F.lit("{}")))
+    result = session_content(inner, depth - 1) if depth else F.to_json(inner)
+    found = F.when(kind == "text", F.coalesce(_string(block, "$.text"), F.lit(""))).when(kind == "tool_use", call).when(kind == "tool_result", F.coalesce(result, F.lit("")))
+    return F.when(kind.isNull(), flat_part(block)).otherwise(F.coalesce(_string(block), found, F.to_json(block)))
+
+
+def session_content(content: Column, depth: int = BLOCK_DEPTH) -> Column:
+    """Content of a session's message, a text or a list of blocks, as one text with a line for each block."""
+    parts = F.transform(F.try_variant_get(content, "$", "array<variant>"), lambda block: session_block(block, depth))
+    return F.when(_is(content, "ARRAY"), F.array_join(parts, "\n")).otherwise(F.coalesce(_string(content), content.cast("string"), F.lit("")))
+
+
 def from_messages(raw: DataFrame) -> DataFrame:
     """Items of ``raw(context_id, raw)``: JSON lists of messages, or objects that hold one as ``messages``.
 
@@ -56,7 +76,7 @@ def session_lines(lines: DataFrame) -> DataFrame:
         .when(F.coalesce(~_is(message, "OBJECT"), F.lit(True)), F.concat("type", F.lit("_without_message")))
         .otherwise("item")
     )
-    return out.withColumn("outcome", reason).withColumn("content", F.when(F.col("outcome") == "item", flat_content(F.try_variant_get("v", "$.message.content", "variant")))).drop("v")
+    return out.withColumn("outcome", reason).withColumn("content", F.when(F.col("outcome") == "item", session_content(F.try_variant_get("v", "$.message.content", "variant")))).drop("v")
 
 
 def from_session(lines: DataFrame) -> DataFrame:

@@ -123,3 +123,19 @@ def test_loading_tells_formats_apart(spark):
     rows = [(1, '[{"role": "user", "content": "a"}]'), (2, '{"type": "user", "message": {"content": "b"}}\n{"type": "assistant", "message": {"content": "c"}}'), (3, '{"type": "user"}'), (4, "User: d\nAssistant: e"), (5, "")]
     found = transcripts.load(spark.createDataFrame(rows, "context_id int, raw string")).orderBy("context_id", "pos").collect()
     assert [(r.context_id, r.content) for r in found] == [(1, "a"), (2, "b"), (2, "c"), (3, '{"type": "user"}'), (4, "d"), (4, "e")]
+
+
+def test_session_blocks_of_tools(spark):
+    import json
+
+    blocks = [
+        {"type": "text", "text": "look"},
+        {"type": "tool_use", "name": "grep", "input": {"q": "x"}},
+        {"type": "tool_result", "content": "plain"},
+        {"type": "tool_result", "content": [{"type": "text", "text": "in"}, {"type": "tool_result", "content": [{"type": "text", "text": "deep"}]}, "bare"]},
+        {"type": "tool_use"},
+        {"type": "image", "k": 1},
+        {"type": "tool_result"},
+    ]
+    df = spark.createDataFrame([(1, 0, json.dumps({"type": "assistant", "message": {"role": "assistant", "content": blocks}}))], "context_id long, line_no int, value string")
+    assert transcripts.from_session(df).first().content.split("\n") == ["look", '[tool_call grep] {"q":"x"}', "plain", "in", "deep", "bare", "[tool_call unknown_tool] {}", '{"k":1,"type":"image"}', ""]
