@@ -70,3 +70,19 @@ def corpus_report(cases: DataFrame) -> DataFrame:
         F.sum(warned.cast("long")).alias("warned_cases"),
         ((F.count("*") >= FEWEST_CASES) & (F.sum(warned.cast("long")) == 0)).alias("publishable"),
     )
+
+
+def case_warnings(cases: DataFrame) -> DataFrame:
+    """``cases`` (with ``items, duplicate_share, critical_retention, digit_retention``) and the reasons not to publish each."""
+    reasons = F.array(
+        F.when(F.col("duplicate_share") > SUSPICIOUS_DUPLICATES, "duplicates"),
+        F.when(F.col("items") < FEWEST_ITEMS, "few_items"),
+        F.when(F.col("critical_retention") < 1, "critical_lost"),
+        F.when(F.col("digit_retention") < 1, "figures_lost"),
+    )
+    return cases.withColumn("warnings", F.array_compact(reasons))
+
+
+def report_rows(cases: DataFrame) -> DataFrame:
+    """A JSON object for each case, so that the warnings travel with the figures."""
+    return cases.select("context_id", F.to_json(F.struct(*[c for c in cases.columns])).alias("report"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,10 +23,33 @@ def set_task(task: DataFrame, path: str) -> None:
     task.write.mode("overwrite").json(path)
 
 
+def task(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The task that is set, or no row where there is none or it doesn't parse."""
+    try:
+        return read_log(spark, path, schema)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def supersede(old: int, replacement: DataFrame, path: str) -> None:
+    """Append a record that points at the one it replaces; the old record isn't touched."""
+    append(replacement.withColumn("supersedes", F.lit(old).cast("long")), path)
+
+
 def active(log: DataFrame) -> DataFrame:
     return log.where("status = 'active'")
 
 
+def typed(log: DataFrame, record_type: str, everything: bool = False) -> DataFrame:
+    """The records of a type: active decisions, unresolved failures, all others; ``everything`` includes the rest."""
+    found = log.where(F.col("record_type") == record_type)
+    if everything or record_type not in ("decision", "failure"):
+        return found
+    return active(found) if record_type == "decision" else found.where("NOT (status <=> 'resolved')")
+
+
 def effective_status(log: DataFrame) -> DataFrame:
     """``id, status, effective_status``: a record that a later one replaces is superseded, whatever its own status."""
     replaced = log.where("supersedes IS NOT NULL").select(F.col("supersedes").alias("id"), F.lit(True).alias("_replaced")).distinct()
@@ -38,8 +62,25 @@ def summary(log: DataFrame) -> DataFrame:
 
 
 def snapshot(log: DataFrame, number: int) -> DataFrame:
-    """Active decisions and all other records, as numbered rows."""
-    return log.where("record_type <> 'decision' OR status = 'active'").withColumn("snapshot", F.lit(number))
+    """Active decisions and all other records but surfacings, as numbered rows."""
+    return log.where("record_type <> 'surfacing' AND (record_type <> 'decision' OR status = 'active')").withColumn("snapshot", F.lit(number))
+
+
+def write_snapshot(log: DataFrame, root: str, schema: str, label: str = "") -> int:
+    """Write the log's state under the next number, which is returned."""
+    number = next_number(snapshots(log.sparkSession, root, schema))
+    snapshot(log, number).withColumn("label", F.lit(label)).write.mode("append").partitionBy("snapshot").json(root)
+    return number
+
+
+def snapshots(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """All snapshots' records with ``label`` and ``snapshot``; lines that don't parse are left out."""
+    return task(spark, root, f"{schema}, label string, snapshot int")
+
+
+def next_number(taken: DataFrame) -> int:
+    """One past the highest number there is; 1 without any."""
+    return taken.agg(F.coalesce(F.max("snapshot"), F.lit(0)) + 1).first()[0]
 
 
 def restore(log: DataFrame, taken: DataFrame) -> DataFrame:

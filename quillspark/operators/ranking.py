@@ -137,3 +137,14 @@ def score_items(items: DataFrame, task: str) -> DataFrame:
     saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     scored = tf.join(df, ["context_id", "term"]).join(totals, "context_id").groupBy("context_id", "pos").agg(F.sum(F.col("times") * idf * saturated).alias("score"))
     return scored.where("score > 0")
+
+
+def resemblances(texts: DataFrame, statements: DataFrame, threshold: float = 0.15, most: float = 0.85) -> DataFrame:
+    """``query_id, doc_id, similarity, confidence`` of texts ``(query_id, query)`` and the statements ``(doc_id, text)`` that they resemble.
+
+    A score is held against the text's own, so one statement on file isn't enough for a high similarity; overlap of words is never
+    full confidence.
+    """
+    found = bm25(texts, statements).join(self_scores(texts), "query_id").withColumn("similarity", F.col("score") / F.col("self_score"))
+    confidence = F.round(F.least("similarity", F.lit(most)), 2)
+    return found.where(F.col("similarity") >= threshold).select("query_id", "doc_id", "similarity", confidence.alias("confidence"))

@@ -11,6 +11,7 @@ from .memory import first_fit
 # Results must agree with them.
 BUDGET_SHARE = 0.15
 SECTIONS = (("decision", "DECISIONS"), ("constraint", "CONSTRAINTS"), ("discovery", "DISCOVERIES"), ("failure", "FAILURES"))
+BEFORE = {"failure": "Already tried and did not work — do not repeat:\n"}
 
 
 def candidates(records: DataFrame) -> DataFrame:
@@ -54,11 +55,54 @@ def prepend(surfaced: DataFrame, items: DataFrame) -> DataFrame:
     return both.select("context_id", place.cast("long").alias("pos"), "kind", "content")
 
 
-def render_handoff(records: DataFrame) -> DataFrame:
-    """``store_id, text``: the records of each store ``(store_id, id, record_type, statement)`` in sections; empty ones say so."""
-    lines = records.groupBy("store_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("record_type") == kind, F.struct("id", "statement")))).alias(kind) for kind, _ in SECTIONS])
-    parts: list[Column] = [F.lit("# HANDOFF\n")]
+def recall(offered: DataFrame, scores: DataFrame, triggers: DataFrame, budget: int) -> DataFrame:
+    """``context_id, reason, on_file, surfaced, withheld`` for each context with candidates.
+
+    Where ``triggers(context_id, reason)`` has a reason, candidates are surfaced as far as they fit and the rest is withheld. With
+    the reason ``none`` nothing is pushed; a context without a row there has ``no context``. In both, nothing counts as withheld.
+    """
+    counts = offered.groupBy("context_id").agg(F.count("*").alias("on_file"))
+    due = triggers.where("reason <> 'none'").select("context_id")
+    taken = select(offered.join(due, "context_id", "left_semi"), scores, budget).groupBy("context_id").agg(F.count("*").alias("surfaced"))
+    out = counts.join(triggers.select("context_id", "reason"), "context_id", "left").join(taken, "context_id", "left")
+    surfaced = F.coalesce("surfaced", F.lit(0)).cast("long")
+    withheld = F.when(F.col("reason") != "none", F.col("on_file") - surfaced).otherwise(0).cast("long")
+    return out.select("context_id", F.coalesce("reason", F.lit("no context")).alias("reason"), "on_file", surfaced.alias("surfaced"), withheld.alias("withheld"))
+
+
+def render_handoff(records: DataFrame, tasks: DataFrame, rationale: bool = True) -> DataFrame:
+    """``store_id, text``: a document of eight sections for each store that has records or a task; empty sections say so.
+
+    ``records(store_id, id, record_type, statement, detail, hard)``: the detail is a decision's reason or a failure's error.
+    ``tasks(store_id, title, description, status, updated_at, relevant_files, next_action)`` has at most one row for a store. A
+    store's records meet in one row: pass what handoff_level left of them.
+    """
+    listed = [F.array_sort(F.collect_list(F.when(F.col("record_type") == kind, F.struct("id", "statement", "detail", "hard")))).alias(kind) for kind, _ in SECTIONS]
+    both = records.groupBy("store_id").agg(*listed).join(tasks.withColumn("_task", F.lit(True)), "store_id", "full")
+    known = F.coalesce("_task", F.lit(False))
+    filled = lambda c: F.coalesce(c, F.lit("")) != ""
+
+    def more(r: Column, label: str) -> Column:
+        return F.when(filled(r["detail"]), F.concat(F.lit(f"\n  - *{label}:* "), r["detail"])).otherwise("")
+
+    def lines(kind: str) -> Column:
+        def line(r: Column) -> Column:
+            mark = F.when(r["hard"], "**[HARD]** ").otherwise("[soft] ") if kind == "constraint" else F.lit("")
+            rest = more(r, "why") if kind == "decision" and rationale else more(r, "error") if kind == "failure" else F.lit("")
+            return F.concat(F.lit("- "), mark, r["statement"], rest)
+
+        return F.array_join(F.transform(kind, line), "\n")
+
+    def section(title: str, body: Column) -> list[Column]:
+        return [F.lit(f"## {title}"), F.concat(body, F.lit("\n"))]
+
+    about = F.concat(F.lit("**"), F.col("title"), F.lit("**"), F.when(filled(F.col("description")), F.concat(F.lit("\n\n"), F.col("description"))).otherwise(""))
+    state = F.concat(F.lit("Status: "), F.col("status"), F.lit("\nLast updated: "), F.col("updated_at"))
+    parts = [F.lit("# HANDOFF\n"), *section("TASK", F.when(known, about).otherwise("No task recorded.")), *section("CURRENT STATE", F.when(known, state).otherwise("Unknown — no task recorded."))]
     for kind, title in SECTIONS:
-        listed = F.array_join(F.transform(kind, lambda r: F.concat(F.lit("- "), r["statement"])), "\n")
-        parts += [F.lit(f"## {title}"), F.concat(F.when(F.size(kind) == 0, F.lit("None recorded.")).otherwise(listed), F.lit("\n"))]
-    return lines.select("store_id", F.concat_ws("\n", *parts).alias("text"))
+        none = F.coalesce(F.size(kind), F.lit(0)) <= 0
+        parts += section(title, F.when(none, "None recorded.").otherwise(F.concat(F.lit(BEFORE.get(kind, "")), lines(kind))))
+    files = F.array_join(F.transform("relevant_files", lambda f: F.concat(F.lit("- `"), f, F.lit("`"))), "\n")
+    parts += section("RELEVANT FILES", F.when(F.coalesce(F.size("relevant_files"), F.lit(0)) > 0, files).otherwise("None recorded."))
+    parts += section("NEXT ACTION", F.when(filled(F.col("next_action")), F.col("next_action")).otherwise("Not recorded — decide this before continuing."))
+    return both.select("store_id", F.concat_ws("\n", *parts).alias("text"))

@@ -51,3 +51,9 @@ def verify(published: DataFrame, derived: DataFrame) -> DataFrame:
     flat = lambda df, name: df.select("trial_id", F.explode("metrics").alias("metric", name))
     both = flat(published, "p").join(flat(derived, "d"), ["trial_id", "metric"], "left")
     return both.select("trial_id", "metric", F.when(F.col("d").isNull(), "missing").when(F.col("p") == F.col("d"), "match").otherwise("differs").alias("status"))
+
+
+def latest_run(manifest: DataFrame) -> DataFrame:
+    """The rows ``(run_id, line, ...)`` of the run that was written last: a verification reads that one only."""
+    last = manifest.agg(F.max_by("run_id", "line").alias("run_id"))  # one row
+    return manifest.join(F.broadcast(last), "run_id", "left_semi")

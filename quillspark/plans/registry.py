@@ -202,8 +202,19 @@ def statement_resurfacing(spark, sf_dir):
     """Texts (every id divisible by 20, a stated query set) that resemble recorded statements."""
     asked = A.table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
     items = A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    found = ranking.bm25(asked, items).join(ranking.self_scores(asked), "query_id").withColumn("s", F.col("score") / F.col("self_score"))
-    return found.where("s >= 0.15").select("query_id", F.col("doc_id").alias("item_id"), F.round("s", 6).alias("similarity"), F.round(F.least("s", F.lit(0.85)), 2).alias("confidence"))
+    found = ranking.resemblances(asked, items)
+    return found.select("query_id", F.col("doc_id").alias("item_id"), F.round("similarity", 6).alias("similarity"), "confidence")
+
+
+@query(f"""WITH {S.bm25("SELECT item_id AS query_id, text AS query FROM benchmark", "SELECT doc_id, text FROM documents WHERE source IN (SELECT min(source) FROM documents)")},
+own AS (SELECT query_id, sum(times * ln(4.0 / 3) * times * 2.5 / (times + 1.5)) AS self_score FROM asked GROUP BY 1)
+SELECT query_id AS item_id, doc_id, round(least(score / self_score, 0.85), 2) AS confidence FROM ranked JOIN own USING (query_id) WHERE score / self_score >= 0.15""")
+def hard_constraint_check(spark, sf_dir):
+    """Texts that resemble a hard constraint; the statements of the first source stand for hard ones."""
+    documents = A.table(spark, sf_dir, "documents")
+    hard = documents.join(F.broadcast(documents.agg(F.min("source").alias("source"))), "source", "left_semi").select("doc_id", "text")  # one row
+    asked = A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return ranking.resemblances(asked, hard).select(F.col("query_id").alias("item_id"), "doc_id", "confidence")
 
 
 # health and statistics
@@ -274,6 +285,18 @@ def noise_floor_compare(spark, sf_dir):
     return stats.against_noise_floor(metrics.where("condition = 'en'"), metrics.where("condition = 'fr'"))
 
 
+@query(f"""WITH {S.EVENTS}, {S.pipeline('events_ctx', BUDGET)}, {_RAW}, {_SHARE},
+crit AS (SELECT c.context_id, coalesce(count(k.pos) FILTER (WHERE c.relevance = 'critical') / nullif(count(*) FILTER (WHERE c.relevance = 'critical'), 0), 1.0) AS share FROM classified c LEFT JOIN kept k ON c.context_id = k.context_id AND c.pos = k.pos GROUP BY 1),
+b AS (SELECT DISTINCT context_id, unnest(regexp_extract_all(content, '{S.FIGURE}')) AS f FROM classified), a AS (SELECT DISTINCT context_id, unnest(regexp_extract_all(short, '{S.FIGURE}')) AS f, 1 AS k FROM kept),
+figs AS (SELECT context_id, count(k) / count(*) AS figs FROM b LEFT JOIN a USING (context_id, f) GROUP BY 1)
+SELECT context_id, list_filter([CASE WHEN duplicate_share > 0.5 THEN 'duplicates' END, CASE WHEN items < 20 THEN 'few_items' END, CASE WHEN share < 1 THEN 'critical_lost' END, CASE WHEN coalesce(figs, 1) < 1 THEN 'figures_lost' END], lambda x: x IS NOT NULL) AS warnings
+FROM shares JOIN crit USING (context_id) LEFT JOIN figs USING (context_id)""")
+def case_warnings(spark, sf_dir):
+    """The reasons not to publish each context's figures."""
+    cases = health.duplicate_share(_classified(spark, sf_dir)).join(critical_retention(spark, sf_dir), "context_id").join(digit_retention(spark, sf_dir), "context_id")
+    return health.case_warnings(cases).select("context_id", "warnings")
+
+
 # memory
 
 
@@ -287,6 +310,11 @@ def active_decisions(spark, sf_dir):
     return memory.active(A.event_log(spark, sf_dir)).select("id", "record_type")
 
 
+@query(f"WITH {S.LOG} SELECT id FROM log WHERE record_type = 'error'")
+def typed_scan(spark, sf_dir):
+    return memory.typed(A.event_log(spark, sf_dir), "error").select("id")
+
+
 @query(f"WITH {S.LOG} SELECT id, status, CASE WHEN id IN (SELECT supersedes FROM log WHERE supersedes IS NOT NULL) THEN 'superseded' ELSE status END AS effective_status FROM log")
 def effective_status_chain(spark, sf_dir):
     return memory.effective_status(A.event_log(spark, sf_dir))
@@ -660,12 +688,40 @@ def adaptive_prepass_merge(spark, sf_dir):
     return surfacing.prepend(surfacing.candidates(_records(spark, sf_dir)), A.events_context(spark, sf_dir)).select("context_id", "pos", "content")
 
 
-_SECTION = "coalesce(string_agg('- ' || statement, chr(10) ORDER BY id) FILTER (WHERE record_type = '{}'), 'None recorded.') || chr(10)"
+_TASKS = "tasks AS (SELECT c_custkey AS store_id, c_name AS title, c_mktsegment AS description, c_custkey % 3 AS k FROM customer)"
+_SECTION = "coalesce(string_agg('- ' || {mark}statement{more}, chr(10) ORDER BY id) FILTER (WHERE record_type = '{kind}'), '')"
+_LINES = ", ".join(
+    _SECTION.format(kind=k, mark="CASE WHEN hard THEN '**[HARD]** ' ELSE '[soft] ' END || " if k == "constraint" else "", more={"decision": " || coalesce(chr(10) || '  - *why:* ' || detail, '')", "failure": " || coalesce(chr(10) || '  - *error:* ' || detail, '')"}.get(k, "")) + f" AS {k}s"
+    for k, _ in surfacing.SECTIONS
+)
 
 
-@query(f"WITH {_RECORDS} SELECT store_id, '# HANDOFF' || chr(10) || chr(10) || " + " || chr(10) || ".join(f"'## {title}' || chr(10) || {_SECTION.format(kind)}" for kind, title in surfacing.SECTIONS) + " AS text FROM records GROUP BY 1")
+@query(f"""WITH {_RECORDS}, {_TASKS}, detailed AS (SELECT *, CASE WHEN status = 'active' THEN 'detail ' || id END AS detail FROM records), listed AS (SELECT store_id, {_LINES} FROM detailed GROUP BY 1)
+SELECT store_id, concat_ws(chr(10), '# HANDOFF', '', '## TASK', CASE WHEN title IS NULL THEN 'No task recorded.' ELSE '**' || title || '**' || CASE WHEN k = 0 THEN '' ELSE chr(10) || chr(10) || description END END, '',
+ '## CURRENT STATE', CASE WHEN title IS NULL THEN 'Unknown — no task recorded.' ELSE 'Status: open' || chr(10) || 'Last updated: 2024-01-01' END, '', """
+    + ", ".join(f"'## {title}', CASE WHEN coalesce({k}s, '') = '' THEN 'None recorded.' ELSE {'chr(10)'.join(repr(x) + ' || ' for x in surfacing.BEFORE.get(k, '').split(chr(10)) if x) + ('chr(10) || ' if k in surfacing.BEFORE else '')}{k}s END, ''" for k, title in surfacing.SECTIONS)
+    + """, '## RELEVANT FILES', CASE WHEN k = 1 THEN '- `a.py`' || chr(10) || '- `b.py`' ELSE 'None recorded.' END, '', '## NEXT ACTION', CASE WHEN k = 2 THEN 'go on' ELSE 'Not recorded — decide this before continuing.' END, '') AS text FROM listed FULL JOIN tasks USING (store_id)""")
 def handoff_render(spark, sf_dir):
-    return surfacing.render_handoff(_records(spark, sf_dir))
+    customers, k = A.table(spark, sf_dir, "customer"), F.col("c_custkey") % 3
+    tasks = customers.select(
+        F.col("c_custkey").alias("store_id"), F.col("c_name").alias("title"), F.when(k != 0, F.col("c_mktsegment")).alias("description"), F.lit("open").alias("status"), F.lit("2024-01-01").alias("updated_at"),
+        F.when(k == 1, F.array(F.lit("a.py"), F.lit("b.py"))).alias("relevant_files"), F.when(k == 2, "go on").alias("next_action"),
+    )
+    return surfacing.render_handoff(_records(spark, sf_dir).withColumn("detail", F.when(F.col("status") == "active", F.concat(F.lit("detail "), "id"))), tasks)
+
+
+@query(f"""WITH RECURSIVE {S.EVENTS}, {S.measured('events_ctx')}, {S.classified('measured')}, s AS (SELECT context_id, sum(token_count) AS t, coalesce(sum(token_count) FILTER (WHERE relevance IN ('critical', 'relevant')), 0) AS u FROM classified GROUP BY 1),
+trig AS (SELECT context_id, CASE WHEN round(least(1, t / 1000.0), 4) >= 0.75 THEN 'window_usage' WHEN round(u / t::DOUBLE, 4) <= 0.5 THEN 'relevant_ratio' ELSE 'none' END AS reason FROM s),
+{_RECORDS}, {_OFFERED}, c AS (SELECT context_id, token_count, row_number() OVER (PARTITION BY context_id ORDER BY pos) AS rank FROM offered),
+f AS (SELECT context_id, 0::BIGINT AS rank, 0::BIGINT AS used, 0::BIGINT AS n FROM (SELECT DISTINCT context_id FROM c)
+ UNION ALL SELECT c.context_id, c.rank, CASE WHEN f.used + c.token_count <= 150 THEN f.used + c.token_count ELSE f.used END, CASE WHEN f.used + c.token_count <= 150 THEN f.n + 1 ELSE f.n END FROM f JOIN c ON c.context_id = f.context_id AND c.rank = f.rank + 1),
+o AS (SELECT context_id, count(*) AS on_file FROM offered GROUP BY 1), taken AS (SELECT context_id, max(n) AS n FROM f GROUP BY 1)
+SELECT context_id, coalesce(reason, 'no context') AS reason, on_file, (CASE WHEN reason <> 'none' THEN n ELSE 0 END)::BIGINT AS surfaced, (CASE WHEN reason <> 'none' THEN on_file - n ELSE 0 END)::BIGINT AS withheld FROM o LEFT JOIN trig USING (context_id) LEFT JOIN taken USING (context_id)""")
+def memory_recall(spark, sf_dir):
+    """Memory for contexts of 1,000 tokens, whose health says whether it is due; in the order of the records."""
+    offered = surfacing.candidates(_records(spark, sf_dir))
+    scores = offered.where("false").select("context_id", "pos", F.lit(0.0).alias("score"))
+    return surfacing.recall(offered, scores, surfacing_trigger(spark, sf_dir), 150)
 
 
 _TRIALS = "trials AS (SELECT event_id AS trial_id, 'c' || (user_id % 3) AS condition, event_id % 5 <> 0 AS reported, value, CASE WHEN event_id % 50 <> 1 THEN 'h' || event_id END AS artifact_hash, CASE WHEN value < 30 THEN event_type END AS failure_mode FROM events)"
