@@ -108,4 +108,40 @@ sharded AS (SELECT *, least(39, (middle * 40) // (2 * total))::INT AS shard FROM
 SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard, (pos - min(pos) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INT AS grown_shard FROM sharded
 """
 
-ORACLES = {"op1_sharding": OP1, "op9_secrets": OP9, "op10_quality": OP10, "op2_decontamination": OP2, "op6_near_dedup": OP6, "op7_line_dedup": OP7}
+def _op12() -> str:
+    """Counts of all grams up to five words, cuts of the frequent ones, and what a longer one of equal count holds."""
+    cuts = " UNION ALL ".join(f"SELECT lang, phrase, len, c AS a, {k} AS k, array_to_string(w[:{k}], ' ') AS x, array_to_string(w[{k + 1}:], ' ') AS y FROM candidates WHERE len > {k}" for k in range(1, 5))
+    return rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+split AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+sums AS (SELECT lang, sum(len(w))::BIGINT AS n FROM split GROUP BY lang),
+grams AS (SELECT lang, k AS len, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i : i + k - 1])) AS w FROM split, range(1, 6) t(k) WHERE len(w) >= k),
+counts AS (SELECT lang, len, w, array_to_string(w, ' ') AS phrase, count(*) AS c FROM grams GROUP BY lang, len, w HAVING count(*) >= 100),
+candidates AS (SELECT * FROM counts WHERE len > 1),
+cuts AS ({cuts}),
+scored AS (SELECT c.lang, c.phrase, c.a, l.c AS l, r.c AS r, s.n, k, (1000 * c.a::HUGEINT * s.n // (l.c::HUGEINT * r.c))::BIGINT AS score
+  FROM cuts c JOIN counts l ON l.lang = c.lang AND l.phrase = c.x JOIN counts r ON r.lang = c.lang AND r.phrase = c.y JOIN sums s ON s.lang = c.lang),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (SELECT * FROM weakest v WHERE NOT EXISTS (SELECT 1 FROM candidates x WHERE x.lang = v.lang AND x.c >= v.a AND x.phrase <> v.phrase AND contains(' ' || x.phrase || ' ', ' ' || v.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept QUALIFY rank <= 2000
+"""
+
+
+OP12 = _op12()
+
+OP13 = f"""
+WITH poly AS (SELECT list(list_reduce(list_prepend(n::BIGINT, [0, 0, 0, 0]::BIGINT[]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS rest FROM range(16) r(n)),
+turns AS (SELECT conv_id, turn, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))[:32] AS s, octet_length(encode(coalesce(text, ''))) AS b FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(s ORDER BY turn NULLS FIRST, s) AS s, list(b ORDER BY turn NULLS FIRST, s) AS b, list_filter(string_split(hex(encode(conv_id::VARCHAR)), ''), lambda x: x <> '') AS h FROM turns GROUP BY conv_id),
+headed AS (SELECT conv_id, s, b, ({_CRC} % 9)::INT AS h FROM own, poly),
+rebuilt AS (SELECT c.conv_id, list_concat(coalesce(f.s[:c.h], []), c.s[c.h + 1:]) AS s, list_concat(coalesce(f.b[:c.h], []), c.b[c.h + 1:]) AS b FROM headed c LEFT JOIN own f ON f.conv_id = c.conv_id - c.conv_id % 5),
+prefixes AS (SELECT conv_id, len(s) AS n, d, array_to_string(s[:d], '') AS node, CASE WHEN d > 0 THEN b[d] ELSE 0 END AS b FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM rebuilt)),
+nodes AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(b) AS saved, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends_sha256 FROM prefixes GROUP BY node, d),
+children AS (SELECT node[:32 * d - 32] AS node, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+above AS (SELECT node[:32 * e] AS node, saved, c.n IS NULL AS leaf FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM nodes) LEFT JOIN children c USING (node)),
+totals AS (SELECT node, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (WHERE leaf) AS n_leaves FROM above GROUP BY node)
+SELECT x.conv_id, x.d AS depth, p.conv_id AS parent_conv_id, x.n_convs, coalesce(c.n, 0) AS n_children, t.n_leaves, t.saved_tokens, x.ends_sha256
+FROM nodes x JOIN totals t USING (node) LEFT JOIN children c USING (node) LEFT JOIN nodes p ON x.d > 0 AND p.node = x.node[:32 * x.d - 32]
+"""
+
+ORACLES = {"op12_collocations": OP12, "op13_prefix_trie": OP13, "op1_sharding": OP1, "op9_secrets": OP9, "op10_quality": OP10, "op2_decontamination": OP2, "op6_near_dedup": OP6, "op7_line_dedup": OP7}

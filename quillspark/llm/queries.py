@@ -8,13 +8,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import share_package
+from .collocations import collocations
 from .decontaminate import contained_items
 from .html_text import main_texts
 from .line_dedup import dedup_lines
 from .lm_scoring import score_texts
 from .near_dedup import near_duplicates
 from .packing import pack
+from .prefix_trie import prefix_trie
 from .quality import rate_quality
+from .quality_classifier import score_quality
 from .secrets import scan_secrets
 from .sharding import shard_by_bytes
 from .toxicity import remainder, score_toxicity
@@ -80,6 +83,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_quality(table(spark, sf_dir, "documents"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learnable=lambda x: remainder(x, 3) != 1)
+    return scored.select("doc_id", held_out(3, 1), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), least=100, longest=5, best=2000)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
@@ -91,4 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
+    "op11_quality_classifier": op11_quality_classifier,
+    "op12_collocations": op12_collocations,
+    "op13_prefix_trie": op13_prefix_trie,
 }
