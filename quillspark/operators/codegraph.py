@@ -6,16 +6,23 @@ import ast
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import module_qualname
+from .graph import contexts_for
 
 # Results must agree with them.
 LARGEST_FILE = 1_000_000
 
-ROWS = "row string, kind string, path string, name string, qualname string, target string, line int"
-_SCHEMA = pa.schema([(x.split()[0], pa.int32() if x.endswith(" int") else pa.string()) for x in ROWS.split(", ")])
+ROWS = (
+    "row string, kind string, path string, name string, qualname string, target string, line int, "
+    "end_line int, signature string, docstring string, is_async boolean, source string, seq int"
+)
+_ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+_SCHEMA = pa.schema([(x.split()[0], _ARROW[x.split()[1]]) for x in ROWS.split(", ")])
+DOCSTRING_CHARS = 500
+DEFINITIONS = ("class", "function", "method", "test")
 
 
 def _dotted(node: ast.AST) -> str:
@@ -24,29 +31,54 @@ def _dotted(node: ast.AST) -> str:
     return f"{_dotted(node.value)}.{node.attr}".lstrip(".") if isinstance(node, ast.Attribute) else ""
 
 
-def _walk(path: str, node: ast.AST, scope: tuple[str, ...], caller: str, out: list[dict]) -> None:
-    """Rows for definitions (``node``) and for references by name (``edge``), down the tree."""
-    test_file = path.rpartition("/")[2].startswith("test_") or path.endswith("_test.py") or "tests" in path.split("/")
-    add = lambda **x: out.append({"path": path, **x})
-    for child in ast.iter_child_nodes(node):
-        if isinstance(child, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef):
-            qualname = ".".join((*scope, child.name))
-            is_class = isinstance(child, ast.ClassDef)
-            kind = "class" if is_class else "test" if test_file and child.name.startswith("test_") else "method" if scope else "function"
-            add(row="node", kind=kind, name=child.name, qualname=qualname, line=child.lineno)
-            for base in child.bases if is_class else ():
-                add(row="edge", kind="inherits", qualname=qualname, target=_dotted(base), line=child.lineno)
-            _walk(path, child, (*scope, child.name), caller if is_class else qualname, out)
-            continue
-        if isinstance(child, ast.Import):
-            for name in child.names:
-                add(row="edge", kind="imports", qualname="", target=name.name, line=child.lineno)
-        elif isinstance(child, ast.ImportFrom):
-            for name in child.names:
-                add(row="edge", kind="imports", qualname="", target="." * child.level + ".".join(filter(None, (child.module, name.name))), line=child.lineno)
-        elif isinstance(child, ast.Call) and caller and _dotted(child.func):
-            add(row="edge", kind="calls", qualname=caller, target=_dotted(child.func), line=child.lineno)
-        _walk(path, child, scope, caller, out)
+def _is_test(path: str) -> bool:
+    folders, _, name = path.rpartition("/")
+    return name.startswith("test_") or name.endswith("_test.py") or "tests" in folders.split("/")
+
+
+def _doc(node: ast.AST) -> str:
+    return (ast.get_docstring(node) or "")[:DOCSTRING_CHARS]
+
+
+def _parameters(a: ast.arguments) -> list[str]:
+    """The parameters as they are declared, with what they are said to be but without defaults."""
+    shown = lambda x: x.arg + (f": {ast.unparse(x.annotation)}" if x.annotation else "")
+    starred = lambda x, stars: [stars + x.arg] if x else []
+    return [*map(shown, a.posonlyargs + a.args), *starred(a.vararg, "*"), *map(shown, a.kwonlyargs), *starred(a.kwarg, "**")]
+
+
+def _walk(path: str, tree: ast.Module, out: list[dict]) -> None:
+    """Rows of a file in the order of its text: the file, its definitions (``node``), what they hold, call, inherit and import
+    (``edge``), and the names that imports bind (``binding``). A stack, so the depth of a tree doesn't matter."""
+    test_file, whole = _is_test(path), f"file:{path}"
+    add = lambda **x: out.append({"path": path, "seq": len(out), **x})
+    add(row="file", kind="file", name=path.rpartition("/")[2], docstring=_doc(tree))
+    todo: list[tuple[ast.AST, tuple[str, ...], tuple[str, str] | None]] = [(tree, (), None)]
+    while todo:
+        node, scope, caller = todo.pop()
+        line = getattr(node, "lineno", None)
+        if isinstance(node, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef):
+            qualname, is_class = ".".join((*scope, node.name)), isinstance(node, ast.ClassDef)
+            kind = "class" if is_class else "test" if test_file and node.name.startswith("test_") else "method" if scope else "function"
+            own, bases = f"{kind}:{path}:{qualname}", [x for x in map(_dotted, node.bases) if x] if is_class else []
+            signature = f"class {node.name}({', '.join(bases)})" if is_class else f"{node.name}({', '.join(_parameters(node.args))})" + (f" -> {ast.unparse(node.returns)}" if node.returns else "")
+            add(row="node", kind=kind, name=node.name, qualname=qualname, source=own, line=line, end_line=node.end_lineno, signature=signature, docstring=_doc(node), is_async=None if is_class else isinstance(node, ast.AsyncFunctionDef))
+            # a class belongs to its file, a callable to what it stands in
+            add(row="edge", kind="contains", source=whole if is_class or not scope else f"class:{path}:{'.'.join(scope)}", target=own)
+            for base in bases:
+                add(row="edge", kind="inherits", qualname=qualname, source=own, target=base, line=line)
+            scope, caller = (*scope, node.name), caller if is_class else (own, qualname)
+        elif isinstance(node, ast.Import | ast.ImportFrom):
+            dots = "." * getattr(node, "level", 0)
+            for x in node.names:
+                plain = isinstance(node, ast.Import)
+                module = x.name if plain else dots + (node.module or "")
+                target = x.name if plain else dots + ".".join(filter(None, (node.module, x.name)))
+                add(row="edge", kind="imports", qualname="", source=whole, name=module, target=target, line=line)
+                add(row="binding", name=x.asname or (x.name.partition(".")[0] if plain else x.name), target=target)
+        elif isinstance(node, ast.Call) and caller and (called := _dotted(node.func)):
+            add(row="edge", kind="calls", qualname=caller[1], source=caller[0], target=called, line=line)
+        todo += [(child, scope, caller) for child in reversed(list(ast.iter_child_nodes(node)))]
 
 
 def _dynamic(node: ast.AST) -> bool:
@@ -92,63 +124,150 @@ def _facts(path: str, tree: ast.AST, out: list[dict]) -> None:
                 found.add("dynamic_shell")
             elif isinstance(first, ast.List) and name in ("run", "call", "Popen", "check_output", "check_call"):
                 found.add("listed_command")
-    out += [{"row": "fact", "path": path, "kind": x} for x in sorted(found)]
+    out += [{"row": "fact", "path": path, "kind": x, "seq": 0} for x in sorted(found)]
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[dict] = []
         for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if len(text or "") > LARGEST_FILE:
-                out.append({"row": "skipped", "path": path, "kind": "too large"})
-                continue
-            try:
-                tree = ast.parse(text or "")
-            except (SyntaxError, ValueError, RecursionError):
-                out.append({"row": "skipped", "path": path, "kind": "syntax"})
-                continue
-            _walk(path, tree, (), "", out)
-            _facts(path, tree, out)
-        yield pa.RecordBatch.from_pylist(out, _SCHEMA)
+            rows: list[dict] = []
+            skipped = {"row": "skipped", "path": path, "seq": 0}
+            if len((text or "").encode()) > LARGEST_FILE:
+                rows.append({**skipped, "kind": "too large"})
+            else:
+                try:
+                    tree = ast.parse(text or "")
+                    _walk(path, tree, rows)
+                    _facts(path, tree, rows)
+                except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+                    rows = [{**skipped, "kind": "syntax", "line": getattr(e, "lineno", None)}]
+            yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """Rows of ``files(path, text)``: ``row`` is node, edge, fact or skipped."""
-    return files.select("path", "text").mapInArrow(_parse, ROWS)
+    """Rows of ``files(path, text)``: ``row`` is file, node, edge, binding, fact or skipped. A file that doesn't parse, or nests
+    deeper than the parser can follow, has one row, ``skipped``."""
+    return files.where("path IS NOT NULL").select("path", "text").mapInArrow(_parse, ROWS)
 
 
 def nodes_of(parsed: DataFrame) -> DataFrame:
-    own = parsed.where("row = 'node'").select(F.concat_ws(":", "kind", "path", "qualname").alias("id"), "kind", "name", "qualname", "path", "line")
-    return own.dropDuplicates(["id"])
+    """The definitions; of two with one id the later stands."""
+    own = parsed.where("row = 'node'")
+    told = F.struct("kind", "name", "qualname", "path", "line", "end_line", "signature", "docstring", "is_async")
+    return own.groupBy(F.col("source").alias("id")).agg(F.max_by(told, "seq").alias("n")).select("id", "n.*")
+
+
+def scopes(parsed: DataFrame) -> DataFrame:
+    """``path, key, id``: what a name means in its file. A full name means its last definition; a last part alone means the
+    first definition that ends with it, unless it is a full name, too."""
+    own = parsed.where("row = 'node'").select("path", "seq", F.col("source").alias("id"), F.explode(F.array(F.struct(F.col("qualname").alias("key"), F.lit(True).alias("full")), F.struct(F.col("name").alias("key"), F.lit(False).alias("full")))).alias("k"))
+    return own.groupBy("path", F.col("k.key").alias("key")).agg(F.coalesce(F.max_by("id", F.when(F.col("k.full"), F.col("seq"))), F.min_by("id", "seq")).alias("id"))
+
+
+def references(parsed: DataFrame) -> DataFrame:
+    """Calls and base classes ``path, source, qualname, kind, target, line, target_id, step``: the definition that each names.
+
+    Four sets of candidates, the narrowest that has one decides: the name as it stands in the file, its last part there, the only
+    definition of what an import bound its first part to, the only definition of its last part anywhere. ``step`` tells which
+    (1 to 4). A name that several files define is nobody's, and stays without a ``target_id``.
+    """
+    defined = scopes(parsed)
+    last = lambda c: F.regexp_extract(c, r"([^.]+)$", 1)
+    only = defined.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").drop("n")
+    bound = parsed.where("row = 'binding'").groupBy("path", F.col("name").alias("first")).agg(last(F.max_by("target", "seq")).alias("bound"))
+    asked = parsed.where("row = 'edge' AND kind IN ('calls', 'inherits')").select("path", "source", "qualname", "kind", "target", "line", last("target").alias("last"), F.substring_index("target", ".", 1).alias("first"))
+    found = (
+        asked.join(defined.toDF("path", "target", "_1"), ["path", "target"], "left")
+        .join(defined.toDF("path", "last", "_2"), ["path", "last"], "left")
+        .join(bound, ["path", "first"], "left")
+        .join(only.toDF("bound", "_3"), "bound", "left")
+        .join(only.toDF("last", "_4"), "last", "left")
+    )
+    ways = [f"_{k}" for k in range(1, 5)]
+    step = F.coalesce(*[F.when(F.col(w).isNotNull(), F.lit(k)) for k, w in enumerate(ways, 1)])
+    return found.select("path", "source", "qualname", "kind", "target", "line", F.coalesce(*ways).alias("target_id"), step.alias("step"))
 
 
 def resolve(parsed: DataFrame) -> DataFrame:
-    """``path, qualname, kind, target, target_id, resolved``: a name in its own file, else by its tail if that is unique."""
-    defined = nodes_of(parsed)
-    tail = F.regexp_extract("target", r"([^.]+)$", 1)
-    references = parsed.where("row = 'edge' AND kind <> 'imports'").select("path", "qualname", "kind", "target", "line", tail.alias("tail"))
-    here = defined.groupBy("path", F.col("name").alias("tail")).agg(F.min("id").alias("_here"))
-    unique = defined.groupBy(F.col("name").alias("tail")).agg(F.count("*").alias("_n"), F.min("id").alias("_only")).where("_n = 1")
-    joined = references.join(here, ["path", "tail"], "left").join(unique, "tail", "left").withColumn("target_id", F.coalesce("_here", "_only"))
-    return joined.select("path", "qualname", "kind", "target", "line", "target_id", F.col("target_id").isNotNull().alias("resolved"))
+    """``path, qualname, kind, target, line, target_id, resolved`` of each reference; see :func:`references`."""
+    return references(parsed).select("path", "qualname", "kind", "target", "line", "target_id", F.col("target_id").isNotNull().alias("resolved"))
+
+
+def _import_targets(named: DataFrame, files: DataFrame) -> DataFrame:
+    """Adds ``target_path`` to imports ``(path, name, target)``: the file of the name that is imported, else of its module, else
+    of the package around that. Leading dots go up from the importing file's package."""
+    modules = files.where(F.col("path").endswith(".py")).groupBy(module_qualname(F.col("path")).alias("module")).agg(F.min("path").alias("file"))
+    own = F.split(module_qualname(F.col("path")), r"\.")
+
+    def absolute(name: str) -> Column:
+        dots = F.length(F.regexp_extract(name, r"^(\.*)", 1))
+        up = dots - F.when(F.col("path").rlike(r"(^|/)__init__\.py$"), 1).otherwise(0)
+        package = F.slice(own, F.lit(1), F.greatest(F.size(own) - up, F.lit(0)))
+        rest = F.expr(f"substring({name}, length(regexp_extract({name}, '^([.]*)', 1)) + 1)")
+        return F.when(dots > 0, F.array_join(F.filter(F.concat(package, F.array(rest)), lambda x: x != ""), ".")).otherwise(F.col(name))
+
+    named = named.withColumn("_whole", absolute("target")).withColumn("_module", absolute("name")).withColumn("_package", F.regexp_replace("_module", r"\.?[^.]*$", ""))
+    for key in ("_whole", "_module", "_package"):
+        named = named.join(modules.where("module <> ''").toDF(key, key + "_file"), key, "left")
+    return named.withColumn("target_path", F.coalesce("_whole_file", "_module_file", "_package_file"))
 
 
 def resolve_imports(parsed: DataFrame, files: DataFrame) -> DataFrame:
     """``path, target, target_path, resolved``: which of ``files(path)`` each import names.
 
-    A target is a module, or a name in one; leading dots go up from the importing file's package. What no file answers to
-    is external. Of two files with one module name the smaller path counts.
+    A target is a module, or a name in one; what no file answers to is external. Of two files with one module name the smaller
+    path counts.
     """
-    modules = files.where(F.col("path").endswith(".py")).groupBy(module_qualname(F.col("path")).alias("module")).agg(F.min("path").alias("file"))
-    dots = F.length(F.regexp_extract("target", r"^(\.*)", 1))
-    own = F.split(module_qualname(F.col("path")), r"\.")
-    up = dots - F.when(F.col("path").rlike(r"(^|/)__init__\.py$"), 1).otherwise(0)
-    package = F.slice(own, F.lit(1), F.greatest(F.size(own) - up, F.lit(0)))
-    absolute = F.when(dots > 0, F.concat_ws(".", package, F.expr("substring(target, length(regexp_extract(target, '^([.]*)', 1)) + 1)"))).otherwise(F.col("target"))
-    named = parsed.where("row = 'edge' AND kind = 'imports'").select("path", "target", absolute.alias("whole")).distinct()
-    named = named.withColumn("holder", F.regexp_replace("whole", r"\.?[^.]*$", ""))
-    found = named.join(modules.toDF("whole", "_exact"), "whole", "left").join(modules.toDF("holder", "_holder"), "holder", "left")
-    return found.select("path", "target", F.coalesce("_exact", "_holder").alias("target_path")).withColumn("resolved", F.col("target_path").isNotNull())
+    named = parsed.where("row = 'edge' AND kind = 'imports'").select("path", "name", "target").distinct()
+    found = _import_targets(named, files).select("path", "target", "target_path").distinct()
+    return found.withColumn("resolved", F.col("target_path").isNotNull())
+
+
+def code_graph(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes ``id, kind, name, qualname, path, line, end_line, signature, docstring, is_async`` and edges ``source, target, kind,
+    resolved, line`` of parsed files.
+
+    Files, definitions, and modules that no file answers to (``external``); what contains, calls, inherits, imports and tests
+    what. A reference without a definition stays, with its name as the target. A test tests what it calls, unless that is a
+    test. Pass a written table, as it is read several times.
+    """
+    files = parsed.where("row = 'file'").select(F.concat(F.lit("file:"), "path").alias("id"), "kind", "name", module_qualname(F.col("path")).alias("qualname"), "path", "docstring")
+    imports = _import_targets(parsed.where("row = 'edge' AND kind = 'imports'").select("path", "source", "name", "target", "line"), files.select("path"))
+    outside, inside = F.concat(F.lit("external:"), "name"), F.concat(F.lit("file:"), "target_path")
+    external = imports.where("target_path IS NULL").select(outside.alias("id"), F.col("name").alias("qualname")).distinct()
+    external = external.select("id", F.lit("external").alias("kind"), F.regexp_extract("qualname", r"([^.]*)$", 1).alias("name"), "qualname", F.lit("").alias("path"), F.lit("").alias("docstring"))
+    whole = files.unionByName(external).withColumns({"line": F.lit(None).cast("int"), "end_line": F.lit(None).cast("int"), "signature": F.lit(""), "is_async": F.lit(None).cast("boolean")})
+    nodes = nodes_of(parsed).unionByName(whole)
+
+    resolved = F.col("target_id").isNotNull()
+    told = references(parsed).select("source", F.coalesce("target_id", "target").alias("target"), "kind", resolved.alias("resolved"), "line")
+    held = parsed.where("row = 'edge' AND kind = 'contains'").select("source", "target", "kind", F.lit(True).alias("resolved"), F.lit(None).cast("int").alias("line"))
+    used = imports.select("source", F.coalesce(inside, outside).alias("target"), F.lit("imports").alias("kind"), F.col("target_path").isNotNull().alias("resolved"), "line")
+    # an id says what kind of node it is
+    tests = told.where("kind = 'calls' AND resolved AND source LIKE 'test:%' AND target NOT LIKE 'test:%'").withColumn("kind", F.lit("tests"))
+    return nodes, told.unionByName(held).unionByName(used).unionByName(tests).distinct()
+
+
+def code_contexts(nodes: DataFrame, edges: DataFrame, tasks: DataFrame, limit: int = 20, max_depth: int = 2) -> DataFrame:
+    """The code to look at for each of ``tasks(task_id, task)``: see :func:`graph.contexts_for`. Definitions are found by their
+    name, full name, signature and docstring; walks go along everything but imports, also through files."""
+    text = F.concat_ws(" ", "name", "qualname", "signature", "docstring")
+    place = F.concat(F.col("path"), F.lit(":"), F.lpad(F.coalesce("line", F.lit(0)).cast("string"), 9, "0"))
+    known = nodes.select("id", "name", text.alias("text"), F.col("kind").isin(*DEFINITIONS).alias("wanted"), place.alias("place"))
+    return contexts_for(known, edges.where("resolved AND kind <> 'imports'"), tasks, limit, max_depth)
+
+
+def code_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``what, n``: nodes and edges of each kind and in all, edges without a definition, files. Each table is read once."""
+
+    def totals(df: DataFrame, name: str, extra: str, asked: Column) -> DataFrame:
+        sums = df.rollup("kind").agg(F.count("*").alias("n"), F.sum(asked.cast("long")).alias("asked"))
+        named = F.concat(F.lit(name + "."), F.coalesce("kind", F.lit("total")))
+        of_all = F.when(F.col("kind").isNull(), F.lit(extra))
+        both = F.array(F.struct(named.alias("what"), F.col("n").alias("n")), F.struct(of_all.alias("what"), F.coalesce("asked", F.lit(0)).alias("n")))
+        return sums.select(F.inline(both)).where("what IS NOT NULL")
+
+    return totals(nodes, "nodes", "files", F.col("kind") == "file").unionByName(totals(edges, "edges", "edges.unresolved", ~F.col("resolved")))
 
 
 def file_edges(resolved: DataFrame) -> DataFrame:

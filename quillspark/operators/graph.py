@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import saved
@@ -17,6 +17,7 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``what, kind, n``: nodes and edges of each kind."""
     count = lambda df, what: df.groupBy("kind").agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "kind", "n")
     return count(nodes, "node").unionByName(count(edges, "edge"))
 
@@ -139,30 +140,67 @@ def dependencies(edges: DataFrame) -> DataFrame:
     return uses.join(used, "id", "full_outer").select("id", F.coalesce("uses", none).alias("uses"), F.coalesce("used_by", none).alias("used_by"))
 
 
-def context_for(nodes: DataFrame, edges: DataFrame, task: str, limit: int = 20, max_depth: int = 2) -> DataFrame:
-    """Nodes ``(id, name, text)`` for a task: the best by BM25, then what they reach, each hop for less.
+#: What a link says of a node, from the node to the seed and back, in the order in which links count.
+LINK_WORDS = (("contains", "contains", "contained in"), ("inherits", "inherits from", "base of"), ("calls", "calls", "called by"), ("tests", "tests", "tested by"))
+
+
+def link_reasons(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Adds ``reason`` to ``pairs(seed, seed_name, id)``: how the node is linked to the seed, by its own edges first, or that it
+    is only reached from there."""
+    turn = lambda k: F.coalesce(*[F.when(F.col("kind") == x[0], F.lit(i)) for i, x in enumerate(LINK_WORDS)], F.lit(len(LINK_WORDS)))
+    word = lambda k, other: F.coalesce(*[F.when(F.col("kind") == x[0], F.lit(x[k])) for x in LINK_WORDS], F.lit(other))
+    own = edges.select(F.col("target").alias("seed"), F.col("source").alias("id"), turn(1).alias("_turn"), word(1, "relates to").alias("_word"))
+    back = edges.select(F.col("source").alias("seed"), F.col("target").alias("id"), (turn(2) + 10).alias("_turn"), word(2, "related to").alias("_word"))
+    first = own.unionByName(back).groupBy("seed", "id").agg(F.min(F.struct("_turn", "_word"))["_word"].alias("_word"))
+    return pairs.join(first, ["seed", "id"], "left").withColumn("reason", F.concat(F.coalesce("_word", F.lit("reachable from")), F.lit(" "), "seed_name")).drop("_word")
+
 
-    Seeds are taken in rank order, and a later seed passes on what an earlier one gave it. The seeds and their scores are at
-    most ``max(limit // 2, 5)`` rows; only those are folded on the driver, reaching out is a join.
+def contexts_for(nodes: DataFrame, edges: DataFrame, tasks: DataFrame, limit: int = 20, max_depth: int = 2) -> DataFrame:
+    """``task_id, id, score, depth, reasons``: the best nodes for each of ``tasks(task_id, task)``.
+
+    ``nodes`` has id, name, text, and whether it may be an answer (``wanted``); an optional ``place`` settles equal scores, then the
+    id. The best by BM25 are seeds, and pass their score on along ``edges``, each hop for less. Seeds go in the order of their
+    rank, and a later one passes on what earlier ones gave it: a fold over an array of at most ``max(limit // 2, 5)`` scores.
+    Walks go through any node that exists; only wanted ones are answers. A seed keeps depth 0, others have the depth from the
+    first seed that reaches them. Reasons stand in the order of the seeds, each once.
     """
-    spark = nodes.sparkSession
-    wanted = max(limit // 2, 5)
-    ranked = bm25(spark.createDataFrame([(0, task)], "query_id int, query string"), nodes.select(F.col("id").alias("doc_id"), "text"))
-    seeds = [(r.doc_id, r.score) for r in ranked.orderBy("rank").limit(wanted).collect()]
-    if not seeds:
-        return spark.createDataFrame([], "id string, score double, depth int")
-    ids = [i for i, _ in seeds]
-    reach = reachable(edges, spark.createDataFrame([(i,) for i in ids], "id string"), max_depth)
-    among = {(r.start, r.id): r.depth for r in reach.where(F.col("id").isin(ids)).collect()}  # at most seeds x seeds
-    score = {i: s / seeds[0][1] for i, s in seeds}
-    given = {}
-    for seed in ids:  # in rank order
-        given[seed] = score[seed]
-        for other in ids:
-            if (seed, other) in among:
-                score[other] += given[seed] * HOP_DECAY ** among[seed, other]
-    direct = spark.createDataFrame([(i, score[i], 0) for i in ids], "id string, score double, depth int")
-    passes = spark.createDataFrame(list(given.items()), "start string, given double")
-    others = reach.where(~F.col("id").isin(ids)).join(F.broadcast(passes), "start").join(nodes.select("id"), "id", "left_semi")
-    spread = others.groupBy("id").agg(F.sum(F.col("given") * F.pow(F.lit(HOP_DECAY), "depth")).alias("score"), F.min("depth").alias("depth"))
-    return direct.unionByName(spread).orderBy(F.desc("score"), "id").limit(limit)
+    known = nodes.select("id")
+    place = F.col("place") if "place" in nodes.columns else F.lit("")
+    edges = saved(edges.select("source", "target", "kind").join(known.toDF("source"), "source", "left_semi").join(known.toDF("target"), "target", "left_semi").distinct(), "links")
+    ranked = bm25(tasks.select(F.col("task_id").alias("query_id"), F.col("task").alias("query")), nodes.where("wanted").select(F.col("id").alias("doc_id"), "text"))
+    seeds = ranked.where(F.col("rank") <= max(limit // 2, 5)).select(F.col("query_id").alias("task_id"), F.col("doc_id").alias("seed"), F.col("rank").cast("int").alias("rank"), "score")
+    seeds = saved(seeds.join(nodes.select(F.col("id").alias("seed"), F.col("name").alias("seed_name")), "seed"), "seeds")
+    reach = saved(reachable(edges, seeds.select(F.col("seed").alias("id")).distinct(), max_depth), "reach")
+
+    # at most seeds x seeds numbers for each task, folded in the order of the ranks
+    among = seeds.join(reach.withColumnRenamed("start", "seed"), "seed").join(seeds.select("task_id", F.col("seed").alias("id"), F.col("rank").alias("other")), ["task_id", "id"])
+    among = among.groupBy("task_id").agg(F.map_from_entries(F.collect_list(F.struct((F.col("rank") * 10_000 + F.col("other")).alias("k"), F.pow(F.lit(HOP_DECAY), "depth").alias("w")))).alias("weights"))
+    bases = seeds.groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct("rank", "score"))).alias("s"), F.max("score").alias("top"))
+    bases = bases.join(among, "task_id", "left").withColumn("scores", F.transform("s", lambda x: x["score"] / F.col("top")))
+    weight = lambda i, j: F.coalesce(F.try_element_at("weights", i * 10_000 + j), F.lit(0.0))
+
+    def passed(state: Column, i: Column) -> Column:
+        now = F.element_at(state["scores"], i)
+        given = F.transform(state["scores"], lambda s, j: s + now * weight(i, j + 1))
+        return F.struct(given.alias("scores"), F.concat(state["given"], F.array(now)).alias("given"))
+
+    folded = bases.withColumn("f", F.aggregate(F.sequence(F.lit(1), F.size("scores")), F.struct("scores", F.array().cast("array<double>").alias("given")), passed))
+    passes = folded.select("task_id", F.posexplode(F.arrays_zip("f.scores", "f.given")).alias("i", "x")).select("task_id", (F.col("i") + 1).alias("rank"), F.col("x.scores").alias("final"), F.col("x.given").alias("given"))
+    passes = seeds.join(passes, ["task_id", "rank"])
+
+    answers = nodes.where("wanted").select("id")
+    hits = passes.join(reach.withColumnRenamed("start", "seed"), "seed").join(answers, "id", "left_semi")
+    hits = link_reasons(hits, edges).select("task_id", "id", "rank", "depth", "reason", (F.col("given") * F.pow(F.lit(HOP_DECAY), "depth")).alias("part"), F.lit(None).cast("double").alias("final"))
+    said = F.concat(F.lit("matches '"), "task", F.lit("' (rank "), F.col("rank").cast("string"), F.lit(")"))
+    direct = passes.join(tasks.select("task_id", "task"), "task_id").select("task_id", F.col("seed").alias("id"), F.lit(0).alias("rank"), F.lit(0).alias("depth"), said.alias("reason"), F.lit(0.0).alias("part"), "final")
+    told = F.transform(F.sort_array(F.collect_list(F.struct("rank", "reason"))), lambda x: x["reason"])
+    out = hits.unionByName(direct).groupBy("task_id", "id").agg(F.coalesce(F.max("final"), F.sum("part")).alias("score"), F.min_by("depth", "rank").alias("depth"), F.array_distinct(told).alias("reasons"))
+    best = Window.partitionBy("task_id").orderBy(F.round("score", 9).desc(), "_place", "id")
+    out = out.join(nodes.select("id", place.alias("_place")), "id").withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= limit)
+    return out.select("task_id", "id", "score", "depth", "reasons")
+
+
+def context_for(nodes: DataFrame, edges: DataFrame, task: str, limit: int = 20, max_depth: int = 2) -> DataFrame:
+    """Nodes ``(id, score, depth)`` for one task; all of ``nodes(id, name, text)`` may be answers. See :func:`contexts_for`."""
+    tasks = nodes.sparkSession.createDataFrame([(0, task)], "task_id int, task string")
+    return contexts_for(nodes.withColumn("wanted", F.lit(True)), edges, tasks, limit, max_depth).select("id", "score", "depth").orderBy(F.desc("score"), "id")

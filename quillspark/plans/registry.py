@@ -414,7 +414,7 @@ def graph_define(spark, sf_dir):
     return graph.define(A.star_graph(spark, sf_dir)[0], names)
 
 
-@query()
+@query(f"""WITH RECURSIVE {S.STAR}, {S.contexts("SELECT 0 AS task_id, 'nation region asia africa' AS task", "SELECT id, name, kind || ' ' || name AS text, true AS wanted, '' AS place FROM nodes", "SELECT * FROM edges WHERE kind = 'contains'")} SELECT id, score, depth FROM answers""")
 def graph_context_for(spark, sf_dir):
     """Places and sellers for a task, found by name and then along the graph."""
     nodes, edges = A.star_graph(spark, sf_dir)
@@ -867,3 +867,6 @@ def context_pipeline_ranked(spark, sf_dir):
     items = A.events_context(spark, sf_dir)
     scores = ranking.score_items(context.dedup(context.measure(items)), "view k exit view").withColumn("score", F.round("score", 6))
     return context.run(items, scores, BUDGET // 2).select("context_id", "pos")
+
+
+from . import code  # noqa: E402, F401  its queries register themselves here

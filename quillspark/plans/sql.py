@@ -98,3 +98,77 @@ links AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1))
 METRICS = """
 metrics AS (SELECT lang AS condition, doc_id AS rep, 'quality' AS metric, quality::DOUBLE AS value FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL
   UNION ALL SELECT lang, doc_id, 'toxic', toxic::DOUBLE FROM labels JOIN documents USING (doc_id) WHERE toxic IS NOT NULL)"""
+
+#: The project that code._project writes: sources s (parsed if k % 17 <> 0) and tests t; what names what, line by line.
+PROJECT = """
+k AS (SELECT p_partkey AS k, (p_partkey * 7) % 50 + 1 AS n FROM part),
+s AS (SELECT k, n, 'src/p' || k || '.py' AS p, n % 17 <> 0 AS known FROM k WHERE k % 17 <> 0),
+t AS (SELECT k, 'tests/test_p' || k || '.py' AS p, k % 17 <> 0 AS known FROM k WHERE k % 2 = 0),
+outside AS (SELECT DISTINCT unnest(['os.path', 'json']) AS m FROM s UNION SELECT 'p' || n FROM s WHERE NOT known UNION SELECT 'p' || k FROM t WHERE NOT known UNION SELECT 'shared' FROM t),
+code_nodes AS (
+  SELECT 'file:' || p AS id, 'file' AS kind, 'p' || k || '.py' AS name, 'p' || k AS qualname, p AS path, NULL::INT AS line, NULL::INT AS end_line, '' AS signature, 'Part ' || k || '.' AS docstring, NULL::BOOLEAN AS is_async FROM s
+  UNION ALL SELECT 'file:' || p, 'file', 'test_p' || k || '.py', 'tests.test_p' || k, p, NULL, NULL, '', '', NULL FROM t
+  UNION ALL SELECT 'external:' || m, 'external', split_part(m, '.', -1), m, '', NULL, NULL, '', '', NULL FROM outside
+  UNION ALL SELECT 'class:' || p || ':Part' || k, 'class', 'Part' || k, 'Part' || k, p, 6, 17, 'class Part' || k || '(Base, Other)', 'Holds ' || k || '.', NULL FROM s
+  UNION ALL SELECT 'method:' || p || ':Part' || k || '.run', 'method', 'run', 'Part' || k || '.run', p, 9, 14, 'run(self, db, x: int, *rest, flag: bool, **more) -> str', 'Runs.', false FROM s
+  UNION ALL SELECT 'method:' || p || ':Part' || k || '.stop', 'method', 'stop', 'Part' || k || '.stop', p, 16, 17, 'stop(self)', '', true FROM s
+  UNION ALL SELECT 'class:' || p || ':Worker', 'class', 'Worker', 'Worker', p, 19, 21, 'class Worker(Part' || k || ')', '', NULL FROM s
+  UNION ALL SELECT 'method:' || p || ':Worker.run', 'method', 'run', 'Worker.run', p, 20, 21, 'run(self)', '', false FROM s
+  UNION ALL SELECT 'function:' || p || ':helper' || k, 'function', 'helper' || k, 'helper' || k, p, 23, 26, 'helper' || k || '(x, y)', '', false FROM s
+  UNION ALL SELECT 'method:' || p || ':helper' || k || '.inner', 'method', 'inner', 'helper' || k || '.inner', p, 24, 25, 'inner()', '', false FROM s
+  UNION ALL SELECT 'test:' || p || ':test_helper' || k, 'test', 'test_helper' || k, 'test_helper' || k, p, 4, 6, 'test_helper' || k || '()', '', false FROM t
+  UNION ALL SELECT 'function:' || p || ':thing' || k, 'function', 'thing' || k, 'thing' || k, p, 8, 9, 'thing' || k || '()', '', false FROM t),
+named AS (
+  SELECT 'class:' || p || ':Part' || k AS source, 'inherits' AS kind, 6 AS line, 'Base' AS raw, NULL AS id, 4 AS step FROM s
+  UNION ALL SELECT 'class:' || p || ':Part' || k, 'inherits', 6, 'Other', CASE WHEN known THEN 'class:src/p' || n || '.py:Part' || n END, 3 FROM s
+  UNION ALL SELECT 'class:' || p || ':Worker', 'inherits', 19, 'Part' || k, 'class:' || p || ':Part' || k, 1 FROM s
+  UNION ALL SELECT 'method:' || p || ':Part' || k || '.run', 'calls', 11, 'self.stop', 'method:' || p || ':Part' || k || '.stop', 2 FROM s
+  UNION ALL SELECT 'method:' || p || ':Part' || k || '.run', 'calls', 12, 'helper' || n, CASE WHEN known THEN 'function:src/p' || n || '.py:helper' || n END, CASE WHEN n = k THEN 1 ELSE 3 END FROM s
+  UNION ALL SELECT 'method:' || p || ':Part' || k || '.run', 'calls', 13, 'js.dumps', NULL, 4 FROM s
+  UNION ALL SELECT 'method:' || p || ':Part' || k || '.run', 'calls', 14, 'Worker.run', 'method:' || p || ':Worker.run', 1 FROM s
+  UNION ALL SELECT 'method:' || p || ':Part' || k || '.stop', 'calls', 17, 'helper' || k, 'function:' || p || ':helper' || k, 1 FROM s
+  UNION ALL SELECT 'method:' || p || ':Worker.run', 'calls', 21, 'thing' || k, CASE WHEN k % 2 = 0 THEN 'function:tests/test_p' || k || '.py:thing' || k END, 4 FROM s
+  UNION ALL SELECT 'method:' || p || ':helper' || k || '.inner', 'calls', 25, 'x.strip', NULL, 4 FROM s
+  UNION ALL SELECT 'function:' || p || ':helper' || k, 'calls', 26, 'inner', 'method:' || p || ':helper' || k || '.inner', 1 FROM s
+  UNION ALL SELECT 'test:' || p || ':test_helper' || k, 'calls', 5, 'helper' || k, CASE WHEN known THEN 'function:src/p' || k || '.py:helper' || k END, 3 FROM t
+  UNION ALL SELECT 'test:' || p || ':test_helper' || k, 'calls', 6, 'Part' || k, CASE WHEN known THEN 'class:src/p' || k || '.py:Part' || k END, 4 FROM t
+  UNION ALL SELECT 'test:' || p || ':test_helper' || k, 'calls', 6, 'run', NULL, 4 FROM t
+  UNION ALL SELECT 'function:' || p || ':thing' || k, 'calls', 9, 'helper' || k, CASE WHEN known THEN 'function:src/p' || k || '.py:helper' || k END, 3 FROM t),
+code_edges AS (
+  SELECT source, coalesce(id, raw) AS target, kind, id IS NOT NULL AS resolved, line FROM named
+  UNION SELECT source, id, 'tests', true, line FROM named WHERE starts_with(source, 'test:') AND id IS NOT NULL
+  UNION SELECT 'file:' || p, 'external:' || m, 'imports', false, l FROM s, (VALUES ('os.path', 2), ('json', 3)) v(m, l)
+  UNION SELECT 'file:' || p, CASE WHEN known THEN 'file:src/p' || n || '.py' ELSE 'external:p' || n END, 'imports', known, 4 FROM s
+  UNION SELECT 'file:' || p, CASE WHEN known THEN 'file:src/p' || k || '.py' ELSE 'external:p' || k END, 'imports', known, 1 FROM t
+  UNION SELECT 'file:' || p, 'external:shared', 'imports', false, 2 FROM t
+  UNION SELECT CASE WHEN kind = 'method' THEN 'class:' || path || ':' || regexp_replace(qualname, '[.][^.]*$', '') ELSE 'file:' || path END, id, 'contains', true, NULL FROM code_nodes WHERE kind NOT IN ('file', 'external'))"""
+
+
+def _turn(kind: str) -> str:
+    return f"CASE {kind} WHEN 'contains' THEN 0 WHEN 'inherits' THEN 1 WHEN 'calls' THEN 2 ELSE 3 END"
+
+
+def contexts(tasks: str, nodes: str, edges: str, limit: int = 20) -> str:
+    """answers(task_id, id, score, depth, reasons) of sub-selects (task_id, task), (id, name, text, wanted, place) and (source, target, kind)."""
+    seeds = max(limit // 2, 5)
+    return f"""tasks AS ({tasks}), nd AS ({nodes}), ed AS (SELECT DISTINCT e.source, e.target, e.kind FROM ({edges}) e JOIN nd a ON a.id = e.source JOIN nd b ON b.id = e.target),
+{bm25('SELECT task_id AS query_id, task AS query FROM tasks', 'SELECT id AS doc_id, text FROM nd WHERE wanted')},
+seeds AS (SELECT query_id AS task_id, doc_id AS seed, rank, score / max(score) OVER (PARTITION BY query_id) AS base, name FROM ranked JOIN nd ON nd.id = doc_id WHERE rank <= {seeds}),
+w AS (SELECT source, target FROM ed UNION SELECT target, source FROM ed),
+one AS (SELECT DISTINCT seed, target AS id, 1 AS depth FROM seeds JOIN w ON source = seed), two AS (SELECT DISTINCT seed, target, 2 FROM one JOIN w ON source = id),
+reach AS (SELECT seed, id, min(depth) AS depth FROM (FROM one UNION ALL FROM two) WHERE seed <> id GROUP BY 1, 2),
+cells AS (SELECT a.task_id, a.rank AS i, b.rank AS j, coalesce(pow(0.4, r.depth), 0) AS x FROM seeds a JOIN seeds b ON a.task_id = b.task_id LEFT JOIN reach r ON r.seed = a.seed AND r.id = b.seed),
+rowed AS (SELECT task_id, i, list(x ORDER BY j) AS x FROM cells GROUP BY 1, 2), grid AS (SELECT task_id, list(x ORDER BY i) AS m FROM rowed GROUP BY 1),
+fold AS (SELECT task_id, 1::BIGINT AS pass, list(base ORDER BY rank) AS s, []::DOUBLE[] AS given FROM seeds GROUP BY 1
+  UNION ALL SELECT f.task_id, f.pass + 1, list_transform(f.s, lambda x, y: x + f.s[f.pass] * g.m[f.pass][y]), list_append(f.given, f.s[f.pass]) FROM fold f JOIN grid g ON g.task_id = f.task_id WHERE f.pass <= len(f.s)),
+folded AS (SELECT * FROM fold WHERE pass = len(s) + 1),
+linked AS (SELECT source AS id, target AS seed, {_turn('kind')} AS o, CASE kind WHEN 'contains' THEN 'contains' WHEN 'inherits' THEN 'inherits from' WHEN 'calls' THEN 'calls' ELSE 'tests' END AS v FROM ed
+  UNION ALL SELECT target, source, 10 + {_turn('kind')}, CASE kind WHEN 'contains' THEN 'contained in' WHEN 'inherits' THEN 'base of' WHEN 'calls' THEN 'called by' ELSE 'tested by' END FROM ed),
+words AS (SELECT id, seed, min_by(v, o) AS v FROM linked GROUP BY 1, 2),
+hits AS (SELECT s.task_id, r.id, s.rank, r.depth, f.given[s.rank] * pow(0.4, r.depth) AS part, coalesce(v, 'reachable from') || ' ' || s.name AS reason
+  FROM seeds s JOIN folded f ON f.task_id = s.task_id JOIN reach r ON r.seed = s.seed JOIN nd ON nd.id = r.id AND wanted LEFT JOIN words q ON q.id = r.id AND q.seed = s.seed
+  UNION ALL SELECT s.task_id, s.seed, 0, 0, NULL, 'matches ' || chr(39) || task || chr(39) || ' (rank ' || s.rank || ')' FROM seeds s JOIN tasks USING (task_id)),
+said AS (SELECT task_id, id, list(reason ORDER BY f, reason) AS reasons FROM (SELECT task_id, id, reason, min(rank) AS f FROM hits GROUP BY 1, 2, 3) GROUP BY 1, 2),
+sums AS (SELECT h.task_id, h.id, sum(part) AS part, min_by(h.depth, h.rank)::INT AS depth FROM hits h GROUP BY 1, 2),
+scores AS (SELECT u.task_id, u.id, coalesce(f.s[e.rank], part) AS score, depth, reasons, place FROM sums u JOIN said USING (task_id, id) JOIN nd ON nd.id = u.id LEFT JOIN seeds e ON e.task_id = u.task_id AND e.seed = u.id LEFT JOIN folded f ON f.task_id = u.task_id),
+answers AS (SELECT task_id, id, round(score, 6) AS score, depth, reasons FROM scores QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY round(score, 9) DESC, place, id) <= {limit})"""

@@ -3,7 +3,7 @@ from collections import deque
 
 import pytest
 
-from quillspark.operators import claims, codegraph, graph, rules
+from quillspark.operators import claims, codegraph, graph, ranking, rules
 
 EDGE, NODE = "source string, target string, kind string", "id string, kind string, name string"
 
@@ -62,7 +62,7 @@ def test_seeds_pass_scores_on_in_rank_order(spark):
     nodes = spark.createDataFrame([("a", "class", "a", "parse json parse json"), ("b", "class", "b", "parse xml other words"), ("c", "class", "c", "unrelated")], NODE + ", text string")
     found = {r.id: (r.score, r.depth) for r in graph.context_for(nodes, edges_of(spark, [("a", "b"), ("b", "c")]), "parse json").collect()}
     second = found["b"][0]
-    assert found["a"][1] == 0 and found["c"] == (pytest.approx(1.0 * 0.16 + second * 0.4), 1)
+    assert found["a"][1] == 0 and found["c"] == (pytest.approx(1.0 * 0.16 + second * 0.4), 2)  # the first seed reaches it in two
     assert found["a"][0] == pytest.approx(1.0 + second * 0.4)
 
 
@@ -146,3 +146,106 @@ def test_imports_name_files(spark):
         ("src/a/b.py", ".c.z"): "src/a/c.py", ("src/a/c.py", "a.b"): "src/a/b.py", ("d.py", "a"): "src/a/__init__.py", ("d.py", "...q"): None,
     }
     assert ("src/a/b.py", "src/a/c.py") in {tuple(r.path) for r in graph.cycles(codegraph.file_edges(resolved), 2).collect()}
+
+
+PROJECT = [
+    ("src/c.py", "def run(self):\n    pass\nclass A:\n    def run(self): pass\nclass B(A):\n    def run(self): pass\ndef use(x):\n    B.run(x)\n    run(x)\n    x.stop()\n    later()\n    both()\n    o.g()\n    made()\n    f()()\n"),
+    ("src/d.py", 'import os.path as o\nfrom c import use as f\nfrom . import e\nfrom pkg.gone import made\nclass K:\n    """Doc."""\n    class Inner(list, meta.Base): pass\n    async def stop(self, a, /, b: int = 3, *c, d: "str" = 1, **e) -> None:\n        """Stops."""\n        def deep(): f(1)\n        return deep\ndef both(): f(2)\n'),
+    ("tests/test_d.py", "from d import both\ndef test_one():\n    both(); both()\n    test_two()\ndef test_two(): helper()\ndef helper(): pass\ndef both_(): both()\n"),
+    ("pkg/__init__.py", "def both(): pass\n"),
+    ("src/e.py", "def twice(): pass\ndef twice(a): pass\n"),
+    ("bad.py", "def ("),
+]
+
+
+def test_the_narrowest_scope_decides(spark):
+    parsed = codegraph.parse(spark.createDataFrame(PROJECT, "path string, text string"))
+    found = {(r.source.partition(":")[2], r.kind, r.target, r.line): (r.target_id, r.step) for r in codegraph.references(parsed).collect()}
+    use = "src/c.py:use"
+    assert found[use, "calls", "B.run", 8] == ("method:src/c.py:B.run", 1)
+    assert found[use, "calls", "run", 9] == ("function:src/c.py:run", 1)  # a full name, though A.run is also called run
+    assert found[use, "calls", "x.stop", 10] == ("method:src/d.py:K.stop", 4)
+    assert found[use, "calls", "later", 11] == found[use, "calls", "both", 12] == found[use, "calls", "o.g", 13] == (None, None)
+    assert found[use, "calls", "f", 15] == (None, None)  # bound in another file
+    assert found["src/c.py:B", "inherits", "A", 5] == ("class:src/c.py:A", 1)
+    assert found["src/d.py:K.stop.deep", "calls", "f", 10] == found["src/d.py:both", "calls", "f", 12] == ("function:src/c.py:use", 3)
+    assert found["src/d.py:K.Inner", "inherits", "meta.Base", 7] == (None, None)
+    assert found["tests/test_d.py:test_one", "calls", "both", 3] == (None, None)  # two files define it
+
+
+def test_the_whole_graph_of_a_project(spark):
+    nodes, edges = codegraph.code_graph(codegraph.parse(spark.createDataFrame(PROJECT, "path string, text string")).cache())
+    found = {r.id: r for r in nodes.collect()}
+    assert len(found) == nodes.count()
+    stop = found["method:src/d.py:K.stop"]
+    assert (stop.signature, stop.docstring, stop.is_async, stop.line, stop.end_line) == ("stop(self, a, b: int, *c, d: 'str', **e) -> None", "Stops.", True, 8, 11)
+    assert found["class:src/d.py:K.Inner"].signature == "class Inner(list, meta.Base)" and found["class:src/d.py:K"].docstring == "Doc."
+    assert (found["function:src/e.py:twice"].signature, found["function:src/e.py:twice"].line) == ("twice(a)", 2)
+    assert {i for i in found if i.startswith("external:")} == {"external:os.path"}
+    assert found["file:pkg/__init__.py"].qualname == "pkg" and "file:bad.py" not in found
+    links = {(r.source, r.target, r.kind): (r.resolved, r.line) for r in edges.collect()}
+    assert links["file:src/d.py", "file:src/c.py", "imports"] == (True, 2) and links["file:src/d.py", "file:src/e.py", "imports"] == (True, 3)
+    assert links["file:src/d.py", "file:pkg/__init__.py", "imports"] == (True, 4) and links["file:src/d.py", "external:os.path", "imports"] == (False, 1)
+    assert links["file:src/d.py", "class:src/d.py:K.Inner", "contains"] == (True, None) == links["class:src/d.py:K", "method:src/d.py:K.stop", "contains"]
+    assert ("class:src/d.py:K.stop", "method:src/d.py:K.stop.deep", "contains") in links
+    assert links["function:src/c.py:use", "later", "calls"] == (False, 11)
+    assert {k[:2] for k in links if k[2] == "tests"} == {("test:tests/test_d.py:test_two", "function:tests/test_d.py:helper")}
+
+
+def test_depth_of_a_tree_and_size_in_bytes(spark):
+    deep = "x = " + "(" * 90 + "1" + ")" * 90 + "\n" + "\n".join("    " * i + f"def f{i}():" for i in range(30)) + "\n" + "    " * 30 + "f0()"
+    files = [("deep.py", deep), ("sum.py", "x = " + "+".join(["1"] * 5000)), ("bytes.py", "#" + "ü" * 600_000), ("odd.py", "def f(:\n")]
+    parsed = codegraph.parse(spark.createDataFrame(files, "path string, text string")).cache()
+    assert {(r.path, r.kind) for r in parsed.where("row = 'skipped'").collect()} - {("sum.py", "syntax")} == {("bytes.py", "too large"), ("odd.py", "syntax")}
+    assert parsed.where("row = 'edge' AND kind = 'calls' AND path = 'deep.py'").first().qualname == ".".join(f"f{i}" for i in range(30))
+
+
+def test_contexts_against_a_plain_fold(spark):
+    rng = random.Random(3)
+    words = "parse json store graph node edge walk".split()
+    nodes = [(f"n{i:02}", f"name{i}", " ".join(rng.choice(words) for _ in range(rng.randint(1, 5))), i % 7 != 3) for i in range(40)]
+    pairs = sorted({(f"n{rng.randrange(40):02}", f"n{rng.randrange(44):02}", rng.choice(["calls", "contains", "tests", "inherits"])) for _ in range(60)})
+    tasks = [(1, "parse json"), (2, "walk the graph walk"), (3, "nothing of this"), (4, "")]
+    frame = spark.createDataFrame(nodes, "id string, name string, text string, wanted boolean")
+    asked = spark.createDataFrame(tasks, "task_id int, task string")
+    found = {}
+    for r in graph.contexts_for(frame, spark.createDataFrame(pairs, EDGE), asked, 12, 2).collect():
+        found.setdefault(r.task_id, {})[r.id] = (round(r.score, 9), r.depth, list(r.reasons))
+    name, hops = {n[0]: n[1] for n in nodes}, {}
+    for a, b, _ in pairs:
+        if a in name and b in name:
+            hops.setdefault(a, set()).add(b)
+            hops.setdefault(b, set()).add(a)
+    verbs = {"contains": ("contains", "contained in"), "inherits": ("inherits from", "base of"), "calls": ("calls", "called by"), "tests": ("tests", "tested by")}
+
+    def reason(seed, other):
+        for k, way in ((0, (other, seed)), (1, (seed, other))):
+            for kind, said in verbs.items():
+                if (*way, kind) in pairs:
+                    return f"{said[k]} {name[seed]}"
+        return f"reachable from {name[seed]}"
+
+    ranked = ranking.bm25(asked.selectExpr("task_id AS query_id", "task AS query"), frame.where("wanted").selectExpr("id AS doc_id", "text")).collect()
+    expected = {}
+    for task, text in tasks:
+        seeds = sorted((r.rank, r.doc_id, r.score) for r in ranked if r.query_id == task)[:6]
+        state = {i: [s / max(x[2] for x in seeds), 0, [f"matches '{text}' (rank {rank})"]] for rank, i, s in seeds}
+        for _, seed, _ in seeds:
+            depth, todo = {seed: 0}, deque([seed])
+            while todo:
+                x = todo.popleft()
+                for y in sorted(hops.get(x, ())) if depth[x] < 2 else ():
+                    if y not in depth:
+                        depth[y] = depth[x] + 1
+                        todo.append(y)
+            given = state[seed][0]
+            for i, d in depth.items():
+                if d and nodes[int(i[1:])][3]:
+                    mine = state.setdefault(i, [0.0, d, []])
+                    mine[0] += given * 0.4**d
+                    if reason(seed, i) not in mine[2]:
+                        mine[2].append(reason(seed, i))
+        best = sorted(state.items(), key=lambda x: (-round(x[1][0], 9), x[0]))[:12]
+        if best:
+            expected[task] = {i: (round(s, 9), d, why) for i, (s, d, why) in best}
+    assert found == expected and set(found) == {1, 2}
