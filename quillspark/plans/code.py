@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import codegraph
 from ..sources import adapters as A
-from ..storage import saved
+from ..sources.graph_store import GraphStore
+from ..sources.keyed import KeyedTable
+from ..storage import saved, shared_folder
 from . import sql as S
 from .registry import query
 
@@ -99,3 +103,53 @@ def code_context_for(spark, sf_dir):
  UNION ALL SELECT 'edges.unresolved', count(*) FROM code_edges WHERE NOT resolved UNION ALL SELECT 'files', count(*) FROM code_nodes WHERE kind = 'file'""")
 def code_graph_stats(spark, sf_dir):
     return codegraph.code_stats(*codegraph.code_graph(_parsed(spark, sf_dir)))
+
+
+EXTRA = """
+def extra{k}():
+    return helper{k}(3)
+"""
+#: The second version of the project: files go (k % 5), change (k % 7), are mended (k % 34) and come (k % 11).
+_SECOND = """k AS (SELECT p_partkey AS k FROM part),
+files AS (SELECT k, 'src/p' || k || '.py' AS p, CASE WHEN k % 5 = 0 THEN 'vanished' WHEN k % 17 = 0 THEN CASE WHEN k % 34 = 0 THEN 'new' ELSE 'syntax' END WHEN k % 7 = 0 THEN 'changed' ELSE 'unchanged' END AS outcome FROM k WHERE k % 5 <> 0 OR k % 17 <> 0
+  UNION ALL SELECT k, 'tests/test_p' || k || '.py', 'unchanged' FROM k WHERE k % 2 = 0 UNION ALL SELECT k, 'src/new' || k || '.py', 'new' FROM k WHERE k % 11 = 0)"""
+
+
+def _versions(spark, sf_dir):
+    """A store that has read the project once and then its second version, and what the second run said of each file."""
+    store = GraphStore(f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}")
+    store.ingest(project(spark, sf_dir))
+    k = F.col("p_partkey")
+    fill = lambda code: F.replace(F.replace(F.lit(code), F.lit("{k}"), k.cast("string")), F.lit("{n}"), ((k * 7) % 50 + 1).cast("string"))
+    named = lambda prefix: F.concat(F.lit(prefix), k.cast("string"), F.lit(".py")).alias("path")
+    parts = A.table(spark, sf_dir, "part")
+    text = F.when((k % 17 == 0) & (k % 34 != 0), F.lit("def broken(:\n")).when(k % 7 == 0, fill(SOURCE + EXTRA)).otherwise(fill(SOURCE))
+    files = parts.where("p_partkey % 5 <> 0").select(named("src/p"), text.alias("text")).unionByName(parts.where("p_partkey % 2 = 0").select(named("tests/test_p"), fill(TEST).alias("text")))
+    return store, store.ingest(files.unionByName(parts.where("p_partkey % 11 = 0").select(named("src/new"), fill(EXTRA).alias("text"))))
+
+
+@query(f"WITH {_SECOND} SELECT p AS path, outcome FROM files")
+def code_ingest_report(spark, sf_dir):
+    """What the second run found: only new and changed files are parsed."""
+    return _versions(spark, sf_dir)[1]
+
+
+@query(f"""WITH {_SECOND}, f AS (SELECT * FROM files WHERE outcome NOT IN ('vanished', 'syntax')), s AS (SELECT * FROM f WHERE starts_with(p, 'src/p')), t AS (SELECT * FROM f WHERE starts_with(p, 'tests'))
+SELECT 'file:' || p AS id, NULL::INT AS line FROM f UNION ALL SELECT 'class:' || p || ':Part' || k, 6 FROM s UNION ALL SELECT 'method:' || p || ':Part' || k || '.run', 9 FROM s UNION ALL SELECT 'method:' || p || ':Part' || k || '.stop', 16 FROM s
+ UNION ALL SELECT 'class:' || p || ':Worker', 19 FROM s UNION ALL SELECT 'method:' || p || ':Worker.run', 20 FROM s UNION ALL SELECT 'function:' || p || ':helper' || k, 23 FROM s UNION ALL SELECT 'method:' || p || ':helper' || k || '.inner', 24 FROM s
+ UNION ALL SELECT 'function:' || p || ':extra' || k, 28 FROM s WHERE k % 7 = 0 UNION ALL SELECT 'function:' || p || ':extra' || k, 2 FROM f WHERE starts_with(p, 'src/new') UNION ALL SELECT 'test:' || p || ':test_helper' || k, 4 FROM t UNION ALL SELECT 'function:' || p || ':thing' || k, 8 FROM t""")
+def code_incremental_nodes(spark, sf_dir):
+    """The graph after two runs over two versions."""
+    return _versions(spark, sf_dir)[0].graph(spark)[0].where("kind <> 'external'").select("id", "line")
+
+
+@query(f"WITH {S.LOG} SELECT id, CASE WHEN id % 3 = 0 THEN 'rewritten' ELSE record_type END AS record_type FROM log WHERE id % 10 <> 1 UNION ALL SELECT -id, 'added' FROM log WHERE id % 3 = 0 AND id > 0")
+def keyed_upsert(spark, sf_dir):
+    """A log in a keyed table: a third of its records are written again, some are added, some are taken out."""
+    log = A.event_log(spark, sf_dir).select("id", "record_type")
+    table = KeyedTable(f"{shared_folder(spark)}/keyed-{uuid.uuid4().hex}", "id", "id long, record_type string", 16)
+    table.upsert(log)
+    third = log.where("id % 3 = 0")
+    table.upsert(third.select("id", F.lit("rewritten").alias("record_type")).unionByName(third.where("id > 0").select((-F.col("id")).alias("id"), F.lit("added").alias("record_type"))))
+    table.replace(log.where("id % 10 = 1"), log.where("false"))
+    return table.read(spark)

@@ -537,6 +537,17 @@ def message_list_parse(spark, sf_dir):
     return transcripts.from_messages(raw)
 
 
+@query("SELECT conv_id AS context_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, coalesce(text, '') || repeat(chr(10) || 'after', 1 + 4 * turn::INT) AS content FROM conversations WHERE trim(coalesce(text, '') || repeat('after', turn::INT)) <> ''")
+def deep_tool_results(spark, sf_dir):
+    """Each turn inside results of tools that hold results of tools, 1 to 29 deep and deeper."""
+    talk = A.table(spark, sf_dir, "conversations")
+    depth = (1 + 4 * F.col("turn")).cast("int")
+    leaf = F.to_json(F.struct(F.lit("text").alias("type"), F.coalesce("text", F.lit("")).alias("text")))
+    block = F.concat(F.repeat(F.lit('{"type":"tool_result","content":['), depth), leaf, F.repeat(F.lit(',{"type":"text","text":"after"}]}'), depth))
+    value = F.concat(F.lit('{"type":"user","message":{"role":"user","content":['), block, F.lit("]}}"))
+    return transcripts.from_session(talk.select(F.col("conv_id").alias("context_id"), F.col("turn").alias("line_no"), value.alias("value"))).select("context_id", "pos", "content")
+
+
 _STATED = """t AS (SELECT s_suppkey AS k, (s_suppkey * 7) % 50 + 1 AS a, (s_suppkey * 3) % 50 + 1 AS b, (s_suppkey * 11) % 50 + 1 AS c FROM supplier),
 claims AS (SELECT k AS text_id, 'symbol_relation' AS kind, 's' || k AS subject, 'calls' AS relation, 'p' || c AS target, true AS negated FROM t UNION ALL SELECT k, 'symbol_relation', 's' || k, 'calls', 'p' || a, false FROM t UNION ALL SELECT k, 'symbol_relation', 's' || k, 'calls', 'p' || b, false FROM t
  UNION ALL SELECT k, 'symbol_exists', 's' || (k + 5), NULL, NULL, false FROM t UNION ALL SELECT k, 'file_exists', 'parts/p' || k || '.py', NULL, NULL, false FROM t)"""
@@ -710,6 +721,50 @@ def handoff_render(spark, sf_dir):
     return surfacing.render_handoff(_records(spark, sf_dir).withColumn("detail", F.when(F.col("status") == "active", F.concat(F.lit("detail "), "id"))), tasks)
 
 
+HANDOFF_BUDGET = 130
+
+
+def _handoff_texts() -> str:
+    """texts(store_id, level, text, ...): the whole text of each store's handoff at each of the six levels of cuts."""
+    bare = _SECTION.format(kind="decision", mark="", more="")
+    shown = {"decision": "CASE WHEN level >= 5 THEN '' WHEN level >= 2 THEN coalesce(bare, '') ELSE coalesce(decisions, '') END", "constraint": "CASE WHEN level >= 4 THEN '' ELSE coalesce(constraints, '') END",
+             "discovery": "CASE WHEN level >= 1 THEN '' ELSE coalesce(discoverys, '') END", "failure": "CASE WHEN level >= 3 THEN '' ELSE coalesce(failures, '') END"}
+    before = {k: f"'{v.strip()}' || chr(10) || " for k, v in surfacing.BEFORE.items()}
+    sections = ", ".join(f"'## {title}', CASE WHEN {shown[k]} = '' THEN 'None recorded.' ELSE {before.get(k, '')}{shown[k]} END, ''" for k, title in surfacing.SECTIONS)
+    return f"""detailed AS (SELECT *, CASE WHEN id % 3 > 0 THEN 'detail ' || id END AS detail FROM records), standing AS (SELECT * FROM detailed WHERE record_type IN ('constraint', 'discovery') OR (record_type = 'decision' AND status = 'active') OR (record_type = 'failure' AND status <> 'resolved')),
+everyone AS (SELECT store_id FROM records UNION SELECT store_id FROM tasks), listed AS (SELECT store_id, {_LINES}, {bare} AS bare, list(id) AS ids FROM standing GROUP BY 1),
+texts AS (SELECT store_id, level, concat_ws(chr(10), '# HANDOFF', '', '## TASK', CASE WHEN title IS NULL THEN 'No task recorded.' ELSE '**' || title || '**' || CASE WHEN k = 0 THEN '' ELSE chr(10) || chr(10) || description END END, '',
+ '## CURRENT STATE', CASE WHEN title IS NULL THEN 'Unknown — no task recorded.' ELSE 'Status: open' || chr(10) || 'Last updated: 2024-01-01' END, '', {sections},
+ '## RELEVANT FILES', CASE WHEN k = 1 THEN '- `a.py`' || chr(10) || '- `b.py`' ELSE 'None recorded.' END, '', '## NEXT ACTION', CASE WHEN k = 2 THEN 'go on' ELSE 'Not recorded — decide this before continuing.' END, '') AS text
+ FROM everyone LEFT JOIN listed USING (store_id) LEFT JOIN tasks USING (store_id), range(6) l(level)),
+counted AS (SELECT *, {S.tokens('text')} AS tokens FROM texts), chosen AS (SELECT * FROM counted WHERE level = 5 OR tokens <= {HANDOFF_BUDGET} QUALIFY row_number() OVER (PARTITION BY store_id ORDER BY level) = 1)"""
+
+
+def _handoffs(spark, sf_dir):
+    customers, k = A.table(spark, sf_dir, "customer"), F.col("c_custkey") % 3
+    tasks = customers.select(
+        F.col("c_custkey").alias("store_id"), F.col("c_name").alias("title"), F.when(k != 0, F.col("c_mktsegment")).alias("description"), F.lit("open").alias("status"), F.lit("2024-01-01").alias("updated_at"),
+        F.when(k == 1, F.array(F.lit("a.py"), F.lit("b.py"))).alias("relevant_files"), F.when(k == 2, "go on").alias("next_action"),
+    )
+    records = _records(spark, sf_dir).withColumn("detail", F.when(F.col("id") % 3 > 0, F.concat(F.lit("detail "), "id")))
+    return surfacing.handoffs(records, tasks, HANDOFF_BUDGET)
+
+
+@query(f"""WITH {_RECORDS}, {_TASKS}, {_handoff_texts()}
+SELECT store_id, text, tokens, tokens <= {HANDOFF_BUDGET} AS budget_met, ['discoveries', 'decisions_rationale', 'failures', 'constraints', 'decisions'][:level] AS dropped FROM chosen""")
+def handoff_within_budget(spark, sf_dir):
+    """Each store's handoff, cut until its own text fits."""
+    return _handoffs(spark, sf_dir).select("store_id", "text", "tokens", "budget_met", "dropped")
+
+
+@query(f"""WITH {_RECORDS}, {_TASKS}, {_handoff_texts()}, shown AS (SELECT store_id, list(id ORDER BY CASE record_type WHEN 'decision' THEN 0 WHEN 'constraint' THEN 1 WHEN 'discovery' THEN 2 ELSE 3 END, id) AS ids FROM standing JOIN chosen USING (store_id)
+ WHERE level < CASE record_type WHEN 'discovery' THEN 1 WHEN 'failure' THEN 3 WHEN 'constraint' THEN 4 ELSE 5 END GROUP BY 1)
+SELECT store_id, 'surfacing' AS record_type, 'handoff' AS surfaced_via, coalesce(ids, []) AS record_ids, ['discoveries', 'decisions_rationale', 'failures', 'constraints', 'decisions'][:level] AS dropped, tokens <= {HANDOFF_BUDGET} AS budget_met, tokens AS token_count, 'heuristic:chars/4' AS token_method FROM chosen LEFT JOIN shown USING (store_id)""")
+def handoff_surfacing_rows(spark, sf_dir):
+    """What each handoff writes into its store's log."""
+    return surfacing.handoff_surfacings(_handoffs(spark, sf_dir))
+
+
 @query(f"""WITH RECURSIVE {S.EVENTS}, {S.measured('events_ctx')}, {S.classified('measured')}, s AS (SELECT context_id, sum(token_count) AS t, coalesce(sum(token_count) FILTER (WHERE relevance IN ('critical', 'relevant')), 0) AS u FROM classified GROUP BY 1),
 trig AS (SELECT context_id, CASE WHEN round(least(1, t / 1000.0), 4) >= 0.75 THEN 'window_usage' WHEN round(u / t::DOUBLE, 4) <= 0.5 THEN 'relevant_ratio' ELSE 'none' END AS reason FROM s),
 {_RECORDS}, {_OFFERED}, c AS (SELECT context_id, token_count, row_number() OVER (PARTITION BY context_id ORDER BY pos) AS rank FROM offered),

@@ -31,23 +31,49 @@ def flat_content(content: Column) -> Column:
     return F.when(_is(content, "ARRAY"), F.array_join(parts, "\n")).otherwise(F.coalesce(_string(content), content.cast("string"), F.lit("")))
 
 
-#: How deep results of tools may hold blocks in blocks; deeper ones stay as JSON.
-BLOCK_DEPTH = 3
+def _kind(block: Column) -> Column:
+    return _string(block, "$.type")
 
 
-def session_block(block: Column, depth: int = BLOCK_DEPTH) -> Column:
+def _holds_blocks(block: Column) -> Column:
+    return F.coalesce((_kind(block) == "tool_result") & _is(F.try_variant_get(block, "$.content", "variant"), "ARRAY"), F.lit(False))
+
+
+def unfolded(blocks: Column, json: Column) -> Column:
+    """The blocks of a list, with every result of a tool that holds blocks itself replaced by those, however deep they lie.
+
+    Lines of blocks are joined by line ends on every level, so the blocks in order are all that matters. Each pass opens one
+    level, and as many passes as there are results in ``json``, the list's own text, are enough; once nothing is left to
+    open a pass does nothing. An empty list of blocks is an empty line.
+    """
+    nothing = F.array(F.parse_json(F.lit('""')))
+
+    def opened(block: Column) -> Column:
+        inner = F.try_variant_get(block, "$.content", "array<variant>")
+        return F.when(_holds_blocks(block), F.when(F.size(inner) > 0, inner).otherwise(nothing)).otherwise(F.array(block))
+
+    def level(state: Column, _: Column) -> Column:
+        done = ~F.exists(state["blocks"], _holds_blocks)
+        return F.when(state["done"], state).otherwise(F.struct(F.when(done, state["blocks"]).otherwise(F.flatten(F.transform(state["blocks"], opened))).alias("blocks"), done.alias("done")))
+
+    results = F.size(F.split(json, "tool_result")) - 1
+    whole = F.aggregate(F.sequence(F.lit(0), results), F.struct(blocks.alias("blocks"), F.lit(False).alias("done")), level)
+    return F.when(results > 0, whole["blocks"]).otherwise(blocks)
+
+
+def session_block(block: Column) -> Column:
     """A block of a session's message as text: its text, a call with its input as compact JSON, a result, or its JSON; one without a type is
     read like a block of a message list."""
-    kind, inner = _string(block, "$.type"), F.try_variant_get(block, "$.content", "variant")
+    kind, inner = _kind(block), F.try_variant_get(block, "$.content", "variant")
     call = F.concat(F.lit("[tool_call "), F.coalesce(_string(block, "$.name"), F.lit("unknown_tool")), F.lit("] "), F.coalesce(F.to_json(F.try_variant_get(block, "$.input", "variant")), F.lit("{}")))
-    result = session_content(inner, depth - 1) if depth else F.to_json(inner)
+    result = F.coalesce(_string(inner), inner.cast("string"))
     found = F.when(kind == "text", F.coalesce(_string(block, "$.text"), F.lit(""))).when(kind == "tool_use", call).when(kind == "tool_result", F.coalesce(result, F.lit("")))
     return F.when(kind.isNull(), flat_part(block)).otherwise(F.coalesce(_string(block), found, F.to_json(block)))
 
 
-def session_content(content: Column, depth: int = BLOCK_DEPTH) -> Column:
+def session_content(content: Column) -> Column:
     """Content of a session's message, a text or a list of blocks, as one text with a line for each block."""
-    parts = F.transform(F.try_variant_get(content, "$", "array<variant>"), lambda block: session_block(block, depth))
+    parts = F.transform(unfolded(F.try_variant_get(content, "$", "array<variant>"), F.to_json(content)), session_block)
     return F.when(_is(content, "ARRAY"), F.array_join(parts, "\n")).otherwise(F.coalesce(_string(content), content.cast("string"), F.lit("")))
 
 

@@ -1,3 +1,4 @@
+import json
 import random
 import re
 
@@ -139,3 +140,42 @@ def test_session_blocks_of_tools(spark):
     ]
     df = spark.createDataFrame([(1, 0, json.dumps({"type": "assistant", "message": {"role": "assistant", "content": blocks}}))], "context_id long, line_no int, value string")
     assert transcripts.from_session(df).first().content.split("\n") == ["look", '[tool_call grep] {"q":"x"}', "plain", "in", "deep", "bare", "[tool_call unknown_tool] {}", '{"k":1,"type":"image"}', ""]
+
+
+def nested(depth, leaf):
+    block = {"type": "text", "text": leaf}
+    for i in range(depth):
+        block = {"type": "tool_result", "content": [block, {"type": "tool_use", "name": f"t{i}", "input": {"tool_result": i}}]}
+    return block
+
+
+def plain_lines(content):
+    if isinstance(content, str):
+        return content
+    out = []
+    for b in content:
+        if isinstance(b, str):
+            out.append(b)
+        elif b["type"] == "text":
+            out.append(b["text"])
+        elif b["type"] == "tool_use":
+            out.append(f"[tool_call {b['name']}] {json.dumps(b['input'], separators=(',', ':'))}")
+        elif b["type"] == "tool_result":
+            out.append(plain_lines(b.get("content", "")))
+    return "\n".join(out)
+
+
+def test_results_of_tools_at_any_depth(spark):
+    rng = random.Random(8)
+
+    def grown(depth):
+        kind = rng.choice(["text", "list", "list", "string", "none", "empty"]) if depth else "text"
+        if kind == "text":
+            return {"type": "text", "text": f"w{rng.randrange(99)}"}
+        content = {"list": [grown(depth - 1) for _ in range(rng.randint(1, 3))], "string": "a tool_result in words", "empty": []}
+        return {"type": "tool_result", "content": content[kind]} if kind != "none" else {"type": "tool_result"}
+
+    cases = [[nested(d, f"leaf {d}")] for d in (0, 1, 3, 4, 20, 60)] + [[grown(6), "between", grown(5)] for _ in range(30)]
+    lines = [(1, i, json.dumps({"type": "user", "message": {"role": "user", "content": c}})) for i, c in enumerate(cases)]
+    found = {r.line_no: r.content for r in transcripts.session_lines(spark.createDataFrame(lines, "context_id long, line_no long, value string")).collect()}
+    assert found == {i: plain_lines(c) for i, c in enumerate(cases)}

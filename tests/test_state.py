@@ -1,7 +1,9 @@
 """Tasks, replacements, numbered snapshots, resemblances, runs and warnings."""
 
 import json
+import random
 
+from quillspark.functions.text import estimate_tokens
 from quillspark.operators import health, memory, ranking, surfacing, trials
 
 LOG = "id long, record_type string, status string, supersedes long"
@@ -66,3 +68,35 @@ def test_a_handoff_without_records_or_task_says_so(spark):
     assert "No task recorded." in text[1] and "- use Spark\n  - *why:* it scales" in text[1] and text[1].count("None recorded.") == 4
     assert "**t**" in text[2] and text[2].count("None recorded.") == 5 and text[2].endswith("go\n")
     assert "*why:*" not in {r.store_id: r.text for r in surfacing.render_handoff(records, tasks, rationale=False).collect()}[1]
+
+
+def test_a_handoff_is_counted_anew_after_each_cut(spark):
+    rng = random.Random(2)
+    records, tasks = [], []
+    for store in range(60):
+        for i in range(rng.randint(0, 12)):
+            kind = rng.choice(["decision", "constraint", "discovery", "failure", "surfacing"])
+            words = " ".join(rng.choice(["plan", "  run\t", "ü", "a\n\nb", "limit"]) for _ in range(rng.randint(0, 9)))
+            records.append((store, i, kind, rng.choice(["active", "resolved", "rejected", None]), words, rng.choice([None, "", "since it scales ", "x" * 40]), rng.random() < 0.5))
+        if store % 3:
+            tasks.append((store, "t " * rng.randint(1, 5), rng.choice([None, "about this"]), "open", "now", rng.choice([None, [], ["a.py"]]), rng.choice([None, "go"])))
+    rows = spark.createDataFrame(records, "store_id long, id long, record_type string, status string, statement string, detail string, hard boolean")
+    told = spark.createDataFrame(tasks, "store_id long, title string, description string, status string, updated_at string, relevant_files array<string>, next_action string")
+    open_ = rows.where("record_type IN ('constraint', 'discovery') OR record_type = 'decision' AND status = 'active' OR record_type = 'failure' AND NOT (status <=> 'resolved')")
+    everyone = rows.select("store_id").union(told.select("store_id")).distinct()
+    texts, cuts = [], ["discovery", None, "failure", "constraint", "decision"]
+    for level in range(6):
+        gone = [c for c in cuts[:level] if c]
+        left = open_.where(~open_.record_type.isin(gone)) if gone else open_
+        shown = surfacing.render_handoff(left, told, rationale=level < 2, stores=everyone)
+        texts.append({r.store_id: (r.text, r.tokens) for r in shown.withColumn("tokens", estimate_tokens(shown.text)).collect()})
+    for budget in (None, 0, 75, 90, 120):
+        found = {r.store_id: r for r in surfacing.handoffs(rows, told, budget).collect()}
+        assert found.keys() == texts[0].keys()
+        for store, r in found.items():
+            level = next((n for n in range(6) if budget is None or texts[n][store][1] <= budget), 5)
+            assert (r.text, r.tokens) == texts[level][store], (budget, store, level)
+            assert list(r.dropped) == list(surfacing.HANDOFF_CUT_ORDER[:level]) and r.budget_met == (budget is None or r.tokens <= budget)
+            assert len(r.record_ids) == sum(r.counts)
+    footer = surfacing.handoffs(rows, told, 75)
+    assert any("dropped to fit budget: discoveries" in r[0] for r in footer.select(surfacing.token_footer(footer)).collect())
