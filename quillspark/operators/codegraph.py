@@ -9,8 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import module_qualname
+from ..functions.paths import normal_path
+from ..functions.text import module_qualname, path_signal
 from .graph import contexts_for
+from .rules import risk_tier
 
 # Results must agree with them.
 LARGEST_FILE = 1_000_000
@@ -270,6 +272,28 @@ def code_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return totals(nodes, "nodes", "files", F.col("kind") == "file").unionByName(totals(edges, "edges", "edges.unresolved", ~F.col("resolved")))
 
 
+def file_risk(nodes: DataFrame, edges: DataFrame, paths: DataFrame, root: str | None = None) -> DataFrame:
+    """``unit, tier, reasons, note`` for each of ``paths(path)``, as it is given: how deep a change to the file should be checked.
+
+    A path is brought into the form of the listing first; ``note`` says why nothing in the graph can match it, and then the tier is
+    by the path alone and no verdict on the code. Signals: the path's words, the most callers of one definition, files that
+    import it, public definitions that no test reaches (callers and tests that aren't resolved are not seen).
+    """
+    asked = paths.select(F.col("path").alias("unit")).where("unit IS NOT NULL").distinct().withColumn("p", normal_path(F.col("unit"), root)).select("unit", "p.path", "p.note")
+    sure = edges.where("resolved")
+    callers = sure.where("kind = 'calls'").groupBy(F.col("target").alias("id")).agg(F.countDistinct("source").alias("callers"))
+    tested = sure.where("kind = 'tests'").select(F.col("target").alias("id"), F.lit(True).alias("tested")).distinct()
+    public = F.col("kind").isin("class", "function", "method") & ~F.startswith("name", F.lit("_"))
+    own = nodes.where("path <> ''").join(callers, "id", "left").join(tested, "id", "left")
+    own = own.groupBy("path").agg(F.max(F.coalesce("callers", F.lit(0))).alias("callers"), F.sum((public & F.col("tested").isNull()).cast("long")).alias("untested"))
+    fan_in = sure.where("kind = 'imports'").groupBy(F.regexp_extract("target", "^file:(.*)$", 1).alias("path")).agg(F.countDistinct("source").alias("fan_in"))
+    found = asked.join(own, "path", "left").join(fan_in, "path", "left")
+    note = F.coalesce("note", F.when(F.col("callers").isNull(), F.lit("not in the graph")))
+    units = found.select("unit", path_signal(F.col("path")).alias("path_marker"), "callers", F.when(F.col("callers").isNotNull(), F.col("fan_in")).alias("fan_in"), "untested", note.alias("note"))
+    tiers = risk_tier(units.na.fill(0, ["callers", "fan_in", "untested"]))
+    return tiers.join(units.select("unit", "note"), "unit")
+
+
 def file_edges(resolved: DataFrame) -> DataFrame:
     """``source, target, kind`` between files, from resolved imports."""
     return resolved.where("resolved AND path <> target_path").select(F.col("path").alias("source"), F.col("target_path").alias("target"), F.lit("imports").alias("kind")).distinct()

@@ -97,6 +97,51 @@ def exists(nodes: DataFrame, names: DataFrame) -> DataFrame:
     hits = define(nodes, names).join(nodes.select("id", "name"), "id").where(F.lower("name").endswith(F.lower("wanted"))).select("wanted").distinct()
     return names.join(hits.withColumn("found", F.lit(True)), "wanted", "left").select("wanted", F.coalesce("found", F.lit(False)).alias("found"))
 
+def _grams(text: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
+    """All distinct runs of so many characters."""
+
+    def runs(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
+
+    return F.filter(F.array_distinct(F.concat(*map(runs, sizes))), lambda x: x != "")
+
+
+def look_up(nodes: DataFrame, names: DataFrame, loose: int = 10) -> DataFrame:
+    """``wanted, id, tier, place``: what each of ``names(wanted)`` may mean among ``nodes(id, name, qualname)``.
+
+    Tier 0: nodes of that name; else 1: of that full name; else 2: the first ``loose`` whose name or full name holds it, as LIKE
+    says without regard to case (``_`` and ``%`` stand for anything), the shortest names first. ``place`` counts from 1. No name
+    is held against all nodes: one that must be searched for meets only the nodes that have its rarest run of three characters.
+    """
+    names = names.select("wanted").where("wanted IS NOT NULL").distinct()
+    own = nodes.select("id", "name", "qualname")
+    exact = names.join(own, F.col("wanted") == F.col("name")).withColumn("tier", F.lit(0))
+    rest = names.join(exact.select("wanted"), "wanted", "left_anti")
+    full = rest.join(own, F.col("wanted") == F.col("qualname")).withColumn("tier", F.lit(1))
+    rest = rest.join(full.select("wanted"), "wanted", "left_anti")
+
+    parts = F.filter(F.split(F.lower("wanted"), "[%_]"), lambda x: x != "")
+    longest = F.array_max(F.transform(parts, F.length))
+    runs = F.when(longest >= 3, F.flatten(F.transform(F.filter(parts, lambda x: F.length(x) >= 3), lambda x: _grams(x, (3,))))).when(longest > 0, F.filter(parts, lambda x: F.length(x) == longest)).otherwise(F.array(F.lit("")))
+    asked = saved(rest.select("wanted", F.explode(F.array_distinct(runs)).alias("gram")), "asked")
+    mine = F.array_distinct(F.concat(_grams(F.lower("name")), _grams(F.lower("qualname")), F.array(F.lit(""))))
+    held = saved(own.select("id", F.explode(mine).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi"), "grams")
+    common = held.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = asked.join(common, "gram", "left").groupBy("wanted").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    pattern = F.concat(F.lit("%"), F.replace(F.lower("wanted"), F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+    near = rarest.join(held, "gram").select("wanted", "id").join(own, "id").withColumn("_pattern", pattern).where("lower(name) LIKE _pattern OR lower(qualname) LIKE _pattern")
+    hits = exact.unionByName(full).unionByName(near.drop("_pattern").withColumn("tier", F.lit(2)))
+    order = Window.partitionBy("wanted").orderBy(F.when(F.col("tier") > 0, F.length("name")), F.when(F.col("tier") > 0, F.col("name")), "id")
+    return hits.withColumn("place", F.row_number().over(order)).where((F.col("tier") < 2) | (F.col("place") <= loose)).select("wanted", "id", "tier", "place")
+
+
+def known(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """``wanted, found``: whether a node has that name, or one of the first five that hold it has a full name that ends with it."""
+    names = names.select("wanted").distinct()
+    hits = look_up(nodes, names, loose=5).where("tier = 0 OR place <= 5").join(nodes.select("id", "qualname"), "id")
+    hits = hits.where((F.col("tier") == 0) | F.endswith("qualname", "wanted")).select("wanted").distinct()
+    return names.join(hits.withColumn("found", F.lit(True)), "wanted", "left").select("wanted", F.coalesce("found", F.lit(False)).alias("found"))
+
 
 def impact(nodes: DataFrame, edges: DataFrame, names: DataFrame) -> DataFrame:
     """``wanted, id, how``: callers and tests of the first definition of each wanted name."""

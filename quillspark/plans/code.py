@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import codegraph
+from ..operators import claims, codegraph, graph
 from ..sources import adapters as A
 from ..sources.graph_store import GraphStore
 from ..sources.keyed import KeyedTable
@@ -153,3 +153,85 @@ def keyed_upsert(spark, sf_dir):
     table.upsert(third.select("id", F.lit("rewritten").alias("record_type")).unionByName(third.where("id > 0").select((-F.col("id")).alias("id"), F.lit("added").alias("record_type"))))
     table.replace(log.where("id % 10 = 1"), log.where("false"))
     return table.read(spark)
+
+
+_REPORT = f"""{S.PROJECT}, u AS (SELECT s_suppkey AS x, (s_suppkey * 7) % 50 + 1 AS y FROM supplier),
+claims AS (SELECT x AS text_id, 'symbol_relation' AS kind, 'Part' || x AS subject, 'inherits' AS relation, 'Base' AS target, false AS negated, false AS called FROM u
+  UNION ALL SELECT x, 'symbol_relation', 'Part' || x || '.run', 'calls', 'helper' || y, false, false FROM u UNION ALL SELECT x, 'symbol_relation', 'Part' || x || '.run', 'calls', 'src/p' || y || '.py', false, false FROM u
+  UNION ALL SELECT x, 'symbol_relation', 'helper' || x, 'calls', 'inner', true, false FROM u UNION ALL SELECT x, 'symbol_relation', 'helper' || x, 'calls', 'Worker', false, false FROM u
+  UNION ALL SELECT x, 'symbol_relation', 'test_helper' || x, 'calls', 'dumps', false, false FROM u UNION ALL SELECT x, 'symbol_relation', 'p' || x || '.py', 'imports', 'src/p1.py', false, false FROM u UNION ALL SELECT x, 'symbol_relation', 'run', 'imports', 'src/p1.py', false, false FROM u
+  UNION ALL SELECT x, 'symbol_exists', 'Worker.run', NULL, NULL, false, false FROM u UNION ALL SELECT x, 'symbol_exists', 'thing' || x, NULL, NULL, false, true FROM u UNION ALL SELECT x, 'symbol_exists', 'elper_' || x, NULL, NULL, false, false FROM u
+  UNION ALL SELECT x, 'symbol_exists', 'no_such_' || x, NULL, NULL, false, false FROM u UNION ALL SELECT x, 'file_exists', 'tests//./test_p' || x || '.py', NULL, NULL, false, false FROM u UNION ALL SELECT x, 'file_exists', '/src/', NULL, NULL, false, false FROM u
+  UNION ALL SELECT x, 'file_exists', 'src/../../x.py', NULL, NULL, false, false FROM u),
+wanted AS (SELECT DISTINCT subject AS wanted FROM claims WHERE kind = 'symbol_exists' OR relation <> 'imports' UNION SELECT target FROM claims WHERE relation <> 'imports' AND NOT contains(target, '/')),
+exact AS (SELECT wanted, id, 0 AS o, '' AS name FROM wanted JOIN code_nodes ON name = wanted), whole AS (SELECT wanted, id, length(name) AS o, name FROM wanted JOIN code_nodes ON qualname = wanted WHERE wanted NOT IN (SELECT wanted FROM exact)),
+loose AS (SELECT wanted, id, length(name) AS o, name FROM wanted JOIN code_nodes ON name ILIKE '%' || wanted || '%' OR qualname ILIKE '%' || wanted || '%' WHERE wanted NOT IN (SELECT wanted FROM exact UNION SELECT wanted FROM whole) QUALIFY row_number() OVER (PARTITION BY wanted ORDER BY length(name), name, id) <= 10),
+found AS (SELECT wanted, f.id, row_number() OVER (PARTITION BY wanted ORDER BY o, f.name, f.id) AS place, path, CASE WHEN line IS NULL THEN path ELSE path || ':' || line END AS loc FROM (FROM exact UNION ALL FROM whole UNION ALL FROM loose) f JOIN code_nodes n ON n.id = f.id),
+defined AS (SELECT wanted, count(*) AS n, list(loc ORDER BY place) AS locs FROM found GROUP BY 1), asks AS (SELECT DISTINCT kind, subject, relation, target FROM claims),
+sure AS (SELECT a.subject, a.relation, a.target, min_by(s.loc, s.place) AS loc FROM asks a JOIN found s ON s.wanted = a.subject JOIN code_edges e ON e.source = s.id AND e.kind = a.relation AND e.resolved JOIN found t ON t.wanted = a.target AND t.id = e.target GROUP BY 1, 2, 3),
+maybe AS (SELECT DISTINCT a.subject, a.relation, a.target FROM asks a JOIN found s ON s.wanted = a.subject JOIN code_edges e ON e.source = s.id AND e.kind = a.relation AND NOT e.resolved AND split_part(e.target, '.', -1) = split_part(a.target, '.', -1)),
+used AS (SELECT DISTINCT a.subject, a.target FROM asks a JOIN found s ON s.wanted = a.subject JOIN code_edges e ON e.kind = 'imports' AND e.resolved AND e.source = 'file:' || s.path AND e.target = 'file:' || a.target),
+files AS (SELECT 'src/p' || k || '.py' AS path FROM k UNION ALL SELECT p FROM t),
+coded AS (SELECT c.*, d.locs, r.loc, CASE WHEN c.kind = 'file_exists' THEN CASE WHEN starts_with(c.subject, 'src/..') THEN 'contradicted 1.0' WHEN c.subject = '/src/' OR replace(c.subject, '//./', '/') IN (SELECT path FROM files) THEN 'supported 1.0' ELSE 'contradicted 1.0' END
+  WHEN c.kind = 'symbol_exists' THEN CASE WHEN d.n IS NULL THEN 'contradicted 1.0' ELSE 'supported 1.0' END WHEN c.relation = 'imports' THEN CASE WHEN c.subject = 'run' THEN 'unverifiable 0.0' ELSE 'contradicted 1.0' END WHEN d.n IS NULL THEN 'contradicted 1.0'
+  WHEN contains(c.target, '/') THEN CASE WHEN c.target NOT IN (SELECT path FROM code_nodes WHERE kind = 'file') THEN 'contradicted 1.0' WHEN (c.subject, c.target) IN (SELECT (subject, target) FROM used) THEN 'unverifiable 0.0' ELSE 'contradicted 0.9' END
+  WHEN c.target NOT IN (SELECT wanted FROM found) THEN 'contradicted 1.0' WHEN r.loc IS NOT NULL THEN 'supported 1.0' WHEN (c.subject, c.relation, c.target) IN (SELECT (subject, relation, target) FROM maybe) THEN 'unverifiable 0.0' ELSE 'contradicted 0.9' END AS v
+  FROM claims c LEFT JOIN defined d ON d.wanted = c.subject LEFT JOIN sure r ON r.subject = c.subject AND r.relation = c.relation AND r.target = c.target),
+checks AS (SELECT text_id, kind, subject, relation, target, negated, CASE WHEN negated AND v LIKE 'supp%' THEN 'contradicted' WHEN negated AND v LIKE 'contra%' THEN 'supported' ELSE split_part(v, ' ', 1) END AS status, split_part(v, ' ', 2)::DOUBLE AS confidence,
+  CASE WHEN kind = 'symbol_exists' THEN coalesce(locs[:5], []) WHEN v LIKE 'supp%' THEN CASE WHEN kind = 'file_exists' THEN [subject] ELSE [loc] END ELSE [] END AS evidence FROM coded)"""
+
+
+def _claim_texts(spark, sf_dir):
+    x = F.col("s_suppkey").cast("string")
+    y = ((F.col("s_suppkey") * 7) % 50 + 1).cast("string")
+    text = F.lit(
+        "`Part{x}` inherits from `Base`. `Part{x}.run` calls `helper{y}` and `src/p{y}.py`; `helper{x}` never calls `inner`, but `helper{x}` calls `Worker`. `test_helper{x}` calls `dumps`. `p{x}.py` imports `src/p1.py`. "
+        "`run` imports `src/p1.py`. See `Worker.run`, `thing{x}()`, `elper_{x}`, `no_such_{x}`, `tests//./test_p{x}.py`, `/src/` and `src/../../x.py`."
+    )
+    return A.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("text_id"), F.replace(F.replace(text, F.lit("{x}"), x), F.lit("{y}"), y).alias("text"))
+
+
+def _claim_checks(spark, sf_dir):
+    files = project(spark, sf_dir)
+    nodes, edges = codegraph.code_graph(saved(codegraph.parse(files), "parsed"))
+    return claims.check(_claim_texts(spark, sf_dir), saved(nodes, "nodes"), saved(edges, "edges"), files)
+
+
+@query(f"WITH {_REPORT} SELECT * FROM checks")
+def claim_checks(spark, sf_dir):
+    """Claims of all kinds against the project's graph and listing, with places as evidence."""
+    return _claim_checks(spark, sf_dir).drop("explanation")
+
+
+@query(f"""WITH {_REPORT} SELECT text_id, count(*) AS claims_extracted, count(*) FILTER (WHERE status = 'supported') AS supported, count(*) FILTER (WHERE status = 'contradicted') AS contradicted, count(*) FILTER (WHERE status = 'unverifiable') AS unverifiable, 0::BIGINT AS resembled,
+ 'no memory given: decisions and constraints aren''t checked' AS degraded_reason FROM checks GROUP BY 1""")
+def claim_reports(spark, sf_dir):
+    """A row for each text: every claim is accounted for."""
+    return claims.reports(_claim_texts(spark, sf_dir), _claim_checks(spark, sf_dir), memory=False)
+
+
+@query(f"""WITH {S.PROJECT}, wanted AS (SELECT DISTINCT unnest(['run', 'Worker.run', 'elper_1', 'HELPER2', 'p' || s_suppkey || '.py', 'art' || s_suppkey, '__', 'x' || s_suppkey || 'y']) AS wanted FROM supplier),
+exact AS (SELECT wanted, id FROM wanted JOIN code_nodes ON name = wanted), whole AS (SELECT wanted, id FROM wanted JOIN code_nodes ON qualname = wanted WHERE wanted NOT IN (SELECT wanted FROM exact)),
+loose AS (SELECT wanted, id FROM wanted JOIN code_nodes ON name ILIKE '%' || wanted || '%' OR qualname ILIKE '%' || wanted || '%' WHERE wanted NOT IN (SELECT wanted FROM exact UNION SELECT wanted FROM whole) QUALIFY row_number() OVER (PARTITION BY wanted ORDER BY length(name), name, id) <= 10)
+SELECT wanted, id, 0 AS tier FROM exact UNION ALL SELECT wanted, id, 1 FROM whole UNION ALL SELECT wanted, id, 2 FROM loose""")
+def code_look_up(spark, sf_dir):
+    """What names mean: by name, by full name, else the first ten that hold them."""
+    x = F.col("s_suppkey").cast("string")
+    names = F.array(F.lit("run"), F.lit("Worker.run"), F.lit("elper_1"), F.lit("HELPER2"), F.concat(F.lit("p"), x, F.lit(".py")), F.concat(F.lit("art"), x), F.lit("__"), F.concat(F.lit("x"), x, F.lit("y")))
+    wanted = A.table(spark, sf_dir, "supplier").select(F.explode(names).alias("wanted")).distinct()
+    return graph.look_up(saved(codegraph.code_graph(_parsed(spark, sf_dir))[0], "nodes"), wanted).select("wanted", "id", "tier")
+
+
+@query(f"""WITH {S.PROJECT}, c AS (SELECT target AS id, count(DISTINCT source) AS n FROM code_edges WHERE kind = 'calls' AND resolved GROUP BY 1), u AS (SELECT id FROM code_nodes WHERE kind IN ('class', 'function', 'method') AND NOT starts_with(name, '_') AND id NOT IN (SELECT target FROM code_edges WHERE kind = 'tests')),
+f AS (SELECT path, max(coalesce(c.n, 0)) AS callers, count(u.id) AS untested FROM code_nodes n LEFT JOIN c ON c.id = n.id LEFT JOIN u ON u.id = n.id WHERE path <> '' GROUP BY 1), i AS (SELECT target[6:] AS path, count(DISTINCT source) AS fan_in FROM code_edges WHERE kind = 'imports' AND resolved GROUP BY 1),
+asked AS (SELECT unnest([['src/p' || k || '.py', 'src/p' || k || '.py', ''], ['./src//api/../p' || k || '.py', 'src/p' || k || '.py', ''], ['/repo/src/p' || k || '.py', 'src/p' || k || '.py', ''], ['/else/auth/p' || k || '.py', '/else/auth/p' || k || '.py', 'outside the root'], ['../p' || k || '.py', '../p' || k || '.py', 'outside the root'], ['docs/Billing' || k || '.md', 'docs/Billing' || k || '.md', 'not in the graph']]) AS a FROM k),
+x AS (SELECT a[1] AS unit, a[2] AS path, CASE WHEN a[3] = '' AND f.path IS NULL THEN 'not in the graph' WHEN a[3] = '' THEN NULL ELSE a[3] END AS note, CASE WHEN a[2] LIKE '%auth%' THEN 'auth' WHEN a[2] ILIKE '%billing%' THEN 'billing' END AS marker, callers, coalesce(fan_in, 0) AS fan_in, untested, f.path IS NOT NULL AS there FROM asked LEFT JOIN f ON f.path = a[2] LEFT JOIN i ON i.path = a[2]),
+r AS (SELECT unit, marker, list_filter([CASE WHEN marker IS NOT NULL THEN 'path:' || marker END, CASE WHEN there AND callers >= 3 THEN 'callers' END, CASE WHEN there AND fan_in >= 2 THEN 'fan_in' END, CASE WHEN there AND untested > 0 THEN 'untested' END], lambda v: v IS NOT NULL) AS reasons, note FROM x)
+SELECT unit, CASE WHEN marker IS NOT NULL THEN 'high' WHEN len(reasons) > 0 THEN 'medium' ELSE 'low' END AS tier, reasons, note FROM r""")
+def code_file_risk(spark, sf_dir):
+    """Risk of files by paths as they are given: plain, doubled, absolute, from elsewhere, leading out, of no source."""
+    nodes, edges = codegraph.code_graph(_parsed(spark, sf_dir))
+    k = F.col("p_partkey").cast("string")
+    named = lambda before, after=".py": F.concat(F.lit(before), k, F.lit(after))
+    paths = F.array(named("src/p"), named("./src//api/../p"), named("/repo/src/p"), named("/else/auth/p"), named("../p"), named("docs/Billing", ".md"))
+    return codegraph.file_risk(saved(nodes, "nodes"), saved(edges, "edges"), A.table(spark, sf_dir, "part").select(F.explode(paths).alias("path")), root="/repo")
