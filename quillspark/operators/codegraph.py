@@ -83,50 +83,89 @@ def _walk(path: str, tree: ast.Module, out: list[dict]) -> None:
         todo += [(child, scope, caller) for child in reversed(list(ast.iter_child_nodes(node)))]
 
 
-def _dynamic(node: ast.AST) -> bool:
-    """A text put together when the code runs: an f-string with values, ``%``, ``+`` or ``.format``."""
+# Names of calls that facts are about.
+SQL_CALLS, SHELL_CALLS, PLACEHOLDERS = ("execute", "executemany", "executescript"), ("run", "call", "check_call", "check_output", "Popen"), ("?", "%s")
+FUNCTIONS = ast.FunctionDef | ast.AsyncFunctionDef
+
+
+def _built(node: ast.AST) -> str:
+    """How a text is put together when the code runs, if it is."""
     if isinstance(node, ast.JoinedStr):
-        return any(isinstance(x, ast.FormattedValue) for x in node.values)
-    return isinstance(node, ast.BinOp) and isinstance(node.op, ast.Mod | ast.Add) or isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and node.func.attr == "format"
+        return "f-string"
+    if isinstance(node, ast.BinOp):
+        return {ast.Add: "concatenation", ast.Mod: "percent"}.get(type(node.op), "")
+    return "format" if isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and node.func.attr == "format" else ""
+
 
+def _name(node: ast.AST) -> str:
+    return node.id if isinstance(node, ast.Name) else ""
 
-def _containers(test: ast.AST) -> set[str]:
-    """Names of the containers that a condition looks into, by ``in`` or ``.get``."""
-    found = {_dotted(c) for x in ast.walk(test) if isinstance(x, ast.Compare) for op, c in zip(x.ops, x.comparators) if isinstance(op, ast.In | ast.NotIn)}
-    found |= {_dotted(x.func.value) for x in ast.walk(test) if isinstance(x, ast.Call) and isinstance(x.func, ast.Attribute) and x.func.attr == "get"}
-    return found - {""}
 
+def _looked_into(test: ast.AST) -> str:
+    """The container that a condition looks into, by one ``in`` or by ``.get``, whose result may be compared."""
+    if isinstance(test, ast.Compare) and len(test.ops) == 1 and isinstance(test.ops[0], ast.In | ast.NotIn):
+        return _name(test.comparators[0])
+    test = test.left if isinstance(test, ast.Compare) else test
+    return _name(test.func.value) if isinstance(test, ast.Call) and isinstance(test.func, ast.Attribute) and test.func.attr == "get" else ""
 
-def _check_then_set(node: ast.AST, locked: bool, found: set[str]) -> None:
-    """Adds what happens where a container is looked into and then set below: with or without a lock around it."""
-    for child in ast.iter_child_nodes(node):
-        held = locked or isinstance(child, ast.With | ast.AsyncWith) and any("lock" in ast.dump(x.context_expr).lower() for x in child.items)
-        if isinstance(child, ast.If) and (looked := _containers(child.test)):
-            targets = {_dotted(t.value) for x in ast.walk(child) if isinstance(x, ast.Assign) for t in x.targets if isinstance(t, ast.Subscript)}
-            if looked & targets:
-                found.add("guarded_check_then_set" if held else "check_then_set")
-        _check_then_set(child, held, found)
+
+def _locks(node: ast.With) -> bool:
+    named = [x.context_expr.func if isinstance(x.context_expr, ast.Call) else x.context_expr for x in node.items]
+    return any("lock" in (x.attr if isinstance(x, ast.Attribute) else _name(x)).lower() for x in named)
+
+
+def _race(function: ast.AST) -> tuple[str, int] | None:
+    """Whether a function looks into a container and sets something in it, and whether a lock stands around either; where."""
+    looked, held, todo = {}, set(), [(x, False) for x in function.body]
+    changed = set()
+    while todo:
+        node, locked = todo.pop()
+        if isinstance(node, ast.If) and (name := _looked_into(node.test)):
+            looked[name] = min(looked.get(name, node.lineno), node.lineno)
+            held |= {name} if locked else set()
+        elif isinstance(node, ast.Assign):
+            names = {_name(t.value) for t in node.targets if isinstance(t, ast.Subscript)} - {""}
+            changed |= names
+            held |= names if locked else set()
+        if isinstance(node, ast.If | ast.For | ast.While | ast.Try | ast.With):
+            locked = locked or isinstance(node, ast.With) and _locks(node)
+            inner = [*node.body, *getattr(node, "orelse", []), *getattr(node, "finalbody", []), *(x for h in getattr(node, "handlers", []) for x in h.body)]
+            todo += [(x, locked) for x in inner]
+    both = looked.keys() & changed
+    bare = both - held
+    return ("check_then_set", min(looked[x] for x in bare)) if bare else ("guarded_check_then_set", min(looked[x] for x in both)) if both else None
+
+
+def _calls(function: ast.AST) -> Iterator[tuple[str, str, int]]:
+    """Facts about SQL texts and shell commands in a function: kind, how, line."""
+    built: dict[str, str] = {}
+    for x in ast.walk(function):
+        if isinstance(x, ast.Assign) and len(x.targets) == 1 and _name(x.targets[0]):
+            built[_name(x.targets[0])] = _built(x.value)  # the last one stands
+    for call in (x for x in ast.walk(function) if isinstance(x, ast.Call) and isinstance(x.func, ast.Attribute)):
+        command = call.args[0] if call.args else next((k.value for k in call.keywords if k.arg == "args"), None)
+        if call.func.attr in SQL_CALLS and call.args:
+            how = _built(command) or built.get(_name(command), "")
+            if how:
+                yield "dynamic_sql", how, call.lineno
+            elif len(call.args) > 1 and isinstance(command, ast.Constant) and isinstance(command.value, str) and any(p in command.value for p in PLACEHOLDERS):
+                yield "parameterised_sql", "", call.lineno
+        if call.func.attr in SHELL_CALLS and command is not None:
+            if any(k.arg == "shell" and isinstance(k.value, ast.Constant) and k.value.value is True for k in call.keywords):
+                if _built(command) or _name(command):
+                    yield "dynamic_shell", _built(command) or "variable", call.lineno
+            elif isinstance(command, ast.List):
+                yield "listed_command", "", call.lineno
 
 
 def _facts(path: str, tree: ast.AST, out: list[dict]) -> None:
-    """Rows (``fact``) about SQL texts, shell commands and unguarded updates inside functions."""
+    """Rows (``fact``) about SQL texts, shell commands and unguarded updates inside functions, with the line that shows each."""
     found = set()
-    for function in (x for x in ast.walk(tree) if isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef)):
-        _check_then_set(function, False, found)
-        built = {t.id for x in ast.walk(function) if isinstance(x, ast.Assign) and _dynamic(x.value) for t in x.targets if isinstance(t, ast.Name)}
-        for call in (x for x in ast.walk(function) if isinstance(x, ast.Call)):
-            name, first = _dotted(call.func).rpartition(".")[2], call.args[0] if call.args else None
-            if name.startswith("execute") and first is not None:
-                if _dynamic(first) or isinstance(first, ast.Name) and first.id in built:
-                    found.add("dynamic_sql")
-                elif len(call.args) > 1 and isinstance(first, ast.Constant) and isinstance(first.value, str) and ("?" in first.value or "%s" in first.value):
-                    found.add("parameterised_sql")
-            shell = any(k.arg == "shell" and isinstance(k.value, ast.Constant) and k.value.value is True for k in call.keywords)
-            if shell and first is not None and not isinstance(first, ast.Constant):
-                found.add("dynamic_shell")
-            elif isinstance(first, ast.List) and name in ("run", "call", "Popen", "check_output", "check_call"):
-                found.add("listed_command")
-    out += [{"row": "fact", "path": path, "kind": x, "seq": 0} for x in sorted(found)]
+    for function in (x for x in ast.walk(tree) if isinstance(x, FUNCTIONS)):
+        found |= set(_calls(function))
+        if race := _race(function):
+            found.add((race[0], "", race[1]))
+    out += [{"row": "fact", "path": path, "kind": kind, "name": how, "line": line, "seq": 0} for kind, how, line in sorted(found)]
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,3 +341,8 @@ def file_edges(resolved: DataFrame) -> DataFrame:
 def facts(parsed: DataFrame) -> DataFrame:
     """``unit, facts`` of each file that has some."""
     return parsed.where("row = 'fact'").groupBy(F.col("path").alias("unit")).agg(F.array_sort(F.collect_set("kind")).alias("facts"))
+
+
+def fact_places(parsed: DataFrame) -> DataFrame:
+    """``unit, kind, how, line``: where each fact shows, and how."""
+    return parsed.where("row = 'fact'").select(F.col("path").alias("unit"), "kind", F.col("name").alias("how"), "line").distinct()

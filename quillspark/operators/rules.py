@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Results must agree with them.
@@ -11,8 +11,9 @@ TIERS = ("low", "medium", "high")
 
 
 def parse_rules(rules: DataFrame) -> DataFrame:
-    """Adds ``pre`` (a list) and ``post`` from a text ``PRE: a, b; POST: c``."""
-    listed = F.regexp_extract("formal_spec", r"PRE:\s*([^;]*)", 1)
+    """Adds ``pre`` (a list) and ``post`` from a text ``PRE: a, b; POST: c``. Without ``PRE:`` the list is null: the rule has no
+    trigger and never fires; an empty one is always met."""
+    listed = F.when(F.contains("formal_spec", F.lit("PRE:")), F.regexp_extract("formal_spec", r"PRE:\s*([^;]*)", 1))
     pre = F.filter(F.transform(F.split(listed, ","), lambda x: F.trim(x)), lambda x: x != "")
     return rules.withColumn("pre", pre).withColumn("post", F.trim(F.regexp_extract("formal_spec", r"POST:\s*([^;]*)", 1)))
 
@@ -23,7 +24,7 @@ def violations(rules: DataFrame, facts: DataFrame) -> DataFrame:
     Rules are a stated, short list that is held against every unit.
     """
     pairs = facts.join(F.broadcast(rules.select(F.col("id").alias("rule_id"), "pre", "post")))
-    met = F.forall("pre", lambda p: F.array_contains("facts", p))
+    met = F.coalesce(F.forall("pre", lambda p: F.array_contains("facts", p)), F.lit(False))
     status = F.when(~met, "unknown").when(F.array_contains("facts", F.col("post")), "pass").otherwise("fail")
     return pairs.select("rule_id", "unit", status.alias("status"))
 
@@ -38,16 +39,26 @@ def infer(rules: DataFrame, facts: DataFrame, rounds: int = MOST_ROUNDS) -> Data
 
     A round adds what every rule with its preconditions met concludes; later rounds change nothing once none does.
     """
-    parsed = rules.select("id", "pre", "post").collect()  # a short list by its nature
-    nothing = F.array().cast("array<string>")
+    return _chained(rules, facts, rounds).select("unit", F.array_sort("chain.facts").alias("facts"))
 
-    def concluded(rule) -> Column:
-        met = F.forall(F.array(*[F.lit(p) for p in rule.pre]).cast("array<string>"), lambda p: F.array_contains("facts", p))
-        return F.when(met, F.array(F.lit(rule.post))).otherwise(nothing)
 
-    for _ in range(min(rounds, max(1, len(parsed)))):  # a chain is no longer than the list of rules
-        facts = facts.withColumn("facts", F.array_sort(F.array_union("facts", F.flatten(F.array(*map(concluded, parsed))))))
-    return facts
+_STEP = "struct<round:int,rule_id:string,derived:string,because:array<string>>"
+
+
+def _chained(rules: DataFrame, facts: DataFrame, rounds: int) -> DataFrame:
+    """``unit, chain``: all facts that follow, and the steps; a fold over the rounds, so the plan doesn't grow with them."""
+    parsed = [r for r in rules.select("id", "pre", "post").collect() if r.pre is not None and r.post]  # a short list by its nature
+    listed = F.array(*[F.struct(F.lit(r.id).alias("id"), F.array(*map(F.lit, r.pre)).cast("array<string>").alias("pre"), F.lit(r.post).alias("post")) for r in parsed])
+    start = F.struct(F.coalesce("facts", F.array().cast("array<string>")).alias("facts"), F.array().cast(f"array<{_STEP}>").alias("steps"))
+
+    def round_(state: Column, n: Column) -> Column:
+        new = F.filter(listed, lambda r: F.forall(r["pre"], lambda p: F.array_contains(state["facts"], p)) & ~F.array_contains(state["facts"], r["post"]))
+        steps = F.transform(new, lambda r: F.struct(n.alias("round"), r["id"].alias("rule_id"), r["post"].alias("derived"), r["pre"].alias("because")))
+        return F.struct(F.array_union(state["facts"], F.transform(new, lambda r: r["post"])).alias("facts"), F.concat(state["steps"], steps).alias("steps"))
+
+    # a chain is no longer than the list of rules
+    chain = F.aggregate(F.sequence(F.lit(1), F.lit(min(rounds, len(parsed)))), start, round_) if parsed and rounds > 0 else start
+    return facts.select("unit", chain.alias("chain"))
 
 
 def policy_breaches(edges: DataFrame, packages: DataFrame, policy: DataFrame, core: str) -> DataFrame:
@@ -78,3 +89,59 @@ def rules_for_tier(rules: DataFrame, tier: str) -> DataFrame:
     """Rules whose tier isn't above the given one; unknown tiers count as the lowest."""
     level = lambda c: F.coalesce(*[F.when(c == t, F.lit(i)) for i, t in enumerate(TIERS)], F.lit(0))
     return rules.where(level(F.col("risk_tier")) <= level(F.lit(tier)))
+
+def _met(rules: DataFrame) -> Column:
+    """Whether a unit's facts have all of a rule's preconditions; a rule that names none at all has no trigger and is never met."""
+    return F.coalesce(F.forall("pre", lambda p: F.array_contains("facts", p)), F.lit(False)) & (F.col("post") != "")
+
+
+def applied(rules: DataFrame, facts: DataFrame) -> DataFrame:
+    """``rule_id, unit, status, derived``: what each rule concludes for each unit by itself; pass, or unknown without its trigger."""
+    pairs = facts.join(F.broadcast(rules.select(F.col("id").alias("rule_id"), "pre", "post")))
+    return pairs.select("rule_id", "unit", F.when(_met(rules), "pass").otherwise("unknown").alias("status"), F.when(_met(rules), F.col("post")).alias("derived"))
+
+
+def infer_traced(rules: DataFrame, facts: DataFrame, rounds: int = MOST_ROUNDS) -> DataFrame:
+    """``unit, round, rule_id, derived, because``: which rule gave which new fact in which round, and from what.
+
+    A round looks at the facts that stand before it, so two rules can give the same fact in one round; a fact that a unit has is
+    not given again. ``because`` are the rule's preconditions. Units that nothing is concluded for have no row.
+    """
+    return _chained(rules, facts, rounds).select("unit", F.inline("chain.steps"))
+
+
+#: The built-in rules: a shape to look for, and the fact that makes it harmless.
+SECURITY_RULES = (
+    ("sql-injection", "PRE: dynamic_sql; POST: parameterised_sql", "high", "high", "A shape, not a flow of data: a text built from constants alone is also found."),
+    ("check-then-act-race", "PRE: check_then_set; POST: guarded_check_then_set", "medium", "medium", "Whether the container is shared isn't known: a local one that is filled is also found."),
+    ("shell-command-injection", "PRE: dynamic_shell; POST: listed_command", "high", "low", "A shape, not a flow of data: a command that the operator controls is also found."),
+)
+
+
+def security_rules(spark: SparkSession) -> DataFrame:
+    """The built-in rules: ``id, formal_spec, severity, risk_tier, caveat, pre, post``."""
+    return parse_rules(spark.createDataFrame(SECURITY_RULES, "id string, formal_spec string, severity string, risk_tier string, caveat string"))
+
+
+def findings(rules: DataFrame, facts: DataFrame, places: DataFrame) -> DataFrame:
+    """``rule_id, unit, severity, lines``: the rules that units break, and where ``places(unit, kind, line)`` shows the trigger."""
+    broken = violations(rules, facts).where("status = 'fail'").select("rule_id", "unit")
+    named = F.broadcast(rules.select(F.col("id").alias("rule_id"), "severity", "pre"))
+    shown = broken.join(named, "rule_id")
+    lines = shown.select("rule_id", "unit", F.explode("pre").alias("kind")).join(places, ["unit", "kind"]).groupBy("rule_id", "unit").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    return shown.join(lines, ["rule_id", "unit"], "left").select("rule_id", "unit", "severity", F.coalesce("lines", F.array().cast("array<int>")).alias("lines"))
+
+
+def caveats(rules: DataFrame, found: DataFrame) -> DataFrame:
+    """``rule_id, caveat, n``: what to keep in mind about each rule that has findings, and how many."""
+    return found.groupBy("rule_id").agg(F.count("*").alias("n")).join(F.broadcast(rules.select(F.col("id").alias("rule_id"), "caveat")), "rule_id").select("rule_id", "caveat", "n")
+
+
+def _level(tier: Column) -> Column:
+    return F.coalesce(*[F.when(tier == t, F.lit(i)) for i, t in enumerate(TIERS)], F.lit(0))
+
+
+def rules_for_units(rules: DataFrame, units: DataFrame) -> DataFrame:
+    """``unit, rule_id``: the rules whose tier isn't above that of each of ``units(unit, tier)``; unknown tiers count as the lowest."""
+    short = F.broadcast(rules.select(F.col("id").alias("rule_id"), _level(F.col("risk_tier")).alias("_of_rule")))  # a short list by its nature
+    return units.withColumn("_of_unit", _level(F.col("tier"))).join(short, F.col("_of_rule") <= F.col("_of_unit")).select("unit", "rule_id")

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import claims, codegraph, graph
+from ..operators import claims, codegraph, graph, rules
 from ..sources import adapters as A
 from ..sources.graph_store import GraphStore
 from ..sources.keyed import KeyedTable
@@ -235,3 +235,78 @@ def code_file_risk(spark, sf_dir):
     named = lambda before, after=".py": F.concat(F.lit(before), k, F.lit(after))
     paths = F.array(named("src/p"), named("./src//api/../p"), named("/repo/src/p"), named("/else/auth/p"), named("../p"), named("docs/Billing", ".md"))
     return codegraph.file_risk(saved(nodes, "nodes"), saved(edges, "edges"), A.table(spark, sf_dir, "part").select(F.explode(paths).alias("path")), root="/repo")
+
+
+_UNSAFE = (
+    ("k % 2 = 0", "def q(db, x):\n    s = f'select {x}'\n    db.execute(s)\n"),
+    ("k % 4 = 1 OR k % 6 = 0", "def p(db, x):\n    db.executemany('insert %s', (x,))\n"),
+    ("k % 3 = 0", "def sh(cmd):\n    subprocess.run(cmd, shell=True)\n"),
+    ("k % 5 = 0", "def ls(d):\n    subprocess.run(['ls', d])\n"),
+    ("k % 7 = 0", "def put(c, k, v):\n    if k in c:\n        return\n    c[k] = v\n"),
+    ("k % 11 = 0", "def put2(c, k, v):\n    with lock:\n        if k not in c:\n            c[k] = v\n"),
+)
+_BROKEN = """broken AS (SELECT k, 'src/u' || k || '.py' AS unit, r.* FROM (SELECT p_partkey AS k FROM part), (VALUES ('sql-injection', 'high'), ('check-then-act-race', 'medium'), ('shell-command-injection', 'high')) r(rule_id, severity)
+ WHERE CASE rule_id WHEN 'sql-injection' THEN k % 2 = 0 AND k % 6 <> 0 WHEN 'check-then-act-race' THEN k % 7 = 0 AND k % 11 <> 0 ELSE k % 3 = 0 AND k % 5 <> 0 END),
+placed AS (SELECT *, 1 + CASE rule_id WHEN 'sql-injection' THEN 2 WHEN 'check-then-act-race' THEN 1 + CASE WHEN k % 2 = 0 THEN 3 ELSE 0 END + CASE WHEN k % 4 = 1 OR k % 6 = 0 THEN 2 ELSE 0 END + CASE WHEN k % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN k % 5 = 0 THEN 2 ELSE 0 END
+ ELSE 1 + CASE WHEN k % 2 = 0 THEN 3 ELSE 0 END + CASE WHEN k % 4 = 1 OR k % 6 = 0 THEN 2 ELSE 0 END END AS line FROM broken)"""
+
+
+def _findings(spark, sf_dir):
+    """A file for each part with some of six functions, safe and unsafe."""
+    k = F.col("p_partkey")
+    pieces = [F.when(F.expr(f"{test}".replace("k ", "p_partkey ")), F.lit(code)).otherwise("") for test, code in _UNSAFE]
+    files = A.table(spark, sf_dir, "part").select(F.concat(F.lit("src/u"), k.cast("string"), F.lit(".py")).alias("path"), F.concat(*pieces).alias("text"))
+    parsed, known = saved(codegraph.parse(files), "parsed"), rules.security_rules(spark)
+    return known, rules.findings(known, codegraph.facts(parsed), codegraph.fact_places(parsed))
+
+
+@query(f"WITH {_BROKEN} SELECT rule_id, unit, severity, [line::INT] AS lines FROM placed")
+def security_scan(spark, sf_dir):
+    """All built-in rules over all files, with the lines that show each finding."""
+    return _findings(spark, sf_dir)[1]
+
+
+@query(f"WITH {_BROKEN} SELECT rule_id, count(*) AS n FROM broken GROUP BY 1")
+def security_caveats(spark, sf_dir):
+    known, found = _findings(spark, sf_dir)
+    return rules.caveats(known, found).select("rule_id", "n")
+
+
+_CHAIN = (("c1", "PRE: click; POST: seen"), ("c2", "PRE: seen, view; POST: keen"), ("c3", "PRE: view_low; POST: seen"), ("c4", "PRE: keen; POST: buyer"), ("c5", "PRE: buyer; POST: click"), ("c6", "POST: never"), ("c7", "PRE: ; POST: always"))
+
+
+def _unit_facts(spark, sf_dir):
+    kind = F.when(F.col("value") > 50, F.col("event_type")).otherwise(F.concat("event_type", F.lit("_low")))
+    return A.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("unit")).agg(F.array_sort(F.collect_set(kind)).alias("facts"))
+
+
+def _chain(spark):
+    return rules.parse_rules(spark.createDataFrame(_CHAIN, "id string, formal_spec string"))
+
+
+_UNITS = "u AS (SELECT user_id AS unit, list(DISTINCT CASE WHEN value > 50 THEN event_type ELSE event_type || '_low' END) AS f FROM events GROUP BY 1)"
+
+
+@query(f"""WITH {_UNITS}, r1 AS (SELECT unit, f, list_contains(f, 'click') AS c, list_contains(f, 'view') AS v, list_contains(f, 'view_low') AS l FROM u), s AS (SELECT *, c OR l AS seen FROM r1)
+SELECT unit, 1 AS round, 'c1' AS rule_id, 'seen' AS derived, ['click'] AS because FROM s WHERE c UNION ALL SELECT unit, 1, 'c3', 'seen', ['view_low'] FROM s WHERE l UNION ALL SELECT unit, 1, 'c7', 'always', [] FROM s
+ UNION ALL SELECT unit, 2, 'c2', 'keen', ['seen', 'view'] FROM s WHERE seen AND v UNION ALL SELECT unit, 3, 'c4', 'buyer', ['keen'] FROM s WHERE seen AND v UNION ALL SELECT unit, 4, 'c5', 'click', ['buyer'] FROM s WHERE seen AND v AND NOT c
+ UNION ALL SELECT unit, 5, 'c1', 'seen', ['click'] FROM s WHERE false""")
+def rule_trace(spark, sf_dir):
+    """Which rule gave which fact, in which round and from what."""
+    return rules.infer_traced(_chain(spark), _unit_facts(spark, sf_dir))
+
+
+@query(f"""WITH {_UNITS}, r AS (SELECT * FROM (VALUES ('c1', ['click'], 'seen'), ('c2', ['seen', 'view'], 'keen'), ('c3', ['view_low'], 'seen'), ('c4', ['keen'], 'buyer'), ('c5', ['buyer'], 'click'), ('c6', NULL, 'never'), ('c7', [], 'always')) v(rule_id, pre, post))
+SELECT rule_id, unit, CASE WHEN pre IS NOT NULL AND list_has_all(f, pre) THEN 'pass' ELSE 'unknown' END AS status, CASE WHEN pre IS NOT NULL AND list_has_all(f, pre) THEN post END AS derived FROM u, r""")
+def rule_applied(spark, sf_dir):
+    """What each rule concludes by itself."""
+    return rules.applied(_chain(spark), _unit_facts(spark, sf_dir))
+
+
+@query("""WITH u AS (SELECT p_partkey AS unit, CASE p_partkey % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'odd' END AS tier, CASE p_partkey % 4 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS level FROM part)
+SELECT unit, rule_id FROM u JOIN (VALUES ('sql-injection', 2), ('check-then-act-race', 1), ('shell-command-injection', 0)) r(rule_id, of_rule) ON of_rule <= level""")
+def rules_for_units(spark, sf_dir):
+    """The rules that are worth running on each unit, by its tier."""
+    k = F.col("p_partkey")
+    tier = F.when(k % 4 == 0, "low").when(k % 4 == 1, "medium").when(k % 4 == 2, "high").otherwise("odd")
+    return rules.rules_for_units(rules.security_rules(spark), A.table(spark, sf_dir, "part").select(k.alias("unit"), tier.alias("tier")))

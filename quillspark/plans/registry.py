@@ -474,7 +474,7 @@ def risk_tier(spark, sf_dir):
     return rules.risk_tier(joined.select("unit", "path_marker", F.coalesce("callers", F.lit(0)).alias("callers"), F.coalesce("fan_in", F.lit(0)).alias("fan_in"), F.when(F.col("t").isNull(), 1).otherwise(0).alias("untested")))
 
 
-_RULES = [("r1", "PRE: click, view; POST: purchase", "low"), ("r2", "PRE: error; POST: signup", "high"), ("r3", "POST: view", "medium"), ("r4", "PRE: purchase; POST: loyal", "odd")]
+_RULES = [("r1", "PRE: click, view; POST: purchase", "low"), ("r2", "PRE: error; POST: signup", "high"), ("r3", "PRE: ; POST: view", "medium"), ("r4", "PRE: purchase; POST: loyal", "odd")]
 
 
 def _rules(spark):

@@ -118,7 +118,7 @@ def test_sources_to_graph_and_facts(spark):
 
 
 def test_rules(spark):
-    parsed = rules.parse_rules(spark.createDataFrame([("a", "PRE: x, y; POST: z"), ("b", "POST: w"), ("c", "PRE: z; POST: v")], "id string, formal_spec string"))
+    parsed = rules.parse_rules(spark.createDataFrame([("a", "PRE: x, y; POST: z"), ("b", "PRE: ; POST: w"), ("c", "PRE: z; POST: v")], "id string, formal_spec string"))
     facts = spark.createDataFrame([("u", ["x", "y"]), ("n", [])], "unit string, facts array<string>")
     assert {(r.rule_id, r.unit): r.status for r in rules.violations(parsed, facts).collect()} == {("a", "u"): "fail", ("a", "n"): "unknown", ("b", "u"): "fail", ("b", "n"): "fail", ("c", "u"): "unknown", ("c", "n"): "unknown"}
     assert {r.unit: r.facts for r in rules.infer(parsed, facts).collect()} == {"u": ["v", "w", "x", "y", "z"], "n": ["w"]}
@@ -249,3 +249,32 @@ def test_contexts_against_a_plain_fold(spark):
         if best:
             expected[task] = {i: (round(s, 9), d, why) for i, (s, d, why) in best}
     assert found == expected and set(found) == {1, 2}
+
+
+def test_rules_without_a_trigger_and_traces(spark):
+    parsed = rules.parse_rules(spark.createDataFrame([("a", "POST: z"), ("b", "PRE: x; POST: y"), ("c", "PRE: y; POST: z"), ("d", "PRE: x; POST: "), ("e", None), ("f", "PRE: x, w; POST: y")], "id string, formal_spec string"))
+    facts = spark.createDataFrame([("u", ["x", "w"]), ("n", [])], "unit string, facts array<string>")
+    assert {r.rule_id for r in rules.applied(parsed, facts).where("status = 'pass'").collect()} == {"b", "f"}
+    trace = sorted((r.unit, r.round, r.rule_id, r.derived, list(r.because)) for r in rules.infer_traced(parsed, facts).collect())
+    assert trace == [("u", 1, "b", "y", ["x"]), ("u", 1, "f", "y", ["x", "w"]), ("u", 2, "c", "z", ["y"])]
+    assert rules.infer_traced(parsed, facts, rounds=1).count() == 2 and {r.unit: r.facts for r in rules.infer(parsed, facts).collect()} == {"u": ["w", "x", "y", "z"], "n": []}
+    assert {r.status for r in rules.violations(parsed, facts).where("rule_id = 'a'").collect()} == {"unknown"}
+
+
+def facts_in(code):
+    import ast
+
+    out = []
+    codegraph._facts("f.py", ast.parse(code), out)
+    return [(r["kind"], r["name"], r["line"]) for r in out]
+
+
+def test_facts_show_where(spark):
+    head = "def f(c, d, k, db):\n"
+    assert facts_in(head + "    if k in c: return\n    c[k] = 1\n") == [("check_then_set", "", 2)]
+    assert facts_in(head + "    with self.lock_all():\n        if c.get(k): pass\n    for x in d:\n        c[k] = 1\n") == [("guarded_check_then_set", "", 3)]
+    assert facts_in(head + "    if k in c: d[k] = 1\n    if k in self.c: self.c[k] = 2\n") == [] == facts_in("if k in c: c[k] = 1")
+    assert facts_in(head + "    try:\n        if k not in c: pass\n    except E:\n        c[k] = 1\n    finally:\n        d[k] = 2\n") == [("check_then_set", "", 3)]
+    assert facts_in(head + "    s = 'a' + k\n    s = 'b'\n    db.execute(s)\n    db.execute('a %s' % k)\n    execute(f'{k}')\n    db.executed(f'{k}')\n") == [("dynamic_sql", "percent", 5)]
+    assert facts_in(head + "    db.executescript('{}'.format(k))\n    db.execute('x ?', (k,))\n    db.execute('x ?')\n") == [("dynamic_sql", "format", 2), ("parameterised_sql", "", 3)]
+    assert facts_in(head + "    p.run(k, shell=True)\n    p.call(args=f'{k}', shell=True)\n    p.run('ls', shell=True)\n    p.Popen([k])\n    p.run(self.c, shell=True)\n") == [("dynamic_shell", "f-string", 3), ("dynamic_shell", "variable", 2), ("listed_command", "", 5)]
