@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import normal_path
-from ..functions.text import module_qualname, path_signal
+from ..functions.text import module_qualname, path_signal, top_package
 from .graph import contexts_for
-from .rules import risk_tier
+from .rules import policy_breaches, risk_tier
 
 # Results must agree with them.
 LARGEST_FILE = 1_000_000
@@ -346,3 +346,12 @@ def facts(parsed: DataFrame) -> DataFrame:
 def fact_places(parsed: DataFrame) -> DataFrame:
     """``unit, kind, how, line``: where each fact shows, and how."""
     return parsed.where("row = 'fact'").select(F.col("path").alias("unit"), "kind", F.col("name").alias("how"), "line").distinct()
+
+
+def policy_findings(nodes: DataFrame, edges: DataFrame, policy: DataFrame, application: str, core: str) -> DataFrame:
+    """``source, target, from_package, to_package``: resolved imports between files of an application's packages that its
+    ``policy(package, allowed)`` doesn't allow; see :func:`rules.policy_breaches`. Files outside the application have no package."""
+    own = nodes.where("kind = 'file'").select("id", "path", top_package(F.col("qualname"), application).alias("package")).where("package IS NOT NULL")
+    found = policy_breaches(edges.where("kind = 'imports' AND resolved").select("source", "target").distinct(), own.select("id", "package"), policy, core)
+    path = lambda c: F.regexp_extract(c, "^file:(.*)$", 1).alias(c)
+    return found.select(path("source"), path("target"), "from_package", "to_package")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import claims, codegraph, graph, rules
 from ..sources import adapters as A
+from ..sources import trees
 from ..sources.graph_store import GraphStore
 from ..sources.keyed import KeyedTable
 from ..storage import saved, shared_folder
@@ -310,3 +311,52 @@ def rules_for_units(spark, sf_dir):
     k = F.col("p_partkey")
     tier = F.when(k % 4 == 0, "low").when(k % 4 == 1, "medium").when(k % 4 == 2, "high").otherwise("odd")
     return rules.rules_for_units(rules.security_rules(spark), A.table(spark, sf_dir, "part").select(k.alias("unit"), tier.alias("tier")))
+
+
+_TREE = """k AS (SELECT p_partkey AS k, p_name AS name FROM part), files AS (SELECT 'd' || k % 7 || '/e' || k % 3 || '/f' || k || '.txt' AS path, name || chr(10) || k AS content FROM k UNION ALL SELECT 'top' || k || '.txt', name FROM k WHERE k % 5 = 0)"""
+
+
+def _tree(spark, sf_dir):
+    k = F.col("p_partkey")
+    parts = A.table(spark, sf_dir, "part")
+    low = parts.select(F.concat(F.lit("d"), k % 7, F.lit("/e"), k % 3, F.lit("/f"), k, F.lit(".txt")).alias("path"), F.concat("p_name", F.lit("\n"), k).cast("binary").alias("content"))
+    return low.unionByName(parts.where("p_partkey % 5 = 0").select(F.concat(F.lit("top"), k, F.lit(".txt")).alias("path"), F.col("p_name").cast("binary").alias("content")))
+
+
+@query(f"""WITH {_TREE}, steps AS (SELECT path, content, unnest(['', split_part(path, '/', 1), split_part(path, '/', 1) || '/' || split_part(path, '/', 2)]) AS folder FROM files WHERE contains(path, '/') UNION ALL SELECT path, content, '' FROM files WHERE NOT contains(path, '/')),
+rel AS (SELECT folder, CASE WHEN folder = '' THEN path ELSE substr(path, length(folder) + 2) END AS r, sha256(content) AS sha, octet_length(encode(content)) AS size FROM steps),
+groups AS (SELECT folder, sha256(r)[:3] AS g, sha256(string_agg(r || chr(0) || sha || chr(10), '' ORDER BY r)) AS sha, count(*) AS n, sum(size) AS size FROM rel GROUP BY 1, 2)
+SELECT folder, sum(n)::BIGINT AS files, sum(size)::BIGINT AS bytes, 'sha256:' || sha256(string_agg(g || ':' || sha || chr(10), '' ORDER BY g)) AS digest FROM groups GROUP BY 1""")
+def tree_digest(spark, sf_dir):
+    """A digest for every folder of a tree of small files."""
+    return trees.tree_digests(_tree(spark, sf_dir))
+
+
+@query("""WITH k AS (SELECT p_partkey AS k, 'f' || p_partkey || '.txt' AS p FROM part)
+SELECT p AS path, 'changed' AS change, concat('diff --git a/', p, ' b/', p, chr(10), '--- a/', p, chr(10), '+++ b/', p, chr(10), '@@ -1,5 +1,6 @@', chr(10), ' a', chr(10), ' b', chr(10), '-c', k, chr(10), '+x', k, chr(10), ' d', chr(10), ' e', chr(10), '+end', chr(10), chr(92), ' No newline at end of file', chr(10)) AS diff FROM k WHERE k % 3 = 0
+UNION ALL SELECT p, 'deleted', concat('diff --git a/', p, ' b/', p, chr(10), 'deleted file mode 100644', chr(10), '--- a/', p, chr(10), '+++ /dev/null', chr(10), '@@ -1,5 +0,0 @@', chr(10), '-a', chr(10), '-b', chr(10), '-c', k, chr(10), '-d', chr(10), '-e', chr(10)) FROM k WHERE k % 3 = 1
+UNION ALL SELECT 'new/' || p, 'added', concat('diff --git a/new/', p, ' b/new/', p, chr(10), 'new file mode 100644', chr(10), '--- /dev/null', chr(10), '+++ b/new/', p, chr(10), '@@ -0,0 +1 @@', chr(10), '+', k, chr(10)) FROM k WHERE k % 4 = 0""")
+def tree_changes(spark, sf_dir):
+    """What changed between two versions of a tree: some files change in two places, some go, some come."""
+    k, parts = F.col("p_partkey"), A.table(spark, sf_dir, "part")
+    path = F.concat(F.lit("f"), k, F.lit(".txt"))
+    body = lambda mark, end: F.concat(F.lit("a\nb\n"), F.lit(mark), k, F.lit("\nd\ne\n" + end)).cast("binary").alias("content")
+    before = parts.select(path.alias("path"), body("c", ""))
+    after = parts.where("p_partkey % 3 = 0").select(path.alias("path"), body("x", "end")).unionByName(parts.where("p_partkey % 3 = 2").select(path.alias("path"), body("c", "")))
+    return trees.tree_diff(before, after.unionByName(parts.where("p_partkey % 4 = 0").select(F.concat(F.lit("new/"), path).alias("path"), F.concat(k.cast("string"), F.lit("\n")).cast("binary").alias("content"))))
+
+
+_LAYERS = (("pkg0", "pkg1"), ("pkg0", "pkg2"), ("pkg1", "pkg2"), ("pkg3", "*"))
+
+
+@query("""WITH k AS (SELECT p_partkey AS k, 'src/app/pkg' || p_partkey % 5 || '/m' || p_partkey || '.py' AS p FROM part), i AS (SELECT k, p, unnest([k * 3 % 50 + 1, k * 11 % 50 + 1]) AS n FROM k), pairs AS (SELECT DISTINCT i.p AS source, j.p AS target, 'pkg' || i.k % 5 AS a, 'pkg' || j.k % 5 AS b FROM i JOIN k j ON j.k = i.n)
+SELECT source, target, a AS from_package, b AS to_package FROM pairs WHERE a <> b AND b <> 'pkg4' AND a <> 'pkg3' AND NOT (a = 'pkg0' AND b IN ('pkg1', 'pkg2')) AND NOT (a = 'pkg1' AND b = 'pkg2')""")
+def architecture_findings(spark, sf_dir):
+    """Imports between the packages of an application that its policy doesn't allow, from its sources."""
+    k = F.col("p_partkey")
+    module = lambda n: F.concat(F.lit("app.pkg"), (n % 5).cast("string"), F.lit(".m"), n.cast("string"))
+    code = F.concat(F.lit("import "), module(k * 3 % 50 + 1), F.lit("\nfrom "), module(k * 11 % 50 + 1), F.lit(" import f\nimport os\n"))
+    files = A.table(spark, sf_dir, "part").select(F.concat(F.lit("src/app/pkg"), (k % 5).cast("string"), F.lit("/m"), k.cast("string"), F.lit(".py")).alias("path"), code.alias("text"))
+    parsed = saved(codegraph.parse(files), "parsed")
+    policy = spark.createDataFrame(_LAYERS, "package string, allowed string")
+    return codegraph.policy_findings(*codegraph.code_graph(parsed), policy, "app", "pkg4")

@@ -485,9 +485,12 @@ def _facts(spark, sf_dir):
     return A.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("unit")).agg(F.array_sort(F.collect_set(F.when(F.col("value") > 50, F.col("event_type")).otherwise(F.concat("event_type", F.lit("_low"))))).alias("facts"))
 
 
-@query("SELECT id FROM (VALUES ('r1', 0), ('r2', 2), ('r3', 1), ('r4', 0)) v(id, level) WHERE level <= 1")
+@query("SELECT 'part' || p_partkey AS id FROM part WHERE p_partkey % 4 <> 2")
 def rules_for_tier(spark, sf_dir):
-    return rules.rules_for_tier(_rules(spark), "medium").select("id")
+    """A rule for each part, of four kinds of tiers; those that a medium tier runs."""
+    k = F.col("p_partkey")
+    tier = F.when(k % 4 == 0, "low").when(k % 4 == 1, "medium").when(k % 4 == 2, "high").otherwise("odd")
+    return rules.rules_for_tier(A.table(spark, sf_dir, "part").select(F.concat(F.lit("part"), k).alias("id"), tier.alias("risk_tier")), "medium").select("id")
 
 
 _FACTS = "facts AS (SELECT user_id AS unit, list_sort(list(DISTINCT CASE WHEN value > 50 THEN event_type ELSE event_type || '_low' END)) AS facts FROM events GROUP BY 1), rules AS (SELECT * FROM (VALUES ('r1', ['click', 'view'], 'purchase'), ('r2', ['error'], 'signup'), ('r3', [], 'view'), ('r4', ['purchase'], 'loyal')) v(id, pre, post))"
