@@ -134,14 +134,44 @@ class _Graph:
         self.free[begin].append(end)
         return end
 
-    def closure(self, states: set[int]) -> frozenset[int]:
-        found, todo = set(states), list(states)
-        while todo:
-            for x in self.free[todo.pop()]:
-                if x not in found:
-                    found.add(x)
-                    todo.append(x)
-        return frozenset(found)
+    def closures(self) -> list[int]:
+        """For each state the states that free arrows lead to, itself among them, as bits."""
+        out = []
+        for s in range(len(self.free)):
+            found, todo = {s}, [s]
+            while todo:
+                for x in self.free[todo.pop()]:
+                    if x not in found:
+                        found.add(x)
+                        todo.append(x)
+            out.append(sum(1 << x for x in found))
+        return out
+
+
+def _union(masks) -> int:
+    out = 0
+    for mask in masks:
+        out |= mask
+    return out
+
+
+def _bits(mask: int) -> list[int]:
+    out = []
+    while mask:
+        low = mask & -mask
+        out.append(low.bit_length() - 1)
+        mask ^= low
+    return out
+
+
+def _reversed(tree: tuple) -> tuple:
+    """The tree that matches what this one matches, read backwards."""
+    if tree[0] == "set":
+        return tree
+    if tree[0] == "repeat":
+        return ("repeat", _reversed(tree[1]), *tree[2:])
+    parts = list(map(_reversed, tree[1]))
+    return (tree[0], parts[::-1] if tree[0] == "cat" else parts)
 
 
 class Automaton:
@@ -152,7 +182,7 @@ class Automaton:
     to the start (or to the dead state), so no match contains them.
     """
 
-    def __init__(self, expressions: list[str], anywhere: bool) -> None:
+    def __init__(self, expressions: list[str], anywhere: bool, backwards: bool = False) -> None:
         graph = _Graph()
         start, final = graph.state(), {}
         for k, expression in enumerate(expressions):
@@ -162,7 +192,7 @@ class Automaton:
                 raise ValueError(f"unbalanced: {expression!r}")
             begin = graph.state()
             graph.free[start].append(begin)
-            final[graph.add(tree, begin)] = k
+            final[graph.add(_reversed(tree) if backwards else tree, begin)] = k
         # bytes that all arrows treat alike are one class
         sets = {s for arrows in graph.arrows for s, _ in arrows}
         kinds: dict[tuple, int] = {}
@@ -171,19 +201,26 @@ class Automaton:
         self.classes = len(kinds)
         sample = [int(np.flatnonzero(self.class_of == k)[0]) for k in range(self.classes)]
 
-        first = graph.closure({start})
-        number, todo, step = {first: 0}, [first], []
+        reach = graph.closures()
+        # by state: the classes that it has arrows on, and where each leads, as bits
+        leads = [[(k, _union(reach[end] for on, end in arrows if byte in on)) for k, byte in enumerate(sample) if any(byte in on for on, _ in arrows)] for arrows in graph.arrows]
+        home = reach[start] if anywhere else 0
+        first = reach[start]
+        number, todo, step, accepted = {first: 0}, [first], [], []
         for states in todo:  # grows meanwhile
-            row = []
-            for byte in sample:
-                after = {end for s in states for on, end in graph.arrows[s] if byte in on}
-                target = graph.closure(after | {start}) if anywhere else graph.closure(after)
+            row, accept = [home] * self.classes, 0
+            for s in _bits(states):
+                for k, target in leads[s]:
+                    row[k] |= target
+                if s in final:
+                    accept |= 1 << final[s]
+            accepted.append(accept)
+            for target in row:
                 if target not in number:
                     number[target] = len(number)
                     todo.append(target)
-                row.append(number[target])
-            step.append(row)
-        accepts = np.array([sum({1 << final[s] for s in states if s in final}) for states in todo], dtype=np.int64)
+            step.append([number[target] for target in row])
+        accepts = np.array(accepted, dtype=np.int64)
         self._minimise(np.array(step, dtype=np.int64), accepts)
 
     def _minimise(self, step: np.ndarray, accepts: np.ndarray) -> None:
@@ -215,8 +252,8 @@ class Scanner:
 
     def __init__(self, expressions: list[str]) -> None:
         self.all = Automaton(expressions, anywhere=True)
-        self.single = [Automaton([x], anywhere=False) for x in expressions]
-        self.tables = [(a.step.tolist(), a.class_of.tolist(), a.accepts.tolist(), a.classes, a.dead) for a in self.single]
+        # each rule forwards, for ends, and backwards, for where matches can begin
+        self.tables = [[(a.step.tolist(), a.class_of.tolist(), a.accepts.tolist(), a.classes, a.dead) for a in (Automaton([x], anywhere=False), Automaton([x], anywhere=True, backwards=True))] for x in expressions]
         self.flat = (self.all.step * self.all.classes).astype(np.int32)  # states come multiplied
         self.accepts = np.zeros(len(self.flat) + 1, dtype=np.int64)
         self.accepts[:: self.all.classes][: len(self.all.accepts)] = self.all.accepts
@@ -248,20 +285,28 @@ class Scanner:
         return out
 
     def spans(self, rule: int, text: bytes) -> list[tuple[int, int]]:
-        """Leftmost non-overlapping spans of one rule, each as long as it can be."""
-        step, class_of, accepts, classes, dead = self.tables[rule]
+        """Leftmost non-overlapping spans of one rule, each as long as it can be.
+
+        One pass backwards marks the places where a match begins; only from those is the text read forwards, and after a match
+        from its end on. A byte is read again only if a match could have gone on over it and did not.
+        """
+        step, class_of, accepts, classes, _ = self.tables[rule][1]
+        begins, state = [], 0
+        for i in range(len(text) - 1, -1, -1):
+            state = step[state * classes + class_of[text[i]]]
+            if accepts[state]:
+                begins.append(i)
+        step, class_of, accepts, classes, dead = self.tables[rule][0]
         out, at = [], 0
-        while at < len(text):
-            state, last = 0, -1
-            for i in range(at, len(text)):
+        for begin in reversed(begins):
+            if begin < at:
+                continue
+            state = 0
+            for i in range(begin, len(text)):
                 state = step[state * classes + class_of[text[i]]]
                 if state == dead:
                     break
                 if accepts[state]:
-                    last = i + 1
-            if last > at:
-                out.append((at, last))
-                at = last
-            else:
-                at += 1
+                    at = i + 1
+            out.append((begin, at))
         return out

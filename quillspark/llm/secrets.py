@@ -7,6 +7,7 @@ together, a byte of each at a time. Only runs in which a rule matches are read a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,9 @@ LEAST_VALUE = 6
 SPANS = "doc_id long, n_assign long, n_access long, n_hex long, base_spans string, spans string"
 
 
+@cache
 def scanner() -> Scanner:
-    """The compiled rules; made once on the driver and sent to the tasks."""
+    """The compiled rules; made once in a driver and sent to the tasks."""
     return Scanner([x for x, _ in RULES.values()])
 
 
@@ -85,7 +87,9 @@ def _scan(compiled: Scanner):
 def scan_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_spans, spans`` for each row of ``docs``; spans are ``kind:start:end`` lists.
 
-    A null or empty text has none. Repeated rows are scanned alike; other columns are ignored.
+    A null or empty text has none, an empty table gives an empty result. Repeated rows are scanned alike; spans that begin at one
+    place stand in the order of the rules. A very long text is read twice for each rule that matches in it, whatever it
+    holds, and takes some 40 bytes for each of its bytes. Other columns are ignored.
     """
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_scan(scanner()), SPANS)
 

@@ -60,3 +60,33 @@ def test_rows(spark):
     assert all(r.n_assign == r.n_access == r.n_hex == 0 and r.base_spans == "" for (i, _), r in result.items() if i != 5)
     assert scan_secrets(documents(spark, rows)).count() == len(rows)
     assert scan_secrets(documents(spark, [])).collect() == []
+
+
+def test_long_runs_are_read_in_linear_time():
+    import time
+
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dBjftJeZ4CVP-mB92K27uhbUJU1p1r_wW1g"
+    scan = scanner()
+    for text, kinds in (("eyJaGci" * 150_000 + "!" + jwt, {"jwt": 1}), ("eyJaGci" * 150_000 + jwt, {"jwt": 1}), ("token:" * 170_000, {}), ("AKIA" * 250_000, {"access": 1}), ("-----BEGIN " * 90_000, {})):
+        (chunk,) = text_chunks(pa.array([text]))
+        began = time.perf_counter()
+        (row,) = find_secrets(scan, chunk.data, chunk.offsets)
+        assert time.perf_counter() - began < 8, text[:10]
+        counts = {k: sum(x[2] == k for x in row) for k in ("jwt", "access", "private_key")}
+        assert {k: n for k, n in counts.items() if n} == kinds
+
+
+def test_spans_against_the_library():
+    rng = random.Random(11)
+    for expression in (r"a(b|c)*d", r"(?i:ab|ac)z+", r"[a-c]{3}", r"ab+c?", r"a[ab]*c[ab]*c"):
+        scan = Scanner([expression])
+        for _ in range(400):
+            text = "".join(rng.choice("aabbccdz") for _ in range(rng.randint(0, 14)))
+            longest = []
+            at = 0
+            while at < len(text):
+                ends = [e for e in range(at + 1, len(text) + 1) if re.fullmatch(expression, text[at:e])]
+                if ends:
+                    longest.append((at, ends[-1]))
+                at = ends[-1] if ends else at + 1
+            assert scan.spans(0, text.encode()) == longest
