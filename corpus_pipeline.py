@@ -2,6 +2,11 @@
 
 A stage takes the documents that its predecessor kept and gives documents with the same columns; the last gives the packed
 pieces. Near-duplicates are found on five-word shingles with a similarity of 0.8 or more.
+
+What every stage does with odd rows: null, empty and very long texts are documents like others, and are kept unless they are
+toxic, near copies or leaks; null ids, languages and sources are values like others; of rows that are the same in id and text the
+near-duplicate stage keeps one, and ties go by the smallest id; an empty table gives an empty one; columns beside those of
+documents are left behind. Without labels nothing is toxic, without benchmark items nothing leaks.
 """
 
 from __future__ import annotations
@@ -37,10 +42,11 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, the one with the smallest id; of repeated rows one."""
     found = near_duplicates(docs, shingle_words=5, similarity=0.8)
-    gone = found.where(~F.col("kept")).select(F.xxhash64("doc_id", "text_hash").alias("_key")).distinct()
-    # rows with one id and one text are one document
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.xxhash64("text")))
-    return keyed.join(gone, "_key", "left_anti").dropDuplicates(["_key"]).select(*COLUMNS)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    # rows with one id and one text are one document; two hashes, as one of 64 bits is not enough for very many texts
+    keyed = docs.withColumns({"_a": F.xxhash64("text"), "_b": F.xxhash64(F.lit("b"), F.col("text"))})
+    left = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_a") == F.col("_hash")), "left_anti")
+    return left.dropDuplicates(["doc_id", "_a", "_b"]).select(*COLUMNS)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

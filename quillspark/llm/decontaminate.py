@@ -158,25 +158,35 @@ def contained_items(docs: DataFrame, items: DataFrame, shingle_words: int = 5, c
     so there are no ties. Very long texts are searched whole; a task needs some 60 bytes for each word of its longest.
     Other columns are ignored; empty tables give an empty result.
     """
-    items = items.select(F.col(item_id).cast("long").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return _found(rows, items.select(F.col(item_id).cast("long").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text")), shingle_words, containment)
+
+
+def _found(rows: DataFrame, items: DataFrame, shingle_words: int, containment: float) -> DataFrame:
+    """The pairs of ``rows(doc_id, text)`` and ``items(item_id, text)``; ``doc_id`` may be of any type."""
+    kinds = FOUND.replace("doc_id long", f"doc_id {rows.schema['doc_id'].dataType.simpleString()}")
     blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text") / 2)).first()[0] or 0) // BLOCK_SHINGLES))
     found = None
     for k in range(int(blocks)):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(int(blocks))) == k).toArrow().combine_chunks()
         held = Items(block["item_id"].to_pylist(), block["text"], shingle_words)
-        part = rows.mapInArrow(_search(held, shingle_words, round(100 * containment)), FOUND)
+        part = rows.mapInArrow(_search(held, shingle_words, round(100 * containment)), kinds)
         if blocks > 1:
             part = saved(part, "found-items")  # one block after another: the plan never holds more than one
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows whose id holds a test item; see :func:`contained_items`. Rows with a null id all stay.
+def decontaminate(docs: DataFrame, items: DataFrame, shingle_words: int = 5, containment: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows that hold a test item ``(item_id, text)``; see :func:`contained_items`.
 
-    The found ids are few but grow with the documents, so they are joined by a shuffle unless Spark sees that they are small.
+    A row is known by its id and two hashes of its text, so another row with the same id and a clean text stays; repeated rows
+    go or stay together, and a null id is an id like others. Null and empty texts stay. The found rows are few but grow with the
+    documents, so they are joined by a shuffle unless Spark sees that they are small.
     """
-    doc_id = options.get("doc_id", "doc_id")
-    leaks = contained_items(docs, items, **options).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs[doc_id] == leaks["_leak"], "left_anti")
+    key = F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit("b"), F.col(text)).alias("b"))
+    named = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    leaks = _found(docs.select(key.alias("doc_id"), F.col(text).alias("text")), named, shingle_words, containment).select(F.col("doc_id").alias("_leak")).distinct()
+    leak = leaks["_leak"]
+    same = docs[doc_id].eqNullSafe(leak["id"]) & (F.xxhash64(docs[text]) == leak["a"]) & (F.xxhash64(F.lit("b"), docs[text]) == leak["b"])
+    return docs.join(leaks, same, "left_anti")

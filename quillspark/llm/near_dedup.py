@@ -281,7 +281,7 @@ def link_classes(docs: DataFrame, size: int, percent: int, text: str, doc_id: st
     """The sketch of every row, and ``(node, label)`` for each class of equal sets that shares a key with others."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     sketches = saved(rows.mapInArrow(_sketch(size), "doc_id long, text_hash long, n_shingles long, node long, signature binary"), "sketches")
-    classes = saved(sketches.where("n_shingles > 0").groupBy("node").agg(F.min_by("signature", "doc_id").alias("signature"), F.min(F.struct("doc_id", "text_hash")).alias("first")), "classes")
+    classes = saved(sketches.where("n_shingles > 0").groupBy("node").agg(F.min_by("signature", F.struct("doc_id", "text_hash")).alias("signature"), F.min(F.struct("doc_id", "text_hash")).alias("first")), "classes")
     keys = _shared_keys(classes, hot_bucket)
     nodes = saved(keys.select("node").join(classes, "node"), "shared-nodes")
     wanted = nodes.select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import dropped, saved
 from .words import LOWER, U64, Chunk, find_words, mix, span_hashes, text_chunks
 
 BUCKETS = 1 << 22
@@ -77,7 +78,7 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _matrix(slot: np.ndarray, width: int):
-    """The chosen features of each row of the sample: ``(positive, place list, number list)``."""
+    """The chosen features of each row of the sample: ``(positive, order, place list, number list)``."""
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,7 +86,7 @@ def _matrix(slot: np.ndarray, width: int):
                 row, place, n = counted(chunk, slot, width)
                 cuts = pa.array(np.searchsorted(row, np.arange(chunk.last - chunk.first + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(cuts, pa.array(x.astype(np.int32))) for x in (place, n)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[chunk.first : chunk.last], *lists], ["positive", "places", "numbers"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k)[chunk.first : chunk.last] for k in (0, 2)), *lists], ["positive", "order", "places", "numbers"])
 
     return rows_of
 
@@ -98,6 +99,27 @@ def _merged(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.vstack((x[some], np.zeros((1, x.shape[1]), dtype=x.dtype))), share
 
 
+def _loss(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(np.clip(z, -50, 50)))  # the sigmoid loss: a few wild rows can't outweigh the rest
+
+
+def _risk(zp: np.ndarray, zu: np.ndarray, share_p, share_u, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Both parts of the risk, and the way down by each row's result; ``share``: what part of its sample a row stands for."""
+    slope = lambda z: _loss(z) * (_loss(z) - 1)
+    plus = prior * (_loss(zp) * share_p).sum()
+    minus = (_loss(-zu) * share_u).sum() - prior * (_loss(-zp) * share_p).sum()
+    # derivatives of each part by z
+    dp, du, dn = prior * slope(zp) * share_p, -slope(-zu) * share_u, prior * slope(-zp) * share_p
+    return (plus, minus, -dn, -du) if minus < 0 else (plus, minus, dp + dn, du)
+
+
+def risk(x: np.ndarray, positive: np.ndarray, prior: float, w: np.ndarray, b: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """``prior * R_p+`` and ``R_u- - prior * R_p-`` of a linear classifier, and the derivatives by the results of positive and of
+    unlabelled rows: of the sum of both, or against the second alone where it is under zero."""
+    z, n = x @ w + b, int(positive.sum())
+    return _risk(z[positive], z[~positive], 1 / n, 1 / (len(x) - n), prior)
+
+
 def fit(x: np.ndarray, positive: np.ndarray, prior: float, seed: int, steps: int = 200, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear classifier under the non-negative risk ``prior * R_p+ + max(0, R_u- - prior * R_p-)``.
 
@@ -107,17 +129,8 @@ def fit(x: np.ndarray, positive: np.ndarray, prior: float, seed: int, steps: int
     w, b = rng.normal(0, 0.01, x.shape[1]).astype(np.float32), np.log(prior / (1 - prior))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     (xp, share_p), (xu, share_u) = _merged(x[positive]), _merged(x[~positive])
-    loss = lambda z: 1 / (1 + np.exp(np.clip(z, -50, 50)))  # noqa: E731  the sigmoid loss: a few wild rows can't outweigh the rest
-    slope = lambda z: loss(z) * (loss(z) - 1)
     for t in range(1, steps + 1):
-        zp, zu = xp @ w + b, xu @ w + b
-        negative = (loss(-zu) * share_u).sum() - prior * (loss(-zp) * share_p).sum()
-        # derivatives of each part by z
-        dp, du, dn = prior * slope(zp) * share_p, -slope(-zu) * share_u, prior * slope(-zp) * share_p
-        if negative < 0:
-            dp, du = -dn, -du
-        else:
-            dp = dp + dn
+        _, _, dp, du = _risk(xp @ w + b, xu @ w + b, share_p, share_u, prior)
         g = np.append(xp.T @ dp.astype(np.float32) + xu.T @ du.astype(np.float32) + decay * w, dp.sum() + du.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -129,17 +142,19 @@ def train(docs: DataFrame, labels: DataFrame, learnable, positives: int = 4000,
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); ``learnable``: which ids it may learn from.
 
     ``positives`` and ``unlabelled`` bound the samples, taken in the order of a hash of the id, and ``width`` the number of
-    features. None if no row is labelled toxic or none is labelled otherwise.
+    features. Each id is in a sample once: of its rows the one with the smallest hash of its text stands for it, and an id
+    that is labelled both ways counts as toxic. None if no row is labelled toxic or none is labelled otherwise.
     """
-    labels = labels.where(learnable(F.col("doc_id")) & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    labels = labels.where(learnable(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n, n_toxic = labels.agg(F.count("*"), F.sum("toxic")).first()
     if not n_toxic or n_toxic == n:
         return None
     order = F.xxhash64("doc_id")
     toxic = labels.where("toxic = 1").select("doc_id").orderBy(order).limit(positives).withColumn("positive", F.lit(True))
-    some = docs.where(learnable(F.col("doc_id"))).select("doc_id").orderBy(order).limit(unlabelled).withColumn("positive", F.lit(False))
+    some = docs.where(learnable(F.col("doc_id"))).select("doc_id").distinct().orderBy(order).limit(unlabelled).withColumn("positive", F.lit(False))
     ids = toxic.unionByName(some)  # the unlabelled texts are as the corpus is, so a positive may be among them, too
-    sample = docs.join(F.broadcast(ids), "doc_id").select("positive", "text")  # at most positives + unlabelled ids
+    rows = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "positive").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    sample = saved(rows.select("positive", "text", order.alias("order")), "toxicity-sample")  # at most positives + unlabelled rows
 
     spread = sample.mapInArrow(_spread, "bucket long, in_positive long, in_unlabelled long").groupBy("bucket").agg(F.sum("in_positive").alias("p"), F.sum("in_unlabelled").alias("u"))
     sizes = {r.positive: r["count"] for r in ids.groupBy("positive").count().collect()}
@@ -154,14 +169,15 @@ def train(docs: DataFrame, labels: DataFrame, learnable, positives: int = 4000,
         return None
     slot = np.full(BUCKETS, -1, dtype=np.int16)
     slot[chosen] = np.arange(len(chosen))
-    rows = sample.mapInArrow(_matrix(slot, len(chosen)), "positive boolean, places array<int>, numbers array<int>").toArrow()
-    x = np.zeros((rows.num_rows, len(chosen)), dtype=np.float32)
-    places, numbers = rows["places"].combine_chunks(), rows["numbers"].combine_chunks()
+    found = sample.mapInArrow(_matrix(slot, len(chosen)), "positive boolean, order long, places array<int>, numbers array<int>").orderBy("positive", "order").toArrow()
+    x = np.zeros((found.num_rows, len(chosen)), dtype=np.float32)
+    places, numbers = found["places"].combine_chunks(), found["numbers"].combine_chunks()
     if isinstance(places, pa.ChunkedArray):  # a table without rows
         return None
-    x[np.repeat(np.arange(rows.num_rows), places.value_lengths().to_numpy()), places.flatten().to_numpy()] = np.log1p(numbers.flatten().to_numpy())
-    positive = rows["positive"].to_numpy()
-    del rows, places, numbers
+    x[np.repeat(np.arange(found.num_rows), places.value_lengths().to_numpy()), places.flatten().to_numpy()] = np.log1p(numbers.flatten().to_numpy())
+    positive = found["positive"].to_numpy()
+    del found, places, numbers
+    dropped(sample)
     if positive.all() or not positive.any():
         return None
     fitted = []

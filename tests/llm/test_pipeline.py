@@ -1,4 +1,5 @@
-from conftest import FIELDS, sentence
+import pytest
+from conftest import FIELDS, ODD, documents, sentence
 
 import corpus_pipeline
 from quillspark.llm import queries
@@ -48,5 +49,39 @@ def test_each_stage_does_its_part(spark, rng, monkeypatch):
 
 
 def test_all_operators_are_registered():
-    assert [name.split("_")[0] for name in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [name.split("_")[0] for name in QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontamination", "packing"]
+
+
+def use(monkeypatch, frames):
+    for module in (queries, corpus_pipeline):
+        monkeypatch.setattr(module, "table", lambda _s, _d, name: frames[name])
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_each_stage_takes_odd_rows_and_empty_tables(spark, rng, monkeypatch, stage):
+    frames = build(spark, rng)
+    use(monkeypatch, frames)
+    run = corpus_pipeline.STAGES[stage][1]
+    long = [(5000, " ".join(sentence(rng, 20) for _ in range(3000))), (5001, "word\n" * 30_000)]
+    docs = documents(spark, [*ODD, *ODD, *long], "score _key _a label")
+    nowhere = docs.selectExpr("doc_id", "text", "CAST(NULL AS string) AS lang", "CAST(NULL AS string) AS source", "CAST(NULL AS long) AS n_chars")
+    ids = {r.doc_id for r in nowhere.collect()}
+    for given in (docs, nowhere):
+        out = run(spark, given, "").collect()
+        assert {r.doc_id for r in out} == ids and len(out) >= len(ids)
+    assert run(spark, docs.limit(0), "").collect() == []
+    for name in ("labels", "benchmark"):
+        use(monkeypatch, frames | {name: frames[name].limit(0)})
+        assert {r.doc_id for r in run(spark, docs, "").collect()} == ids
+
+
+def test_documents_with_one_id_are_told_apart_by_their_texts(spark, rng, monkeypatch):
+    frames = build(spark, rng)
+    item = frames["benchmark"].first().text
+    same = [(1, f"{sentence(rng, 40)} {item} {sentence(rng, 40)}"), (1, sentence(rng, 60)), (1, sentence(rng, 60)), (None, f"a {item}"), (None, "clean")]
+    use(monkeypatch, frames)
+    docs = documents(spark, same + same[1:2])
+    left = corpus_pipeline.drop_benchmark_leaks(spark, docs, "")
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == sorted([(1, same[1][1])] * 2 + [(1, same[2][1]), (0, "clean")])
+    assert sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, left, "").collect()) == sorted([(1, same[1][1]), (1, same[2][1]), (0, "clean")])
