@@ -212,11 +212,9 @@ def _counts(page: Page) -> list[np.ndarray]:
     return [page.n_words, *(page.number(x) for x in ("word_chars", "symbols", "dup_lines", "repeat_words"))]
 
 
-def order_rules(texts: pa.ChunkedArray) -> list[str]:
-    """Rule names, the most rejections per second first, as measured on those of these texts that reach the rules.
-
-    A rule's cost is what it takes beyond the counts that are made anyway. Ties go to the cheaper rule, then by name.
-    """
+def measure_rules(texts: pa.Array) -> tuple[dict[str, int], dict[str, float]]:
+    """How many of these texts that reach the rules each rule rejects, and the seconds that it takes beyond the counts that are
+    made anyway."""
     spent, rejected = dict.fromkeys(RULES, 0.0), dict.fromkeys(RULES, 0)
     for chunk in text_chunks(texts):
         page = Page.of(chunk)
@@ -228,7 +226,22 @@ def order_rules(texts: pa.ChunkedArray) -> list[str]:
             rejected[name] += int(rejects(page).sum())
             spent[name] += time.perf_counter() - began
             page.known = known
-    return sorted(RULES, key=lambda x: (-rejected[x] / max(spent[x], 1e-9), spent[x], x))
+    return rejected, spent
+
+
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rejected, spent = measure_rules(batch.column(0))
+        yield pa.RecordBatch.from_arrays([pa.array(list(RULES)), pa.array([rejected[x] for x in RULES], pa.int64()), pa.array([spent[x] for x in RULES])], ["rule", "rejected", "spent"])
+
+
+def order_rules(texts: DataFrame) -> list[str]:
+    """Rule names, the most rejections per second first, as the tasks measure them on ``texts(text)``; a row for each rule comes
+    back. Ties go to the cheaper rule, then by name."""
+    sums = texts.mapInArrow(_measured, "rule string, rejected long, spent double").groupBy("rule").agg(F.sum("rejected").alias("rejected"), F.sum("spent").alias("spent"))
+    of = {r.rule: (r.rejected, r.spent) for r in sums.collect()}
+    rank = {x: of.get(x, (0, 0.0)) for x in RULES}
+    return sorted(RULES, key=lambda x: (-rank[x][0] / max(rank[x][1], 1e-9), rank[x][1], x))
 
 
 def _rate(order: list[str]):
@@ -249,12 +262,14 @@ def _rate(order: list[str]):
 def rate_quality(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Counts of each document, whether it fails the base rules, and whether all rules keep it.
 
-    The cascade's order comes from ``sample_rows`` rows; all rules and counts read whole texts. A null or empty text has no
+    The cascade's order comes from about ``sample_rows`` rows, chosen over the whole table by a hash of id and text and measured
+    where they are; it changes the time only. All rules and counts read whole texts. A null or empty text has no
     words and fails the base rules. Repeated rows are rated alike, whatever their ids, which may be null; ties between rules
     change the order only. Very long texts are rated whole; a task needs some 30 bytes for each byte of its longest. Other
     columns are ignored; an empty table gives none.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    order = order_rules(rows.select("text").limit(sample_rows).toArrow()["text"])  # reads the first partitions only
+    one_in = max(1, rows.count() // sample_rows)
+    order = order_rules(rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(one_in)) == 0).select("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_rate(order), f"doc_id {kind}, {METRICS}, base_failed boolean, kept boolean")
