@@ -1,9 +1,10 @@
 """The main text of web pages: structure where it speaks, and suffix arrays over each site's pages where it is silent.
 
 A page is cut into blocks. Tags and attributes settle many of them: what stands in an article or main element is text,
-what stands in menus, headers, footers, sidebars, notices, adverts, forms or comments isn't. On sites that have other
-blocks, too, the pages' token streams are concatenated, a suffix array finds long runs of tokens that recur on distinct
-pages, and the open blocks that such runs cover are dropped; unique runs stay, beside an article as well.
+what stands in menus, headers, footers, sidebars, notices, adverts, forms or comments isn't. A class or id settles a part only
+if it says nothing else; one that merely has such a word in it nominates the part, within an article as well. On sites that
+have nominated or other blocks, too, the pages' token streams are concatenated, a suffix array finds long runs of tokens that
+recur on distinct pages, and the blocks that such runs cover are dropped; unique runs stay, wherever they are.
 
 Sites are dealt into cells of a bounded number of pages, and tasks build their arrays over some cells at a time. A site with
 more pages than a cell holds has them in several cells; its cells first tell the runs they have, and runs that are on
@@ -26,6 +27,8 @@ from .storage import saved
 from .words import LOWER, U64, find_words, mix, span_hashes
 
 TEXT, OPEN, CHROME = 1, 0, -1
+#: What an element may say besides: its blocks are for the runs to judge; an article that is text unless the page has another.
+NOMINATED, OTHER = 2, 3
 #: Tokens of a run that counts as long, and distinct pages that it must be on.
 LONG, PAGES = 8, 2
 #: Share of an open block's tokens that long runs must cover for it to go.
@@ -59,6 +62,8 @@ _CHROME_WORDS = frozenset(
 _CHROME_UNLESS_TEXT = frozenset(("header", "tags", "banner", "alert"))
 _OTHER_ARTICLES = frozenset("comment comments reply replies ad ads advert promo sponsored related teaser".split())
 _LAYOUT = frozenset("has with without no not wrap wrapper layout container open closed enabled".split())
+#: Words beside which a word of the list above still means the part itself, as in ``siteFooter`` or ``comment-list``.
+_NEUTRAL = frozenset("site page post posts article articles main list link links box block section area unit slot bar top bottom left right global primary secondary inner outer group button buttons icon icons".split())
 _TEXT_WORDS = frozenset("article content entry main post story text body".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -66,13 +71,14 @@ _SPACE = re.compile(r"\s+")
 _PARTS = re.compile(r"[^a-z]+")
 
 
-def _names_chrome(name: str) -> bool:
-    """Whether one class or id, like ``article-comments`` or ``siteFooter``, names a part without main text."""
-    words = set(_PARTS.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
-    if words & _LAYOUT:
-        return False
+def _names_chrome(name: str) -> int:
+    """Whether one class or id names a part without main text: CHROME for one like ``article-comments`` or ``siteFooter``, which
+    says no more; NOMINATED for one like ``notice-board``, which may be about something else; else OPEN."""
+    words = set(_PARTS.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())) - {""}
     chrome = words & _CHROME_WORDS
-    return bool(chrome - _CHROME_UNLESS_TEXT or chrome and not words & _TEXT_WORDS)
+    if not chrome or words & _LAYOUT or chrome <= _CHROME_UNLESS_TEXT and words & _TEXT_WORDS:
+        return OPEN
+    return NOMINATED if words - chrome - _NEUTRAL else CHROME
 
 
 def _standing(tag: str, attributes: str, inside_article: bool) -> int:
@@ -85,19 +91,24 @@ def _standing(tag: str, attributes: str, inside_article: bool) -> int:
     found = {k: v.lower() for k, v in named.items()}
     if found.get("role") in _CHROME_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
         return CHROME
+    names = f"{named.get('class', '')} {named.get('id', '')}".split()
     if tag in ("article", "main"):  # comments and teasers can be articles, too
-        return CHROME if tag == "article" and _OTHER_ARTICLES & set(_PARTS.split(f"{found.get('class', '')} {found.get('id', '')}")) else TEXT
-    if tag not in ("body", "html") and any(map(_names_chrome, f"{named.get('class', '')} {named.get('id', '')}".split())):
+        other = tag == "article" and any(_names_chrome(x) == CHROME and _OTHER_ARTICLES & set(_PARTS.split(x.lower())) for x in names)
+        return TEXT if not other else CHROME if inside_article else OTHER
+    said = set(map(_names_chrome, names)) if tag not in ("body", "html") else set()
+    if CHROME in said:
         return CHROME
-    return TEXT if found.get("role") in ("main", "article") or found.get("itemprop") == "articlebody" else OPEN
+    if found.get("role") in ("main", "article") or found.get("itemprop") == "articlebody":
+        return TEXT
+    return NOMINATED if NOMINATED in said else OPEN
 
 
 def blocks_of(html: str) -> list[tuple[int, str]]:
     """(standing, text) of the page's blocks that have text, in page order."""
     out: list[tuple[int, str]] = []
     parts: list[str] = []
-    stack: list[tuple[str, int]] = []  # open elements and what holds in them
-    standing, at = OPEN, 0
+    stack: list[tuple[str, int, bool]] = []  # open elements, what holds in them, and whether they are within an article
+    standing, within, at = OPEN, False, 0
 
     def flush() -> None:
         if parts:
@@ -127,19 +138,21 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
                     del stack[k:]
                     break
         elif tag not in _VOID and not attributes.endswith("/"):
-            own = standing if standing == CHROME else _standing(tag, attributes, standing == TEXT) or standing
+            said = OPEN if standing == CHROME else _standing(tag, attributes, within)
+            own = OPEN if said == NOMINATED else said or standing
             if tag == "p" and stack and stack[-1][0] == "p":
                 stack.pop()  # a paragraph ends the one before
             if own != standing and tag not in _BLOCK:
                 flush()
-            stack.append((tag, own))
-        now = stack[-1][1] if stack else OPEN
+            stack.append((tag, own, within or said in (TEXT, OTHER)))
+        now, within = stack[-1][1:] if stack else (OPEN, False)
         if now != standing:
             flush()
             standing = now
     parts.append(html[at:])
     flush()
-    return out
+    other = CHROME if any(x == TEXT for x, _ in out) else TEXT
+    return [(other if x == OTHER else x, text) for x, text in out]
 
 
 def _after_element(html: str, at: int, tag: str) -> int:

@@ -73,7 +73,8 @@ def test_names_of_parts():
 
     chrome = "ad sidebar article-comments mainNav siteFooter cookie-notice page-header post-share skip-link adBox comment-list related"
     text = "content has-sidebar article-header entry-content layout-with-nav main read adage headline post-tags story story-body navyblue"
-    assert [x for x in chrome.split() if not _names_chrome(x)] == [] and [x for x in text.split() if _names_chrome(x)] == []
+    assert [x for x in chrome.split() if _names_chrome(x) != -1] == [] and [x for x in text.split() if _names_chrome(x)] == []
+    assert {_names_chrome(x) for x in "related-work skip-lists toc-entry notice-board article-widget-free post-ad-tech adTech1".split()} == {2}
 
 
 def test_blocks_beside_an_article(spark):
@@ -113,3 +114,21 @@ def test_a_page_without_an_article(spark):
     html = """<body class="home with-ads"><div id="hd">Paper</div><ul class="main-menu"><li>A</li></ul><div class="content has-sidebar"><h1>Head</h1><p>Text of it.</p>
     <div class="comment-list">Nice!</div></div><div role="alert">Notice</div></body>"""
     assert texts(main_texts(pages(spark, [(1, "http://a.com", html)]))) == {1: "Paper Head Text of it."}
+
+
+def test_words_in_names_only_nominate(spark):
+    body = "All of this text belongs to page {0} a{0} b{0} c{0} d{0} e{0}"
+    shapes = [
+        '<article class="post has-comments"><p>{}</p></article>', '<article id="post-ad-tech" class="post">{}</article>', '<main><div class="article-widget-free notice-board">{}</div></main>',
+        '<article><section id="related-work"><p>{}</p></section></article>', '<main><section class="skip-lists">{}</section></main>', '<article><div class="toc-entry">{}</div></article>',
+        '<article class="comment">{}</article>', '<div class="content"><div class="notice-board"><header><h1>{}</h1></header></div></div>'.replace("<header>", "<section>").replace("</header>", "</section>"),
+    ]
+    rows = [(i, f"http://a.com/{i}", "<body><nav>Menu</nav>" + shape.format(body.format(i)) + "<footer>foot</footer>") for i, shape in enumerate(shapes)]
+    assert texts(main_texts(pages(spark, rows))) == {i: body.format(i) for i in range(len(shapes))}
+
+
+def test_runs_judge_what_is_nominated(spark):
+    board = "This board says the same long thing on all pages of it"
+    rows = [(i, f"http://a.com/{i}", f'<article><p>Text {i}.</p><div class="notice-board"><p>{board}</p><header>Own words {i} of a nominated part x{i}</header></div><article class="comment">Nice {i}</article></article>') for i in range(3)]
+    rows += [(9, "http://a.com/9", '<main>Main</main><article class="comment">Nice one</article><div class="comments"><article class="post">No</article></div>')]
+    assert texts(main_texts(pages(spark, rows))) == {i: f"Text {i}. Own words {i} of a nominated part x{i}" for i in range(3)} | {9: "Main"}
