@@ -168,3 +168,8 @@ def tail_truncate(measured: DataFrame, budget: int) -> DataFrame:
     newest = Window.partitionBy("context_id").orderBy(F.col("pos").desc())
     out = measured.withColumn("_used", F.sum("token_count").over(newest)).withColumn("_n", F.row_number().over(newest))
     return out.where((F.col("_used") <= budget) | (F.col("_n") == 1)).drop("_used", "_n")
+
+
+def write_pruned(items: DataFrame, path: str) -> None:
+    """Writes contexts as they are to be read next, a JSON line for each item, sorted by context and place within each file."""
+    items.repartition("context_id").sortWithinPartitions("context_id", "pos").write.mode("overwrite").json(path)

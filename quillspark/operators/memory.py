@@ -132,3 +132,43 @@ def latest(log: DataFrame, key: tuple[str, ...], order: tuple[str, ...]) -> Data
     """The last row of each key: what an upsert leaves."""
     last = F.row_number().over(Window.partitionBy(*key).orderBy(*[F.col(c).desc() for c in order]))
     return log.withColumn("_n", last).where("_n = 1").drop("_n")
+
+
+#: What a snapshot knows besides records: a row for each number.
+SNAPSHOT_META = "label string, task string, commit string, taken_at timestamp, snapshot int"
+
+
+def take_snapshot(log: DataFrame, root: str, schema: str, label: str = "", task_: DataFrame | None = None, commit: str | None = None) -> int:
+    """Writes the log's state, the task as JSON and the commit id of the code under the next number, which is returned.
+
+    Records are written first and the snapshot's own row last: a snapshot without that row was cut off, and is not listed.
+    """
+    spark = log.sparkSession
+    number = next_number(task(spark, f"{root}/meta", SNAPSHOT_META))
+    snapshot(log, number).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot").json(f"{root}/records")
+    one = spark.range(1).select(F.lit(label).alias("label"), F.lit(commit).cast("string").alias("commit"), F.current_timestamp().alias("taken_at"), F.lit(number).alias("snapshot"))
+    told = F.lit(None).cast("string").alias("task")
+    meta = one.select("*", told) if task_ is None else one.join(task_.limit(1).select(F.to_json(F.struct("*")).alias("task")), how="left")
+    meta.write.mode("append").partitionBy("snapshot").json(f"{root}/meta")
+    return number
+
+
+def taken_snapshots(spark: SparkSession, root: str) -> DataFrame:
+    """``label, task, commit, taken_at, snapshot`` of all snapshots, the oldest first."""
+    return task(spark, f"{root}/meta", SNAPSHOT_META).orderBy("snapshot")
+
+
+def restore_snapshot(number: int, root: str, schema: str, log_path: str, task_path: str) -> bool:
+    """Appends the snapshot's records whose ids the log lacks, and sets its task if it has one. Again it appends nothing.
+
+    Whether there is such a snapshot.
+    """
+    spark = SparkSession.getActiveSession()
+    meta = taken_snapshots(spark, root).where(F.col("snapshot") == number).collect()  # one row at most
+    if not meta:
+        return False
+    records = task(spark, f"{root}/records", f"{schema}, snapshot int").where(F.col("snapshot") == number).drop("snapshot")
+    append(restore(task(spark, log_path, schema), records), log_path)
+    if meta[0].task is not None:
+        spark.createDataFrame([(meta[0].task,)], "value string").write.mode("overwrite").text(task_path)  # it is JSON already
+    return True

@@ -121,17 +121,22 @@ def fuse(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
     return numbered(fused, score="fused")
 
 
-def score_items(items: DataFrame, task: str) -> DataFrame:
+def score_items(items: DataFrame, task: str | DataFrame) -> DataFrame:
     """``context_id, pos, score`` of the items of each context by BM25 for a task; each context is a corpus of its own.
 
-    Items without a term of the task have no row. An empty task scores nothing.
+    ``task`` is one text for all contexts, or ``(context_id, task)``. Items without a term of the task have no row. An empty task
+    scores nothing.
     """
-    asked = items.sparkSession.createDataFrame([(task,)], "task string").select(F.explode(terms(F.col("task"))).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
     counted = items.select("context_id", "pos", terms(F.col("content")).alias("t"))
     totals = counted.groupBy("context_id").agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean_length"))
     words = counted.select("context_id", "pos", F.size("t").alias("length"), F.explode("t").alias("term"))
-    # the terms of one task: a stated, short list
-    tf = words.join(F.broadcast(asked), "term").groupBy("context_id", "pos", "length", "term", "times").agg(F.count("*").alias("tf"))
+    if isinstance(task, str):
+        asked = items.sparkSession.createDataFrame([(task,)], "task string").select(F.explode(terms(F.col("task"))).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
+        asked_words = words.join(F.broadcast(asked), "term")  # the terms of one task: a stated, short list
+    else:
+        asked = task.select("context_id", F.explode(terms(F.col("task"))).alias("term")).groupBy("context_id", "term").agg(F.count("*").alias("times"))
+        asked_words = words.join(asked, ["context_id", "term"])
+    tf = asked_words.groupBy("context_id", "pos", "length", "term", "times").agg(F.count("*").alias("tf"))
     df = tf.groupBy("context_id", "term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
@@ -139,6 +144,32 @@ def score_items(items: DataFrame, task: str) -> DataFrame:
     return scored.where("score > 0")
 
 
+def hybrid(query: DataFrame, docs: DataFrame) -> DataFrame:
+    """``doc_id, fused, method, mode, degraded_reason`` for the one row of ``query(query, vector)`` over ``docs(doc_id, text, vector)``.
+
+    Ranks by words and by vectors are fused. Where vectors can't be ranked the mode is ``lexical_only``, with the reason: no
+    column of vectors on either side, no vector for the query, or none of the documents that is as long as the query's. Some
+    documents without a vector have their rank by words alone. No rows: nothing matched at all.
+    """
+    one = query.limit(1)
+    lexical = bm25(one.select(F.lit(0).alias("query_id"), "query"), docs.select("doc_id", "text"))
+    reason = None
+    usable = docs.where("false").select("doc_id", F.lit(None).cast("array<double>").alias("vector"))
+    if "vector" not in query.columns or "vector" not in docs.columns:
+        reason = "no vectors given"
+    else:
+        width = one.agg(F.max(F.size("vector"))).first()[0] or 0
+        if width <= 0:
+            reason = "the query has no vector"
+        else:
+            usable = docs.where(F.size("vector") == width).select("doc_id", "vector")
+            if usable.isEmpty():
+                reason = "no document has a usable vector"
+    semantic = usable.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")) if reason else vector_rank(one.select("vector"), usable)
+    fused = fuse(lexical.select("doc_id", "score", "rank"), semantic)
+    return fused.select("doc_id", "fused", "method", F.lit("lexical_only" if reason else "hybrid").alias("mode"), F.lit(reason).cast("string").alias("degraded_reason"))
+
+
 def resemblances(texts: DataFrame, statements: DataFrame, threshold: float = 0.15, most: float = 0.85) -> DataFrame:
     """``query_id, doc_id, similarity, confidence`` of texts ``(query_id, query)`` and the statements ``(doc_id, text)`` that they resemble.
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import TOKEN_METHOD, content_hash, estimate_tokens, normalised, tokens_of
+from ..functions.text import TOKEN_METHOD, content_hash, estimate_tokens, normalised, terms, tokens_of
 from .memory import first_fit
+from .ranking import score_items
 
 # Results must agree with them.
 BUDGET_SHARE = 0.15
@@ -187,3 +188,26 @@ def token_footer(handoffs_: DataFrame) -> Column:
     """The line below a handoff: its tokens, and what was dropped to fit."""
     count = F.concat(F.lit("["), F.format_number("tokens", 0), F.lit(" tokens, "), "token_method", F.lit("]"))
     return F.concat(count, F.when(F.size("dropped") > 0, F.concat(F.lit("\n[dropped to fit budget: "), F.array_join("dropped", ", "), F.lit("]"))).otherwise(""))
+
+
+def recall_for(offered: DataFrame, tasks: DataFrame, triggers: DataFrame, budget: int) -> DataFrame:
+    """:func:`recall` with ranking inside: ``tasks(context_id, task)`` order each context's candidates by BM25, and candidates
+    without a word of the task come last instead of never. Adds ``unranked``, how many those are, where memory is pushed, and
+    ``degraded_reason``: why the order says less than it could (no task, or unranked candidates)."""
+    scores = score_items(offered, tasks)
+    out = recall(offered, scores, triggers, budget)
+    stated = tasks.select("context_id", (F.size(terms(F.col("task"))) > 0).alias("_stated"))
+    ranked = scores.groupBy("context_id").agg(F.count("*").alias("_ranked"))
+    out = out.join(ranked, "context_id", "left").join(stated, "context_id", "left")
+    pushed = ~F.col("reason").isin("none", "no context")
+    unranked = F.col("on_file") - F.coalesce("_ranked", F.lit(0))
+    why = F.when(pushed & ~F.coalesce("_stated", F.lit(False)), "no task: candidates are in the order of the records").when(pushed & (unranked > 0), F.concat(unranked.cast("string"), F.lit(" candidate(s) share no word with the task and come last")))
+    return out.select("context_id", "reason", "on_file", "surfaced", "withheld", F.when(pushed, unranked).otherwise(0).alias("unranked"), why.alias("degraded_reason"))
+
+
+def recall_lines(offered: DataFrame, scores: DataFrame, triggers: DataFrame, budget: int, shown: int = 160) -> DataFrame:
+    """``context_id, place, line``: what is pushed, in the order of its rank, each as one line of at most ``shown`` characters."""
+    due = offered.join(triggers.where("reason <> 'none'").select("context_id"), "context_id", "left_semi")
+    taken = select(due, scores, budget).join(scores, ["context_id", "pos"], "left")
+    place = F.row_number().over(Window.partitionBy("context_id").orderBy(F.desc_nulls_last("score"), "pos"))
+    return taken.select("context_id", place.cast("long").alias("place"), F.concat(F.lit("  - "), F.substring(normalised(F.col("content")), 1, shown)).alias("line"))

@@ -206,13 +206,12 @@ def statement_resurfacing(spark, sf_dir):
     return found.select("query_id", F.col("doc_id").alias("item_id"), F.round("similarity", 6).alias("similarity"), "confidence")
 
 
-@query(f"""WITH {S.bm25("SELECT item_id AS query_id, text AS query FROM benchmark", "SELECT doc_id, text FROM documents WHERE source IN (SELECT min(source) FROM documents)")},
+@query(f"""WITH {S.bm25("SELECT item_id AS query_id, text AS query FROM benchmark", "SELECT doc_id, text FROM documents")},
 own AS (SELECT query_id, sum(times * ln(4.0 / 3) * times * 2.5 / (times + 1.5)) AS self_score FROM asked GROUP BY 1)
 SELECT query_id AS item_id, doc_id, round(least(score / self_score, 0.85), 2) AS confidence FROM ranked JOIN own USING (query_id) WHERE score / self_score >= 0.15""")
 def hard_constraint_check(spark, sf_dir):
-    """Texts that resemble a hard constraint; the statements of the first source stand for hard ones."""
-    documents = A.table(spark, sf_dir, "documents")
-    hard = documents.join(F.broadcast(documents.agg(F.min("source").alias("source"))), "source", "left_semi").select("doc_id", "text")  # one row
+    """Texts that resemble a hard constraint; all documents stand for hard ones."""
+    hard = A.table(spark, sf_dir, "documents").select("doc_id", "text")
     asked = A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return ranking.resemblances(asked, hard).select(F.col("query_id").alias("item_id"), "doc_id", "confidence")
 
@@ -927,4 +926,4 @@ def context_pipeline_ranked(spark, sf_dir):
     return context.run(items, scores, BUDGET // 2).select("context_id", "pos")
 
 
-from . import code  # noqa: E402, F401  its queries register themselves here
+from . import code, state  # noqa: E402, F401  their queries register themselves here
