@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,18 +16,18 @@ from ..storage import saved
 K1, B, RRF_K = 1.5, 0.75, 60
 
 
-def numbered(scored: DataFrame, by: tuple[str, ...] = (), score: str = "score", tie: str = "doc_id", buckets: int = 64) -> DataFrame:
+def numbered(scored: DataFrame, by: tuple[str, ...] = (), score: str = "score", tie: str = "doc_id") -> DataFrame:
     """Adds ``rank``, from 1 for the highest score, within ``by``; ties go by ``tie``.
 
-    Rows are dealt into buckets of scores at approximate quantiles; only the buckets' sizes are summed up in one place, and
-    windows number the rows of a bucket.
+    One sort by range deals the rows out, equal scores by their tie as well, and numbers them as they lie; only how many rows of
+    each group a partition has is summed up.
     """
-    cuts = scored.agg(F.percentile_approx(score, [i / buckets for i in range(1, buckets)], 10_000).alias("_cuts"))
-    dealt = scored.join(F.broadcast(cuts)).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c > F.col(score)))).drop("_cuts")
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = dealt.groupBy(*by, "_bucket").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = Window.partitionBy(*by, "_bucket").orderBy(F.desc(score), tie)
-    return dealt.join(sizes, [*by, "_bucket"]).withColumn("rank", F.col("_before") + F.row_number().over(inside)).drop("_bucket", "_before")
+    order = [*map(F.col, by), F.desc(score), F.asc(tie)]
+    ordered = saved(scored.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ordered.groupBy(*by, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return ordered.join(sizes, [*by, "_part"]).withColumn("rank", F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_part", "_at", "_first", "_before")
 
 
 def bm25(queries: DataFrame, docs: DataFrame) -> DataFrame:
@@ -66,50 +65,165 @@ def vector_rank(query: DataFrame, vectors: DataFrame) -> DataFrame:
     return numbered(scored.withColumn("_order", F.round("score", 9)), score="_order").drop("_order")
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
+#: Cells of an index of vectors at most, sampled vectors for each when their centres are fitted, and vectors that a task compares at once.
+MOST_CELLS, CELL_SAMPLE, CELL_ROWS, QUERY_ROWS = 1024, 16, 1 << 15, 256
+
+
+def vector_search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """``query_id, doc_id, score, rank``: the ``k`` rows of ``vectors(doc_id, vector)`` nearest to each of ``queries(query_id, vector)``.
 
-    Queries go to the tasks in blocks of about ``block``; a task holds ``k`` rows for each query of a block, and those of all
-    tasks meet for the last choice. Scores are cosines, 0 for zero vectors; to nine places they are ties, which go by id.
-    Vectors of another length than the queries' are left out, as are nulls.
+    Exact, with two passes over the vectors however many queries there are. Centres are fitted to a sample (MOST_CELLS *
+    CELL_SAMPLE vectors at most), and every vector belongs to the cell of its nearest centre. A first pass compares each query
+    with the cells nearest to it that hold ``k`` vectors or more; a second with each further cell whose nearest point, by the
+    angle to its centre and the cell's widest angle, could still reach the k-th best. Large cells are cut into parts, so that
+    equal vectors spread over tasks. Scores are cosines, 0 for zero vectors; to nine places they are ties, which go by id.
+    Vectors of another length than the first query's are left out, as are nulls.
     """
     asked = queries.where("vector IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
     rows = vectors.where("vector IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("vector").cast("array<double>").alias("vector"))
-    blocks = max(1, -(-asked.count() // block))
-    found = None
-    for b in range(blocks):
-        held = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
-        part = rows.mapInArrow(_nearest(held["query_id"].to_numpy(), held["vector"].to_pylist(), k), "query_id long, doc_id long, score double")
-        found = part if found is None else found.unionByName(part)
+    first = asked.agg(F.min_by(F.size("vector"), "query_id").alias("n")).first()
+    width = first.n or 0
+    asked, rows = asked.where(F.size("vector") == width), rows.where(F.size("vector") == width)
+    found = "query_id long, doc_id long, score double"
+    if not width:
+        return rows.sparkSession.createDataFrame([], f"{found}, rank int")
+    total = rows.count()
+    cells = int(min(MOST_CELLS, max(1, total**0.5)))
+    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total // (cells * CELL_SAMPLE)))) == 0).select("vector").limit(cells * CELL_SAMPLE).toArrow()
+    centres = _centres(_unit(_matrix(sample["vector"], width)), cells)
+
+    index = saved(rows.mapInArrow(_to_cells(centres), "cell int, angle double, doc_id long, vector array<double>"), "cells")
+    sizes = np.zeros((len(centres), 2))
+    for r in index.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("wide")).collect():  # a row for each cell
+        sizes[r.cell] = r.n, r.wide
+    parts = np.maximum(1, np.ceil(sizes[:, 0] / CELL_ROWS)).astype(np.int64)
+    cut = F.pmod(F.xxhash64("doc_id"), F.element_at(F.array(*map(F.lit, parts.tolist())), F.col("cell") + 1))
+    none = F.lit(None)
+    stored = index.select("cell", cut.cast("int").alias("part"), F.lit(0).alias("query"), F.col("doc_id").alias("id"), "vector")
+
+    def compared(wanted: DataFrame) -> DataFrame:
+        met = stored.unionByName(wanted).repartition("cell", "part").sortWithinPartitions("cell", "part", "query", "id")
+        return met.mapInArrow(_compare(k, width), found)
+
+    probe = "cell int, part int, query int, id long, vector array<double>"
+    near = saved(compared(asked.withColumn("least", none.cast("double")).mapInArrow(_probes(centres, sizes, parts, k), probe)), "nearest")
     order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).groupBy("query_id").agg(F.min("score").alias("least"))
+    far = compared(asked.join(best, "query_id").select("query_id", "vector", "least").mapInArrow(_probes(centres, sizes, parts, k), probe))
+    return near.unionByName(far).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _matrix(lists: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    flat = lists.flatten() if len(lists) else pa.array([], pa.float64())
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return m / np.where(n == 0, 1, n)
+
+
+def _centres(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
+    """Unit vectors that sampled unit vectors gather around; any centres give right results, good ones give small cells."""
+    sample = np.unique(sample[sample.any(axis=1)], axis=0)
+    if not len(sample):
+        return np.eye(1, sample.shape[1])
+    centres = sample[np.random.default_rng(5).permutation(len(sample))[:cells]]
+    for _ in range(rounds):
+        nearest = (sample @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, nearest, sample)
+        centres = np.where(sums.any(axis=1, keepdims=True), _unit(sums), centres)
+    return centres
 
 
-def _nearest(ids: np.ndarray, vectors: list, k: int):
-    width = len(vectors[0]) if vectors else 0
-    unit = lambda m: m / np.where((n := np.sqrt((m * m).sum(axis=1, keepdims=True))) == 0, 1, n)
-    asked = unit(np.array([v for v in vectors if len(v) == width]).reshape(-1, width))
-    ids = ids[[len(v) == width for v in vectors]]
+def _angles(a: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(a @ centres.T, -1, 1))
 
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [(np.zeros(0), np.zeros(0, dtype=np.int64))] * len(ids)
+
+def _to_cells(centres: np.ndarray):
+    """Unit vectors with the cell of the nearest centre and the angle to it; zero vectors have a right angle to everything."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unit = _unit(_matrix(batch.column(1), centres.shape[1]))
+            angles = _angles(unit, centres)
+            cell = angles.argmin(axis=1) if len(unit) else np.zeros(0, dtype=np.int64)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(unit.ravel()), centres.shape[1]).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(angles[np.arange(len(unit)), cell]), batch.column(0), lists], ["cell", "angle", "doc_id", "vector"])
+
+    return deal
+
+
+def _probes(centres: np.ndarray, sizes: np.ndarray, parts: np.ndarray, k: int):
+    """The cells that each query ``(query_id, vector, least)`` is held against: without ``least`` the nearest that hold ``k`` vectors,
+    with it all others that could hold one at least as good. A cell is any number of degrees from a zero vector."""
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unit = _unit(_matrix(batch.column(1), centres.shape[1]))
+            for at in range(0, len(unit), QUERY_ROWS):
+                some = unit[at : at + QUERY_ROWS]
+                angles = _angles(some, centres)
+                order = np.argsort(angles, axis=1, kind="stable")
+                held = np.cumsum(sizes[order, 0], axis=1)
+                early = np.zeros(angles.shape, dtype=bool)
+                np.put_along_axis(early, order, held - sizes[order, 0] < k, axis=1)
+                if batch.column(2).null_count:
+                    wanted = early
+                else:
+                    least = batch.column(2).to_numpy()[at : at + QUERY_ROWS]
+                    reach = np.where(some.any(axis=1)[:, None], np.cos(np.maximum(angles - sizes[:, 1], 0)), 0.0)
+                    wanted = ~early & (reach >= least[:, None] - 1e-8)
+                query, cell = np.nonzero(wanted & (sizes[:, 0] > 0))
+                times = parts[cell]
+                part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                query, cell = np.repeat(query, times), np.repeat(cell, times)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(some[query].ravel()), centres.shape[1]).cast(pa.list_(pa.float64()))
+                ids = batch.column(0).take(pa.array(at + query))
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(np.ones(len(cell), dtype=np.int32)), ids, lists], ["cell", "part", "query", "id", "vector"])
+
+    return probe
+
+
+def _compare(k: int, width: int):
+    """The ``k`` best of a cell's part for each query that meets it; rows are sorted by part, vectors before queries. A part's vectors
+    are held, queries pass by in blocks."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, ids, held = None, [], []
         for batch in batches:
-            batch = batch.filter(pa.compute.equal(pa.compute.list_value_length(batch.column(1)), width))
-            if not batch.num_rows or not len(ids):
-                continue
-            docs = batch.column(0).to_numpy()
-            scores = asked @ unit(batch.column(1).flatten().to_numpy().reshape(-1, width)).T
-            for q in range(len(ids)):
-                score, doc = np.concatenate((best[q][0], scores[q])), np.concatenate((best[q][1], docs))
-                rounded = np.round(score, 9)
-                maybe = np.flatnonzero(rounded >= np.partition(rounded, -k)[-k]) if len(rounded) > k else np.arange(len(rounded))
-                first = maybe[np.lexsort((doc[maybe], -rounded[maybe]))[:k]]
-                best[q] = score[first], doc[first]
-        held = [len(s) for s, _ in best]
-        columns = [np.repeat(ids, held), np.concatenate([d for _, d in best] or [np.zeros(0, dtype=np.int64)]), np.concatenate([s for s, _ in best] or [np.zeros(0)])]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["query_id", "doc_id", "score"])
-
-    return nearest
+            cell, part, query, id_ = (batch.column(n).to_numpy() for n in range(4))
+            rows = _matrix(batch.column(4), width)
+            new = np.ones(len(cell), dtype=bool)
+            new[1:] = (cell[1:] != cell[:-1]) | (part[1:] != part[:-1]) | (query[1:] != query[:-1])
+            bounds = np.append(np.flatnonzero(new), len(cell))
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                if (cell[a], part[a]) != place:
+                    place, ids, held = (cell[a], part[a]), [], []
+                if not query[a]:
+                    ids.append(id_[a:b])
+                    held.append(rows[a:b])
+                    continue
+                if not held:
+                    continue
+                if len(held) > 1:
+                    ids, held = [np.concatenate(ids)], [np.vstack(held)]
+                for at in range(a, b, QUERY_ROWS):
+                    yield _best(id_[at : min(b, at + QUERY_ROWS)], rows[at : min(b, at + QUERY_ROWS)] @ held[0].T, ids[0], k)
+
+    return compare
+
+
+def _best(queries: np.ndarray, scores: np.ndarray, docs: np.ndarray, k: int) -> pa.RecordBatch:
+    out = []
+    for q in range(len(queries)):
+        rounded = np.round(scores[q], 9)
+        maybe = np.flatnonzero(rounded >= np.partition(rounded, -k)[-k]) if len(rounded) > k else np.arange(len(rounded))
+        first = maybe[np.lexsort((docs[maybe], -rounded[maybe]))[:k]]
+        out.append((np.full(len(first), queries[q]), docs[first], scores[q][first]))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["query_id", "doc_id", "score"])
 
 
 def fuse(lexical: DataFrame, semantic: DataFrame) -> DataFrame:

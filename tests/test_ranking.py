@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from quillspark.operators import ranking
@@ -59,3 +60,36 @@ def test_a_text_resembles_itself_fully(spark):
     own = ranking.self_scores(queries).collect()[0].self_score
     alone = ranking.bm25(queries, spark.createDataFrame([(0, "use a queue for retries")], "doc_id int, text string")).collect()[0].score
     assert own == pytest.approx(alone)
+
+
+def test_equal_scores_spread_over_tasks(spark):
+    rows = spark.range(30_000).selectExpr("id AS doc_id", "0.0 AS score")
+    found = ranking.numbered(rows)
+    assert found.where("rank = doc_id + 1").count() == 30_000
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_vector_search_against_brute_force(spark, seed, monkeypatch):
+    monkeypatch.setattr(ranking, "CELL_ROWS", 40)
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(6, 8))
+    vectors = [(centres[rng.integers(6)] + rng.normal(size=8) * [0.05, 0.5, 3][seed]).tolist() for _ in range(300)]
+    vectors[:100] = [vectors[0]] * 100  # a third are equal
+    vectors[150:155] = [[0.0] * 8] * 5
+    docs = [(i, v) for i, v in enumerate(vectors)] + [(900, None), (901, [1.0]), (902, [])]
+    queries = [(i, v) for i, v in enumerate(vectors) if i % 7 == 0 or i == 151] + [(950, None), (951, [2.0, 1.0])]
+    kinds = "long, vector array<double>"
+    unit = lambda v: np.array(v) / (np.linalg.norm(v) or 1)
+    for k in (1, 10, 400):
+        expected = set()
+        for q, v in queries:
+            if v and len(v) == 8:
+                scored = sorted((-round(float(unit(v) @ unit(d)), 9), i) for i, d in docs if d and len(d) == 8)[:k]
+                expected |= {(q, i, rank) for rank, (_, i) in enumerate(scored, 1)}
+        found = ranking.vector_search(spark.createDataFrame(queries, f"query_id {kinds}"), spark.createDataFrame(docs, f"doc_id {kinds}"), k)
+        assert {(r.query_id, r.doc_id, r["rank"]) for r in found.collect()} == expected
+    none = spark.createDataFrame([], f"query_id {kinds}")
+    assert ranking.vector_search(none, spark.createDataFrame(docs, f"doc_id {kinds}"), 3).collect() == []
+    assert ranking.vector_search(spark.createDataFrame(queries, f"query_id {kinds}"), spark.createDataFrame([], f"doc_id {kinds}"), 3).collect() == []
