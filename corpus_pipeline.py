@@ -21,7 +21,7 @@ from quillspark.llm.line_dedup import dedup_lines
 from quillspark.llm.near_dedup import near_duplicates
 from quillspark.llm.packing import pack
 from quillspark.llm.queries import table, tokenizer_path
-from quillspark.llm.storage import saved
+from quillspark.llm.storage import dropped, saved
 from quillspark.llm.toxicity import remainder, score_toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -72,8 +72,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is written and read again before the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each stage's result is written and read again before the next, and deleted once the next
+    one's is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

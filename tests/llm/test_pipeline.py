@@ -1,9 +1,12 @@
+import os
+
 import pytest
 from conftest import FIELDS, ODD, documents, sentence
 
 import corpus_pipeline
 from quillspark.llm import queries
 from quillspark.llm.queries import QUERIES
+from quillspark.llm.storage import shared_folder
 
 
 def build(spark, rng):
@@ -85,3 +88,15 @@ def test_documents_with_one_id_are_told_apart_by_their_texts(spark, rng, monkeyp
     left = corpus_pipeline.drop_benchmark_leaks(spark, docs, "")
     assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == sorted([(1, same[1][1])] * 2 + [(1, same[2][1]), (0, "clean")])
     assert sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, left, "").collect()) == sorted([(1, same[1][1]), (1, same[2][1]), (0, "clean")])
+
+
+def test_a_run_gives_what_its_stages_give_and_leaves_one_copy(spark, rng, monkeypatch):
+    frames = build(spark, rng)
+    use(monkeypatch, frames)
+    found = sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, "").collect())
+    docs = frames["documents"]
+    for _, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.saved(stage(spark, docs, ""), "by-hand")
+    assert found == sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in docs.collect()) and found
+    left = os.listdir(shared_folder(spark))
+    assert sum(x.startswith("pipeline-") for x in left) == 1
