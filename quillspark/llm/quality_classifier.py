@@ -2,8 +2,9 @@
 
 Every word has a sparse random index vector, made from its hash. A word's vector is the sum of the index vectors of its
 neighbours over the whole corpus; words share ``BUCKETS`` rows of one table, so its size is fixed and no word is left out.
-A text is the mean and the spread of its words' vectors. A network of two layers is fitted in numpy to a bounded sample of
-labelled rows, and its temperature to a part of the sample that the weights never see.
+A text is the mean and the spread of its words' vectors, and of how alike each word is to the next. A network of two layers
+is fitted in numpy to a bounded sample of labelled rows, and its temperature to a part of the sample that the weights never
+see.
 """
 
 from __future__ import annotations
@@ -101,19 +102,26 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def pooled(table: np.ndarray, hashes: np.ndarray, of_doc: np.ndarray) -> np.ndarray:
-    """Mean and standard deviation of each row's word vectors, and the logarithm of the number of words."""
+    """Mean and standard deviation of each row's word vectors, those of the likeness (the product) of a word and the next, and the
+    logarithm of the number of words."""
     n_rows = len(of_doc) - 1
-    n, total, squares = np.diff(of_doc), np.zeros((n_rows, WIDTH)), np.zeros((n_rows, WIDTH))
+    n, total, squares, likeness = np.diff(of_doc), np.zeros((n_rows, WIDTH)), np.zeros((n_rows, WIDTH)), np.zeros((n_rows, 2))
     bucket = (hashes & U64(BUCKETS - 1)).astype(np.int64)
     doc = np.repeat(np.arange(n_rows), n)
     for begin in range(0, len(hashes), BLOCK):
-        own, vectors = doc[begin : begin + BLOCK], table[bucket[begin : begin + BLOCK]]
+        own, vectors = doc[begin : begin + BLOCK], table[bucket[begin : begin + BLOCK + 1]]
+        near = doc[begin : begin + BLOCK + 1]
+        alike = (vectors[:-1] * vectors[1:]).sum(axis=1)
+        same = near[:-1] == near[1:]
+        for power in (1, 2):
+            likeness[:, power - 1] += np.bincount(near[:-1][same], alike[same] ** power, minlength=n_rows)
+        vectors = vectors[: len(own)]
         at = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
         total[own[at]] += np.add.reduceat(vectors, at, axis=0)
         squares[own[at]] += np.add.reduceat(vectors * vectors, at, axis=0)
-    mean = total / np.maximum(n, 1)[:, None]
-    spread = np.sqrt(np.maximum(squares / np.maximum(n, 1)[:, None] - mean * mean, 0))
-    return np.hstack((mean, spread, np.log1p(n)[:, None])).astype(np.float32)
+    spread = lambda total, squares, n: (total / n, np.sqrt(np.maximum(squares / n - (total / n) ** 2, 0)))
+    words, pairs = np.maximum(n, 1)[:, None], np.maximum(n - 1, 1)[:, None]
+    return np.hstack((*spread(total, squares, words), *spread(likeness[:, :1], likeness[:, 1:], pairs), np.log1p(n)[:, None])).astype(np.float32)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:

@@ -97,7 +97,8 @@ def test_word_vectors_and_pooling_against_brute_force(spark, rng, monkeypatch):
     x = qc.pooled(unit, *qc.hashed(chunk))
     for k, h in enumerate(hashes_of):
         own = unit[[v % qc.BUCKETS for v in h]] if h else np.zeros((1, qc.WIDTH))
-        assert np.allclose(x[k], np.concatenate((own.mean(axis=0), own.std(axis=0), [np.log1p(len(h))])), atol=1e-3)
+        alike = np.array([a @ b for a, b in zip(own[:-1], own[1:])] or [0.0])
+        assert np.allclose(x[k], np.concatenate((own.mean(axis=0), own.std(axis=0), [alike.mean(), alike.std(), np.log1p(len(h))])), atol=1e-3)
 
 
 def test_gradient_against_differences():
