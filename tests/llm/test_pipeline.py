@@ -93,10 +93,11 @@ def test_documents_with_one_id_are_told_apart_by_their_texts(spark, rng, monkeyp
 def test_a_run_gives_what_its_stages_give_and_leaves_one_copy(spark, rng, monkeypatch):
     frames = build(spark, rng)
     use(monkeypatch, frames)
+    before = set(os.listdir(shared_folder(spark)))
     found = sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, "").collect())
     docs = frames["documents"]
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.saved(stage(spark, docs, ""), "by-hand")
     assert found == sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in docs.collect()) and found
-    left = os.listdir(shared_folder(spark))
+    left = set(os.listdir(shared_folder(spark))) - before
     assert sum(x.startswith("pipeline-") for x in left) == 1
