@@ -187,8 +187,12 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def parse(files: DataFrame) -> DataFrame:
     """Rows of ``files(path, text)``: ``row`` is file, node, edge, binding, fact or skipped. A file that doesn't parse, or nests
-    deeper than the parser can follow, has one row, ``skipped``."""
-    return files.where("path IS NOT NULL").select("path", "text").mapInArrow(_parse, ROWS)
+    deeper than the parser can follow, has one row, ``skipped``.
+
+    Parsing takes far longer than reading, so files are dealt over as many tasks as a shuffle has, however few they were read in.
+    """
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.where("path IS NOT NULL").select("path", "text").repartition(tasks, "path").mapInArrow(_parse, ROWS)
 
 
 def nodes_of(parsed: DataFrame) -> DataFrame:
