@@ -24,6 +24,8 @@ ROWS = (
 _ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
 _SCHEMA = pa.schema([(x.split()[0], _ARROW[x.split()[1]]) for x in ROWS.split(", ")])
 DOCSTRING_CHARS = 500
+#: Rows that a batch has at least, but for the last one of a task.
+BATCH_ROWS = 4096
 DEFINITIONS = ("class", "function", "method", "test")
 
 
@@ -139,10 +141,11 @@ def _race(function: ast.AST) -> tuple[str, int] | None:
 def _calls(function: ast.AST) -> Iterator[tuple[str, str, int]]:
     """Facts about SQL texts and shell commands in a function: kind, how, line."""
     built: dict[str, str] = {}
-    for x in ast.walk(function):
+    inside = list(ast.walk(function))
+    for x in inside:
         if isinstance(x, ast.Assign) and len(x.targets) == 1 and _name(x.targets[0]):
             built[_name(x.targets[0])] = _built(x.value)  # the last one stands
-    for call in (x for x in ast.walk(function) if isinstance(x, ast.Call) and isinstance(x.func, ast.Attribute)):
+    for call in (x for x in inside if isinstance(x, ast.Call) and isinstance(x.func, ast.Attribute)):
         command = call.args[0] if call.args else next((k.value for k in call.keywords if k.arg == "args"), None)
         if call.func.attr in SQL_CALLS and call.args:
             how = _built(command) or built.get(_name(command), "")
@@ -168,21 +171,30 @@ def _facts(path: str, tree: ast.AST, out: list[dict]) -> None:
     out += [{"row": "fact", "path": path, "kind": kind, "name": how, "line": line, "seq": 0} for kind, how, line in sorted(found)]
 
 
+def _parsed_file(path: str, text: str | None) -> list[dict]:
+    rows: list[dict] = []
+    skipped = {"row": "skipped", "path": path, "seq": 0}
+    if len((text or "").encode()) > LARGEST_FILE:
+        return [{**skipped, "kind": "too large"}]
+    try:
+        tree = ast.parse(text or "")
+        _walk(path, tree, rows)
+        _facts(path, tree, rows)
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+        return [{**skipped, "kind": "syntax", "line": getattr(e, "lineno", None)}]
+    return rows
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: list[dict] = []
     for batch in batches:
         for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            rows: list[dict] = []
-            skipped = {"row": "skipped", "path": path, "seq": 0}
-            if len((text or "").encode()) > LARGEST_FILE:
-                rows.append({**skipped, "kind": "too large"})
-            else:
-                try:
-                    tree = ast.parse(text or "")
-                    _walk(path, tree, rows)
-                    _facts(path, tree, rows)
-                except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-                    rows = [{**skipped, "kind": "syntax", "line": getattr(e, "lineno", None)}]
-            yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
+            rows += _parsed_file(path, text)
+            if len(rows) >= BATCH_ROWS:
+                yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
+                rows = []
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
 
 
 def parse(files: DataFrame) -> DataFrame:
@@ -190,9 +202,11 @@ def parse(files: DataFrame) -> DataFrame:
     deeper than the parser can follow, has one row, ``skipped``.
 
     Parsing takes far longer than reading, so files are dealt over as many tasks as a shuffle has, however few they were read in.
+    They are dealt by a hash of the path: by the path itself Spark would leave the shuffle out after one that has the same key,
+    and join that one's small partitions into a single task.
     """
     tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.where("path IS NOT NULL").select("path", "text").repartition(tasks, "path").mapInArrow(_parse, ROWS)
+    return files.where("path IS NOT NULL").select("path", "text").repartition(tasks, F.xxhash64("path")).mapInArrow(_parse, ROWS)
 
 
 def nodes_of(parsed: DataFrame) -> DataFrame:

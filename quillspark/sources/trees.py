@@ -84,4 +84,7 @@ def tree_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     both = one.join(two, "path", "full")
     there = lambda c: F.coalesce(c, F.lit(False))
     same = there(F.col("was")) & there(F.col("now")) & (F.coalesce("before", F.lit(b"")) == F.coalesce("after", F.lit(b"")))
-    return both.where(~same).select("path", "before", "after", there(F.col("was")).alias("was"), there(F.col("now")).alias("now")).mapInArrow(_diffs, "path string, change string, diff string")
+    differ = both.where(~same).select("path", "before", "after", there(F.col("was")).alias("was"), there(F.col("now")).alias("now"))
+    # comparing lines takes far longer than reading them, so the few files that differ are dealt over as many tasks as a shuffle has
+    tasks = int(before.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return differ.repartition(tasks, F.xxhash64("path")).mapInArrow(_diffs, "path string, change string, diff string")

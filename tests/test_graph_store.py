@@ -1,10 +1,12 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from quillspark.operators import codegraph
 from quillspark.sources.graph_store import GraphStore
 from quillspark.sources.keyed import KeyedTable
+from quillspark.sources.trees import tree_diff
 
 
 @pytest.fixture
@@ -95,3 +97,21 @@ def test_a_change_touches_the_buckets_of_its_keys_only(spark, tmp_path):
     before = files()
     table.upsert(spark.createDataFrame([(7, 70)], "k long, v long"))
     assert len(before.keys() - files().keys()) == 1 and {r.v for r in table.read(spark).where("k = 7").collect()} == {70} and table.read(spark).count() == 500
+
+
+def test_files_are_dealt_over_tasks_after_a_shuffle_by_path(spark):
+    files = spark.range(400).selectExpr("concat('p', id, '.py') AS path", "'x = 1' AS text").dropDuplicates(["path"])
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert codegraph.parse(files).rdd.getNumPartitions() == wide > 1
+    assert tree_diff(files.selectExpr("path", "text AS content"), files.selectExpr("path", "'y' AS content")).rdd.getNumPartitions() == wide
+
+
+def test_rows_of_many_files_share_batches_and_none_is_lost(monkeypatch):
+    monkeypatch.setattr(codegraph, "BATCH_ROWS", 5)
+    paths = [f"p{k}.py" for k in range(7)]
+    files = pa.RecordBatch.from_arrays([pa.array([*paths, "bad.py", "none.py"]), pa.array(["def f(): g()\n"] * 7 + ["def (", None])], ["path", "text"])
+    batches = list(codegraph._parse(iter([files.slice(0, 4), files.slice(4)])))
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert [r["path"] for r in rows if r["row"] == "file"] == [*paths, "none.py"] and [r["path"] for r in rows if r["row"] == "skipped"] == ["bad.py"]
+    assert all(b.num_rows >= 5 for b in batches[:-1]) and len(batches) < 9
+    assert list(codegraph._parse(iter([]))) == []
