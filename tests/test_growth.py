@@ -50,3 +50,14 @@ def test_impact_shuffles_only_what_touches_the_names(spark):
 
 def test_orders_meet_their_lines_without_broadcasts(spark):
     assert not broadcasts(adapters.star_graph(spark, "/root/testdata/sf0.001")[1])
+
+
+def test_resemblances_sort_nothing(spark):
+    from quillspark.operators import ranking
+
+    texts = spark.createDataFrame([(1, "a b"), (2, "c")], "query_id long, query string")
+    records = spark.createDataFrame([(7, "a b"), (8, "b c d"), (9, "x")], "doc_id long, text string")
+    found, ranked = ranking.resemblances(texts, records, threshold=0.0), ranking.bm25(texts, records)
+    assert "_part" not in found._jdf.queryExecution().optimizedPlan().toString()  # no ranks
+    assert {(r.query_id, r.doc_id) for r in found.collect()} == {(r.query_id, r.doc_id) for r in ranked.collect()} == {(1, 7), (1, 8), (2, 8)}
+    assert "exchange hashpartitioning(query_id" not in ranking.bm25_scores(texts, records)._jdf.queryExecution().executedPlan().toString().lower()  # summed where a document's terms are
