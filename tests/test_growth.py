@@ -61,3 +61,16 @@ def test_resemblances_sort_nothing(spark):
     assert "_part" not in found._jdf.queryExecution().optimizedPlan().toString()  # no ranks
     assert {(r.query_id, r.doc_id) for r in found.collect()} == {(r.query_id, r.doc_id) for r in ranked.collect()} == {(1, 7), (1, 8), (2, 8)}
     assert "exchange hashpartitioning(query_id" not in ranking.bm25_scores(texts, records)._jdf.queryExecution().executedPlan().toString().lower()  # summed where a document's terms are
+
+
+def test_look_ups_take_the_rarest_part_and_broadcast_no_nodes(spark):
+    nodes = spark.createDataFrame([(f"id{k}", f"helper{k}", f"M.helper{k}") for k in range(1, 300)] + [("é", "Größe_1", None)], "id string, name string, qualname string")
+    wanted = spark.createDataFrame([("elpe_123",), ("LPER77",), ("röß",), ("_",), ("M.helper5",), ("absent_123",)], "wanted string")
+    found = graph.look_up(nodes, wanted, loose=3)
+    assert not broadcasts(found)
+    told = {}
+    for r in found.collect():
+        told.setdefault(r.wanted, []).append((r.place, r.id, r.tier))
+    assert {k: sorted(v) for k, v in told.items()} == {
+        "elpe_123": [(1, "id123", 2)], "LPER77": [(1, "id77", 2)], "röß": [(1, "é", 2)], "_": [(1, "é", 2), (2, "id1", 2), (3, "id2", 2)], "M.helper5": [(1, "id5", 1)],
+    }
