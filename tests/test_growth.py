@@ -1,7 +1,9 @@
 """Steps whose memory or shuffles must not grow faster than their input: no table that grows goes whole through the driver."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from quillspark import storage
 from quillspark.operators import codegraph, graph
 from quillspark.sources import adapters, repository
 
@@ -24,6 +26,32 @@ def test_references_are_resolved_without_broadcasts(parsed):
     assert {(r.qualname, r.target): r.target_id for r in found.collect()} == {("f", "h.g"): "function:b.py:g", ("f", "k"): "method:c.py:K.k", ("g", "g"): "function:b.py:g", ("K.k", "self.k"): "method:c.py:K.k", ("K.k", "x.strip"): None}
 
 
+def test_names_that_very_many_ask_for_are_dealt_over_tasks(spark):
+    one = "from b import g as h\ndef f{k}(x):\n    x.strip()\n    h.g()\n    only{k}()\n    other{k}()\n"
+    files = [(f"a{k}.py", one.format(k=k)) for k in range(40)] + [("b.py", "def g():\n    pass\n"), ("c.py", "def strip():\n    pass\n")]
+    files += [(f"d{k}.py", f"def only{k}():\n    pass\n") for k in range(40)]
+    parsed = storage.saved(codegraph.parse(spark.createDataFrame(files, "path string, text string")), "parsed")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = codegraph.references(parsed).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    own = lambda target: [r for r in rows if r.target == target]
+    for target, id in (("h.g", "function:b.py:g"), ("x.strip", "function:c.py:strip")):
+        assert {r.target_id for r in own(target)} == {id} and len(own(target)) == 40 and len({r.part for r in own(target)}) > 1
+    assert all(own(f"only{k}")[0].target_id == f"function:d{k}.py:only{k}" and own(f"other{k}")[0].target_id is None for k in range(40))
+
+
+def test_frequent_rare_and_missing_keys(spark, monkeypatch):
+    monkeypatch.setattr(storage, "FREQUENT_KEYS", 2)
+    known = spark.createDataFrame([("hot", "H"), ("cold", "C"), ("rare", "R")], "key string, value string")
+    rows = [("hot", None, "H", 0), (None, "hot", "H", 1), ("gone", "hot", "H", 1), ("gone", "cold", "C", 1), ("cold", "hot", "C", 0), ("lost", "rare", "R", 1), ("lost", None, None, None), (None, None, None, None), ("lost", "lost2", None, None), (None, "rare", "R", 1)]
+    many = [(k, *r) for k in range(5) for r in rows[:4]] + [(9, *r) for r in rows]
+    asked = spark.createDataFrame(many, "k int, a string, b string, found string, nth int")
+    found = storage.first_known(asked.select("k", "a", "b"), known, ["a", "b"])
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, many))
+
+
 def test_files_are_forgotten_without_broadcasts(spark, parsed):
     edges = codegraph.code_graph(parsed)[1].select("source", "target")
     nodes, left = repository.forget(codegraph.nodes_of(parsed), edges, spark.createDataFrame([("b.py",)], "path string"))
