@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CRITICAL_MARKERS, OBSOLETE_MARKERS, TOKEN_METHOD, estimate_tokens, has_financial_figure, is_noise, marker_in, normalised, tokens_of
+from ..storage import saved
 
 # Results must agree with them.
 LONGEST_OUTPUT, HEAD_CHARS, TAIL_CHARS = 2000, 1200, 600
@@ -35,11 +36,12 @@ def dedup(measured: DataFrame) -> DataFrame:
     return measured.withColumn("_n", first).where("_n = 1").drop("_n")
 
 
-def classify(items: DataFrame, pins: tuple[str, ...] = (), retired: tuple[str, ...] = ()) -> DataFrame:
+def classify(items: DataFrame, pins: tuple[str, ...] = (), retired: tuple[str, ...] = (), few: bool = False) -> DataFrame:
     """Adds relevance and relevance_reason by a cascade of rules; the first that holds decides.
 
     ``pins`` and ``retired`` are further markers, tried before the built-in ones. Recency compares the index before
-    deduplication with the number of items here, and applies to contexts of more than ten items.
+    deduplication with the number of items here, and applies to contexts of more than ten items. With ``few`` large contexts, only
+    their sizes are gathered by context, and the items, which should be written, stay spread.
     """
     text = F.col("content")
     critical, obsolete = marker_in(F.col("_low"), pins + CRITICAL_MARKERS), marker_in(F.col("_low"), retired + OBSOLETE_MARKERS)
@@ -58,7 +60,12 @@ def classify(items: DataFrame, pins: tuple[str, ...] = (), retired: tuple[str, .
         .when(recent, rule("critical", "most recent exchange"))
         .otherwise(rule("relevant", "no demotion rule matched"))
     )
-    out = items.withColumn("_first", first).withColumn("_total", total).withColumn("_low", F.lower(text)).withColumn("_rule", decided)
+    if few:
+        sizes = saved(items.groupBy(F.col("context_id").alias("_c")).agg(F.count("*").alias("_total")), "sizes")
+        counted = items.join(sizes, F.col("context_id").eqNullSafe(F.col("_c"))).drop("_c")
+    else:
+        counted = items.withColumn("_total", total)
+    out = counted.withColumn("_first", first).withColumn("_low", F.lower(text)).withColumn("_rule", decided)
     return out.withColumn("relevance", F.col("_rule.relevance")).withColumn("relevance_reason", F.col("_rule.reason")).drop("_first", "_total", "_low", "_rule")
 
 

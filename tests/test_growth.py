@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quillspark import storage
 from quillspark.operators import codegraph, graph
+from quillspark.plans import registry
 from quillspark.sources import adapters, repository
 
 EDGE = "source string, target string, kind string"
@@ -102,3 +103,20 @@ def test_look_ups_take_the_rarest_part_and_broadcast_no_nodes(spark):
     assert {k: sorted(v) for k, v in told.items()} == {
         "elpe_123": [(1, "id123", 2)], "LPER77": [(1, "id77", 2)], "röß": [(1, "é", 2)], "_": [(1, "é", 2), (2, "id1", 2), (3, "id2", 2)], "M.helper5": [(1, "id5", 1)],
     }
+
+
+def test_documents_of_one_source_are_dealt_over_tasks(spark, tmp_path):
+    rows = [(k, f"text {k} " + "word " * (k % 7 * 100), None if k % 50 == 49 else "one") for k in range(200)]
+    spark.createDataFrame(rows + [(1000, rows[3][1], "one")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = registry.queries()["compress_long_items"](spark, str(tmp_path)).withColumn("part", F.spark_partition_id()).collect()
+        numbered = adapters.documents_context(spark, str(tmp_path)).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for source, ids in (("one", [*(k for k in range(200) if k % 50 != 49), 1000]), (None, [49, 99, 149, 199])):
+        texts = {k: t for k, t, _ in rows} | {1000: rows[3][1]}
+        assert sorted((r.pos, r.content) for r in numbered if r.context_id == source) == list(enumerate(texts[k] for k in ids))
+        assert sorted(r.pos for r in found if r.context_id == source) == [i for i, k in enumerate(ids) if k != 1000]
+    for dealt in (found, numbered):
+        assert len({r.part for r in dealt if r.context_id == "one"}) > 1
