@@ -120,3 +120,31 @@ def test_documents_of_one_source_are_dealt_over_tasks(spark, tmp_path):
         assert sorted(r.pos for r in found if r.context_id == source) == [i for i, k in enumerate(ids) if k != 1000]
     for dealt in (found, numbered):
         assert len({r.part for r in dealt if r.context_id == "one"}) > 1
+
+
+@pytest.mark.parametrize("sent", [7, 6, 0], ids=["few queries", "few documents", "many of both"])
+def test_pairs_are_summed_where_they_arise(spark, monkeypatch, sent):
+    """Also where files look too large to be sent, as those of very many tasks do; and a task's sums are bounded."""
+    from quillspark.operators import ranking
+
+    texts = spark.createDataFrame([(1, "a b b"), (2, "c d e"), (3, "z")], "query_id long, query string")
+    records = spark.createDataFrame([(7, "a b"), (8, "b c"), (9, "b e"), (10, None)], "doc_id long, text string")
+
+    def rows(found):
+        return {(r.query_id, r.doc_id): (round(r.similarity, 9), r.confidence) for r in found.collect()}
+
+    expected = rows(ranking.resemblances(texts, records, threshold=0.0))
+    assert set(expected) == {(1, 7), (1, 8), (1, 9), (2, 8), (2, 9)}
+    monkeypatch.setattr(ranking, "TERMS_SENT", sent, raising=False)
+    monkeypatch.setattr(ranking, "SUMS_A_TASK", 1, raising=False)
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = ranking.resemblances(texts, records, threshold=0.0)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert rows(found) == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    pairs = [line for line in plan.splitlines() if "Exchange hashpartitioning(query_id" in line and "doc_id" in line]
+    dealt = [line for line in plan.splitlines() if "6), REPARTITION_BY_NUM" in line]  # six products, one for each task
+    assert (len(pairs), len(dealt)) == ((0, 1) if sent else (1, 0))
