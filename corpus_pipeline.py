@@ -42,7 +42,7 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, the one with the smallest id; of repeated rows one."""
     found = near_duplicates(docs, shingle_words=5, similarity=0.8)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct().hint("merge")  # grows with the corpus
     # rows with one id and one text are one document; two hashes, as one of 64 bits is not enough for very many texts
     keyed = docs.withColumns({"_a": F.xxhash64("text"), "_b": F.xxhash64(F.lit("b"), F.col("text"))})
     left = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_a") == F.col("_hash")), "left_anti")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import dropped, saved
+from .storage import dropped, merged, saved
 from .words import U64, distinct_by_row, hashed_words, mix, shingles, text_chunks
 
 CHUNKS, CHUNK, ERRORS, BITS = 14, 7, 1, 16
@@ -210,9 +210,12 @@ def _similar(percent: int):
 
 
 def _with_label(rows: DataFrame, of_label: DataFrame, by: str) -> DataFrame:
-    """``rows`` with the columns of ``of_label`` where their label has a row there; both are dealt over salts of ``by``."""
+    """``rows`` with the columns of ``of_label`` where their label has a row there; both are dealt over salts of ``by``.
+
+    ``of_label`` grows with the corpus, and its copies are not in Spark's guess of its size, so they are joined by sorting.
+    """
     salted = of_label.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(LABEL_SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(LABEL_SALTS)).cast("int")).join(salted, ["label", "_salt"], "left").drop("_salt")
+    return merged(rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(LABEL_SALTS)).cast("int")), salted, ["label", "_salt"], "left").drop("_salt")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -224,7 +227,7 @@ def components(edges: DataFrame) -> DataFrame:
     tables = [labels := saved(both.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("node"), F.least("a", "label").alias("label")), "labels")]
     while True:
         heard = _with_label(both.withColumnRenamed("b", "label"), labels.select(F.col("node").alias("label"), F.col("label").alias("heard")), "a").groupBy("a").agg(F.min("heard").alias("heard"))
-        told = labels.join(heard, labels.node == heard.a, "left").select("node", F.col("label").alias("before"), F.least("label", "heard").alias("label"))
+        told = merged(labels, heard.withColumnRenamed("a", "node"), "node", "left").select("node", F.col("label").alias("before"), F.least("label", "heard").alias("label"))
         of_label = labels.where("label <> node").select(F.col("node").alias("label"), F.col("label").alias("next"))
         after = saved(_with_label(told, of_label, "node").select("node", "before", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
         labels = after.select("node", "label")
@@ -253,7 +256,7 @@ def _pairs_across(labelled: DataFrame, signatures: DataFrame, percent: int) -> D
     A salted bucket is compared in cells of two salts each.
     """
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    rows = labelled.join(mixed, "key", "left_semi").join(signatures, "node")
+    rows = merged(merged(labelled, mixed, "key", "left_semi"), signatures, "node")
     cells = F.when(F.col("salt") >= 0, F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda t: F.least("salt", t) * SALTS + F.greatest("salt", t))).otherwise(F.array(F.lit(-1)))
     cell = F.when(F.col("of") < 0, F.col("key")).otherwise(F.xxhash64("key", "of"))
     side = F.when(F.floor(F.col("of") / SALTS) != F.col("of") % SALTS, F.col("salt")).otherwise(-1)
@@ -283,30 +286,30 @@ def link_classes(docs: DataFrame, size: int, percent: int, text: str, doc_id: st
     sketches = saved(rows.mapInArrow(_sketch(size), "doc_id long, text_hash long, n_shingles long, node long, signature binary"), "sketches")
     classes = saved(sketches.where("n_shingles > 0").groupBy("node").agg(F.min_by("signature", F.struct("doc_id", "text_hash")).alias("signature"), F.min(F.struct("doc_id", "text_hash")).alias("first")), "classes")
     keys = _shared_keys(classes, hot_bucket)
-    nodes = saved(keys.select("node").join(classes, "node"), "shared-nodes")
+    nodes = saved(merged(keys.select("node"), classes, "node"), "shared-nodes")
     wanted = nodes.select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
-    texts = rows.join(wanted, (rows.doc_id.eqNullSafe(wanted.doc_id)) & (rows.text_hash == wanted.text_hash)).select("node", "text")
+    texts = rows.join(wanted.hint("merge"), (rows.doc_id.eqNullSafe(wanted.doc_id)) & (rows.text_hash == wanted.text_hash)).select("node", "text")
     sets = saved(texts.mapInArrow(_sets(size), "node long, members binary, odd binary").dropDuplicates(["node"]), "sets")
-    compact = sets.select("node", F.expr("octet_length(members) div 8").alias("n"), "odd").join(nodes.select("node", "signature"), "node")
+    compact = merged(sets.select("node", F.expr("octet_length(members) div 8").alias("n"), "odd"), nodes.select("node", "signature"), "node")
     members = sets.select("node", "members")
 
     labels = nodes.select("node", F.col("node").alias("label"))
     rounds = []  # what a round has written; only the last labels are read again
     for turn in range(STAR_ROUNDS + 1):
-        labelled = keys.join(labels, "node").select("node", "label", F.explode("keys").alias("k")).select("node", "label", "k.key", "k.salt")
+        labelled = merged(keys, labels, "node").select("node", "label", F.explode("keys").alias("k")).select("node", "label", "k.key", "k.salt")
         if turn < STAR_ROUNDS:
             pairs = leads(labelled, turn)
         else:
             pairs = saved(_pairs_across(labelled, compact, percent), "across")
-        full = pairs.join(members.toDF("b", "mb"), "b").join(members.toDF("a", "ma"), "a")
+        full = merged(merged(pairs, members.toDF("b", "mb"), "b"), members.toDF("a", "ma"), "a")
         links = saved(full.select("la", "lb", "ma", "mb").mapInArrow(_similar(percent), "a long, b long").distinct(), "links")
         if turn == STAR_ROUNDS:
             dropped(pairs)
         if not links.isEmpty():
-            merged = components(links)
-            of_label = merged.where("node <> label").select(F.col("node").alias("label"), F.col("label").alias("to"))
+            joined = components(links)
+            of_label = joined.where("node <> label").select(F.col("node").alias("label"), F.col("label").alias("to"))
             labels = saved(_with_label(labels, of_label, "node").select("node", F.coalesce("to", "label").alias("label")), "node-labels")
-            dropped(merged, *rounds)
+            dropped(joined, *rounds)
             rounds = [labels]
         dropped(links)
     dropped(classes, keys, sets)
@@ -323,7 +326,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
     sketches, labels = link_classes(docs, shingle_words, round(100 * similarity), text, doc_id)
     # equal sets are one class; its smallest id stands for it, and the smallest of a component's classes for all
     of_class = sketches.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
-    of_class = of_class.join(labels, "node", "left").where("rows > 1 OR label IS NOT NULL")
+    of_class = merged(of_class, labels, "node", "left").where("rows > 1 OR label IS NOT NULL")
     of_class = saved(of_class.select("node", "least", F.coalesce("label", "node").alias("label")), "linked-classes")
     of_label = of_class.groupBy("label").agg(F.min("least").alias("component"))
     of_class = saved(_with_label(of_class, of_label, "node").select("node", F.coalesce("component", "least").alias("component")), "components")

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from ..storage import dropped, saved, shared_folder
+from ..storage import dropped, merged, saved, shared_folder
 
-__all__ = ["dropped", "saved", "shared_folder"]
+__all__ = ["dropped", "merged", "saved", "shared_folder"]

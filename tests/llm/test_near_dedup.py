@@ -88,3 +88,22 @@ def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 102), (101, 102)]
     labels = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert labels == {**dict.fromkeys(range(31), 0), 100: 100, 101: 100, 102: 100}
+
+
+def test_no_table_that_grows_is_broadcast(spark, rng, monkeypatch):
+    """Copies of labels for each salt aren't in Spark's guess of a table's size, and went whole through the driver."""
+    from quillspark.llm import near_dedup
+
+    plans = {}
+
+    def saved(df, name, write=near_dedup.saved):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin"))
+        return write(df, name)
+
+    monkeypatch.setattr(near_dedup, "saved", saved)
+    rows = family(rng, 0, 30, 40, 3) + [(500 + i, sentence(rng, 30)) for i in range(20)]
+    result = near_duplicates(documents(spark, rows), 2, 0.8)
+    assert found(result) == brute_force(rows, 2)
+    assert not result._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+    assert {"edges", "labels", "node-labels", "links", "sets", "components"} <= plans.keys()
+    assert not any(n for name, counts in plans.items() if name != "shared-keys" for n in counts)  # hot keys are bounded
