@@ -105,6 +105,36 @@ def test_look_ups_take_the_rarest_part_and_broadcast_no_nodes(spark):
     }
 
 
+def test_a_name_of_very_many_nodes_is_numbered_in_several_tasks(spark):
+    nodes = spark.createDataFrame([(f"id{k:03}", "Worker", f"M{k}.Worker") for k in range(400)] + [("z", "other", "Worker")], "id string, name string, qualname string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = graph.look_up(nodes, spark.createDataFrame([("Worker",), ("M7.Worker",)], "wanted string")).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    own = [r for r in found if r.wanted == "Worker"]
+    assert sorted((r.place, r.id, r.tier) for r in own) == [(k + 1, f"id{k:03}", 0) for k in range(400)] and len({r.part for r in own}) > 1
+    assert [(r.id, r.tier, r.place) for r in found if r.wanted != "Worker"] == [("id007", 1, 1)]
+
+
+def test_a_task_sends_only_the_first_nodes_of_a_name(spark, monkeypatch):
+    nodes = spark.createDataFrame([(f"id{k}", f"Helper{k}", f"M.Helper{k}") for k in range(2000)] + [("n", None, "M.Helper1"), ("q", "Helper10", None)], "id string, name string, qualname string").repartition(4)
+    patterns = spark.createDataFrame([("elper_", "xxxxx_"), ("helper1", "xxxxxxx"), ("r_9", "x_x"), ("absent", "xxxxxx")], "pattern string, shape string")
+    sent = graph._first_with(spark, patterns, ["xxxxx_", "xxxxxxx", "x_x"], 3)(nodes.select("id", "name", "qualname"))
+    assert {r.pattern: r["count"] for r in sent.groupBy("pattern").count().collect()} == {"elper_": 12, "helper1": 12, "r_9": 12}
+    monkeypatch.setattr(graph, "HELD", 2)  # handed on after each batch
+    monkeypatch.setattr(graph, "SHAPES", 2)  # and most shapes are rare
+    wanted = ["elper_", "ELPER1", "r_9", "_", "r1%9", "per_0"]
+    found = {}
+    for r in graph.look_up(nodes, spark.createDataFrame([(w,) for w in wanted], "wanted string"), loose=4).collect():
+        found.setdefault(r.wanted, []).append((r.place, r.id, r.tier))
+    first = lambda *ids: [(k + 1, i, 2) for k, i in enumerate(ids)]
+    assert {w: sorted(x) for w, x in found.items()} == {
+        "elper_": first("n", "id0", "id1", "id2"), "ELPER1": first("n", "id1", "id10", "q"), "r_9": first("id19", "id29", "id39", "id49"),
+        "_": first("n", "id0", "id1", "id2"), "r1%9": first("id19", "id109", "id119", "id129"), "per_0": first("id10", "q", "id20", "id30"),
+    }
+
+
 def test_documents_of_one_source_are_dealt_over_tasks(spark, tmp_path):
     rows = [(k, f"text {k} " + "word " * (k % 7 * 100), None if k % 50 == 49 else "one") for k in range(200)]
     spark.createDataFrame(rows + [(1000, rows[3][1], "one")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
