@@ -115,3 +115,19 @@ def test_rows_of_many_files_share_batches_and_none_is_lost(monkeypatch):
     assert [r["path"] for r in rows if r["row"] == "file"] == [*paths, "none.py"] and [r["path"] for r in rows if r["row"] == "skipped"] == ["bad.py"]
     assert all(b.num_rows >= 5 for b in batches[:-1]) and len(batches) < 9
     assert list(codegraph._parse(iter([]))) == []
+
+
+def test_queries_parse_files_of_any_size(spark, tmp_path, monkeypatch):
+    from quillspark.plans import code
+
+    monkeypatch.setattr(codegraph, "BATCH_ROWS", 100)
+    big = "".join(f"def f{k}():\n    g()\n" for k in range(500)) + "# " + "x" * 1_100_000 + "\ndef g():\n    pass\n"
+    files = {"big.py": big, "small.py": "def h():\n    f7()\n"}
+    monkeypatch.setattr(code, "project", lambda spark, sf_dir: frame(spark, files))
+    nodes = {r.id for r in code.code_graph_nodes(spark, "").collect()}
+    assert nodes == {"file:big.py", "file:small.py", "function:small.py:h", "function:big.py:g", *(f"function:big.py:f{k}" for k in range(500))}
+    edges = {(r.source, r.target) for r in code.code_graph_edges(spark, "").where("kind = 'calls'").collect()}
+    assert ("function:small.py:h", "function:big.py:f7") in edges and ("function:big.py:f499", "function:big.py:g") in edges
+    store = GraphStore(str(tmp_path), 2, largest=None)
+    assert {r.path: r.outcome for r in store.ingest(frame(spark, files)).collect()} == {"big.py": "new", "small.py": "new"}
+    assert "function:big.py:g" in {r.id for r in store.graph(spark)[0].collect()}
